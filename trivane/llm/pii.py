@@ -180,7 +180,7 @@ def redact_column(documents: DataFrame) -> DataFrame:
                 cols[counted] = pa.array(lengths, pa.int64()).cast(cols[counted].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return arrow_map(documents, run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
