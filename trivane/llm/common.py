@@ -107,21 +107,39 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str], target: in
         yield t, np.append(bounds(t), t.num_rows)
 
 
-def in_blocks(members: DataFrame, keys: list[str], spread: Column, block: int) -> DataFrame:
+def in_blocks(members: DataFrame, keys: list[str], spread: Column, block: int, weight: str | None = None, most: int = 1 << 25) -> DataFrame:
     """Deal the rows of each bucket (keys) out to units of at most two blocks, so that any two rows meet in one unit.
 
-    A bucket of n rows is cut into ceil(n / block) blocks by the hash spread; a unit (_i, _j) holds blocks _i and _j, and
-    _b is a row's own block. Buckets of one row are left out: they hold no pair."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    m = members.join(sizes, keys)
-    nb = F.ceil(F.col("_n") / block).cast("int")
-    m = m.withColumn("_nb", nb).withColumn("_b", F.pmod(spread, F.col("_nb")).cast("int"))
+    A bucket is cut by the hash spread into blocks of about block rows, and of a weight of about most, if there is one; a
+    unit (_i, _j) holds blocks _i and _j, and _b is a row's own block. Buckets of one row are left out: they hold no pair.
+    Rows that have their bucket's size already, in _n, aren't counted again."""
+    if "_n" not in members.columns:
+        total = F.sum(weight) if weight else F.lit(0)
+        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), total.cast("double").alias("_w")).where("_n > 1")
+        members = members.join(sizes, keys)
+    else:
+        members = members.withColumn("_w", F.lit(0.0))
+    nb = F.ceil(F.greatest(F.col("_n") / block, F.col("_w") / most)).cast("int")
+    m = members.withColumn("_nb", F.greatest(nb, F.lit(1))).withColumn("_b", F.pmod(spread, F.col("_nb")).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    m = m.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_nb", "_o")
+    m = m.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_w", "_nb", "_o")
     unit = [*keys, "_i", "_j"]
     return m.repartition(partitions(m.sparkSession), *unit).sortWithinPartitions(*unit)
 
 
+def unit_pairs(own: np.ndarray, i: int, j: int, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the rows of a unit, about most at a time: all pairs of one block, or those across two."""
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    step = max(1, most // max(1, len(right)))
+    for s in range(0, len(left), step):
+        a, b = np.repeat(left[s : s + step], len(right)), np.tile(right, len(left[s : s + step]))
+        if i == j:
+            keep = a < b
+            a, b = a[keep], b[keep]
+        if len(a):
+            yield a, b
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dtype, width: int | None = None) -> np.ndarray:
     """A binary column as a matrix, a row for each value."""
     raw = b"".join(column.to_pylist())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import langid, mixing, packing, pii, sharding
+from trivane.llm import langid, mixing, ngram_join, packing, pii, sharding
 from trivane.llm.common import held_out, table
 
 
@@ -32,6 +32,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, text, coalesce(CAST(doc_id AS VARCHAR), '~') AS k FROM documents),
 crc_table AS (
@@ -88,5 +92,5 @@ SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.base + CASE W
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_packing, op4_sharding, op5_langid, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_packing, op4_sharding, op5_langid, op8_mixing, op9_ngram_join)}
 ORACLES = {"op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL}
