@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import langid, mixing, ngram_join, packing, pii, sharding
+from trivane.llm import ann, itq_dedup, langid, mixing, ngram_join, packing, pii, sharding
 from trivane.llm.common import held_out, table
 
 
@@ -28,6 +28,14 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -92,5 +100,5 @@ SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.base + CASE W
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_packing, op4_sharding, op5_langid, op8_mixing, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join)}
 ORACLES = {"op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL}
