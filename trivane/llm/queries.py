@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import ann, itq_dedup, langid, mixing, ngram_join, packing, pii, sharding
+from trivane.llm import ann, itq_dedup, langid, mixing, ngram_join, packing, pii, sharding, toxicity
 from trivane.llm.common import held_out, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.not_held_out())
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -100,5 +106,5 @@ SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.base + CASE W
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join)}
 ORACLES = {"op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL}
