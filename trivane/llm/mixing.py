@@ -65,15 +65,33 @@ def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
     return state.select(F.col("_s").alias("source"), (F.col("_prefix") + F.when(F.col("_need") * 2 >= F.col("_sum"), 1).otherwise(0)).alias("thr"))
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken and copies of every row."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), hash52(F.col("doc_id")).alias("_h"))
-    rows = stored(rows, "sizes")
+def _rules(rows: DataFrame) -> DataFrame:
+    """For each source _s: source_size, target, base repeats, and thr, below which a row's hash earns it one more."""
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = goal.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = stored(goal.withColumn("need", F.col("target") - F.col("base") * F.col("source_size")), "goal")
     thr = thresholds(rows, goal.where("source_size > 0 and need > 0")).select(F.col("source").alias("_t"), "thr")
-    goal = goal.join(thr, F.col("source").eqNullSafe(F.col("_t")), "left").select(F.col("source").alias("_s"), "source_size", "target", "base", F.coalesce("thr", F.lit(0)).alias("thr"))
-    out = rows.join(goal, F.col("source").eqNullSafe(F.col("_s")))
+    goal = goal.join(thr, F.col("source").eqNullSafe(F.col("_t")), "left")
+    return stored(goal.select(F.col("source").alias("_s"), "source_size", "target", "base", F.coalesce("thr", F.lit(0)).alias("thr")), "rules")
+
+
+def _narrow(documents: DataFrame) -> DataFrame:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), hash52(F.col("doc_id")).alias("_h"))
+    return stored(rows, "sizes")
+
+
+def mix(documents: DataFrame) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken and copies of every row."""
+    rows = _narrow(documents)
+    out = rows.join(_rules(rows), F.col("source").eqNullSafe(F.col("_s")))
     out = out.withColumn("copies", (F.col("base") + F.when(F.col("_h") < F.col("thr"), 1).otherwise(0)).cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    """The rows of documents, all their columns kept, each as often as the mix takes it."""
+    rules = _rules(_narrow(documents)).select("_s", F.col("base").alias("_base"), F.col("thr").alias("_thr"))
+    out = documents.join(rules, F.col("source").cast("string").eqNullSafe(F.col("_s")))
+    copies = F.col("_base") + F.when(hash52(F.col("doc_id").cast("long")) < F.col("_thr"), 1).otherwise(0)
+    again = F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_again")
+    return out.select(*[F.col(c) for c in documents.columns], again).drop("_again")
