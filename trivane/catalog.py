@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from trivane.plans import aggregations
+from trivane.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregations"]
