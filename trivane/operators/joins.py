@@ -97,7 +97,7 @@ def by_position(left: DataFrame, right: DataFrame, unit: str, a: str, b: str) ->
     """Elements of two arrays of a unit side by side; pos from 0, null where one is shorter."""
     x = left.join(right, unit)
     zipped = F.arrays_zip(F.col(a).alias("l"), F.col(b).alias("r"))
-    return x.select(unit, F.posexplode(zipped).alias("pos", "_z")).select(unit, F.col("pos").cast("long").alias("pos"), F.col("_z")[a].alias("left"), F.col("_z")[b].alias("right"))
+    return x.select(unit, F.posexplode(zipped).alias("pos", "_z")).select(unit, F.col("pos").cast("long").alias("pos"), F.col("_z")["l"].alias("left"), F.col("_z")["r"].alias("right"))
 
 
 def work_list(dims: list[DataFrame], done: DataFrame, keys: list[str]) -> DataFrame:
