@@ -285,7 +285,7 @@ def p30_normalized_clause(spark, d):
 
 
 RULES = ("pre_rel", "post_rel", "pre_comp", "post_comp")
-_RULE_SQL = "WITH r AS (SELECT sample_id, CASE WHEN sample_id % 7 = 0 THEN NULL ELSE CAST(least(quality, 90) AS DOUBLE) / 90 END AS pre_rel, CASE WHEN sample_id % 6 = 0 THEN NULL ELSE CAST(least(redundancy, 80) AS DOUBLE) / 80 END AS post_rel, 1.0 AS pre_comp, CAST(sample_id % 5 AS DOUBLE) / 4 AS post_comp FROM samples)"
+_RULE_SQL = "WITH r AS (SELECT sample_id, CASE WHEN sample_id % 7 = 0 THEN NULL ELSE CAST(least(quality, 90) AS DOUBLE) / 90 END AS pre_rel, CASE WHEN sample_id % 6 = 0 THEN NULL ELSE CAST(least(redundancy, 80) AS DOUBLE) / 80 END AS post_rel, 1e0 AS pre_comp, CAST(sample_id % 5 AS DOUBLE) / 4 AS post_comp FROM samples)"
 
 
 def rule_scores(spark, d):
@@ -300,8 +300,8 @@ def rule_scores(spark, d):
 
 
 @query(_RULE_SQL + """
-SELECT sample_id, CASE WHEN pre_rel IS NULL OR post_rel IS NULL THEN NULL WHEN pre_rel = 1 AND post_rel = 1 THEN 1.0 ELSE 0.0 END AS rule_rel, (pre_rel + post_rel) / 2 AS approx_rel, CASE WHEN pre_comp = 1 AND post_comp = 1 THEN 1.0 ELSE 0.0 END AS rule_comp, (pre_comp + post_comp) / 2 AS approx_comp,
-  CASE WHEN pre_rel IS NULL OR post_rel IS NULL THEN NULL WHEN pre_rel = 1 AND post_rel = 1 AND pre_comp = 1 AND post_comp = 1 THEN 1.0 ELSE 0.0 END AS rule_correct, ((pre_rel + post_rel) / 2 + (pre_comp + post_comp) / 2) / 2 AS approx_correct FROM r""")
+SELECT sample_id, CASE WHEN pre_rel IS NULL OR post_rel IS NULL THEN NULL WHEN pre_rel = 1 AND post_rel = 1 THEN 1e0 ELSE 0e0 END AS rule_rel, (pre_rel + post_rel) / 2 AS approx_rel, CASE WHEN pre_comp = 1 AND post_comp = 1 THEN 1e0 ELSE 0e0 END AS rule_comp, (pre_comp + post_comp) / 2 AS approx_comp,
+  CASE WHEN pre_rel IS NULL OR post_rel IS NULL THEN NULL WHEN pre_rel = 1 AND post_rel = 1 AND pre_comp = 1 AND post_comp = 1 THEN 1e0 ELSE 0e0 END AS rule_correct, ((pre_rel + post_rel) / 2 + (pre_comp + post_comp) / 2) / 2 AS approx_correct FROM r""")
 def p31_derived_rules(spark, d):
     r = rule_scores(spark, d)
     both = lambda a, b: F.when(F.col(a).isNull() | F.col(b).isNull(), None).otherwise(F.least(S.strict(a), S.strict(b)))
@@ -309,7 +309,7 @@ def p31_derived_rules(spark, d):
     return r.select("*", both("rule_rel", "rule_comp").alias("rule_correct"), S.mean_or_null("approx_rel", "approx_comp").alias("approx_correct"))
 
 
-@query(_RULE_SQL + ", z AS (SELECT sample_id, coalesce(pre_rel, 0.0) AS a, coalesce(post_rel, 0.0) AS b, pre_comp AS c, post_comp AS e FROM r) SELECT sample_id, CASE WHEN a = 1 AND b = 1 THEN 1.0 ELSE 0.0 END AS rule_rel, (a + b) / 2 AS approx_rel, CASE WHEN a = 1 AND b = 1 AND c = 1 AND e = 1 THEN 1.0 ELSE 0.0 END AS rule_correct FROM z")
+@query(_RULE_SQL + ", z AS (SELECT sample_id, coalesce(pre_rel, 0e0) AS a, coalesce(post_rel, 0e0) AS b, pre_comp AS c, post_comp AS e FROM r) SELECT sample_id, CASE WHEN a = 1 AND b = 1 THEN 1e0 ELSE 0e0 END AS rule_rel, (a + b) / 2 AS approx_rel, CASE WHEN a = 1 AND b = 1 AND c = 1 AND e = 1 THEN 1e0 ELSE 0e0 END AS rule_correct FROM z")
 def p32_conservative_rules(spark, d):
     r = rule_scores(spark, d).fillna(0.0)
     one = lambda *cs: F.least(*[S.strict(c) for c in cs])
