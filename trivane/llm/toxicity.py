@@ -275,7 +275,11 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, rows: int = FIT_
     share = {k: min(1.0, rows * (TOXIC_SHARE if k else 1 - TOXIC_SHARE) / v) for k, v in n.items()}
     key = F.xxhash64("doc_id", F.lit("fit")) / float(1 << 63)
     marks = marks.where(key < F.when(F.col("toxic") == 1, 2 * share[1] - 1).otherwise(2 * share[0] - 1))
-    sample = own.join(marks, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "_h")
+    # The sample is bounded, so its marks are broadcast and no text is shuffled; a session in which the draw came out far
+    # larger than asked for leaves the choice to Spark.
+    marks = stored(marks, "marks")
+    few = marks.count() <= 4 * rows
+    sample = own.join(F.broadcast(marks) if few else marks, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "_h")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
