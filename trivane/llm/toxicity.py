@@ -39,7 +39,7 @@ STEM_LENGTHS = (4, 5, 6, 7)
 #: would be as telling with a chance below CHANCE.
 LEAST, RATIO, CHANCE = 3, 6.0, 1e-5
 TOXIC_SHARE = 0.25
-FUZZY_LENGTH, CONTEXT, MEMO = 5, 48, 200_000
+FUZZY_LENGTH, CONTEXT, MEMO = 5, 48, 1_000_000
 QUOTED, ADDRESSED = 0.35, 1.25
 
 _WORD = re.compile(r"\w+")
@@ -55,10 +55,15 @@ class Node:
     stem: int = -1
 
 
+#: By lexicon, the words that hit it and some that don't; a Python worker keeps them from task to task.
+_SEEN: dict[tuple, tuple[dict[str, tuple[int, int]], set[str]]] = {}
+
+
 class Lexicon:
     """Terms with their log-odds in a trie; a stem is a term that matches any word it begins."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
+        self.terms = tuple(terms)
         self.odds = [x[2] for x in terms]
         self.root = Node()
         for k, (text, stem, _) in enumerate(terms):
@@ -69,7 +74,23 @@ class Lexicon:
                 node.stem = k
             else:
                 node.term = k
-        self.memo: dict[str, tuple[int, int] | None] = {}
+        # A word within e edits of a term holds one of e + 1 parts of it unchanged, the first at its start or the last at
+        # its end; words that hold none need no automaton.
+        self.near = [self._parts([t for t, stem, _ in terms if not stem], e) for e in (1, 2)]
+
+    @staticmethod
+    def _parts(words: list[str], edits: int) -> re.Pattern | None:
+        starts, inner, ends = set(), set(), set()
+        for w in words:
+            cut = [len(w) * k // (edits + 1) for k in range(edits + 2)]
+            parts = [w[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+            starts.add(parts[0])
+            inner |= set(parts[1:-1])
+            ends.add(parts[-1])
+        if not words:
+            return None
+        alt = lambda x: "|".join(map(re.escape, sorted(x)))
+        return re.compile(rf"\A(?:{alt(starts)})" + (f"|{alt(inner)}" if inner else "") + rf"|(?:{alt(ends)})\Z")
 
     def exact(self, word: str) -> tuple[int, int] | None:
         """(term, 0) if the word is a term, (term, 1) if it begins with a stem; the longest stem counts."""
@@ -121,17 +142,34 @@ class Lexicon:
 
     def hit(self, word: str) -> tuple[int, int] | None:
         """(term, kind) for a word: kind 0 a term, 1 a stem, 2 a misspelling."""
-        got = self.memo.get(word, 0)
-        if got == 0:
-            got = self.exact(word)
-            if got is None and FUZZY_LENGTH <= len(word) <= 40:
-                k = self.fuzzy(word, 2 if len(word) >= 2 * FUZZY_LENGTH else 1)
+        got = self.exact(word)
+        if got is None and FUZZY_LENGTH <= len(word) <= 40:
+            edits = 2 if len(word) >= 2 * FUZZY_LENGTH else 1
+            near = self.near[edits - 1]
+            if near is not None and near.search(word):
+                k = self.fuzzy(word, edits)
                 got = (k, 2) if k >= 0 else None
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = got
         return got
 
+    def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """The words that hit, each with its term and kind."""
+        known, clean = _SEEN.setdefault(self.terms, ({}, set()))
+        out = {}
+        for w in words - clean:
+            h = known.get(w)
+            if h is None:
+                h = self.hit(w)
+                if h is None:
+                    if len(clean) >= MEMO:
+                        clean.clear()
+                    clean.add(w)
+                    continue
+                known[w] = h
+            out[w] = h
+        if len(known) >= MEMO:
+            known.clear()
+        return out
+
 
 def context_weight(text: str, start: int, end: int) -> float:
     before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
@@ -153,24 +191,23 @@ FEATURES = 8
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Weighed distinct and total hits of terms, stems and misspellings, the sum of log-odds, and the density."""
-    words, n = {}, 0
     low = text.lower()
-    for w in _WORD.findall(low):
-        n += 1
-        words[w] = words.get(w, 0) + 1
+    words = _WORD.findall(low)
+    n = len(words)
     distinct, total, odds, seen = [0.0] * 3, [0.0] * 3, 0.0, set()
-    hits = {w: h for w in words if (h := lexicon.hit(w)) is not None}
+    hits = lexicon.hits(set(words))
     if hits:
-        weight = dict.fromkeys(hits, 0.0)
+        weight, times = dict.fromkeys(hits, 0.0), dict.fromkeys(hits, 0)
         for m in _WORD.finditer(low):
             if m[0] in weight:
                 weight[m[0]] += context_weight(low, m.start(), m.end())
+                times[m[0]] += 1
         for w, (k, kind) in hits.items():
-            distinct[kind] += weight[w] / words[w]
+            distinct[kind] += weight[w] / times[w]
             total[kind] += weight[w]
             if (k, kind == 2) not in seen:
                 seen.add((k, kind == 2))
-                odds += lexicon.odds[k] * weight[w] / words[w] * (0.5 if kind == 2 else 1.0)
+                odds += lexicon.odds[k] * weight[w] / times[w] * (0.5 if kind == 2 else 1.0)
     share = sum(total) / n if n else 0.0
     return [*np.log1p(distinct), *np.log1p(total), odds / 4, float(np.sqrt(100 * share))]
 
