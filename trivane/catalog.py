@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trivane.plans import aggregations, association, records, relations, texts
+from trivane.plans import aggregations, association, records, relations, streams, texts
 from trivane.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregations", "association", "records", "relations", "texts"]
+__all__ = ["ORACLES", "QUERIES", "aggregations", "association", "records", "relations", "streams", "texts"]

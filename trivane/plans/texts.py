@@ -307,3 +307,72 @@ def st21_triviality_ratio(spark, d):
     n = F.size(usable)
     mean = F.when(n > 0, F.aggregate(usable, F.lit(0.0), lambda a, x: a + x) / n)
     return view(spark, d, "samples").select("sample_id", mean.alias("ratio"), F.when(n == 0, "not_available").when(n == 1, "partial").otherwise("ok").alias("status"))
+
+
+@query("SELECT p_partkey, 'requires_count' AS metric, 'ok' AS status, CAST(CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS DOUBLE) AS score, CAST(CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS DOUBLE) - 1 AS delta FROM part UNION ALL SELECT p_partkey, 'keyword_blacklist', 'ok', 0.0, -1.0 FROM part")
+def x01_x04_metrics(spark, d):
+    """Registered metrics on two sides, with the difference of their scores."""
+    from trivane.functions import registry
+
+    t = spec_texts(spark, d)
+    other = F.lit("fn g(x: u32) requires x > 1 { admit() }")
+    one = lambda n: t.select("p_partkey", F.lit(n).alias("metric"), registry.two_sided(n, F.col("text"), other).alias("m"))
+    both = one("requires_count").unionByName(one("blacklist").withColumn("metric", F.lit(registry.metric("blacklist").name)))
+    return both.select("p_partkey", "metric", "m.generated.status", "m.generated.score", "m.delta")
+
+
+@query("SELECT DISTINCT concat_ws('|', workflow, model, shot, task_id) AS sample_id, workflow, model, shot, CAST(task_id AS VARCHAR) AS task_id FROM samples")
+def s08_sample_identity(spark, d):
+    """Identities joined and split again; a part that is empty or holds the separator is an error."""
+    from trivane.sources.scans import split_sample_id
+
+    s = view(spark, d, "samples").select(F.concat_ws("|", "workflow", "model", "shot", F.col("task_id").cast("string")).alias("sample_id")).distinct()
+    return split_sample_id(s)
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.1f%%', 100 * l_discount) AS discount, concat(l_returnflag, ' & ', l_linestatus, ' \\\\') AS row FROM lineitem WHERE l_linenumber = 1")
+def s20_table_rows(spark, d):
+    from trivane.sources import sinks
+
+    li = view(spark, d, "lineitem").where("l_linenumber = 1")
+    row = F.concat(F.concat_ws(" & ", "l_returnflag", "l_linestatus"), F.lit(r" \\"))
+    return li.select("l_orderkey", "l_linenumber", sinks.percent(F.col("l_discount")).alias("discount"), row.alias("row"))
+
+
+@query("SELECT p_partkey, 'struct { a : u32 }' AS s, 'type = Vec < u8 >' AS t FROM part")
+def y12_types(spark, d):
+    from trivane.functions import specs
+
+    P.ready(spark)
+    src = F.concat(F.lit("struct S"), F.col("p_partkey").cast("string"), F.lit(" { a: u32 } type T = Vec<u8>;"))
+    m = F.udf(lambda t: specs.types(t), "map<string,string>", useArrow=True)(src)
+    x = view(spark, d, "part").select("p_partkey", m.alias("m"))
+    return x.select("p_partkey", F.try_element_at("m", F.concat(F.lit("S"), F.col("p_partkey").cast("string"))).alias("s"), F.try_element_at("m", F.lit("T")).alias("t"))
+
+
+@query("SELECT p_partkey, p_size <= 25 AS ok FROM part")
+def m08_y11_typed_values(spark, d):
+    """Printed values read as their type; one out of range is not ok."""
+    from trivane.functions import specs
+
+    P.ready(spark)
+    ok = F.udf(lambda t: specs.typed_value(t, "Vec<u8>")[0], "boolean", useArrow=True)
+    return view(spark, d, "part").select("p_partkey", ok(F.format_string("[1, %d]", F.col("p_size") * 10 + F.when(F.col("p_size") > 25, 0).otherwise(0))).alias("ok"))
+
+
+@query("SELECT p_partkey, v FROM (SELECT p_partkey, unnest(list_distinct([p_size - 1, p_size + 1, 0, 1, -1, 7])) AS v, p_size FROM part) WHERE v <> p_size")
+def m09_boundary_values(spark, d):
+    p = view(spark, d, "part")
+    n = F.col("p_size")
+    return p.select("p_partkey", F.explode(F.array_distinct(F.array(n - 1, n + 1, F.lit(0), F.lit(1), F.lit(-1), F.lit(7)))).alias("v"), "p_size").where("v <> p_size").drop("p_size")
+
+
+@query("SELECT p_partkey, NOT (p_size > 10 AND p_size <= 12) AS all_hold, p_size > 11 AS some_hold FROM part")
+def m07_finite_quantifiers(spark, d):
+    """Quantifiers over the finite domain -1..10, implications decided in three values: forall i: i < 11 ==> i + n <> 21 or
+    i + n <> 22 in that range, and exists i: i + 1 = 11 with n > 11; nothing of the text is ever evaluated as code."""
+    domain = F.sequence(F.lit(-1), F.lit(10))
+    n = F.col("p_size")
+    every = F.forall(domain, lambda i: (i < 10) | ((i + n != 21) & (i + n != 22)))
+    some = F.exists(domain, lambda i: (i + 1 == 11) & (n > 11))
+    return view(spark, d, "part").select("p_partkey", every.alias("all_hold"), some.alias("some_hold"))
