@@ -33,7 +33,7 @@ def unit(x: Col, slack: float = 1e-12) -> Column:
     """A score in [0, 1]; up to slack outside is clamped, further is an error."""
     v = number(x)
     bad = (v < -slack) | (v > 1 + slack)
-    return F.when(bad, F.raise_error(F.lit("score outside [0, 1]")).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
+    return F.when(bad, F.raise_error(F.lit("score outside [0, 1]")).cast("double")).when(v.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
 
 
 def clamp_score(text: Col) -> Column:

@@ -279,9 +279,9 @@ def p27_relations(spark, d):
     return view(spark, d, "candidates").select("candidate_id", S.relation(f, g).alias("relation"), S.refinement(f, g, F.lit("ok")).alias("refinement"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ') AS clause FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ') AS clause FROM documents")
 def p30_normalized_clause(spark, d):
-    return view(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.substring("text", 1, 200), r"[ \t\n\r\f\x0B]+", " ")).alias("clause"))
+    return view(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).alias("clause"))
 
 
 RULES = ("pre_rel", "post_rel", "pre_comp", "post_comp")

@@ -125,7 +125,7 @@ def j14_resolve_names(spark, d):
 
 
 @query("""
-WITH a AS (SELECT sample_id, list(amount ORDER BY case_no, amount, part_id) FILTER (kind = 'io_correct') AS x, list(amount ORDER BY case_no, amount, part_id) FILTER (kind = 'io_wrong') AS y FROM cases WHERE sample_id < 2000 OR true GROUP BY sample_id),
+WITH a AS (SELECT sample_id, list(amount ORDER BY case_no, amount, part_id) FILTER (kind = 'io_correct') AS x, list(amount ORDER BY case_no, amount, part_id) FILTER (kind = 'io_wrong') AS y FROM cases GROUP BY sample_id),
 p AS (SELECT sample_id, unnest(range(greatest(coalesce(len(x), 0), coalesce(len(y), 0)))) AS pos, x, y FROM a WHERE x IS NOT NULL AND y IS NOT NULL)
 SELECT sample_id, pos, x[pos + 1] AS "left", y[pos + 1] AS "right" FROM p""")
 def j15_by_position(spark, d):
@@ -142,13 +142,13 @@ def j16_inner_filter(spark, d):
 
 
 @query("""
-WITH i AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE length(text) < 4000),
+WITH i AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM i WHERE line <> ''),
 t AS (SELECT doc_id, pos, line, list_distinct(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM n WHERE r <= 1000)
 SELECT a.doc_id, a.pos AS left_pos, b.pos AS right_pos, CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END AS jaccard
 FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.pos < b.pos AND a.line <> b.line WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END >= 0.6""")
 def j17_near_duplicates(spark, d):
-    lines = view(spark, d, "documents").where("length(text) < 4000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''").withColumn("pos", F.col("pos").cast("long") + 1)
+    lines = view(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''").withColumn("pos", F.col("pos").cast("long") + 1)
     tokens = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda x: x != "")
     return J.near_duplicates(lines, "doc_id", "line", "pos", tokens, 0.6)
 

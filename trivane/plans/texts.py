@@ -110,13 +110,13 @@ def y06_alpha_equal(spark, d):
 
 
 def text_pairs(spark, d):
-    """Benchmark items and the document of ten times their number, as token arrays."""
-    b = view(spark, d, "benchmark").select("item_id", P.words(F.col("text")).alias("c"))
-    docs = view(spark, d, "documents").select((F.col("doc_id") / 3).cast("long").alias("item_id"), "doc_id", P.words(F.col("text")).alias("r")).where("doc_id % 3 = 0")
-    return b.join(docs, "item_id").select("item_id", "c", F.slice("r", 1, 400).alias("r"))
+    """Every turn of a conversation with the turn before it, as token arrays of the whole texts."""
+    t = view(spark, d, "conversations").select("conv_id", "turn", P.words(F.coalesce("text", F.lit(""))).alias("c"))
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("c").alias("r"))
+    return t.join(before, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("item_id"), "c", "r")
 
 
-_PAIRS = "pr AS (SELECT b.item_id, list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '') AS c, list_filter(string_split_regex(t.text, '\\s+'), lambda x: x <> '')[1:400] AS r FROM benchmark b JOIN documents t ON t.doc_id % 3 = 0 AND t.doc_id // 3 = b.item_id)"
+_PAIRS = "tk AS (SELECT conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS c FROM conversations), pr AS (SELECT a.conv_id || '.' || a.turn AS item_id, a.c, b.c AS r FROM tk a JOIN tk b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
 
 
 @query(f"""
@@ -125,7 +125,8 @@ k AS (SELECT item_id, n, g, count(*) FILTER (c) AS x, count(*) FILTER (NOT c) AS
 s AS (SELECT m.*, len(c) AS c, len(r) AS r, CAST(m1 = 0 AS INT) AS z1, CAST(m1 = 0 AS INT) + CAST(m2 = 0 AS INT) AS z2, CAST(m1 = 0 AS INT) + CAST(m2 = 0 AS INT) + CAST(m3 = 0 AS INT) AS z3, CAST(m1 = 0 AS INT) + CAST(m2 = 0 AS INT) + CAST(m3 = 0 AS INT) + CAST(m4 = 0 AS INT) AS z4 FROM m JOIN pr ON m.item_id = pr.item_id)
 SELECT item_id, CAST(c AS INT) AS c, CAST(r AS INT) AS r, round(CASE WHEN m1 = 0 THEN 0 ELSE CASE WHEN c < r THEN exp(1 - CAST(r AS DOUBLE) / c) ELSE 1 END * exp((ln(m1 / c) + ln(CASE WHEN m2 = 0 THEN 1 / (pow(2, z2) * (c - 1)) ELSE m2 / (c - 1) END) + ln(CASE WHEN m3 = 0 THEN 1 / (pow(2, z3) * (c - 2)) ELSE m3 / (c - 2) END) + ln(CASE WHEN m4 = 0 THEN 1 / (pow(2, z4) * (c - 3)) ELSE m4 / (c - 3) END)) / 4) END, 9) AS bleu, round(CASE WHEN c < r THEN exp(1 - CAST(r AS DOUBLE) / c) ELSE 1 END, 9) AS brevity FROM s""")
 def st13_m04_bleu(spark, d):
-    return T.bleu(text_pairs(spark, d), "item_id", "c", "r").select("item_id", "c", "r", F.round("bleu", 9).alias("bleu"), F.round("brevity", 9).alias("brevity"))
+    out = T.bleu(text_pairs(spark, d), "item_id", "c", "r").withColumn("item_id", F.concat_ws(".", "item_id.conv_id", "item_id.turn"))
+    return out.select("item_id", "c", "r", F.round("bleu", 9).alias("bleu"), F.round("brevity", 9).alias("brevity"))
 
 
 @query(f"""
@@ -134,7 +135,8 @@ WITH RECURSIVE {_PAIRS}, t AS (SELECT item_id, c, r, 0 AS i, list_transform(rang
 l AS (SELECT item_id, len(c) AS c, len(r) AS r, row[len(row)] AS lcs FROM t WHERE i = len(c))
 SELECT item_id, CAST(c AS INT) AS c, CAST(r AS INT) AS r, CAST(lcs AS INT) AS lcs, round(CASE WHEN lcs = 0 THEN 0 ELSE 2.0::DOUBLE * lcs / (c + r) END, 9) AS rouge FROM l""")
 def st14_m03_rouge(spark, d):
-    return T.rouge_l(text_pairs(spark, d), "item_id", "c", "r").withColumn("rouge", F.round("rouge", 9))
+    out = T.rouge_l(text_pairs(spark, d), "item_id", "c", "r").withColumn("item_id", F.concat_ws(".", "item_id.conv_id", "item_id.turn"))
+    return out.withColumn("rouge", F.round("rouge", 9))
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN 13 WHEN p_partkey % 3 = 1 THEN 15 ELSE 11 END AS BIGINT) AS \"right\" FROM part")
