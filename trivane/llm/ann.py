@@ -9,8 +9,8 @@ by their exact cosine in double precision.
 m, w and the number of probes are chosen on a bounded sample (about FIT_ROWS rows, of which FIT_QUERIES ask): the
 cheapest setting that finds at least the share GOAL of the true neighbours there. Every row is indexed.
 
-A bucket is cut into blocks of about BLOCK rows, and a query is sent to each; a task returns the K best of a query in a
-block, so a bucket may hold a third of all rows. Queries that found fewer than K rows are compared with all rows, block by
+The rows of a bucket are cut into blocks of about BLOCK rows, and so are its queries; a task compares two blocks and
+returns the K best of each query, so a bucket may hold a third of all rows. Queries that found fewer than K rows are compared with all rows, block by
 block; that is exact.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, and those that have another number of
@@ -173,12 +173,17 @@ def _ranked(units: DataFrame, kind: str, k: int) -> DataFrame:
 
 
 def _units(rows: DataFrame, asks: DataFrame) -> DataFrame:
-    """Rows and queries by bucket, a bucket's rows in blocks and its queries in each of them."""
-    sizes = rows.groupBy("tab", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    r = rows.join(sizes, ["tab", "key"]).select("tab", "key", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("block"), "id", F.lit(False).alias("asks"), "vec")
-    q = asks.join(sizes, ["tab", "key"]).select("tab", "key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), "id", F.lit(True).alias("asks"), "vec")
+    """Rows and queries by bucket: its rows in blocks, its queries in blocks, and a unit for each pair of blocks."""
+    count = lambda df, name: df.groupBy("tab", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    # Only buckets that hold rows and are asked for matter.
+    sizes = count(rows, "nr").join(count(asks, "nq"), ["tab", "key"])
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    r = rows.join(sizes, ["tab", "key"]).withColumn("i", spread("nr")).withColumn("j", each("nq"))
+    q = asks.join(sizes, ["tab", "key"]).withColumn("j", spread("nq")).withColumn("i", each("nr"))
+    cols = lambda df, asking: df.select("tab", "key", (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("block"), "id", F.lit(asking).alias("asks"), "vec")
     unit = ["tab", "key", "block"]
-    return r.union(q).repartition(partitions(rows.sparkSession), *unit).sortWithinPartitions(*unit)
+    return cols(r, False).union(cols(q, True)).repartition(partitions(rows.sparkSession), *unit).sortWithinPartitions(*unit)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

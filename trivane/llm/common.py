@@ -208,5 +208,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow; functions that name columns get them by name, names that hold a dot are replaced by positions."""
     ship(df.sparkSession)
+    if any("." in c or "`" in c for c in df.columns):
+        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     return df.mapInArrow(fn, schema)

@@ -90,8 +90,9 @@ def mix(documents: DataFrame) -> DataFrame:
 
 def mixed(documents: DataFrame) -> DataFrame:
     """The rows of documents, all their columns kept, each as often as the mix takes it."""
-    rules = _rules(_narrow(documents)).select("_s", F.col("base").alias("_base"), F.col("thr").alias("_thr"))
-    out = documents.join(rules, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    copies = F.col("_base") + F.when(hash52(F.col("doc_id").cast("long")) < F.col("_thr"), 1).otherwise(0)
-    again = F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_again")
-    return out.select(*[F.col(c) for c in documents.columns], again).drop("_again")
+    rules = _rules(_narrow(documents)).select("_s", "base", "thr")
+    # The rows travel as one struct, so that no column of theirs can clash with a name used here.
+    rows = documents.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_source"), hash52(F.col("doc_id").cast("long")).alias("_h"))
+    out = rows.join(rules, F.col("_source").eqNullSafe(F.col("_s")))
+    copies = F.col("base") + F.when(F.col("_h") < F.col("thr"), 1).otherwise(0)
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_row.*")

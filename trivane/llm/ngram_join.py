@@ -309,10 +309,10 @@ def deduplicate(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     stay = cls.where("first").select("doc_id", "print", (F.col("times") > 1).alias("_once"))
     stay = stay.union(rows.where("digest IS NULL").select("doc_id", "print", F.lit(False)).distinct())
     stay = stored(stay.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "_once"), "stay")
-    docs = documents.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
+    # The rows travel as one struct, so that no column of theirs can clash with a name used here.
+    docs = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_text"))
     out = docs.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_print")))
-    kept = out.where("NOT _once").select(*[F.col(c) for c in documents.columns])
+    kept = out.where("NOT _once").select("_row.*")
     if stay.where("_once").isEmpty():
         return kept
-    again = out.where("_once").dropDuplicates(["_id", "_print"]).select(*[F.col(c) for c in documents.columns])
-    return kept.union(again)
+    return kept.union(out.where("_once").dropDuplicates(["_id", "_print"]).select("_row.*"))

@@ -178,7 +178,7 @@ def redact_column(documents: DataFrame) -> DataFrame:
             if counted is not None:
                 lengths = [None if t is None else len(t) for t in texts]
                 cols[counted] = pa.array(lengths, pa.int64()).cast(cols[counted].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
     return arrow_map(documents, run, schema)
 

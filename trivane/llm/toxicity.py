@@ -402,13 +402,14 @@ def _scores(texts: list[str | None], model: Model | float) -> np.ndarray:
 
 def keep_clean(documents: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
     """The rows whose score lies below the threshold, with all their columns."""
-    at = documents.columns.index("text")
+    at, schema = documents.columns.index("text"), documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_scores(b.column(at).to_pylist(), model) < threshold))
+            kept = b.filter(pa.array(_scores(b.column(at).to_pylist(), model) < threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=schema.fieldNames())
 
-    return arrow_map(documents, run, documents.schema)
+    return arrow_map(documents, run, schema)
 
 
 def not_held_out() -> Column:
