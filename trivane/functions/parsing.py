@@ -136,3 +136,83 @@ def fenced(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Tokens between white space."""
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+@_udf("boolean")
+def decided(condition, env_json):
+    """Whether a condition holds for the values of a JSON object; null where that isn't known."""
+    import json
+
+    from trivane.functions import contracts
+
+    return None if condition is None or env_json is None else contracts.decide(condition, json.loads(env_json))
+
+
+@_udf("array<struct<operator:string,kind:string,old:string,new:string,text:string,rank:int>>")
+def variants(text, name, seed):
+    from trivane.functions import contracts
+
+    return None if text is None else contracts.variants(text, name, seed)
+
+
+@_udf("array<struct<kind:string,normalized:string,start:int>>")
+def text_items(text, scope):
+    from trivane.functions import contracts
+
+    return None if text is None else contracts.scoped_items(text, scope)
+
+
+@_udf("array<string>")
+def callees(body):
+    from trivane.functions import contracts
+
+    return None if body is None else contracts.callees(body)
+
+
+@_udf("array<string>")
+def binding_issues(reference, generated, name):
+    """Issues of binding the function of this name in a generated text to that in its reference; empty if there is none."""
+    from trivane.functions import contracts
+
+    pick = lambda t: next((f for f in specs.functions(t or "") if f.name == name), None)
+    return contracts.binding_issues(pick(reference), pick(generated))
+
+
+@_udf("string")
+def canonical_key(json_text):
+    """The short key of a JSON value, whatever the order of its keys and its blanks."""
+    import json
+
+    from trivane.functions import contracts
+
+    return None if json_text is None else contracts.case_key(json.loads(json_text))
+
+
+@_udf("array<string>")
+def candidate_inputs(json_text, most):
+    """Seed inputs and those one edge away, as canonical JSON."""
+    import json
+
+    from trivane.functions import contracts
+
+    return None if json_text is None else [contracts.canonical_json(c) for c in contracts.candidate_cases(json.loads(json_text), most=most)]
+
+
+def judge_gate(generated_ok: Column, reference_ok: Column, generated_hash: Column, reference_hash: Column, judged: Column) -> Column:
+    """struct(status, score): 0 where the generated side fails the front end, nothing where the reference does, 1 for equal
+    texts, else the judge's stored score, which may be missing."""
+    row = lambda s, v: F.struct(F.lit(s).alias("status"), (v if isinstance(v, Column) else F.lit(v).cast("double")).alias("score"))
+    return (
+        F.when(~F.coalesce(generated_ok, F.lit(False)), row("ok", 0.0))
+        .when(~F.coalesce(reference_ok, F.lit(False)), row("not_available", None))
+        .when(generated_hash == reference_hash, row("ok", 1.0))
+        .when(judged.isNotNull(), row("ok", judged.cast("double")))
+        .otherwise(row("pending", None))
+    )
+
+
+def trivial_implication(consequent: Column) -> Column:
+    """struct(holds, reason) of an implication that is settled without a prover: nothing or only true is to be shown."""
+    rest = F.filter(consequent, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    out = lambda why: F.struct(F.lit(True).alias("holds"), F.lit(why).alias("reason"))
+    return F.when(F.size(rest) == 0, out("empty_consequent")).when(F.forall(rest, lambda x: x == "true"), out("true_consequent"))

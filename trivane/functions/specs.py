@@ -367,7 +367,7 @@ class _Expression:
             while self.peek() == "::" and self.k + 1 < len(self.t):
                 name += "::" + self.peek(1)
                 self.k += 2
-            return ("atom", name if t.kind == "word" else "", [])
+            return ("number" if t.kind == "number" else "atom", name if t.kind in ("word", "number") else "", [])
         return self.bad()
 
     def postfix(self, node: tuple, level: int) -> tuple:
@@ -413,7 +413,7 @@ def structure(text: str) -> Structure:
             out.quantifiers += 1
             turns += bool(quant) and quant != name
             quant = name
-        elif kind == "atom" and name and not name[0].isdigit() and name not in ("true", "false"):
+        elif kind == "atom" and name and name not in ("true", "false"):
             names.add(name)
         out.depth, out.alternation = max(out.depth, depth), max(out.alternation, turns)
         todo += [(c, depth, name if kind == "op" else "", quant, turns) for c in kids]

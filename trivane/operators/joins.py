@@ -137,3 +137,26 @@ def near_duplicates(items: DataFrame, unit: str, text: str, pos: str, tokens: Co
     union = n("_a") + n("_b") - common
     jac = F.when(union == 0, 1.0).otherwise(common / union)
     return pairs.withColumn("jaccard", jac).where(F.col("jaccard") >= threshold).select(unit, "left_pos", "right_pos", "jaccard").distinct()
+
+
+def located(points: DataFrame, spans: DataFrame, unit: str, at: str, start: str, end: str, case: str) -> DataFrame:
+    """The span of its unit that each point lies in; null where none holds it. Spans of a unit don't overlap.
+
+    One sorted pass instead of a range join: the last span that starts at or before a point is the only one that can hold it."""
+    p = points.withColumn("_point", F.lit(1)).withColumn("_at", F.col(at)).withColumn("_end", F.lit(None).cast("long")).withColumn("_case", F.lit(None).cast(spans.schema[case].dataType))
+    s = spans.select(unit, F.lit(0).alias("_point"), F.col(start).alias("_at"), F.col(end).cast("long").alias("_end"), F.col(case).alias("_case"))
+    run = W.partitionBy(unit).orderBy("_at", "_point").rowsBetween(W.unboundedPreceding, 0)
+    both = p.unionByName(s, allowMissingColumns=True)
+    last = F.last(F.when(F.col("_point") == 0, F.struct("_end", "_case")), ignorenulls=True).over(run)
+    out = both.withColumn("_s", last).where("_point = 1")
+    return out.select(*points.columns, F.when(F.col(at) <= F.col("_s._end"), F.col("_s._case")).alias(case))
+
+
+def batch_results(cases: DataFrame, diagnostics: DataFrame, batch: str, case: str) -> DataFrame:
+    """Verdicts of cases that were run in batches: a case fails if a diagnostic lies in its lines, and passes if none does,
+    but a diagnostic that no case holds leaves every case of its batch open."""
+    found = located(diagnostics, cases, batch, "line", "start", "end", case)
+    bad = found.groupBy(batch).agg(F.bool_or(F.col(case).isNull()).alias("_lost"))
+    hit = found.where(F.col(case).isNotNull()).select(batch, case).distinct().withColumn("_hit", F.lit(True))
+    out = cases.join(bad, batch, "left").join(hit, [batch, case], "left")
+    return out.withColumn("success", F.when(F.coalesce("_lost", F.lit(False)), None).otherwise(F.col("_hit").isNull())).drop("_lost", "_hit")

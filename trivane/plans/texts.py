@@ -378,3 +378,108 @@ def m07_finite_quantifiers(spark, d):
     every = F.forall(domain, lambda i: (i < 10) | ((i + n != 21) & (i + n != 22)))
     some = F.exists(domain, lambda i: (i + 1 == 11) & (n > 11))
     return view(spark, d, "part").select("p_partkey", every.alias("all_hold"), some.alias("some_hold"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN true WHEN p_size % 2 = 0 THEN NULL ELSE false END AS holds FROM part")
+def m07_decided_conditions(spark, d):
+    """Conditions decided on given inputs; a name without a value leaves them open unless the rest settles it."""
+    P.ready(spark)
+    even = F.col("p_size") % 2 == 0
+    cond = F.when(even, "n >= 10 ==> missing > 0").otherwise("n < 10 || exists|i: int| i > 0 && i + n == 0")
+    env = F.to_json(F.struct(F.col("p_size").alias("n")))
+    return view(spark, d, "part").select("p_partkey", P.decided(cond, env).alias("holds"))
+
+
+@query("""
+SELECT p_partkey, operator, n FROM (SELECT p_partkey, unnest(['PRE_REMOVE', 'PRE_REFINE', 'PRE_RELAX', 'POST_REMOVE', 'POST_REFINE', 'POST_RELAX']) AS operator,
+  unnest([CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END, 2, 2, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 1 END, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 1 END]) AS n FROM part) WHERE n > 0""")
+def st28_variants(spark, d):
+    """At most three controlled changes per operator."""
+    v = spec_texts(spark, d).select("p_partkey", F.explode(P.variants("text", F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.lit("s"))).alias("v"))
+    return v.groupBy("p_partkey", "v.operator").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT p_partkey, scope, CASE scope WHEN 'full' THEN 5 WHEN 'spec_only' THEN 4 ELSE 1 END + CASE WHEN p_partkey % 3 < 2 AND scope <> 'proof' THEN 1 ELSE 0 END AS n FROM part, (VALUES ('full'), ('spec_only'), ('proof')) s(scope)")
+def f09_st16_text_items(spark, d):
+    """What each scope compares of a text."""
+    scopes = F.array(F.lit("full"), F.lit("spec_only"), F.lit("proof"))
+    t = spec_texts(spark, d).withColumn("scope", F.explode(scopes))
+    return t.select("p_partkey", "scope", F.size(P.text_items("text", "scope")).alias("n"))
+
+
+@query("SELECT p_partkey, 'a::b,g' AS callees, CASE WHEN p_partkey % 2 = 0 THEN 'parameter_count' ELSE 'parameter_type,return_type' END AS issues FROM part")
+def y02_y05_y21_binding(spark, d):
+    P.ready(spark)
+    gen = F.when(F.col("p_partkey") % 2 == 0, "fn f(x: u32) -> u8 { g(x); a::b(x) }").otherwise("fn f(x: u64, y: u8) -> u16 { g(a::b(x)) }")
+    ref = F.lit("fn f(x: u32, y: u8) -> u8 { 0 }")
+    x = view(spark, d, "part").select("p_partkey", gen.alias("gen"))
+    return x.select("p_partkey", F.array_join(P.callees("gen"), ",").alias("callees"), F.array_join(P.binding_issues(ref, F.col("gen"), F.lit("f")), ",").alias("issues"))
+
+
+@query("SELECT p_partkey, substr(sha256('{\"a\":[' || p_size || '],\"b\":\"é\"}'), 1, 16) AS key FROM part")
+def h01_canonical_key(spark, d):
+    """Equal values have equal keys, whatever the order of their keys."""
+    P.ready(spark)
+    js = F.when(F.col("p_partkey") % 2 == 0, F.format_string('{ "b": "é", "a": [ %d ] }', "p_size")).otherwise(F.format_string('{"a":[%d],"b":"é"}', "p_size"))
+    return view(spark, d, "part").select("p_partkey", P.canonical_key(js).alias("key"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 1 OR p_size = 2 THEN 5 ELSE 6 END - CASE WHEN p_size = 1 THEN 1 ELSE 0 END AS n FROM part")
+def st33_candidate_cases(spark, d):
+    P.ready(spark)
+    js = F.format_string('[{"x": %d}]', "p_size")
+    return view(spark, d, "part").select("p_partkey", F.size(P.candidate_inputs(js, F.lit(256))).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'ok' WHEN p_partkey % 5 = 0 THEN 'not_available' WHEN p_size % 3 = 0 THEN 'ok' WHEN p_size % 2 = 0 THEN 'ok' ELSE 'pending' END AS status, CASE WHEN p_partkey % 4 = 0 THEN 0.0 WHEN p_partkey % 5 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 1.0 WHEN p_size % 2 = 0 THEN 0.5 END::DOUBLE AS score FROM part")
+def st25_judge_gate(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    gate = P.judge_gate(k % 4 != 0, k % 5 != 0, F.lit("h"), F.when(n % 3 == 0, "h").otherwise("o"), F.when(n % 2 == 0, 0.5))
+    return view(spark, d, "part").select("p_partkey", gate.alias("g")).select("p_partkey", "g.status", "g.score")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN true END AS holds, CASE p_size % 3 WHEN 0 THEN 'empty_consequent' WHEN 1 THEN 'true_consequent' END AS reason FROM part")
+def st26_trivial_implication(spark, d):
+    n = F.col("p_size") % 3
+    after = F.when(n == 0, F.array(F.lit(" "))).when(n == 1, F.array(F.lit("true"), F.lit("true"))).otherwise(F.array(F.lit("x > 0")))
+    return view(spark, d, "part").select("p_partkey", P.trivial_implication(after).alias("t")).select("p_partkey", "t.holds", "t.reason")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS batch, l_linenumber AS id, l_linenumber * 10 AS s, l_linenumber * 10 + 6 AS e FROM lineitem GROUP BY ALL), d AS (SELECT l_orderkey AS batch, l_linenumber * 10 + l_partkey % 8 AS line FROM lineitem WHERE l_returnflag = 'R'),
+m AS (SELECT d.batch, d.line, c.id FROM d LEFT JOIN c ON c.batch = d.batch AND d.line BETWEEN c.s AND c.e), b AS (SELECT batch, bool_or(id IS NULL) AS lost FROM m GROUP BY batch)
+SELECT c.batch, c.id, CASE WHEN coalesce(b.lost, false) THEN NULL ELSE NOT EXISTS (SELECT 1 FROM m WHERE m.batch = c.batch AND m.id = c.id) END AS success FROM c LEFT JOIN b ON b.batch = c.batch""")
+def y07_batch_results(spark, d):
+    """Diagnostics mapped back to cases by line; one that no case holds leaves its whole batch open."""
+    from trivane.operators.joins import batch_results
+
+    li = view(spark, d, "lineitem")
+    n = F.col("l_linenumber").cast("long")
+    cases = li.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("id"), (n * 10).alias("start"), (n * 10 + 6).alias("end")).distinct()
+    diag = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("batch"), (n * 10 + F.col("l_partkey") % 8).alias("line"))
+    return batch_results(cases, diag, "batch", "id").select("batch", "id", "success")
+
+
+@query("SELECT workflow, model, shot, count(*) AS n FROM samples WHERE workflow = '2' AND shot = 'few' GROUP BY ALL")
+def y15_selected_runs(spark, d):
+    """Runs of the matrix that match the given fields; a field that isn't given matches all."""
+    chosen = {"workflow": "2", "model": None, "shot": "few"}
+    s = view(spark, d, "samples")
+    for k, v in chosen.items():
+        s = s if v is None else s.where(F.col(k) == v)
+    return s.groupBy("workflow", "model", "shot").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS delta FROM part")
+def st17_structure_delta(spark, d):
+    """Difference of a count between two sides: every text against one with two preconditions."""
+    base = F.lit("fn g(x: u32) requires x > 1, x < 9 { }")
+    n = lambda c: F.size(F.filter(P.clauses(c), lambda x: x["kind"] == "requires"))
+    return spec_texts(spark, d).select("p_partkey", (n("text") - n(base)).alias("delta"))
+
+
+@query("SELECT p_partkey, 'a' || chr(10) || 'b' || p_size || chr(10) || 'c' AS merged, 'let x = 1;' AS runs FROM part")
+def f19_f20_views(spark, d):
+    P.ready(spark)
+    x = view(spark, d, "part").select("p_partkey", F.format_string("a\nb%d", "p_size").alias("a"), F.format_string("b%d\nc", "p_size").alias("b"))
+    return x.select("p_partkey", P.merged_lines("a", "b").alias("merged"), P.executable_view(F.lit("let x = 1; // c\nassert(x == 1);\nproof { lemma(); }")).alias("runs"))
