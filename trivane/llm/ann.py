@@ -35,7 +35,7 @@ from trivane.llm.vectors import finite, share, usual_size
 
 K, TABLES = 5, 3
 FIT_ROWS, FIT_QUERIES, GOAL, MOST_PROBES = 6000, 150, 0.97, 60
-BLOCK = 8192
+BLOCK = 1024
 
 
 @dataclass
@@ -176,7 +176,7 @@ def _units(rows: DataFrame, asks: DataFrame) -> DataFrame:
     """Rows and queries by bucket: its rows in blocks, its queries in blocks, and a unit for each pair of blocks."""
     count = lambda df, name: df.groupBy("tab", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     # Only buckets that hold rows and are asked for matter.
-    sizes = count(rows, "nr").join(count(asks, "nq"), ["tab", "key"])
+    sizes = stored(count(rows, "nr").join(count(asks, "nq"), ["tab", "key"]), "sizes")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     r = rows.join(sizes, ["tab", "key"]).withColumn("i", spread("nr")).withColumn("j", each("nq"))

@@ -2,42 +2,21 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-_SHIPPED: set[str] = set()
+from trivane.session import shared_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Only a local session may go without one; it then gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _LOCAL[app] = tempfile.mkdtemp(prefix="trivane-")
-        spark.sparkContext.setCheckpointDir(_LOCAL[app])
-    return _LOCAL[app]
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -107,6 +86,14 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str], target: in
         yield t, np.append(bounds(t), t.num_rows)
 
 
+def bucket_sizes(members: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, _n, _w): rows and weight of the buckets of two rows or more, written out.
+
+    Read back, it is a plain side of a join, so that Spark may split a bucket that holds very many rows among tasks."""
+    total = F.sum(weight) if weight else F.lit(0)
+    return stored(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), total.cast("double").alias("_w")).where("_n > 1"), "sizes")
+
+
 def in_blocks(members: DataFrame, keys: list[str], spread: Column, block: int, weight: str | None = None, most: int = 1 << 25) -> DataFrame:
     """Deal the rows of each bucket (keys) out to units of at most two blocks, so that any two rows meet in one unit.
 
@@ -114,9 +101,7 @@ def in_blocks(members: DataFrame, keys: list[str], spread: Column, block: int, w
     unit (_i, _j) holds blocks _i and _j, and _b is a row's own block. Buckets of one row are left out: they hold no pair.
     Rows that have their bucket's size already, in _n, aren't counted again."""
     if "_n" not in members.columns:
-        total = F.sum(weight) if weight else F.lit(0)
-        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), total.cast("double").alias("_w")).where("_n > 1")
-        members = members.join(sizes, keys)
+        members = members.join(bucket_sizes(members, keys, weight), keys)
     else:
         members = members.withColumn("_w", F.lit(0.0))
     nb = F.ceil(F.greatest(F.col("_n") / block, F.col("_w") / most)).cast("int")
@@ -169,18 +154,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the smallest node reachable over the edges; nodes without an edge are left out.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each a grouped minimum and a join, so that a
-    node with very many neighbours is one skewed join key and never a collected list."""
+    node with very many neighbours is one skewed join key and never a collected list. The minima are written before they
+    are joined: both sides are then plain, and Spark may split such a node's edges among tasks."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = stored(e, "edges")
     last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = stored(small, "edges")
-        discard(e)
+        discard(e, low, large, least)
         e = new
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if state == last:
@@ -189,24 +175,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, by a zip file in the shared folder."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/package-{uuid.uuid4().hex}/{root.name}.zip")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(raw.getvalue()))
-    out.close()
-    sc.addPyFile(path.toString())
-    _SHIPPED.add(sc.applicationId)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow; functions that name columns get them by name, names that hold a dot are replaced by positions."""
     ship(df.sparkSession)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.common import arrow_map, components, discard, forest, in_blocks, matrix, sorted_groups, stored, unit_pairs
+from trivane.llm.common import arrow_map, bucket_sizes, components, discard, forest, in_blocks, matrix, sorted_groups, stored, unit_pairs
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -275,8 +275,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     cls = stored(cls.select("digest", "rows", F.col("x.doc_id").alias("doc_id"), F.col("x.print").alias("print"), F.col("x.n").alias("times"), "sig"), "classes")
 
     bands = _banded(cls)
-    sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    members = bands.join(sizes, ["band", "key"]).join(cls.select("digest", "sig"), "digest")
+    members = bands.join(bucket_sizes(bands, ["band", "key"]).drop("_w"), ["band", "key"]).join(cls.select("digest", "sig"), "digest")
     flagged = stored(_candidates(in_blocks(members, ["band", "key"], F.xxhash64("digest"), SKETCH_BLOCK), least).distinct(), "flagged")
     wanted = flagged.select("digest").distinct().join(cls.select("digest", "doc_id", "print"), "digest")
     sets = stored(_sets(documents, wanted), "sets")
