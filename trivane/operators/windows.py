@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from trivane.session import shared_dir
+
 
 def _ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
@@ -74,3 +78,18 @@ def split_point(df: DataFrame, keys: list[str], pos: str, weight: str) -> DataFr
 def last_per_version(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Upsert as a query: the newest row of each key."""
     return _ranked(df, keys, order).where("_rank = 1").drop("_rank")
+
+
+def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """A total order's row numbers from 1 without one task that sees all rows.
+
+    Rows are dealt out by range and sorted in their parts; a row's number is its place in its part plus the rows of the parts
+    before. The sorted parts are written once, as a second computation might cut the ranges elsewhere."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/positions-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    n = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(before, "_part").withColumn(name, place).drop("_part", "_id", "_before")

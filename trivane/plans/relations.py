@@ -269,11 +269,11 @@ def w12_split_point(spark, d):
     return N.split_point(view(spark, d, "samples").groupBy("workflow", "task_id").agg(F.count(F.lit(1)).alias("n")), ["workflow"], "task_id", "n")
 
 
-@query("SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS position FROM samples WHERE stage = 'parse_failed'")
+@query("SELECT sample_id, row_number() OVER (ORDER BY quality NULLS FIRST, sample_id) AS position FROM samples")
 def t01_sorted(spark, d):
-    """A position for each row of a sorted population; the population is the small one that output needs in order."""
-    s = view(spark, d, "samples").where("stage = 'parse_failed'")
-    return s.select("sample_id", F.row_number().over(W.orderBy("sample_id")).cast("long").alias("position"))
+    """A position for each row in a total order."""
+    s = view(spark, d, "samples").select("sample_id", "quality")
+    return N.positions(s, ["quality", "sample_id"]).select("sample_id", "position")
 
 
 @query("SELECT part_id, count(*) AS n, min(sample_id) AS first_seen FROM cases GROUP BY part_id ORDER BY n DESC, first_seen, part_id LIMIT 30")
