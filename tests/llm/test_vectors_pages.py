@@ -133,6 +133,7 @@ def test_codes_are_balanced():
         ("<article><h1>T</h1><p>1 < 2 & 3 > 2</p></article>", "T\n1 < 2 & 3 > 2"),
         ("<ARTICLE><P CLASS=X>Up</P></ARTICLE>", "Up"),
         ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p></article>", "yes"),
+        ("<article><div class='section-header'><h2>Part</h2></div><p class='byline'>By A</p><p>x</p></article><div class='page-header'>no</div>", "Part\nBy A\nx"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
 )
