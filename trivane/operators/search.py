@@ -22,9 +22,13 @@ def keywords(text: Column, structures=STRUCTURES, operations=OPERATIONS, concept
 
 
 def index(library: DataFrame, name: str, terms: str) -> DataFrame:
-    """Inverted index (term, n, names): names sorted, each once. Terms are few; long lists stay on their rows."""
-    each = library.select(F.explode(terms).alias("term"), name).distinct()
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+    """Inverted index as rows (term, name), each once: a frequent term is many rows and never one list."""
+    return library.select(F.explode(terms).alias("term"), name).distinct()
+
+
+def postings(index: DataFrame, term: str, name: str) -> DataFrame:
+    """Per term how many names it has, and the first and the last of them."""
+    return index.groupBy(term).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
 
 
 def query_terms(text: str) -> list[str]:
@@ -72,6 +76,5 @@ def callees_of(results: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 
 def callers(edges: DataFrame) -> DataFrame:
-    """The reverse of a call graph: how many distinct callers each callee has, and which."""
-    each = edges.select("callee", "caller").distinct()
-    return each.groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("caller")).alias("callers"))
+    """The reverse of a call graph as rows (callee, caller), each once."""
+    return edges.select("callee", "caller").distinct()

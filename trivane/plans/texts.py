@@ -155,7 +155,7 @@ WITH w AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS term FROM part
 SELECT term, count(DISTINCT p_partkey) AS n, min(p_partkey) AS first_name, max(p_partkey) AS last_name FROM w GROUP BY term""")
 def st30_index(spark, d):
     i = R.index(view(spark, d, "part").withColumn("terms", F.split("p_type", " ")), "p_partkey", "terms")
-    return i.select("term", "n", F.element_at("names", 1).alias("first_name"), F.element_at("names", -1).alias("last_name"))
+    return R.postings(i, "term", "p_partkey")
 
 
 _SCORE = """
@@ -199,7 +199,7 @@ def y20_context(spark, d):
 
 @query(f"WITH {_EDGES} SELECT callee, count(*) AS n, min(caller) AS first_caller FROM e GROUP BY callee")
 def st30_callers(spark, d):
-    return R.callers(edges(spark, d)).select("callee", "n", F.element_at("callers", 1).alias("first_caller"))
+    return R.postings(R.callers(edges(spark, d)), "callee", "caller").select("callee", "n", F.col("first_name").alias("first_caller"))
 
 
 @query("SELECT candidate_id, sha256(concat_ws('|', base_id, operator, trim(regexp_replace(concat('  ', status, '   x '), ' +', ' ', 'g')))) AS obligation FROM candidates")
