@@ -39,7 +39,7 @@ STEM_LENGTHS = (4, 5, 6, 7)
 #: would be as telling with a chance below CHANCE.
 LEAST, RATIO, CHANCE = 3, 6.0, 1e-5
 TOXIC_SHARE = 0.25
-FUZZY_LENGTH, CONTEXT, MEMO = 5, 48, 500_000
+FUZZY_LENGTH, CONTEXT, MEMO = 5, 48, 300_000
 QUOTED, ADDRESSED = 0.35, 1.25
 
 _WORD = re.compile(r"\w+")
