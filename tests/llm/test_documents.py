@@ -465,3 +465,28 @@ def test_regression_weights_are_sane():
     w, b = toxicity._logistic(x, y, np.ones(400))
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert (w >= 0).all() and ((p > 0.5) == (y > 0.5)).mean() > 0.95 and math.isfinite(b)
+
+
+def test_document_queries_on_the_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in queries.op9_ngram_join(spark, sf).collect()), key=repr)
+    assert got == brute_join(data)
+    check_packing(docs, queries.op3_packing(spark, sf).collect())
+    text = dict(data)
+    for r in queries.op2_pii(spark, sf).collect():
+        spans = plain_base(text[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in spans).encode()).hexdigest()
+        assert set(f"{k}:{s}:{e}" for s, e, k in spans) <= set(r["spans"].split(",")) or not spans
+    scores = queries.op1_toxicity(spark, sf).collect()
+    assert len(scores) == len(data) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scores)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in scores)
+
+
+def test_toxicity_by_held_out_labels(spark, sf):
+    big = sf.replace("sf0.001", "sf0.1")
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    held = [(r["score"], toxic[r["doc_id"]]) for r in queries.op1_toxicity(spark, big).collect() if r["held_out"] and r["doc_id"] in toxic]
+    pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert auc > 0.93 and sum(s >= 0.5 for s in neg) / len(neg) < 0.02

@@ -184,3 +184,18 @@ def test_pages_table(spark):
 def test_registered_queries_are_whole(spark, sf):
     for name, n in (("op10_html", "pages"), ("op7_itq_dedup", "embeddings")):
         assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{n}.parquet").count()
+
+
+def test_vector_queries_on_the_tables(spark, sf):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    n = np.linalg.norm(x, axis=1)
+    cos = (x @ x.T) / np.outer(n, n)
+    links = {r["vec_id"]: r["n_links"] for r in queries.op7_itq_dedup(spark, sf).collect()}
+    want = (cos >= 0.9).sum(axis=1) - 1
+    assert all(links[i] <= w for i, w in zip(ids.tolist(), want.tolist(), strict=True)) and sum(links.values()) >= 0.99 * want.sum()
+    got = queries.op6_ann(spark, sf).collect()
+    np.fill_diagonal(cos, -2)
+    best = {int(ids[k]): set(ids[np.lexsort((ids, -cos[k]))[:5]].tolist()) for k in np.flatnonzero(ids % 50 == 0)}
+    assert len(got) == 5 * len(best)
+    assert sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.9 * len(got)
