@@ -199,3 +199,11 @@ def test_resample_follows_the_weights(spark):
     df = spark.createDataFrame([("g", 1, 0), ("g", 2, 9), ("g", 3, 1)], "g string, pos int, w long")
     got = [r["pos"] for r in statistics.resample(df, ["g"], "pos", "w", 200, "s").collect()]
     assert len(got) == 200 and 1 not in got and got.count(2) > 140
+
+
+def test_positions_of_a_total_order(spark):
+    rnd = random.Random(8)
+    values = [(rnd.randint(0, 50), i) for i in range(500)]
+    df = spark.createDataFrame(values, "v int, i int").repartition(7)
+    got = {(r["v"], r["i"]): r["position"] for r in windows.positions(df, ["v", "i"]).collect()}
+    assert got == {x: k + 1 for k, x in enumerate(sorted(values))}
