@@ -366,6 +366,15 @@ def test_one_of_each_group_stays(spark, docs):
     assert ids == sorted([1, 4, 5, 6, None, 7, 8, 9, 10], key=repr)  # 2 twice, 3, and one of the rows without an id are gone
 
 
+def test_shingles_do_not_depend_on_segments(monkeypatch):
+    t = words(3000, 12) + " " + "x" * 5000 + " end"
+    whole = ngram_join.shingles(t)
+    plain = {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    assert len(whole) == len(plain) and (np.diff(whole.astype(object)) > 0).all()
+    monkeypatch.setattr(ngram_join, "SEGMENT", 700)
+    assert (ngram_join.shingles(t) == whole).all()
+
+
 def test_pruning_keeps_similar_pairs():
     least = ngram_join.least_matches(0.8)
     assert all(m <= 0.8 * n for m, n in zip(least, range(20, 101, 20), strict=True)) and least[-1] > 50

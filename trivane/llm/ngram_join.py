@@ -33,6 +33,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 20, 1e-5
 SKETCH_BLOCK, SET_BLOCK = 1024, 512
+SEGMENT = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -61,6 +62,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words p[start:end], some SEGMENT characters at a time, which bounds the tables of powers.
+
+    A polynomial of the characters is summed over each prefix of a segment; a word's own is a difference, moved down to
+    power 0, so that it doesn't depend on the word's place."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT, "right")))
+        s, e = start[i:j] - start[i], end[i:j] - start[i]
+        q = p[start[i] : end[j - 1]].astype(np.uint64) + np.uint64(1)
+        size = 1 << max(12, int(len(q)).bit_length())
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(q * _powers(size, _BASE)[: len(q)], dtype=np.uint64)])
+        out[i:j] = _mix((upto[e] - upto[s]) * _powers(size, _BASE_INVERSE)[s])
+        i = j
+    return out
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted 64-bit hashes of the distinct word runs of a whole text."""
     if not text:
@@ -74,11 +93,8 @@ def shingles(text: str | None) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, dtype=np.uint64)
-    # A polynomial of the characters for each prefix; a word's own is the difference, moved down to power 0.
-    size = 1 << max(12, int(len(p)).bit_length())
     with np.errstate(over="ignore"):
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((p.astype(np.uint64) + np.uint64(1)) * _powers(size, _BASE)[: len(p)], dtype=np.uint64)])
-        h = _mix((upto[end] - upto[start]) * _powers(size, _BASE_INVERSE)[start])
+        h = _word_hashes(p, start, end)
         n = len(h)
         if n < SHINGLE:
             out = np.full(1, n, dtype=np.uint64)
