@@ -207,3 +207,31 @@ def test_positions_of_a_total_order(spark):
     df = spark.createDataFrame(values, "v int, i int").repartition(7)
     got = {(r["v"], r["i"]): r["position"] for r in windows.positions(df, ["v", "i"]).collect()}
     assert got == {x: k + 1 for k, x in enumerate(sorted(values))}
+
+
+def record(stage="accepted", passed=1, total=1, **metrics):
+    import json
+
+    io = {"generated": {"passed": passed, "failed": 0, "unknown": 0, "total": total, "score": 1.0, "status": "ok"}}
+    target = {"sample_id": "w|m|s|t", "verification_stage": stage, "analysis_eligible": True, "directions": dict.fromkeys(("pre_ref_to_gen", "post_gen_to_ref", "pre_gen_to_ref", "post_ref_to_gen"), "valid"), "triviality": {"precondition_falsity": "favorable", "postcondition_truth": "favorable"}}
+    return json.dumps({"target_evaluation": target, "metrics": {"correct_io_pass_rate": io, **metrics}})
+
+
+def test_flattened_records(spark):
+    from trivane.sources.records import flatten
+
+    def flat(text, **more):
+        return flatten(spark.createDataFrame([(text,)], "t string").select(F.parse_json("t").alias("record")), **more).first()
+
+    r = flat(record(), path=F.lit("/x/verified/per_file/a.json"))
+    assert (r["workflow"], r["task_id"], r["verified_side"], r["formal_state"], r["io_state"], r["mutation_status"], r["triviality_form"]) == ("w", "t", True, "favorable", "favorable", "missing", "none")
+    assert r["io_wrong_passed"] == 0 and r["io_wrong_state"] == "other" and r["redundancy_score"] is None and r["llm_intent_advisory"] is False
+    m = {"status": "ok", "generated": {"status": "partial", "valid_mutants": 3, "survived_mutants": 0, "unknown_mutants": 1, "score": 0.5}}
+    assert flat(record(mutation_kill_rate=m))["mutation_state"] == "other"
+    j = {"status": "ok", "score": 1, "generated": {"status": "ok", "verdict": "Equivalent"}, "llm": {"status": "ok"}, "target_alignment": {"status": "ok", "function": "f"}}
+    named = {"audited": F.lit(True)}
+    assert flat(record(llm_as_judge_intent_consistency=j), target=F.lit("f"), **named)["llm_intent_state"] == "favorable"
+    assert flat(record(llm_as_judge_intent_consistency=j), target=F.lit("g"), **named)["llm_intent_state"] == "other"
+    for bad, why in ((record(stage="odd"), "unknown stage"), (record(total=2), "inconsistent counts"), (record(passed=-1, total=-1), "inconsistent counts")):
+        with pytest.raises(Exception, match=why):
+            flat(bad)

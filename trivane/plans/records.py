@@ -465,3 +465,33 @@ def y10_quarantine(spark, d):
     ok = F.col("pre_ref_to_gen") == "valid"
     return view(spark, d, "samples").select("sample_id", "pre_ref_to_gen", F.when(ok, "kept").otherwise("quarantined").alias("part"), F.when(~ok, F.col("pre_ref_to_gen")).alias("reason"))
 
+
+
+@query("""
+WITH b AS (SELECT s.*, coalesce(io_correct_passed, 0) AS p, coalesce(io_correct_failed, 0) AS f, coalesce(io_correct_unresolved, 0) AS u, s.quality % 4 AS v FROM samples s LEFT JOIN outcomes o ON s.sample_id = o.sample_id)
+SELECT concat_ws('|', workflow, model, shot, sample_id) AS sample_id, stage AS verification_stage, CASE WHEN 'invalid' IN (pre_ref_to_gen, post_gen_to_ref, pre_gen_to_ref, post_ref_to_gen) THEN 'unfavorable' WHEN pre_ref_to_gen = 'valid' AND post_gen_to_ref = 'valid' AND pre_gen_to_ref = 'valid' AND post_ref_to_gen = 'valid' THEN 'favorable' ELSE 'other' END AS formal_state,
+  CAST(p AS BIGINT) AS io_correct_passed, CASE WHEN f > 0 THEN 'unfavorable' WHEN p > 0 AND u = 0 THEN 'favorable' ELSE 'other' END AS io_state, CASE WHEN quality IS NULL THEN 'unknown' WHEN v = 0 THEN 'equivalent' WHEN v = 1 THEN 'too_strong' ELSE 'incorrect' END AS llm_intent_verdict,
+  CASE WHEN quality IS NULL THEN 'other' WHEN v = 0 THEN 'favorable' ELSE 'unfavorable' END AS llm_intent_state, coalesce(v = 1, false) AS llm_intent_advisory, CASE WHEN redundancy IS NULL THEN 'missing' ELSE 'ok' END AS redundancy_status, 1.0::DOUBLE - CAST(redundancy AS DOUBLE) / 100 AS redundancy_score,
+  concat_ws(';', CASE WHEN pre_false = 'unfavorable' THEN 'pre_false' END, CASE WHEN post_true = 'unfavorable' THEN 'post_true' END, CASE WHEN pre_false <> 'unfavorable' AND post_true <> 'unfavorable' THEN 'none' END) AS triviality_form FROM b""")
+def p07_p08_p20_flatten(spark, d):
+    """Nested records flattened to labels and outcomes in one projection."""
+    from trivane.sources.records import NAMES, flatten
+
+    x = view(spark, d, "samples").join(view(spark, d, "outcomes"), "sample_id", "left").fillna(0, IO_COLUMNS)
+    q, v = F.col("quality"), F.col("quality") % 4
+    total = F.col("io_correct_passed") + F.col("io_correct_failed") + F.col("io_correct_unresolved")
+    io = F.struct(F.struct(F.col("io_correct_passed").alias("passed"), F.col("io_correct_failed").alias("failed"), F.col("io_correct_unresolved").alias("unknown"), total.alias("total")).alias("generated"))
+    verdict = F.when(v == 0, "equivalent").when(v == 1, "over_strong").otherwise("incorrect")
+    notes = F.when(v == 1, F.array(F.lit(" "), F.lit("x"))).otherwise(F.array(F.lit(" ")))
+    intent = F.when(q.isNotNull(), F.struct(F.lit("ok").alias("status"), F.lit(1.0).alias("score"), F.struct(F.lit("ok").alias("status"), verdict.alias("verdict"), notes.alias("vacuity_risks")).alias("generated"), F.struct(F.lit("ok").alias("status")).alias("llm")))
+    red = F.when(F.col("redundancy").isNotNull(), F.struct(F.lit("ok").alias("status"), (F.col("redundancy") / 100).alias("score")))
+    target = F.struct(
+        F.concat_ws("|", "workflow", "model", "shot", F.col("sample_id").cast("string")).alias("sample_id"),
+        F.col("stage").alias("verification_stage"),
+        F.col("eligible").alias("analysis_eligible"),
+        F.struct("pre_ref_to_gen", "post_gen_to_ref", "pre_gen_to_ref", "post_ref_to_gen").alias("directions"),
+        F.struct(F.col("pre_false").alias("precondition_falsity"), F.col("post_true").alias("postcondition_truth")).alias("triviality"),
+    )
+    metrics = F.struct(io.alias(NAMES["io_correct"]), intent.alias(NAMES["intent"]), red.alias(NAMES["redundancy"]))
+    out = flatten(x.select(F.parse_json(F.to_json(F.struct(target.alias("target_evaluation"), metrics.alias("metrics")))).alias("record")))
+    return out.select("sample_id", "verification_stage", "formal_state", "io_correct_passed", "io_state", "llm_intent_verdict", "llm_intent_state", "llm_intent_advisory", "redundancy_status", "redundancy_score", "triviality_form")
