@@ -199,3 +199,11 @@ def test_vector_queries_on_the_tables(spark, sf):
     best = {int(ids[k]): set(ids[np.lexsort((ids, -cos[k]))[:5]].tolist()) for k in np.flatnonzero(ids % 50 == 0)}
     assert len(got) == 5 * len(best)
     assert sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_template_of_a_host_full_of_copies(spark):
+    """Copies of one page under many ids leave the host's other pages their template, and all of them count."""
+    rows = [(k, f"http://h.example/{k}", page(0)) for k in range(200)] + [(1000 + k, f"http://h.example/p{k}", page(k)) for k in range(1, 9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[1000 + k] == f"Title {k}\nown text {k} of this page\nmore {k * 7}" for k in range(1, 9))
+    assert got[5] == "Title 0\nown text 0 of this page\nmore 0"

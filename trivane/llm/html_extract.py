@@ -1,10 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-For each host a bounded sample of pages (SAMPLE, of different content) is parsed, and their trees are aligned with the
-first by simple tree matching (Yang 1991). A block that is the same, at the aligned place, in at least CONSTANT of the
-pages belongs to the host's template; what varies is a slot for content. The wrapper of a host is the set of its template
-blocks, each as a hash of path and text. Hosts of fewer than LEAST sampled pages, and pages without a host, have no
-template.
+Every page of a host is parsed, and its blocks are counted over the host's distinct pages by path and text: the path of
+labels from the root is the place, the text what stands there. A block that is the same, at its place, in at least CONSTANT
+of the pages belongs to the host's template; what varies is a slot for content. Hosts of fewer than LEAST distinct pages,
+and pages without a host, have no template.
 
 A page's text is what its article holds (the largest article element, else main, else the element marked as content, else
 the body), without template blocks and without elements that say what they are: menus, headers, footers, sidebars,
@@ -19,6 +18,7 @@ result, extra columns are not read."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,13 +27,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from trivane.llm.common import arrow_map, partitions, sorted_groups, stored
+from trivane.llm.common import arrow_map, stored
 
-SAMPLE, LEAST, CONSTANT = 10, 4, 0.6
-#: Pages of more elements aren't aligned; they are extracted like any other.
-ALIGNED_NODES = 1500
+LEAST, CONSTANT = 4, 0.6
 DEEP = 150
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
@@ -332,85 +329,78 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return match(a, b)[1] if a.label == b.label else []
 
 
-def induce(pages: list[str]) -> list[int]:
-    """The template blocks of pages of one host, as hashes of path and text."""
-    trees, seen = [], set()
-    for html in pages:
-        root = parse(html)
-        skip = {id(n) for n in _walk(root) if n.tag in RAW or n.tag == "head"}
-        found = blocks(root, skip)
-        # Copies of one page would make its content look constant: pages that share their longest block count once.
-        longest = max((t for _, t in found), key=len, default="")
-        if longest in seen or not found or len(_walk(root)) > ALIGNED_NODES:
-            continue
-        seen.add(longest)
-        own: dict[int, list[str]] = {}
-        for n, t in found:
-            own.setdefault(id(n), []).append(t)
-        trees.append((root, own))
-    if len(trees) < LEAST:
-        return []
-    first, base = trees[0]
-    count: dict[tuple[int, str], int] = {(k, t): 1 for k, v in base.items() for t in v}
-    for root, own in trees[1:]:
-        for x, y in align(first, root):
-            for t in set(base.get(id(x), ())) & set(own.get(id(y), ())):
-                count[id(x), t] += 1
+def content(root: Node) -> list[tuple[int, str]]:
+    """(hash of path and text, text) of the blocks of the page's article, template blocks among them."""
+    skip = boilerplate(root)
+    top, sure = scope(root, skip)
     known: dict[int, str] = {}
-    nodes = {id(n): n for n in _walk(first)}
-    return sorted({_key(_path(nodes[k], known), t) for (k, t), c in count.items() if c >= CONSTANT * len(trees)})
+    return [(_key(_path(n, known), t), t) for n, t in blocks(top, skip, menus=not sure)]
 
 
-def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
-    if not html:
-        return ""
+def read(html: str) -> tuple[int, list[int]] | None:
+    """What a page adds to its host's wrapper: what its copies share, and the hashes of its blocks; None without a block."""
     root = parse(html)
-    skip = boilerplate(root)
-    top, sure = scope(root, skip)
-    found = blocks(top, skip, menus=not sure)
-    if template:
-        known: dict[int, str] = {}
-        found = [(n, t) for n, t in found if _key(_path(n, known), t) not in template]
-    return "\n".join(t for _, t in found)
+    found = blocks(root, {id(n) for n in _walk(root) if n.tag in RAW or n.tag == "head"})
+    if not found:
+        return None
+    known: dict[int, str] = {}
+    # Copies of one page would make its content look constant: pages that share their longest block count once.
+    return _key("", max((t for _, t in found), key=len)), sorted({_key(_path(n, known), t) for n, t in found})
+
+
+def induce(pages: list[str]) -> list[int]:
+    """The template blocks of pages of one host, as hashes of path and text; wrappers() does the same for a table."""
+    one: dict[int, list[int]] = {}
+    for copy, items in filter(None, map(read, pages)):
+        one[copy] = min(one.get(copy, items), items)
+    count = Counter(k for items in one.values() for k in items)
+    return sorted(k for k, c in count.items() if c >= CONSTANT * len(one)) if len(one) >= LEAST else []
+
+
+def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
+    return "\n".join(t for k, t in content(parse(html)) if k not in template) if html else ""
+
+
+def _constant(counts: DataFrame, sizes: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the items that stand in CONSTANT of a group's pages, of groups of LEAST pages or more."""
+    fit = counts.join(sizes.where(F.col("n") >= LEAST), keys).where(F.col("c") >= CONSTANT * F.col("n"))
+    return fit.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias(name))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, items): the template of each host that has one."""
-    cols = pages.select(F.expr("try_parse_url(url, 'HOST')").alias("host"), F.col("page_id").cast("long").alias("page_id"), F.xxhash64("html").alias("print"), "html").where("host IS NOT NULL AND html IS NOT NULL")
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.xxhash64("page_id", "print"), "page_id", "print"))
-    chosen = cols.select("host", "page_id", "print").withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("host", "page_id", "print").distinct()
-    chosen = stored(chosen, "sample")
-    sample = cols.join(chosen.select(F.col("host").alias("_h"), F.col("page_id").alias("_p"), F.col("print").alias("_x")), (F.col("host") == F.col("_h")) & F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("print") == F.col("_x")))
-    sample = sample.dropDuplicates(["host", "page_id", "print"]).repartition(partitions(pages.sparkSession), "host").sortWithinPartitions("host", "page_id", "print")
+    cols = pages.select(F.expr("try_parse_url(url, 'HOST')").alias("host"), "html").where("host IS NOT NULL AND html IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in sorted_groups(batches, ["host"], 2 * SAMPLE):
-            host, html = t.column("host").to_pylist(), t.column("html").to_pylist()
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if items := induce(html[s:e]):
-                    yield pa.RecordBatch.from_arrays([pa.array([host[s]]), pa.array([items], pa.list_(pa.int64()))], names=["host", "items"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                got = [(host, *r) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := read(html))]
+                if got:
+                    host, copy, items = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["host", "copy", "items"])
 
-    return stored(arrow_map(sample.select("host", "html"), run, "host string, items array<long>"), "wrappers")
+    found = stored(arrow_map(cols, run, "host string, copy long, items array<long>"), "blocks")
+    one = stored(found.groupBy("host", "copy").agg(F.min("items").alias("items")), "distinct")
+    counts = one.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count(F.lit(1)).alias("c"))
+    sizes = one.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return stored(_constant(counts, sizes, ["host"], "items"), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    known = wrappers(pages).select(F.col("host").alias("_host"), "items")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("_h", F.expr("try_parse_url(url, 'HOST')"))
-    rows = rows.join(known, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "_h", "items")
+    known = wrappers(pages).withColumnRenamed("host", "_host")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.expr("try_parse_url(url, 'HOST')").alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, frozenset[int]] = {}
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                texts = []
-                for html, host, items in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                    if host is not None and host not in memo:
-                        if len(memo) > 10_000:
-                            memo.clear()
-                        memo[host] = frozenset(items.as_py() or ())
-                    texts.append(extract(html, memo[host] if host is not None else frozenset()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return arrow_map(rows, run, "page_id long, url string, text string, n_chars long")
+                found = [content(parse(html)) if html else [] for html in b.column(3).to_pylist()]
+                cols = [pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["page_id", "url", "host", "keys", "texts"])
+
+    read_rows = arrow_map(rows, run, "page_id long, url string, host string, keys array<long>, texts array<string>")
+    joined = read_rows.join(known, F.col("host") == F.col("_host"), "left").withColumn("items", F.coalesce("items", F.expr("cast(array() AS array<long>)")))
+    text = F.expr("array_join(transform(filter(arrays_zip(keys, texts), b -> NOT array_contains(items, b.keys)), b -> b.texts), '\n')")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
