@@ -207,3 +207,9 @@ def test_template_of_a_host_full_of_copies(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == len(rows) and all(got[1000 + k] == f"Title {k}\nown text {k} of this page\nmore {k * 7}" for k in range(1, 9))
     assert got[5] == "Title 0\nown text 0 of this page\nmore 0"
+
+
+def test_long_boilerplate_does_not_make_pages_copies():
+    legal = "<div><p>" + "No part of this site may be copied without a letter. " * 20 + "</p></div>"
+    items = frozenset(html_extract.induce([page(k, legal) for k in range(8)]))
+    assert html_extract.extract(page(20, legal), items) == "Title 20\nown text 20 of this page\nmore 140"

@@ -344,8 +344,9 @@ def read(html: str) -> tuple[int, list[int]] | None:
     if not found:
         return None
     known: dict[int, str] = {}
-    # Copies of one page would make its content look constant: pages that share their longest block count once.
-    return _key("", max((t for _, t in found), key=len)), sorted({_key(_path(n, known), t) for n, t in found})
+    # Copies of one page would make its content look constant: pages of the same content, or without any of the same blocks, count once.
+    own = [t for _, t in content(root)] or [t for _, t in found]
+    return _key("", "\0".join(own)), sorted({_key(_path(n, known), t) for n, t in found})
 
 
 def induce(pages: list[str]) -> list[int]:
