@@ -213,3 +213,21 @@ def test_long_boilerplate_does_not_make_pages_copies():
     legal = "<div><p>" + "No part of this site may be copied without a letter. " * 20 + "</p></div>"
     items = frozenset(html_extract.induce([page(k, legal) for k in range(8)]))
     assert html_extract.extract(page(20, legal), items) == "Title 20\nown text 20 of this page\nmore 140"
+
+
+def other(k):
+    return f"<html><body><section class=top><p>Our other masthead</p></section><section><h2>Other {k}</h2><p>other text {k}</p></section><section class=end><p>Legal words of the other layout</p></section></body></html>"
+
+
+def test_each_layout_has_its_template(spark):
+    rows = [(k, f"http://h.example/{k}", page(k) if k < 8 else other(k)) for k in range(16)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nown text 3 of this page\nmore 21" and got[12] == "Other 12\nother text 12"
+    items = frozenset(html_extract.induce([r[2] for r in rows]))
+    assert html_extract.extract(other(30), items) == "Other 30\nother text 30"
+
+
+def test_long_pages_have_a_template():
+    body = lambda k: "".join(f"<p>paragraph {i} of {k}</p>" for i in range(1600))
+    items = frozenset(html_extract.induce([page(k, body=body(k)) for k in range(5)]))
+    assert html_extract.extract(page(9, body=body(9)), items).startswith("Title 9\nparagraph 0 of 9\n") and "All rights kept" not in html_extract.extract(page(9, body=body(9)), items)

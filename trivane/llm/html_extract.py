@@ -2,8 +2,11 @@
 
 Every page of a host is parsed, and its blocks are counted over the host's distinct pages by path and text: the path of
 labels from the root is the place, the text what stands there. A block that is the same, at its place, in at least CONSTANT
-of the pages belongs to the host's template; what varies is a slot for content. Hosts of fewer than LEAST distinct pages,
-and pages without a host, have no template.
+of the pages belongs to the host's template; what varies is a slot for content. Pages of different layouts are also counted
+apart: a page's frame is the tree of its structural elements, equal siblings merged and nothing below an article, and
+frames that simple tree matching (Yang 1991) aligns in the share ALIKE of the larger one are one layout. A page's template
+is that of its host and that of its layout. Fewer than LEAST distinct pages, and pages without a host, give no template.
+A host's different frames, not its pages, meet in one task.
 
 A page's text is what its article holds (the largest article element, else main, else the element marked as content, else
 the body), without template blocks and without elements that say what they are: menus, headers, footers, sidebars,
@@ -17,6 +20,7 @@ result, extra columns are not read."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.common import arrow_map, stored
+from trivane.llm.common import arrow_map, partitions, sorted_groups, stored
 
-LEAST, CONSTANT = 4, 0.6
+LEAST, CONSTANT, ALIKE = 4, 0.6, 0.6
 DEEP = 150
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
@@ -54,6 +58,8 @@ CLOSES = {
 CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in CLOSES.items()}
 DROP_TAGS = frozenset("nav footer aside form head button select input menu dialog object embed audio video canvas datalist label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
+#: Elements that make up a page's frame.
+FRAME_TAGS = frozenset("html body div section main article header footer nav aside form table".split())
 #: Words of a class or id that say what an element is.
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notification notifications alert popup modal overlay paywall nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar sidenav rail aside footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar pagination pager widget widgets skip hidden toc".split()
@@ -304,31 +310,113 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         key = (id(x), id(y))
         if key in memo:
             return memo[key]
-        p, q = kids(x), kids(y)
-        size = np.zeros((len(p) + 1, len(q) + 1), dtype=np.int32).tolist()
-        pair: dict[tuple[int, int], int] = {}
-        for i, c in enumerate(p):
-            for j, d in enumerate(q):
-                w = match(c, d)[0] if c.label == d.label else 0
-                if w:
-                    pair[i, j] = w
-                size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + w)
-        got, i, j = [(x, y)], len(p), len(q)
-        while i and j:
-            w = pair.get((i - 1, j - 1), 0)
-            if w and size[i][j] == size[i - 1][j - 1] + w:
-                i, j = i - 1, j - 1
-                got += memo[id(p[i]), id(q[j])][1]
-            elif size[i][j] == size[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        memo[key] = 1 + size[len(p)][len(q)], got
+        q = kids(y)
+        places: dict[str, list[int]] = {}
+        for j, d in enumerate(q):
+            places.setdefault(d.label, []).append(j)
+        # The heaviest chain of matches that ends at or before each child of y, as prefix maxima (Fenwick 1994).
+        best: list[tuple[int, tuple | None]] = [(0, None)] * (len(q) + 1)
+
+        def upto(k: int) -> tuple[int, tuple | None]:
+            top = (0, None)
+            while k:
+                if best[k][0] > top[0]:
+                    top = best[k]
+                k -= k & -k
+            return top
+
+        for c in kids(x):
+            new = []
+            for j in places.get(c.label, ()):
+                w, pairs = match(c, q[j])
+                before, chain = upto(j)
+                new.append((j + 1, before + w, (chain, pairs)))
+            for at, w, chain in new:
+                while at <= len(q):
+                    if best[at][0] < w:
+                        best[at] = (w, chain)
+                    at += at & -at
+        size, chain = upto(len(q))
+        got = [(x, y)]
+        while chain is not None:
+            chain, pairs = chain
+            got += pairs
+        memo[key] = 1 + size, got
         return memo[key]
 
     return match(a, b)[1] if a.label == b.label else []
 
 
+def frame(root: Node) -> str:
+    """The page's frame, a line of depth and label for each element."""
+    top = Node("#root", {}, None)
+    at: dict[tuple[int, str], Node] = {}
+    todo = [(root, top)]
+    while todo:
+        n, to = todo.pop()
+        for c in n.children:
+            if isinstance(c, str) or c.tag in RAW or c.tag == "head":
+                continue
+            if c.tag not in FRAME_TAGS:
+                todo.append((c, to))
+                continue
+            new = at.get((id(to), c.label))
+            if new is None:
+                new = at[id(to), c.label] = Node(c.tag, {}, to)
+                new.label = c.label
+                to.children.append(new)
+            if c.tag != "article":
+                todo.append((c, new))
+    lines, walk = [], [(c, 0) for c in reversed(top.children)]
+    while walk:
+        n, depth = walk.pop()
+        lines.append(f"{depth} {n.label}")
+        walk += [(c, depth + 1) for c in reversed(n.children)]
+    return "\n".join(lines)
+
+
+def _frame_tree(text: str) -> tuple[Node, dict[int, str]]:
+    """A frame's tree, and the paths of its elements below the body by id."""
+    top = Node("#root", {}, None)
+    stack, paths = [(top, "")], {}
+    for line in text.split("\n") if text else ():
+        depth, label = line.split(" ", 1)
+        del stack[int(depth) + 1 :]
+        up, path = stack[-1]
+        n = Node(label.split(".", 1)[0], {}, up)
+        n.label = label
+        up.children.append(n)
+        stack.append((n, f"{path}>{label}"))
+        if n.tag not in ("html", "body"):
+            paths[id(n)] = stack[-1][1]
+    return top, paths
+
+
+def layouts(frames: list[str]) -> list[int]:
+    """For each of a host's different frames the number of the one that stands for its layout, an earlier one or itself."""
+    trees = [_frame_tree(f) for f in frames]
+    often = Counter(p for _, paths in trees for p in paths.values())
+    leaders: dict[str, list[int]] = {}
+    out = []
+    for k, (tree, paths) in enumerate(trees):
+        # Frames that share ALIKE of their paths share one of these, the rarest (prefix filter).
+        rare = sorted(paths.values(), key=lambda p: (often[p], p))
+        rare = rare[: len(rare) - math.ceil(ALIKE * len(rare)) + 1]
+        own, found, best = set(paths.values()), k, 0.0
+        for j in sorted({j for p in rare for j in leaders.get(p, ())}):
+            other, theirs = trees[j]
+            most = max(len(own), len(theirs))
+            if len(own.intersection(theirs.values())) >= max(ALIKE, best) * most:
+                score = sum(id(x) in theirs for x, _ in align(other, tree)) / most
+                if score >= ALIKE and score > best:
+                    found, best = j, score
+        if found == k:
+            for p in rare:
+                leaders.setdefault(p, []).append(k)
+        out.append(found)
+    return out
+
+
 def content(root: Node) -> list[tuple[int, str]]:
     """(hash of path and text, text) of the blocks of the page's article, template blocks among them."""
     skip = boilerplate(root)
@@ -337,8 +425,10 @@ def content(root: Node) -> list[tuple[int, str]]:
     return [(_key(_path(n, known), t), t) for n, t in blocks(top, skip, menus=not sure)]
 
 
-def read(html: str) -> tuple[int, list[int]] | None:
-    """What a page adds to its host's wrapper: what its copies share, and the hashes of its blocks; None without a block."""
+def read(html: str) -> tuple[int, int, str, list[int]] | None:
+    """What a page adds to its host's wrapper: what its copies share, its frame and its hash, and the hashes of its blocks.
+
+    None for a page without a block."""
     root = parse(html)
     found = blocks(root, {id(n) for n in _walk(root) if n.tag in RAW or n.tag == "head"})
     if not found:
@@ -346,16 +436,28 @@ def read(html: str) -> tuple[int, list[int]] | None:
     known: dict[int, str] = {}
     # Copies of one page would make its content look constant: pages of the same content, or without any of the same blocks, count once.
     own = [t for _, t in content(root)] or [t for _, t in found]
-    return _key("", "\0".join(own)), sorted({_key(_path(n, known), t) for n, t in found})
+    shape = frame(root)
+    return _key("", "\0".join(own)), _key("", shape), shape, sorted({_key(_path(n, known), t) for n, t in found})
 
 
 def induce(pages: list[str]) -> list[int]:
     """The template blocks of pages of one host, as hashes of path and text; wrappers() does the same for a table."""
-    one: dict[int, list[int]] = {}
-    for copy, items in filter(None, map(read, pages)):
-        one[copy] = min(one.get(copy, items), items)
-    count = Counter(k for items in one.values() for k in items)
-    return sorted(k for k, c in count.items() if c >= CONSTANT * len(one)) if len(one) >= LEAST else []
+    one: dict[int, tuple[int, list[int]]] = {}
+    shapes: dict[int, str] = {}
+    for copy, at, shape, items in filter(None, map(read, pages)):
+        one[copy] = min(one.get(copy, (at, items)), (at, items))
+        shapes[at] = shape
+    size = Counter(at for at, _ in one.values())
+    order = sorted(size, key=lambda at: (-size[at], at))
+    layout = dict(zip(order, layouts([shapes[at] for at in order]), strict=True))
+    groups: dict[int, list[list[int]]] = {-1: [items for _, items in one.values()]}
+    for at, items in one.values():
+        groups.setdefault(layout[at], []).append(items)
+    out: set[int] = set()
+    for group in groups.values():
+        if len(group) >= LEAST:
+            out |= {k for k, c in Counter(k for items in group for k in items).items() if c >= CONSTANT * len(group)}
+    return sorted(out)
 
 
 def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -369,7 +471,7 @@ def _constant(counts: DataFrame, sizes: DataFrame, keys: list[str], name: str) -
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, items): the template of each host that has one."""
+    """(host, frame, items): the template of the host's pages with that frame, if there is one."""
     cols = pages.select(F.expr("try_parse_url(url, 'HOST')").alias("host"), "html").where("host IS NOT NULL AND html IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,30 +480,52 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 b = whole.slice(s, 256)
                 got = [(host, *r) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := read(html))]
                 if got:
-                    host, copy, items = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["host", "copy", "items"])
-
-    found = stored(arrow_map(cols, run, "host string, copy long, items array<long>"), "blocks")
-    one = stored(found.groupBy("host", "copy").agg(F.min("items").alias("items")), "distinct")
-    counts = one.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count(F.lit(1)).alias("c"))
-    sizes = one.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    return stored(_constant(counts, sizes, ["host"], "items"), "wrappers")
+                    host, copy, at, shape, items = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(at, pa.int64()), pa.array(shape, pa.string()), pa.array(items, pa.list_(pa.int64()))], names=["host", "copy", "frame", "shape", "items"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in sorted_groups(batches, ["host"]):
+            shape, ids = t.column("shape").to_pylist(), t.column("frame").to_numpy()
+            same = [ids[s:e][layouts(shape[s:e])] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("host").combine_chunks(), pa.array(ids), pa.array(np.concatenate(same))], names=["host", "frame", "layout"])
+
+    found = stored(arrow_map(cols, run, "host string, copy long, frame long, shape string, items array<long>"), "blocks")
+    one = found.groupBy("host", "copy").agg(F.min(F.struct("frame", "items")).alias("p")).select("host", "p.frame", "p.items")
+    one = stored(one, "distinct")
+    shapes = found.groupBy("host", "frame").agg(F.first("shape").alias("shape"))
+    shapes = one.groupBy("host", "frame").agg(F.count(F.lit(1)).alias("n")).join(shapes, ["host", "frame"], "right")
+    # The most frequent frames of a host lead.
+    shapes = shapes.select("host", "frame", "shape", (-F.coalesce("n", F.lit(0))).alias("few")).repartition(partitions(pages.sparkSession), "host").sortWithinPartitions("host", "few", "frame")
+    layout = stored(arrow_map(shapes.select("host", "frame", "shape"), group, "host string, frame long, layout long"), "layouts")
+    placed = one.join(layout, ["host", "frame"])
+    counts = stored(placed.select("host", "layout", F.explode("items").alias("item")).groupBy("host", "layout", "item").agg(F.count(F.lit(1)).alias("c")), "counts")
+    sizes = stored(placed.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    own = _constant(counts, sizes, ["host", "layout"], "own")
+    every = _constant(counts.groupBy("host", "item").agg(F.sum("c").alias("c")), sizes.groupBy("host").agg(F.sum("n").alias("n")), ["host"], "every")
+    none = F.expr("cast(array() AS array<long>)")
+    out = layout.join(own, ["host", "layout"], "left").join(every, "host", "left")
+    out = out.select("host", "frame", F.array_union(F.coalesce("own", none), F.coalesce("every", none)).alias("items"))
+    return stored(out.where(F.size("items") > 0), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    known = wrappers(pages).withColumnRenamed("host", "_host")
+    known = wrappers(pages).withColumnRenamed("host", "_host").withColumnRenamed("frame", "_frame")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.expr("try_parse_url(url, 'HOST')").alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                found = [content(parse(html)) if html else [] for html in b.column(3).to_pylist()]
+                found, at = [], []
+                for html in b.column(3).to_pylist():
+                    root = parse(html or "")
+                    found.append(content(root))
+                    at.append(_key("", frame(root)))
                 cols = [pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["page_id", "url", "host", "keys", "texts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(at, pa.int64()), *cols], names=["page_id", "url", "host", "frame", "keys", "texts"])
 
-    read_rows = arrow_map(rows, run, "page_id long, url string, host string, keys array<long>, texts array<string>")
-    joined = read_rows.join(known, F.col("host") == F.col("_host"), "left").withColumn("items", F.coalesce("items", F.expr("cast(array() AS array<long>)")))
+    read_rows = arrow_map(rows, run, "page_id long, url string, host string, frame long, keys array<long>, texts array<string>")
+    joined = read_rows.join(known, (F.col("host") == F.col("_host")) & (F.col("frame") == F.col("_frame")), "left").withColumn("items", F.coalesce("items", F.expr("cast(array() AS array<long>)")))
     text = F.expr("array_join(transform(filter(arrays_zip(keys, texts), b -> NOT array_contains(items, b.keys)), b -> b.texts), '\n')")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
