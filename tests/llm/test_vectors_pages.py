@@ -231,3 +231,23 @@ def test_long_pages_have_a_template():
     body = lambda k: "".join(f"<p>paragraph {i} of {k}</p>" for i in range(1600))
     items = frozenset(html_extract.induce([page(k, body=body(k)) for k in range(5)]))
     assert html_extract.extract(page(9, body=body(9)), items).startswith("Title 9\nparagraph 0 of 9\n") and "All rights kept" not in html_extract.extract(page(9, body=body(9)), items)
+
+
+@pytest.mark.parametrize("wide", [1, 3])
+def test_rows_of_one_id_are_one_candidate(spark, wide):
+    """wide spreads the rows of id 7 a little: the best of them counts, and they take one place."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    x[7] = x[0] + 0.01 * rng.normal(size=8)
+    more = [(7, [float(v) for v in x[7] + 0.001 * (wide - 1) * rng.normal(size=8)], 0) for _ in range(40)]
+    y = np.concatenate([x, np.array([m[1] for m in more], dtype=np.float32)]).astype(np.float64)
+    ids = np.array([*range(60), *[7] * 40])
+    cos = (y @ y[0]) / (np.linalg.norm(y, axis=1) * np.linalg.norm(y[0]))
+    best = {i: cos[ids == i].max() for i in range(1, 60)}
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    units = [(0, 0, 0, int(i), False, np.array(v, dtype="<f4").tobytes()) for i, v in zip(ids, y, strict=True)] + [(0, 0, 0, 0, True, x[0].tobytes())]
+    df = spark.createDataFrame(units, "tab int, key long, block long, id long, asks boolean, vec binary").coalesce(1)
+    got = sorted(ann._ranked(df, "<f4", 5).collect(), key=lambda r: (-r["score"], r["vec_id"]))
+    assert [r["vec_id"] for r in got] == want and all(abs(r["score"] - best[r["vec_id"]]) < 1e-12 for r in got)
+    found = ann.search(frame(spark, x, extra=more), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert found[0]["vec_id"] == 7 and len({r["vec_id"] for r in found}) == 5

@@ -146,26 +146,22 @@ def _ranked(units: DataFrame, kind: str, k: int) -> DataFrame:
                 q, r = s + np.flatnonzero(asks[s:e]), s + np.flatnonzero(~asks[s:e])
                 if not len(q) or not len(r):
                     continue
+                # Rows of one id are one candidate: they lie side by side, and the best of them counts.
                 r = r[np.argsort(ids[r], kind="stable")]
+                each, first = np.unique(ids[r], return_index=True)
                 for c in range(0, len(q), 128):
                     part = q[c : c + 128]
                     cos = (x[part] @ x[r].T) / np.outer(norm[part], norm[r])
-                    cos[ids[part][:, None] == ids[r][None, :]] = -np.inf
-                    take = min(len(r), 2 * k)
-                    top = np.argpartition(-cos, take - 1, axis=1)[:, :take] if take < len(r) else np.tile(np.arange(len(r)), (len(part), 1))
+                    if len(each) < len(r):
+                        cos = np.maximum.reduceat(cos, first, axis=1)
+                    cos[ids[part][:, None] == each[None, :]] = -np.inf
+                    take = min(len(each), k)
+                    # With ties at the edge all of them compete; ids are in order.
+                    least = -np.partition(-cos, take - 1, axis=1)[:, take - 1]
                     for row, qi in enumerate(part.tolist()):
-                        least = cos[row, top[row]].min() if take < len(r) else -np.inf
-                        # With ties at the edge all of them compete; r is in the order of ids.
-                        cand = np.flatnonzero(cos[row] >= least) if take < len(r) else top[row]
-                        cand = cand[np.lexsort((ids[r[cand]], -cos[row, cand]))]
-                        seen = set()
-                        for z in cand.tolist():
-                            if len(seen) == k or cos[row, z] == -np.inf:
-                                break
-                            v = int(ids[r[z]])
-                            if v not in seen:
-                                seen.add(v)
-                                out.append((int(ids[qi]), v, float(cos[row, z])))
+                        cand = np.flatnonzero((cos[row] >= least[row]) & (cos[row] > -np.inf))
+                        cand = cand[np.lexsort((each[cand], -cos[row, cand]))][:k]
+                        out += [(int(ids[qi]), int(each[z]), float(cos[row, z])) for z in cand.tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in out], pa.int64()), pa.array([v[1] for v in out], pa.int64()), pa.array([v[2] for v in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
