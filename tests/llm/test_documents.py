@@ -179,6 +179,22 @@ def test_further_kinds_and_redaction():
     assert pii.redact(None, []) is None
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("to DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("to DE89 3704 0044 0532 0130 00 I paid", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 2024", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 EUR 5", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+        ("NR12 DE89370400440532013000 X", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 01 BIC", []),
+        ("DE89370400440532013000X", []),
+    ],
+)
+def test_an_iban_ends_where_its_number_ends(text, want):
+    assert [text[s:e] for s, e, k in pii.all_spans(text)[1] if k == "iban"] == want
+
+
 def test_pii_rows(spark, docs, none):
     assert pii.find(none).count() == 0
     got = {r["doc_id"]: r for r in pii.digest(pii.find(docs)).collect()}

@@ -2,7 +2,7 @@
 
 Base kinds are email, ip, card (Luhn) and phone: every leftmost non-overlapping match that passes its check is kept, and
 failing matches are dropped without a second try. Further kinds are kept if their score, raised by context words within
-CONTEXT characters, reaches KEEP: iban (mod-97 confirms it), tel (a number without +) and idnum (NNN-NN-NNNN). A further
+CONTEXT characters, reaches KEEP: iban (mod-97 confirms it; words that follow are cut off), tel (a number without +) and idnum (NNN-NN-NNNN). A further
 span that overlaps a base span is not added. Positions are code points, ends exclusive.
 
 Null texts count as empty and have no spans; a text is searched whole, and every pattern takes time linear in it. Rows are
@@ -44,6 +44,15 @@ _WORDS = {
 }
 _SCORE = {"iban": 0.8, "tel": 0.4, "idnum": 0.4}
 _SPACES = str.maketrans("", "", " -")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = dict(
+    (c, int(n))
+    for n, names in (
+        line.split(":")
+        for line in "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS 23:AE,GI,IL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,CY,DO,GT,HU,LB,PL 29:BR,PS,QA,UA 30:KW,MU 31:MT".split()
+    )
+    for c in names.split(",")
+)
 
 
 def luhn(digits: str) -> bool:
@@ -61,6 +70,22 @@ def mod97(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A run of capitals and digits may hold more than the number: it ends where its country's length ends a word, else
+    with the run, else, for countries without a length here, with the last word at which mod-97 passes. A run without a
+    number is searched again from its next word."""
+    m = _IBAN.search(text)
+    while m:
+        s, run = m.start(), m[0]
+        ends = [k for k, c in enumerate(run) if c == " "] + [len(run)]
+        most = IBAN_LENGTHS.get(run[:2])
+        tried = [k for k in ends if k - run.count(" ", 0, k) == most] + [len(run)] if most else reversed(ends)
+        end = next((k for k in tried if mod97(run[:k])), None)
+        if end is not None:
+            yield s, s + end
+        m = _IBAN.search(text, s + (ends[0] if end is None else end))
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     found, done, at = [], 0, text.find("@")
     while at >= 0:
@@ -101,11 +126,8 @@ def further_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
     if not _ANY.search(text):
         return out
     taken = [(s, e) for s, e, _ in base]
-    for kind, pattern in (("iban", _IBAN), ("tel", _TEL), ("idnum", _IDNUM)):
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if kind == "iban" and not mod97(m[0]):
-                continue
+    for kind, found in (("iban", ibans(text)), ("tel", (m.span() for m in _TEL.finditer(text))), ("idnum", (m.span() for m in _IDNUM.finditer(text)))):
+        for s, e in found:
             near = text[max(0, s - CONTEXT) : s] + " " + text[e : e + CONTEXT]
             score = min(1.0, _SCORE[kind] + (0.3 if _WORDS[kind].search(near) else 0.0))
             if score >= KEEP and not any(s < b and a < e for a, b in taken):
