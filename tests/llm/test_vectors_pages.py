@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,7 +145,7 @@ def test_extraction(html, want):
 
 
 def test_parser_is_linear():
-    for t in ("<" * 200_000, "<a href='" * 30_000, "<p>" * 50_000, "<!--" * 50_000, "&" * 200_000, "<script>" * 20_000, "</div>" * 50_000, "<b x=\"" * 30_000):
+    for t in ("<" * 200_000, "<a href='" * 30_000, "<p>" * 50_000, "<!--" * 50_000, "&" * 200_000, "<script>" * 20_000, "</div>" * 50_000, "<b x=\"" * 30_000, "<div>" * 30_000 + "</x>" * 30_000, "<x><div>" * 15_000 + "</x>" * 15_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<div class=header>" * 20_000, "<article>" * 20_000):
         html_extract.extract(t)
 
 
@@ -251,3 +254,63 @@ def test_rows_of_one_id_are_one_candidate(spark, wide):
     assert [r["vec_id"] for r in got] == want and all(abs(r["score"] - best[r["vec_id"]]) < 1e-12 for r in got)
     found = ann.search(frame(spark, x, extra=more), F.col("vec_id") == 0).orderBy("rank").collect()
     assert found[0]["vec_id"] == 7 and len({r["vec_id"] for r in found}) == 5
+
+
+def article_of(html: str) -> str:
+    """The article of a page of the tables by cutting at its tags: brute force for op10."""
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", html, re.S)[1]
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|table|tr|td|section|pre|blockquote)\b[^>]*>", re.sub(r"<!--.*?-->", "", inner, flags=re.S))
+    texts = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", x)))).strip() for x in parts]
+    return "\n".join(t for t in texts if t)
+
+
+def test_texts_of_the_pages_table(spark, sf):
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.op10_html(spark, sf).collect()
+    assert len(got) == len(html)
+    assert all(r["text"] == article_of(html[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_the_wrapper_alone_finds_the_articles(spark, sf):
+    """All structural elements renamed to div and all classes gone, the pages dealt out to five hosts: places and slots decide."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(nav|article|footer|aside|header|main)\b[^>]*>", "<$1div>"), r' class="[^"]*"', "")
+    url = F.concat(F.lit("http://h"), (F.col("page_id") % 5).cast("string"), F.lit(".example/"), "page_id")
+    got = html_extract.main_text(pages.withColumn("html", bare).withColumn("url", url)).collect()
+    assert len(got) == len(html) and all(r["wrapped"] and r["text"] == article_of(html[r["page_id"]]) for r in got)
+
+
+def test_varying_slots_outside_the_content_go(spark):
+    """Neutral names, text that varies everywhere, an inserted element and two sibling articles."""
+    def bare(k):
+        advert = f"<div><p>Buy thing {k * 13} today</p></div>" if k % 3 == 0 else ""
+        return f"<body><div><a href=/>Home</a> <a href=/{k}>page {k}</a></div>{advert}<div><h1>Title {k}</h1><div>{'long own text %d ' % k * 30}</div><div>more {k}</div></div><div>Seen {k * 7} times</div></body>"
+
+    two = lambda k: f"<body><div>Seen {k}</div><main><article><p>{'first %d ' % k * 20}</p></article><article><p>{'second text %d ' % k * 30}</p></article></main></body>"
+    rows = [(k, f"http://h.example/{k}", bare(k)) for k in range(12)] + [(100 + k, f"http://two.example/{k}", two(k)) for k in range(8)]
+    got = {r["page_id"]: r for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k]["wrapped"] and got[k]["text"] == f"Title {k}\n{('long own text %d ' % k * 30).strip()}\nmore {k}"
+    for k in range(8):
+        assert got[100 + k]["text"] == ("first %d " % k * 20).strip() + "\n" + ("second text %d " % k * 30).strip()
+
+
+@pytest.mark.parametrize("name", ["social-history", "comment-analysis", "alert-systems", "navigation-of-ships"])
+def test_ordinary_class_names_keep_their_sections(name):
+    assert html_extract.extract(f"<article><p>a</p><section class='{name}'><p>b</p></section></article>") == "a\nb"
+
+
+@pytest.mark.parametrize("depth", [20, 200, 5000])
+def test_depth_changes_nothing(depth):
+    deep = "<div>" * depth + "x" + "</div>" * depth
+    assert html_extract.extract(f"<div class='content'>{deep}<p>after one</p></div><div><p>tail</p></div>") == "x\nafter one"
+    menu = "<div>" * depth + "<nav>menu</nav>x" + "</div>" * depth
+    assert html_extract.extract(f"<article>{menu}</article>") == "x"
+
+
+def test_deep_pages_have_a_wrapper(spark):
+    deep = lambda k: f"<body>{'<div>' * 900}<p>{'own text %d ' % k * 20}</p>{'</div>' * 900}<footer><p>Same words</p></footer></body>"
+    rows = [(k, f"http://h.example/{k}", deep(k)) for k in range(6)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == ("own text %d " % r["page_id"] * 20).strip() for r in got)

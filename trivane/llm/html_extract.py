@@ -1,22 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-Every page of a host is parsed, and its blocks are counted over the host's distinct pages by path and text: the path of
-labels from the root is the place, the text what stands there. A block that is the same, at its place, in at least CONSTANT
-of the pages belongs to the host's template; what varies is a slot for content. Pages of different layouts are also counted
-apart: a page's frame is the tree of its structural elements, equal siblings merged and nothing below an article, and
-frames that simple tree matching (Yang 1991) aligns in the share ALIKE of the larger one are one layout. A page's template
-is that of its host and that of its layout. Fewer than LEAST distinct pages, and pages without a host, give no template.
-A host's different frames, not its pages, meet in one task.
-
-A page's text is what its article holds (the largest article element, else main, else the element marked as content, else
-the body), without template blocks and without elements that say what they are: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, by tag, role, class or id. Without an article or main
-element, blocks made of links alone are menus too. Character references are decoded, white space in a block becomes one
-space, and blocks are joined by a newline, in the order of the page.
-
-Pages are parsed whole, broken markup included; elements nested deeper than DEEP are read as if they were at that depth.
-A null html counts as empty and gives an empty text. Repeated rows get equal results, an empty table gives an empty
-result, extra columns are not read."""
+Pages are parsed once. A page's frame is the tree of its structural elements (nothing below an article); runs of siblings of
+one shape count once in it. Frames of a host that simple tree matching (Yang 1991) aligns in the share ALIKE of the larger
+one are one layout; the layout's most frequent frame stands for it, every other frame of the layout is aligned with that one,
+and the matched elements are the wrapper's places. Over the distinct pages of a layout, or of the host, the wrapper learns
+
+- constant nodes: a block that is the same, at its place, in at least CONSTANT of the pages is template and is dropped;
+- slots: places whose text varies from page to page. From the body down it goes to the slot that holds DOMINANT of the varying
+  text outside links, as long as what stays behind are slots of a line (LINE characters a page) and no varying text of the
+  element itself; then up again until the varying h1 is inside. That is the content slot; what lies outside is furniture.
+
+Where the wrapper has no content slot (fewer than LEAST distinct pages, no host, no dominant slot) or the slot encloses a main or
+article element together with other things, the page's own tags decide: the largest article element, else main, else
+the element marked as content, else the body; there, without an article or main element, blocks of links alone are menus. Inside
+either, elements that say what they are go: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments, by tag, role, class or id; a class counts only if all its words are of that kind or neutral. Character
+references are decoded, white space in a block becomes one space, and blocks are joined by a newline, in page order.
+
+Pages are parsed whole, broken markup and any depth included. A null html counts as empty and gives an empty text. Repeated
+rows get equal results, an empty table gives an empty result, extra columns are not read."""
 
 from __future__ import annotations
 
@@ -24,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from trivane.llm.common import arrow_map, partitions, sorted_groups, stored
 
 LEAST, CONSTANT, ALIKE = 4, 0.6, 0.6
-DEEP = 150
+DOMINANT, LINE = 0.8, 160
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -64,6 +67,10 @@ FRAME_TAGS = frozenset("html body div section main article header footer nav asi
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notification notifications alert popup modal overlay paywall nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar sidenav rail aside footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar pagination pager widget widgets skip hidden toc".split()
 )
+#: Words that say nothing of what an element is; a class or id of these and DROP_WORDS alone names boilerplate.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content footer group header icon icons inner item items js left link links list main module outer page panel post posts primary region right row secondary section site slot top unit ul wrap wrapper".split()
+)
 #: These mean a page's header; inside an article they name the heading of a part of it.
 HEADER_WORDS = frozenset("header masthead topbar".split())
 #: Of these words, what a wrapper around the whole article may carry.
@@ -71,19 +78,50 @@ CONTENT_WORDS = frozenset("article post entry content story body main text".spli
 
 
 class Node:
-    __slots__ = ("attrs", "children", "label", "parent", "tag")
+    __slots__ = ("attrs", "children", "label", "parent", "path", "tag", "within")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, label: str | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         name = attrs.get("class", "") if attrs else ""
-        self.label = f"{tag}.{'.'.join(sorted(name.split()))}" if name else tag
+        self.label = label or (f"{tag}.{'.'.join(sorted(name.split()))}" if name else tag)
+        # A hash of the labels from the root, and the nearest article or main element above.
+        self.path = xxhash.xxh3_64_intdigest(self.label, parent.path if parent else 0)
+        self.within = None if parent is None else parent.tag if parent.tag in ("article", "main") else parent.within
+
+
+class _Open:
+    """The open elements, and where those of each tag, blocks and barriers lie among them, so that no tag scans them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.barriers = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+        if node.tag in ("article", "main", "body"):
+            self.barriers.append(k)
+
+    def cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            node, k = self.stack.pop(), len(self.stack)
+            self.at[node.tag].pop()
+            for marks in (self.blocks, self.barriers):
+                if marks and marks[-1] == k:
+                    marks.pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
 
 def parse(html: str) -> Node:
     """A tree of the whole page; every text is in it, but for comments and the contents of scripts and the like."""
     root = Node("#root", {}, None)
-    stack, at, end = [root], 0, len(html)
+    up, at, end = _Open(root), 0, len(html)
+    stack = up.stack
     search = _TAG.search
     while at < end:
         m = search(html, at)
@@ -100,30 +138,19 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body") and tag not in ("body", "html", "article", "main"):
-                    break
+            # An end tag closes nothing beyond the article, main or body that it stands in.
+            k = up.at[tag][-1] if up.at.get(tag) else 0
+            if k and (tag in ("body", "html", "article", "main") or not up.barriers or k > up.barriers[-1]):
+                up.cut(k)
             continue
-        if tag in BLOCK:
-            if tag in CLOSES:
-                names, edge = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in edge:
-                        break
-                    if stack[k].tag in names:
-                        del stack[k:]
-                        if tag != "tr":
-                            break
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+        if tag in CLOSES:
+            names, edge = CLOSES[tag]
+            while (k := up.last(names)) > up.last(edge):
+                up.cut(k)
+                if tag != "tr":
+                    break
+        elif tag in BLOCK and up.blocks and stack[up.blocks[-1]].tag == "p":
+            up.cut(up.blocks[-1])
         node = Node(tag, {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if attrs and attrs != "/" else {}, stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
@@ -131,14 +158,19 @@ def parse(html: str) -> Node:
                 stop = RAW[tag].search(html, at)
                 at = stop.end() if stop else end
         elif tag not in VOID and not (attrs.endswith("/") and tag in ("path", "use", "g")):
-            if len(stack) < DEEP:
-                stack.append(node)
+            up.push(node)
     return root
 
 
-def _words(node: Node) -> set[str]:
-    text = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return {w.lower() for w in _TOKENS.findall(text)} if text != " " else set()
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _TOKENS.findall(text)]
+
+
+def _names(node: Node) -> list[list[str]]:
+    """The words of each class, and of the id."""
+    if not node.attrs:
+        return []
+    return [w for c in [*node.attrs.get("class", "").split(), node.attrs.get("id", "")] if (w := _words(c))]
 
 
 def _walk(root: Node) -> list[Node]:
@@ -150,21 +182,17 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _in_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    return up is not None
-
-
 def _named_boilerplate(node: Node) -> bool:
     if node.attrs:
         if node.attrs.get("role", "").lower() in DROP_ROLES or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
             return True
         if "display:none" in node.attrs.get("style", "").replace(" ", "").lower():
             return True
-        named = _words(node) & DROP_WORDS
-        return bool(named) and not (named <= HEADER_WORDS and _in_article(node))
+        for words in _names(node):
+            named = DROP_WORDS.intersection(words)
+            if named and all(w in DROP_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+                if not (named <= HEADER_WORDS and node.within):
+                    return True
     return False
 
 
@@ -175,7 +203,7 @@ def boilerplate(root: Node) -> set[int]:
     # Elements around the article may bear any name: "page with-sidebar", a form around the whole page.
     around: set[int] = set()
     for n in every:
-        if n.tag in ("article", "main") and not (_words(n) & DROP_WORDS) or n.tag == "h1":
+        if n.tag in ("article", "main") and not any(DROP_WORDS.intersection(w) for w in _names(n)) or n.tag == "h1":
             inside = n.parent
             while inside is not None and id(inside) not in around:
                 if n.tag == "h1" and inside.tag in ("header", "hgroup"):
@@ -191,26 +219,19 @@ def boilerplate(root: Node) -> set[int]:
             if not (n.tag in ("form", "object") and id(n) in around):
                 out.add(id(n))
         elif n.tag == "header":
-            up = n.parent
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            if up is None or up.tag == "main":
+            if n.within != "article":
                 out.add(id(n))
         elif id(n) not in around and _named_boilerplate(n):
             out.add(id(n))
     return out
 
 
-def _text_length(root: Node, skip: set[int]) -> int:
-    total, todo = 0, [root]
-    while todo:
-        n = todo.pop()
-        for c in n.children:
-            if isinstance(c, str):
-                total += len(c.strip())
-            elif id(c) not in skip:
-                todo.append(c)
-    return total
+def _text_lengths(root: Node, skip: set[int]) -> dict[int, int]:
+    """Characters below each element, those of skipped elements left out, by id."""
+    out: dict[int, int] = {}
+    for n in reversed(_walk(root)):
+        out[id(n)] = 0 if id(n) in skip else sum(len(c.strip()) if isinstance(c, str) else out[id(c)] for c in n.children)
+    return out
 
 
 def scope(root: Node, skip: set[int]) -> tuple[Node, bool]:
@@ -226,39 +247,43 @@ def scope(root: Node, skip: set[int]) -> tuple[Node, bool]:
         elif n.attrs:
             if n.attrs.get("role") in ("main", "article") or n.attrs.get("itemprop") == "articleBody":
                 found["marked"].append(n)
-            elif n.tag in ("div", "section", "td") and _words(n) & CONTENT_WORDS:
+            elif n.tag in ("div", "section", "td") and any(CONTENT_WORDS.intersection(w) for w in _names(n)):
                 found["named"].append(n)
         todo += [c for c in n.children if not isinstance(c, str)]
+    size = _text_lengths(root, skip) if any(found.values()) else {}
     for kind in ("article", "main", "marked"):
         if found[kind]:
-            sized = [(_text_length(n, skip), -k, n) for k, n in enumerate(found[kind])]
-            return max(sized, key=lambda x: x[:2])[2], True
-    if found["named"]:
-        whole = _text_length(root, skip)
-        sized = [(_text_length(n, skip), k, n) for k, n in enumerate(found["named"])]
-        # The innermost of those that hold most of the text.
-        large = [x for x in sized if x[0] >= 0.5 * whole and x[0] > 0]
-        if large:
-            return max(large, key=lambda x: x[1])[2], False
-    return root, False
-
-
-def blocks(root: Node, skip: set[int], menus: bool = False) -> list[tuple[Node, str]]:
-    """(block element, text) in the order of the page; with menus, blocks of links alone are left out."""
-    out: list[tuple[Node, str]] = []
+            return max(enumerate(found[kind]), key=lambda x: (size[id(x[1])], -x[0]))[1], True
+    # The innermost of those that hold most of the text.
+    large = [n for n in found["named"] if size[id(n)] >= 0.5 * size[id(root)] and size[id(n)] > 0]
+    return (large[-1] if large else root), False
+
+
+@dataclass(slots=True)
+class Block:
+    node: Node  # the block element
+    text: str
+    chars: int  # outside links
+    menu: bool  # links alone
+    inside: bool  # in the element that the page's tags choose
+
+
+def blocks(root: Node, skip: set[int], top: Node | None = None) -> list[Block]:
+    """The blocks of the page, in order; top is the element chosen by tags, all of the page if there is none."""
+    out: list[Block] = []
     parts: list[str] = []
     state = [root, 0, 0]  # the element that the open block belongs to, characters of text and of links
+    links, inside = 0, top is None or top is root
 
     def close(node: Node) -> None:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-            if text and not (menus and state[1] and state[2] >= 0.8 * state[1]):
-                out.append((state[0], text))
+            if text:
+                out.append(Block(state[0], text, state[1] - state[2], bool(state[1]) and state[2] >= 0.8 * state[1], inside))
             parts.clear()
         state[:] = [node, 0, 0]
 
     todo: list = [(root, 0)]
-    links = 0
     while todo:
         n, done = todo.pop()
         if isinstance(n, str):
@@ -268,19 +293,21 @@ def blocks(root: Node, skip: set[int], menus: bool = False) -> list[tuple[Node,
             state[2] += size if links else 0
             continue
         if done:
-            if n.tag in BLOCK:
+            if n.tag in BLOCK or n is top:
                 close(n.parent if n.parent is not None else n)
             links -= n.tag == "a"
+            inside = inside and n is not top or top is root
             continue
         if id(n) in skip:
             if n.tag in BLOCK:
                 close(state[0])
             continue
-        if n.tag in BLOCK:
+        if n.tag in BLOCK or n is top:
             close(n)
         elif n.tag == "br":
             parts.append(" ")
             continue
+        inside = inside or n is top
         links += n.tag == "a"
         todo.append((n, 1))
         todo += [(c, 0) for c in reversed(n.children)]
@@ -288,29 +315,21 @@ def blocks(root: Node, skip: set[int], menus: bool = False) -> list[tuple[Node,
     return out
 
 
-def _path(node: Node, known: dict[int, str]) -> str:
-    got = known.get(id(node))
-    if got is None:
-        got = known[id(node)] = (_path(node.parent, known) + ">" if node.parent is not None else "") + node.label
-    return got
+def _key(path: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), path) - (1 << 63)
 
 
-def _key(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "replace")) - (1 << 63)
+def _kids(n: Node) -> list[Node]:
+    return [c for c in n.children if not isinstance(c, str)]
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest order-preserving match of two trees whose matched nodes have equal labels."""
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def kids(n: Node) -> list[Node]:
-        return [c for c in n.children if not isinstance(c, str)]
-
-    def match(x: Node, y: Node) -> tuple[int, list[tuple[Node, Node]]]:
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key]
-        q = kids(y)
+    def match(x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
+        """Asks for the matches of children that it needs, and puts its own into memo."""
+        q = _kids(y)
         places: dict[str, list[int]] = {}
         for j, d in enumerate(q):
             places.setdefault(d.label, []).append(j)
@@ -325,30 +344,44 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 k -= k & -k
             return top
 
-        for c in kids(x):
+        for c in _kids(x):
             new = []
             for j in places.get(c.label, ()):
-                w, pairs = match(c, q[j])
+                if (id(c), id(q[j])) not in memo:
+                    yield c, q[j]
+                w = memo[id(c), id(q[j])][0]
                 before, chain = upto(j)
-                new.append((j + 1, before + w, (chain, pairs)))
+                new.append((j + 1, before + w, (chain, (c, q[j]))))
             for at, w, chain in new:
                 while at <= len(q):
                     if best[at][0] < w:
                         best[at] = (w, chain)
                     at += at & -at
         size, chain = upto(len(q))
-        got = [(x, y)]
+        pairs = []
         while chain is not None:
-            chain, pairs = chain
-            got += pairs
-        memo[key] = 1 + size, got
-        return memo[key]
-
-    return match(a, b)[1] if a.label == b.label else []
+            chain, pair = chain
+            pairs.append(pair)
+        memo[id(x), id(y)] = 1 + size, pairs
+
+    if a.label != b.label:
+        return []
+    running = [match(a, b)]
+    while running:
+        ask = next(running[-1], None)
+        if ask is None:
+            running.pop()
+        else:
+            running.append(match(*ask))
+    out, todo = [], [(a, b)]
+    while todo:
+        out.append(todo[-1])
+        todo += memo[tuple(map(id, todo.pop()))][1]
+    return out
 
 
 def frame(root: Node) -> str:
-    """The page's frame, a line of depth and label for each element."""
+    """The page's frame with all equal siblings merged, a line of depth and label for each element."""
     top = Node("#root", {}, None)
     at: dict[tuple[int, str], Node] = {}
     todo = [(root, top)]
@@ -362,8 +395,7 @@ def frame(root: Node) -> str:
                 continue
             new = at.get((id(to), c.label))
             if new is None:
-                new = at[id(to), c.label] = Node(c.tag, {}, to)
-                new.label = c.label
+                new = at[id(to), c.label] = Node(c.tag, {}, to, c.label)
                 to.children.append(new)
             if c.tag != "article":
                 todo.append((c, new))
@@ -375,28 +407,93 @@ def frame(root: Node) -> str:
     return "\n".join(lines)
 
 
-def _frame_tree(text: str) -> tuple[Node, dict[int, str]]:
+def ordered_frame(root: Node) -> tuple[str, dict[int, int]]:
+    """The page's frame with runs of siblings of one shape merged: a line of its parent's number and label for each element,
+    and for every element of the page the number of the frame's element that it lies in, by id.
+
+    An element's shape is its label, the block elements that it holds directly, and the shapes of its parts."""
+    nodes: list[Node] = []
+    kids: list[list[int]] = []
+    holds: list[set[str]] = []
+    within: dict[int, int] = {}
+    todo: list[tuple[Node, int, bool]] = [(root, -1, False)]
+    while todo:
+        n, at, closed = todo.pop()
+        if n is root or (n.tag in FRAME_TAGS and not closed):
+            nodes.append(n)
+            kids.append([])
+            holds.append(set())
+            if at >= 0:
+                kids[at].append(len(nodes) - 1)
+            at, closed = len(nodes) - 1, n.tag == "article"
+        elif not closed and n.tag in BLOCK:
+            holds[at].add(n.tag)
+        within[id(n)] = at
+        todo += [(c, at, closed) for c in reversed(n.children) if not isinstance(c, str) and c.tag not in RAW and c.tag != "head"]
+    known: dict[tuple, int] = {}
+    shape = [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        parts = [shape[c] for c in kids[k]]
+        runs = tuple(s for i, s in enumerate(parts) if not i or parts[i - 1] != s)
+        shape[k] = known.setdefault((nodes[k].label, tuple(sorted(holds[k])), runs), len(known))
+    number, lines, parts_of = [0] * len(nodes), ["-1 #root"], {0: []}
+    for k in range(len(nodes)):
+        mine, first = parts_of[number[k]], not parts_of[number[k]]
+        run = -1
+        for i, c in enumerate(kids[k]):
+            if not i or shape[c] != shape[kids[k][i - 1]]:
+                run += 1
+                if first:
+                    mine.append(len(lines))
+                    parts_of[len(lines)] = []
+                    lines.append(f"{number[k]} {nodes[c].label}")
+            number[c] = mine[run]
+    return "\n".join(lines), {n: number[k] for n, k in within.items()}
+
+
+def _frame_tree(text: str) -> tuple[Node, dict[int, int]]:
     """A frame's tree, and the paths of its elements below the body by id."""
     top = Node("#root", {}, None)
-    stack, paths = [(top, "")], {}
+    stack, paths = [top], {}
     for line in text.split("\n") if text else ():
         depth, label = line.split(" ", 1)
         del stack[int(depth) + 1 :]
-        up, path = stack[-1]
-        n = Node(label.split(".", 1)[0], {}, up)
-        n.label = label
-        up.children.append(n)
-        stack.append((n, f"{path}>{label}"))
+        n = Node(label.split(".", 1)[0], {}, stack[-1], label)
+        stack[-1].children.append(n)
+        stack.append(n)
         if n.tag not in ("html", "body"):
-            paths[id(n)] = stack[-1][1]
+            paths[id(n)] = n.path
     return top, paths
 
 
+def _ordered_tree(text: str) -> list[Node]:
+    out: list[Node] = []
+    for line in text.split("\n"):
+        up, label = line.split(" ", 1)
+        n = Node(label.split(".", 1)[0], {}, out[int(up)] if out else None, label)
+        if out:
+            out[int(up)].children.append(n)
+        out.append(n)
+    return out
+
+
+def places(stands: str, own: str) -> tuple[list[int], list[int], list[str]]:
+    """For each element of the frame own: its place, the place above, its tag. Places are the elements of the frame that
+    stands for the layout, by number; an element without a match there has a place of its own below its parent's."""
+    a, b = _ordered_tree(stands), _ordered_tree(own)
+    number = {id(n): k for k, n in enumerate(a)}
+    at = {id(y): number[id(x)] for x, y in align(a[0], b[0])}
+    for n in b[1:]:
+        if id(n) not in at:
+            at[id(n)] = -(xxhash.xxh3_64_intdigest(n.label, at[id(n.parent)] & ((1 << 64) - 1)) >> 2) - 2
+    return [at[id(n)] for n in b], [-1, *(at[id(n.parent)] for n in b[1:])], [n.tag for n in b]
+
+
 def layouts(frames: list[str]) -> list[int]:
     """For each of a host's different frames the number of the one that stands for its layout, an earlier one or itself."""
     trees = [_frame_tree(f) for f in frames]
     often = Counter(p for _, paths in trees for p in paths.values())
-    leaders: dict[str, list[int]] = {}
+    leaders: dict[int, list[int]] = {}
     out = []
     for k, (tree, paths) in enumerate(trees):
         # Frames that share ALIKE of their paths share one of these, the rarest (prefix filter).
@@ -417,71 +514,145 @@ def layouts(frames: list[str]) -> list[int]:
     return out
 
 
-def content(root: Node) -> list[tuple[int, str]]:
-    """(hash of path and text, text) of the blocks of the page's article, template blocks among them."""
+@dataclass(slots=True)
+class Slot:
+    place: int
+    up: int
+    tag: str
+    chars: int  # of varying text outside links directly at the place, over all pages
+    text: int  # pages with such text there
+    heads: int  # pages with a varying h1 there
+
+
+def content_slot(slots: list[Slot], pages: int) -> tuple[int, bool] | None:
+    """The place of the content, and whether it is, or lies in, a main or article element; None if none stands out."""
+    at = {s.place: s for s in slots}
+    below: dict[int, list[int]] = {}
+    for s in slots:
+        if s.place != 0:
+            below.setdefault(s.up, []).append(s.place)
+    order, depth = [0], {0: 0}
+    for p in order:
+        for c in sorted(below.get(p, ())):
+            depth[c] = depth[p] + 1
+            order.append(c)
+    total = {p: at[p].chars for p in order}
+    for p in reversed(order[1:]):
+        total[at[p].up] += total[p]
+    cur = 0
+    while kids := below.get(cur):
+        best = max(kids, key=lambda c: (total[c], -depth[c], c))
+        left = all(c == best or total[c] <= LINE * pages for c in kids)
+        if not left or total[best] < DOMINANT * total[cur] or total[best] == 0 or at[cur].text >= CONSTANT * pages:
+            break
+        cur = best
+    head = max(order, key=lambda p: (at[p].heads, -depth[p], p))
+    if at[head].heads >= CONSTANT * pages:
+        above = set()
+        while head not in above:
+            above.add(head)
+            head = at[head].up if head else 0
+        while cur not in above:
+            cur = at[cur].up
+    tags, p = set(), cur
+    while p:
+        tags.add(at[p].tag)
+        p = at[p].up
+    return None if at[cur].tag in ("#root", "html", "body") else (cur, bool(tags & {"article", "main"}))
+
+
+@dataclass(slots=True)
+class Page:
+    blocks: list[Block]
+    keys: list[int]
+    nodes: list[int]  # the element of the ordered frame that each block lies in
+    shape: str
+    form: str
+    sure: bool
+    copy: int | None  # what copies of the page share; None without a block
+
+
+def read(html: str | None) -> Page:
+    root = parse(html or "")
     skip = boilerplate(root)
     top, sure = scope(root, skip)
-    known: dict[int, str] = {}
-    return [(_key(_path(n, known), t), t) for n, t in blocks(top, skip, menus=not sure)]
-
-
-def read(html: str) -> tuple[int, int, str, list[int]] | None:
-    """What a page adds to its host's wrapper: what its copies share, its frame and its hash, and the hashes of its blocks.
-
-    None for a page without a block."""
-    root = parse(html)
-    found = blocks(root, {id(n) for n in _walk(root) if n.tag in RAW or n.tag == "head"})
-    if not found:
-        return None
-    known: dict[int, str] = {}
+    found = blocks(root, skip, top)
+    form, number = ordered_frame(root)
     # Copies of one page would make its content look constant: pages of the same content, or without any of the same blocks, count once.
-    own = [t for _, t in content(root)] or [t for _, t in found]
-    shape = frame(root)
-    return _key("", "\0".join(own)), _key("", shape), shape, sorted({_key(_path(n, known), t) for n, t in found})
+    own = [b.text for b in found if b.inside] or [b.text for b in found]
+    return Page(found, [_key(b.node.path, b.text) for b in found], [number[id(b.node)] for b in found], frame(root), form, sure, _key(0, "\0".join(own)) if own else None)
 
 
 def induce(pages: list[str]) -> list[int]:
-    """The template blocks of pages of one host, as hashes of path and text; wrappers() does the same for a table."""
-    one: dict[int, tuple[int, list[int]]] = {}
-    shapes: dict[int, str] = {}
-    for copy, at, shape, items in filter(None, map(read, pages)):
-        one[copy] = min(one.get(copy, (at, items)), (at, items))
-        shapes[at] = shape
-    size = Counter(at for at, _ in one.values())
-    order = sorted(size, key=lambda at: (-size[at], at))
-    layout = dict(zip(order, layouts([shapes[at] for at in order]), strict=True))
-    groups: dict[int, list[list[int]]] = {-1: [items for _, items in one.values()]}
-    for at, items in one.values():
-        groups.setdefault(layout[at], []).append(items)
+    """The constant nodes of pages of one host, as hashes of place and text; wrappers() does the same for a table."""
+    one: dict[int, Page] = {}
+    shapes: Counter[str] = Counter()
+    for p in map(read, pages):
+        if p.copy is not None and (p.copy not in one or (p.shape, p.keys) < (one[p.copy].shape, one[p.copy].keys)):
+            one[p.copy] = p
+    for p in one.values():
+        shapes[p.shape] += 1
+    order = sorted(shapes, key=lambda s: (-shapes[s], _key(0, s)))
+    layout = dict(zip(order, layouts(order), strict=True))
+    groups: dict[int, list[list[int]]] = {-1: [p.keys for p in one.values()]}
+    for p in one.values():
+        groups.setdefault(layout[p.shape], []).append(p.keys)
     out: set[int] = set()
     for group in groups.values():
         if len(group) >= LEAST:
-            out |= {k for k, c in Counter(k for items in group for k in items).items() if c >= CONSTANT * len(group)}
+            out |= {k for k, c in Counter(k for items in group for k in set(items)).items() if c >= CONSTANT * len(group)}
     return sorted(out)
 
 
 def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
-    return "\n".join(t for k, t in content(parse(html)) if k not in template) if html else ""
+    """The text that a page's own tags and constant nodes give."""
+    p = read(html)
+    return "\n".join(b.text for b, k in zip(p.blocks, p.keys, strict=True) if b.inside and (p.sure or not b.menu) and k not in template)
 
 
-def _constant(counts: DataFrame, sizes: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, name): the items that stand in CONSTANT of a group's pages, of groups of LEAST pages or more."""
-    fit = counts.join(sizes.where(F.col("n") >= LEAST), keys).where(F.col("c") >= CONSTANT * F.col("n"))
-    return fit.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias(name))
+_BLOCKS = "array<struct<key long, node int, chars int, head boolean, inside boolean, menu boolean, text string>>"
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, frame, items): the template of the host's pages with that frame, if there is one."""
-    cols = pages.select(F.expr("try_parse_url(url, 'HOST')").alias("host"), "html").where("host IS NOT NULL AND html IS NOT NULL")
+def parsed(pages: DataFrame) -> DataFrame:
+    """Every row read: its frames and its blocks."""
+    kinds = [("key", pa.int64()), ("node", pa.int32()), ("chars", pa.int32()), ("head", pa.bool_()), ("inside", pa.bool_()), ("menu", pa.bool_()), ("text", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                got = [(host, *r) for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := read(html))]
-                if got:
-                    host, copy, at, shape, items = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(at, pa.int64()), pa.array(shape, pa.string()), pa.array(items, pa.list_(pa.int64()))], names=["host", "copy", "frame", "shape", "items"])
+                got = [read(html) for html in b.column(3).to_pylist()]
+                each = [(k, n, x.chars, x.node.tag == "h1", x.inside, x.menu, x.text) for p in got for k, n, x in zip(p.keys, p.nodes, p.blocks, strict=True)]
+                cols = list(zip(*each, strict=True)) or [()] * len(kinds)
+                inner = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
+                ends = pa.array(np.cumsum([0, *(len(p.keys) for p in got)]), pa.int32())
+                new = {
+                    "frame": pa.array([_key(0, p.shape) for p in got], pa.int64()),
+                    "shape": pa.array([p.shape for p in got], pa.string()),
+                    "full": pa.array([_key(0, p.form) for p in got], pa.int64()),
+                    "form": pa.array([p.form for p in got], pa.string()),
+                    "sure": pa.array([p.sure for p in got], pa.bool_()),
+                    "copy": pa.array([p.copy for p in got], pa.int64()),
+                    "blocks": pa.ListArray.from_arrays(ends, inner),
+                }
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *new.values()], names=["page_id", "url", "host", *new])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.expr("try_parse_url(cast(url AS string), 'HOST')").alias("host"), F.col("html").cast("string").alias("html"))
+    return arrow_map(rows, run, f"page_id long, url string, host string, frame long, shape string, full long, form string, sure boolean, copy long, blocks {_BLOCKS}")
+
+
+def _constant(counts: DataFrame, sizes: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the items that stand in CONSTANT of a group's pages, of groups of LEAST pages or more."""
+    fit = counts.join(sizes.where(F.col("n") >= LEAST), keys).where(F.col("c") >= CONSTANT * F.col("n"))
+    return fit.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias(name))
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """(host, frame, full, items, within, semantic) from parsed rows: for pages of that host with these frames the constant
+    nodes, for each element of the frame whether it lies in the content slot (null: the host's layout has none), and whether
+    that slot is, or lies in, a main or article element."""
+    spark = rows.sparkSession
+    found = rows.where("host IS NOT NULL AND copy IS NOT NULL")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in sorted_groups(batches, ["host"]):
@@ -489,43 +660,101 @@ def wrappers(pages: DataFrame) -> DataFrame:
             same = [ids[s:e][layouts(shape[s:e])] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("host").combine_chunks(), pa.array(ids), pa.array(np.concatenate(same))], names=["host", "frame", "layout"])
 
-    found = stored(arrow_map(cols, run, "host string, copy long, frame long, shape string, items array<long>"), "blocks")
-    one = found.groupBy("host", "copy").agg(F.min(F.struct("frame", "items")).alias("p")).select("host", "p.frame", "p.items")
+    narrow = F.transform("blocks", lambda b: F.struct(b["key"].alias("key"), b["node"].alias("node"), b["chars"].alias("chars"), b["head"].alias("head")))
+    one = found.groupBy("host", "copy").agg(F.min(F.struct("frame", "full", narrow.alias("blocks"))).alias("p")).select("host", "p.*")
     one = stored(one, "distinct")
-    shapes = found.groupBy("host", "frame").agg(F.first("shape").alias("shape"))
+    shapes = found.groupBy("host", "frame").agg(F.min("shape").alias("shape"))
     shapes = one.groupBy("host", "frame").agg(F.count(F.lit(1)).alias("n")).join(shapes, ["host", "frame"], "right")
     # The most frequent frames of a host lead.
-    shapes = shapes.select("host", "frame", "shape", (-F.coalesce("n", F.lit(0))).alias("few")).repartition(partitions(pages.sparkSession), "host").sortWithinPartitions("host", "few", "frame")
+    shapes = shapes.select("host", "frame", "shape", (-F.coalesce("n", F.lit(0))).alias("few")).repartition(partitions(spark), "host").sortWithinPartitions("host", "few", "frame")
     layout = stored(arrow_map(shapes.select("host", "frame", "shape"), group, "host string, frame long, layout long"), "layouts")
     placed = one.join(layout, ["host", "frame"])
-    counts = stored(placed.select("host", "layout", F.explode("items").alias("item")).groupBy("host", "layout", "item").agg(F.count(F.lit(1)).alias("c")), "counts")
+    items = F.explode(F.array_distinct(F.transform("blocks", lambda b: b["key"])))
+    counts = stored(placed.select("host", "layout", items.alias("item")).groupBy("host", "layout", "item").agg(F.count(F.lit(1)).alias("c")), "counts")
     sizes = stored(placed.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")), "sizes")
     own = _constant(counts, sizes, ["host", "layout"], "own")
     every = _constant(counts.groupBy("host", "item").agg(F.sum("c").alias("c")), sizes.groupBy("host").agg(F.sum("n").alias("n")), ["host"], "every")
     none = F.expr("cast(array() AS array<long>)")
-    out = layout.join(own, ["host", "layout"], "left").join(every, "host", "left")
-    out = out.select("host", "frame", F.array_union(F.coalesce("own", none), F.coalesce("every", none)).alias("items"))
-    return stored(out.where(F.size("items") > 0), "wrappers")
+    known = sizes.join(own, ["host", "layout"], "left").join(every, "host", "left")
+    known = stored(known.select("host", "layout", F.array_union(F.coalesce("own", none), F.coalesce("every", none)).alias("items")), "constant")
 
+    # The most frequent ordered frame stands for a layout; the others are aligned with it.
+    forms = found.groupBy("host", "frame", "full").agg(F.min("form").alias("form")).join(layout, ["host", "frame"])
+    often = placed.groupBy("host", "layout", "full").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "layout").agg(F.max_by("full", F.struct("n", "full")).alias("lead"))
+    lead = forms.groupBy("host", "layout", "full").agg(F.min("form").alias("stands")).join(often, ["host", "layout"]).where("full = lead").select("host", "layout", "stands")
+    forms = forms.join(lead, ["host", "layout"]).select("host", "layout", "frame", "full", "form", "stands")
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
-    known = wrappers(pages).withColumnRenamed("host", "_host").withColumnRenamed("frame", "_frame")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.expr("try_parse_url(url, 'HOST')").alias("host"), "html")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [places(*x) for x in zip(b.column(5).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            lists = [pa.array([g[k] for g in got], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *lists], names=["host", "layout", "frame", "full", "place", "up", "tag"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    aligned = stored(arrow_map(forms, match, "host string, layout long, frame long, full long, place array<long>, up array<long>, tag array<string>"), "places")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                found, at = [], []
-                for html in b.column(3).to_pylist():
-                    root = parse(html or "")
-                    found.append(content(root))
-                    at.append(_key("", frame(root)))
-                cols = [pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(at, pa.int64()), *cols], names=["page_id", "url", "host", "frame", "keys", "texts"])
-
-    read_rows = arrow_map(rows, run, "page_id long, url string, host string, frame long, keys array<long>, texts array<string>")
-    joined = read_rows.join(known, (F.col("host") == F.col("_host")) & (F.col("frame") == F.col("_frame")), "left").withColumn("items", F.coalesce("items", F.expr("cast(array() AS array<long>)")))
-    text = F.expr("array_join(transform(filter(arrays_zip(keys, texts), b -> NOT array_contains(items, b.keys)), b -> b.texts), '\n')")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+                out = []
+                for r in whole.slice(s, 256).to_pylist():
+                    fixed = set(r["items"])
+                    sums = {p: [u, t, 0, 0, 0] for p, u, t in zip(r["place"], r["up"], r["tag"], strict=True)}
+                    for x in r["blocks"]:
+                        if x["key"] not in fixed:
+                            at = sums[r["place"][x["node"]]]
+                            at[2] += x["chars"]
+                            at[3] |= x["chars"] > 0
+                            at[4] |= x["head"]
+                    out += [(r["host"], r["layout"], p, *v) for p, v in sums.items()]
+                if out:
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "layout", "place", "up", "tag", "chars", "text", "heads"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in sorted_groups(batches, ["host", "layout"]):
+            out = []
+            rows = t.to_pylist()
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                got = content_slot([Slot(*(r[k] for k in ("place", "up", "tag", "chars", "text", "heads"))) for r in rows[s:e]], rows[s]["n"])
+                if got:
+                    out.append((rows[s]["host"], rows[s]["layout"], *got))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["host", "layout", "slot", "semantic"])
+
+    wide = one.join(known, ["host"]).join(aligned, ["host", "layout", "frame", "full"]).select("host", "layout", "items", "blocks", "place", "up", "tag")
+    sums = arrow_map(wide, slots, "host string, layout long, place long, up long, tag string, chars long, text long, heads long")
+    sums = sums.groupBy("host", "layout", "place").agg(F.min("up").alias("up"), F.min("tag").alias("tag"), *[F.sum(c).alias(c) for c in ("chars", "text", "heads")])
+    sums = sums.join(sizes.where(F.col("n") >= LEAST), ["host", "layout"]).repartition(partitions(spark), "host", "layout").sortWithinPartitions("host", "layout", "place")
+    slot = stored(arrow_map(sums.select("host", "layout", "place", "up", "tag", "chars", "text", "heads", "n"), choose, "host string, layout long, slot long, semantic boolean"), "slots")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for place, up, tag, at in zip(*(b.column(k).to_pylist() for k in (5, 6, 7, 8)), strict=True):
+                if at is None:
+                    out.append(None)
+                    continue
+                # Further articles beside the content slot's article belong to it.
+                beside = {u for p, u, t in zip(place, up, tag, strict=True) if p == at and t == "article"}
+                got: set[int] = set()
+                for p, u, t in zip(place, up, tag, strict=True):
+                    if p == at or u in got or (t == "article" and u in beside):
+                        got.add(p)
+                out.append([p in got for p in place] if got else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2, 3, 4)), pa.array(out, pa.list_(pa.bool_()))], names=["host", "frame", "full", "items", "semantic", "within"])
+
+    out = aligned.join(known, ["host", "layout"]).join(slot, ["host", "layout"], "left").select("host", "frame", "full", "items", "semantic", "place", "up", "tag", "slot")
+    return stored(arrow_map(out, inside, "host string, frame long, full long, items array<long>, semantic boolean, within array<boolean>").where("size(items) > 0 OR within IS NOT NULL"), "wrappers")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row, and wrapped: whether the wrapper chose its content."""
+    rows = stored(parsed(pages), "pages")
+    known = wrappers(rows).select(*[F.col(c).alias(f"_{c}") for c in ("host", "frame", "full", "items", "semantic", "within")])
+    same = (F.col("host") == F.col("_host")) & (F.col("frame") == F.col("_frame")) & (F.col("full") == F.col("_full"))
+    joined = rows.select("page_id", "url", "host", "frame", "full", "sure", "blocks").join(known, same, "left")
+    joined = joined.withColumn("_items", F.coalesce("_items", F.expr("cast(array() AS array<long>)")))
+    joined = joined.withColumn("wrapped", F.expr("_within IS NOT NULL AND (_semantic OR NOT sure)"))
+    keep = "NOT array_contains(_items, b.key) AND IF(wrapped, _within[b.node], b.inside AND (sure OR NOT b.menu))"
+    text = F.expr(f"array_join(transform(filter(blocks, b -> {keep}), b -> b.text), '\n')")
+    return joined.select("page_id", "url", text.alias("text"), "wrapped").withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "wrapped")
