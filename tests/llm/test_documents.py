@@ -170,6 +170,28 @@ def test_patterns_stay_linear():
         pii.all_spans(t)
 
 
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        t = "+12 345 678 901, 212 555-1234 call; " * n
+        began = time.perf_counter()
+        assert len(pii.all_spans(t)[1]) == 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * took[0]
+
+
+def test_context_decides():
+    kinds = lambda t: [k for _, _, k in pii.all_spans(t)[1]]
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    assert kinds(f'token = "{key}"') == ["secret"] and kinds(f"commit {key}") == [] and kinds(f"token of commit {key}") == [] and kinds("token " + "a1" * 20) == []
+    assert kinds("ssn 123-45-6789") == ["idnum"] and kinds("part number 123-45-6789") == [] and kinds("ISBN phone 212 555-1234") == []
+    # A country without a known length needs a word beside it.
+    odd = next(f"QQ{c:02d}12345678901" for c in range(98) if pii.mod97(f"QQ{c:02d}12345678901"))
+    assert kinds(f"x {odd} y") == [] and kinds(f"iban {odd} y") == ["iban"]
+
+
 def test_further_kinds_and_redaction():
     t = "IBAN GB82 WEST 1234 5698 7654 32 ok; GB82 WEST 1234 5698 7654 33 no; phone 212 555-1234 ............................................. 212 555-9999 alone............................; mail q@w.er"
     base, every = pii.all_spans(t)
@@ -300,6 +322,53 @@ def test_language_by_held_out_rows(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_counts(text):
+    """Hashed 1-3-grams of letters and single blanks, one at a time."""
+    runs, out = "".join(c if c.isalpha() else " " for c in text.lower()).split(), {}
+    if not runs:
+        return None
+    p = [ord(c) for c in f" {' '.join(runs)} "]
+    m = (1 << 32) - 1
+    one = [q * 2654435761 & m for q in p]
+    two = [(a ^ (q * 2246822519 & m)) * 3266489917 & m for a, q in zip(one, p[1:])]
+    three = [(a ^ (q * 668265263 & m)) * 374761393 & m for a, q in zip(two, p[2:])]
+    for h in (*one, *two, *three):
+        out[h >> 20] = out.get(h >> 20, 0) + 1
+    return out
+
+
+def test_languages_of_the_table_against_every_centroid(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs, ~held_out("doc_id", 4, 2))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = queries.op5_langid(spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got[:80]:
+        c = brute_counts(text[r["doc_id"]] or "")
+        if c is None:
+            assert r["lang_pred"] == "und"
+            continue
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(m[k]) for k, x in v.items()) / norm for m in model.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert abs(cos[best] - r["cosine"]) < 1e-4
+        assert model.langs[model.owner[best]] == r["lang_pred"] or sorted(cos)[-2] > cos[best] - 1e-4
+
+
+def test_counts_beyond_two_bytes_are_kept(spark):
+    """A hundred thousand equal letters weigh more than 65,535 of them."""
+    df = spark.createDataFrame([(1, "a" * 100_000 + " bc", "x"), (2, "b c d" * 9, "y")], "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    assert got[1]["lang_pred"] == "x" and got[2]["lang_pred"] == "y" and got[1]["cosine"] > 1 - 1e-5 and got[2]["cosine"] > 1 - 1e-5
+
+
+def test_many_languages_fit_in_the_sample(spark):
+    df = spark.createDataFrame([(i, words(20, i), f"l{i % 300}") for i in range(1200)], "doc_id long, text string, lang string")
+    assert len(langid.fit(df, F.lit(True), rows=600).owner) <= 900
+
+
 def test_language_edges(spark, docs, none):
     assert langid.fit(none, F.lit(True)) is None and langid.predict(none, None).count() == 0
     model = langid.fit(docs, F.lit(True))
@@ -436,9 +505,76 @@ def test_automaton_against_edit_distance():
         w = "".join(w)
         if not w:
             continue
-        near = min(edit(w, t) for t in terms)
-        assert (lex.hit(w) is not None) == (near == 0 or len(w) >= 5 and near <= (2 if len(w) >= 10 else 1)), w
-    assert lex.hit("foozle") == (5, 1) and lex.hit("afooz") is None
+        assert (lex.hit(w) is not None) == any(edit(w, t) <= (0 if len(t) < 5 else 1 if len(t) < 10 else 2) for t in terms), w
+    assert lex.hit("foozle") == (5, 1) and lex.hit("afooz") is None and lex.hit("scumm") is None
+
+
+def brute_hit(lex, word):
+    """The kind of hit that a word is by comparing it with every term."""
+    starts = [len(t) for t, stem, _ in lex.terms if stem and word.startswith(t)]
+    if any(word == t for t, stem, _ in lex.terms if not stem):
+        return 0
+    if starts:
+        return 1
+    for t, stem, _ in lex.terms:
+        if stem and len(t) >= toxicity.FUZZY_STEM and min(edit(word[:k], t) for k in range(len(t) + 2)) <= 1:
+            return 2
+        if not stem and len(t) >= 5 and edit(word, t) <= (1 if len(t) < 10 else 2):
+            return 2
+    return None
+
+
+def test_hits_against_every_term():
+    rnd = random.Random(11)
+    terms = [("bravado", False, 1.0), ("granul", True, 2.0), ("mendacious", False, 1.5), ("tox", True, 1.0), ("plonk", False, 1.0), ("x" * 90, False, 1.0)]
+    lex = toxicity.Lexicon(terms)
+    for _ in range(6000):
+        w = list(rnd.choice(terms)[0] + rnd.choice(["", "", "arity", "s"]))
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(w) + 1)
+            w[i : i + rnd.randint(0, 1)] = rnd.choice(["", "a", "n", "x"])
+        w = "".join(w) or "q"
+        got = lex.hit(w)
+        assert (None if got is None else got[1]) == brute_hit(lex, w), w
+    assert lex.hit("granolarity")[1] == 2 and lex.hit("ganularity")[1] == 2 and lex.hit("x" * 89)[1] == 2 and lex.hit("x" * 40) is None
+
+
+def test_scores_of_the_tables_against_every_term(spark, sf):
+    """op1 on its table: each distinct word compared with every term, and the features summed from these hits."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.not_held_out())
+    assert isinstance(model, toxicity.Model)
+    kinds = {}
+    got = {r["doc_id"]: r["score"] for r in queries.op1_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        low = (r["text"] or "").lower()
+        found = list(re.finditer(r"\w+", low))
+        for w in {m[0] for m in found} - kinds.keys():
+            kinds[w] = brute_hit(model.lexicon, w)
+        hit = {w: [] for w in {m[0] for m in found} if kinds[w] is not None}
+        for m in found:
+            if m[0] in hit:
+                hit[m[0]].append(toxicity.context_weight(low, m.start(), m.end()))
+        distinct, total, odds, seen = [0.0] * 3, [0.0] * 3, 0.0, set()
+        for w, weights in hit.items():
+            k = kinds[w]
+            distinct[k] += sum(weights) / len(weights)
+            total[k] += sum(weights)
+            term = model.lexicon.hit(w)[0]
+            if (term, k == 2) not in seen:
+                odds += model.lexicon.odds[term] * sum(weights) / len(weights) * (0.5 if k == 2 else 1)
+        share = sum(total) / max(1, len(found))
+        x = [*(math.log1p(v) for v in distinct), *(math.log1p(v) for v in total), odds / 4, math.sqrt(100 * share)]
+        want = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True)) + model.bias))))
+        # Words that share a term add its log-odds once, in either order.
+        assert abs(got[r["doc_id"]] - want) < 1e-9 or len({model.lexicon.hit(w)[0] for w in hit}) < len(hit), r["doc_id"]
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_labels_of_one_kind_drop_nothing(spark, docs, kind):
+    marks = spark.createDataFrame([(1, kind), (2, kind)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, F.lit(True))
+    assert model == float(kind) and toxicity.keep_clean(docs, model).count() == docs.count()
 
 
 def test_quotation_counts_less_than_abuse():

@@ -5,8 +5,8 @@ weighted by TF-IDF and normalised. Each language has several centroids, from sph
 the nearest by cosine decides. A text whose best cosine lies below what all but REJECT of its language's training rows
 reach is marked rejected; its prediction stays.
 
-The classifier is fitted on a bounded sample of labelled rows: about FIT_ROWS in all, the same number for each language,
-chosen by a threshold on a hash of doc_id and text. Null texts and texts without a letter are `und` with score 0.
+The classifier is fitted on a bounded sample of labelled rows: about FIT_ROWS in all, the same number for each language (all
+of its rows, if it has fewer), chosen by a threshold on a hash of doc_id and text. Null texts and texts without a letter are `und` with score 0.
 Repeated rows get equal results; an empty table gives an empty result; extra columns are not read. Without any training
 row every text is `und`."""
 
@@ -50,7 +50,8 @@ def counts(text: str) -> np.ndarray | None:
     p = np.where(letter, p, 32).astype(np.uint32)
     keep = np.ones(len(p), dtype=bool)
     keep[1:] = letter[1:] | letter[:-1]
-    p = np.concatenate([[32], p[keep], [32]]).astype(np.uint32)
+    p = p[keep]
+    p = np.concatenate([[32], p[int(p[0] == 32) : len(p) - int(p[-1] == 32)], [32]]).astype(np.uint32)
     out = np.zeros(DIMS, dtype=np.float64)
     for s in range(0, len(p), PIECE):
         q = p[s : s + PIECE + 2]
@@ -72,9 +73,15 @@ class Model:
     least: np.ndarray
 
 
+def _normed(log: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF vectors of length 1 from logarithms of counts, in place."""
+    log *= idf
+    log /= np.maximum(np.linalg.norm(log, axis=1, keepdims=True), 1e-12)
+    return log
+
+
 def _vectors(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(c) * idf
-    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return _normed(np.log1p(c).astype(np.float32), idf)
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -101,22 +108,27 @@ def fit(documents: DataFrame, train: Column, rows: int = FIT_ROWS) -> Model | No
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    each = max(20, rows // len(sizes))
+    each = rows / len(sizes)
     share = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, each / n))]), F.col("lang")), F.lit(0.0))
     sample = own.where((F.col("_h") / float(1 << 63)) < share * 2 - 1).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(lang, c) for lang, t in zip(*[x.to_pylist() for x in b.columns], strict=True) if (c := counts(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([np.minimum(x[1], 65535).astype("<u2").tobytes() for x in rows], pa.binary())], names=["lang", "counts"])
+            # The dimensions that occur, and the logarithms of their counts.
+            at = [np.flatnonzero(c) for _, c in rows]
+            log = [np.log1p(c[k]).astype("<f4") for (_, c), k in zip(rows, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([k.astype("<u2").tobytes() for k in at], pa.binary()), pa.array([v.tobytes() for v in log], pa.binary())], names=["lang", "at", "log"])
 
-    got = sorted((r["lang"], bytes(r["counts"])) for r in arrow_map(sample, run, "lang string, counts binary").collect())
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["log"])) for r in arrow_map(sample, run, "lang string, at binary, log binary").collect())
     if not got:
         return None
-    c = np.frombuffer(b"".join(x for _, x in got), "<u2").reshape(len(got), DIMS)
-    idf = np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1
-    x = _vectors(c.astype(np.float32), idf.astype(np.float32))
-    names = np.array([lang for lang, _ in got])
+    c = np.zeros((len(got), DIMS), dtype=np.float32)
+    for row, (_, at, log) in zip(c, got, strict=True):
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(log, "<f4")
+    idf = (np.log((1 + len(c)) / (1 + np.count_nonzero(c, axis=0))) + 1).astype(np.float32)
+    x = _normed(c, idf)
+    names = np.array([lang for lang, *_ in got])
     langs, cents, owner = sorted(set(names)), [], []
     for i, lang in enumerate(langs):
         k = _kmeans(x[names == lang], CENTROIDS)
@@ -139,7 +151,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
                 at = [i for i, c in enumerate(got) if c is not None]
                 lang, score, cos, rejected = [UNKNOWN] * len(got), np.zeros(len(got)), np.zeros(len(got)), np.zeros(len(got), dtype=bool)
                 if at:
-                    sims = _vectors(np.stack([got[i] for i in at]).astype(np.float32), model.idf) @ model.centroids.T
+                    sims = _vectors(np.stack([got[i] for i in at]), model.idf) @ model.centroids.T
                     best = np.stack([sims[:, model.owner == i].max(axis=1) for i in range(len(model.langs))], axis=1).astype(np.float64)
                     top = best.argmax(axis=1)
                     p = np.exp(SHARP * (best - best.max(axis=1, keepdims=True)))

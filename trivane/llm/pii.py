@@ -2,8 +2,10 @@
 
 Base kinds are email, ip, card (Luhn) and phone: every leftmost non-overlapping match that passes its check is kept, and
 failing matches are dropped without a second try. Further kinds are kept if their score, raised by context words within
-CONTEXT characters, reaches KEEP: iban (mod-97 confirms it; words that follow are cut off), tel (a number without +) and idnum (NNN-NN-NNNN). A further
-span that overlaps a base span is not added. Positions are code points, ends exclusive.
+CONTEXT characters and lowered by others, reaches KEEP: iban (mod-97 confirms it, and the length of its country; without a known
+country it needs a context word), tel (a number without +), idnum (NNN-NN-NNNN) and secret (keys and access tokens: a long
+word of mixed letters and digits of high entropy beside a word such as token or password). A further span that overlaps a base span,
+or a span of an earlier further kind, is not added. Positions are code points, ends exclusive.
 
 Null texts count as empty and have no spans; a text is searched whole, and every pattern takes time linear in it. Rows are
 independent: ties and repeats need nothing, an empty table gives an empty result, extra columns are not read."""
@@ -11,7 +13,10 @@ independent: ties and repeats need nothing, an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from trivane.llm.common import arrow_map
 
 BASE = ("email", "ip", "card", "phone")
-FURTHER = ("iban", "tel", "idnum")
+FURTHER = ("iban", "tel", "idnum", "secret")
 ORDER = {k: i for i, k in enumerate(BASE + FURTHER)}
 CONTEXT, KEEP = 40, 0.6
 
@@ -36,13 +41,23 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _TEL = re.compile(r"(?<![0-9+A-Za-z])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9A-Za-z])")
 _IDNUM = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_+/-]{18,}[A-Za-z0-9](?![A-Za-z0-9])")
 _ANY = re.compile(r"[0-9@]")
 _WORDS = {
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta|swift|bic)\b", re.I),
     "tel": re.compile(r"\b(?:tel|phone|telephone|call|fax|mobile|cell|telefon|t[eé]l[eé]phone|tel[eé]fono)\b", re.I),
     "idnum": re.compile(r"\b(?:ssn|social security|tax|passport|id number|ausweis|identit[eé])\b", re.I),
+    "secret": re.compile(r"(?:\b|_)(?:token|secret|passw(?:or)?d|pwd|passwort|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer|credentials?)(?:\b|_)", re.I),
 }
-_SCORE = {"iban": 0.8, "tel": 0.4, "idnum": 0.4}
+#: Words that speak against a kind.
+_AGAINST = {
+    "iban": re.compile(r"\b(?:example|sample|invalid|format)\b", re.I),
+    "tel": re.compile(r"\b(?:isbn|issn|version|invoice|serial|lot)\b", re.I),
+    "idnum": re.compile(r"\b(?:isbn|issn|version|part number|serial|lot)\b", re.I),
+    "secret": re.compile(r"\b(?:sha-?(?:1|256|512)|md5|checksum|commit|digest)\b", re.I),
+}
+_SCORE = {"iban": 0.4, "tel": 0.4, "idnum": 0.4, "secret": 0.4}
+WITH, AGAINST, COUNTRY = 0.3, 0.3, 0.3
 _SPACES = str.maketrans("", "", " -")
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = dict(
@@ -120,18 +135,47 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Long words of letters and digits whose characters carry 3 bits each or more."""
+    for m in _SECRET.finditer(text):
+        n = Counter(m[0])
+        total = m.end() - m.start()
+        if any(c.isdigit() for c in n) and any(c.isalpha() for c in n) and sum(c * math.log2(total / c) for c in n.values()) >= 3 * total:
+            yield m.span()
+
+
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def further_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the further kinds that reach KEEP and touch no earlier span."""
     out: list[tuple[int, int, str, float]] = []
     if not _ANY.search(text):
         return out
     taken = [(s, e) for s, e, _ in base]
-    for kind, found in (("iban", ibans(text)), ("tel", (m.span() for m in _TEL.finditer(text))), ("idnum", (m.span() for m in _IDNUM.finditer(text)))):
+    for kind, found in (("iban", ibans(text)), ("tel", (m.span() for m in _TEL.finditer(text))), ("idnum", (m.span() for m in _IDNUM.finditer(text))), ("secret", secrets(text))):
+        # Spans of one kind don't overlap each other, so only those of earlier kinds matter.
+        starts, ends = _merged(taken)
         for s, e in found:
+            k = bisect_left(starts, e) - 1
+            if k >= 0 and ends[k] > s:
+                continue
             near = text[max(0, s - CONTEXT) : s] + " " + text[e : e + CONTEXT]
-            score = min(1.0, _SCORE[kind] + (0.3 if _WORDS[kind].search(near) else 0.0))
-            if score >= KEEP and not any(s < b and a < e for a, b in taken):
-                out.append((s, e, kind, score))
+            score = _SCORE[kind] + (WITH if _WORDS[kind].search(near) else 0.0) - (AGAINST if _AGAINST[kind].search(near) else 0.0)
+            if kind == "iban" and IBAN_LENGTHS.get(text[s : s + 2]) == e - s - text.count(" ", s, e):
+                score += COUNTRY
+            if score >= KEEP:
+                out.append((s, e, kind, min(1.0, score)))
                 taken.append((s, e))
     return out
 
@@ -206,7 +250,8 @@ def redact_column(documents: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", n_spans.alias("n_spans"))
 
 
 def base_digest(text: str) -> str:

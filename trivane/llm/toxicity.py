@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon: Levenshtein automata run over a trie of terms, and windows of context weigh each hit.
 
 The lexicon holds whole words and word beginnings (stems) that occur in far more toxic than other rows. A word of a text
-hits the lexicon if it equals a term, begins with a stem, or is a misspelling of a term (one edit for terms of
-FUZZY_LENGTH letters, two from twice that). Misspellings are found by simulating the Levenshtein automaton of the word
+hits the lexicon if it equals a term, begins with a stem, or is a misspelling: of a term (one edit for terms of
+FUZZY_LENGTH letters, two from twice that), or, at its beginning, of a stem of FUZZY_STEM letters (one edit). Words may be of any length. Misspellings are found by simulating the Levenshtein automaton of the word
 while walking the trie: each node keeps the automaton's states as bit masks, and a branch is left when they are all dead.
 
 A hit counts less where its window of CONTEXT characters shows quotation (it stands between quotation marks, or a
@@ -17,7 +17,8 @@ executors, and only those that pass the test for lexicon terms come to the drive
 sample holds. Whole texts are scored.
 
 Null texts count as empty and get the score of a text without hits; repeated rows get equal scores; an empty table gives
-an empty result; extra columns are not read. Without labels of both kinds every score is the share of toxic labels."""
+an empty result; extra columns are not read. Without labels of both kinds every score is the share of toxic labels, and
+keep_clean, which then knows nothing about any text, keeps every row."""
 
 from __future__ import annotations
 
@@ -39,7 +40,9 @@ STEM_LENGTHS = (4, 5, 6, 7)
 #: would be as telling with a chance below CHANCE.
 LEAST, RATIO, CHANCE = 3, 6.0, 1e-5
 TOXIC_SHARE = 0.25
-FUZZY_LENGTH, CONTEXT, MEMO = 5, 48, 300_000
+FUZZY_LENGTH, FUZZY_STEM, CONTEXT = 5, 6, 48
+#: Bytes of words whose results a Python worker remembers, about; what exceeds it is looked up anew.
+MEMO, WORD_BYTES = 48 << 20, 120
 QUOTED, ADDRESSED = 0.35, 1.25
 
 _WORD = re.compile(r"\w+")
@@ -56,7 +59,12 @@ class Node:
 
 
 #: By lexicon, the words that hit it and some that don't; a Python worker keeps them from task to task.
-_SEEN: dict[tuple, tuple[dict[str, tuple[int, int]], set[str]]] = {}
+_SEEN: dict[tuple, tuple[dict[str, tuple[int, int]], set[str], list[int]]] = {}
+
+
+def _edits(letters: int) -> int:
+    """How many edits a term of so many letters allows."""
+    return 0 if letters < FUZZY_LENGTH else 1 if letters < 2 * FUZZY_LENGTH else 2
 
 
 class Lexicon:
@@ -75,8 +83,14 @@ class Lexicon:
             else:
                 node.term = k
         # A word within e edits of a term holds one of e + 1 parts of it unchanged, the first at its start or the last at
-        # its end; words that hold none need no automaton.
-        self.near = [self._parts([t for t, stem, _ in terms if not stem], e) for e in (1, 2)]
+        # its end; words that hold none, or are longer than any term and its edits, need no automaton.
+        whole = [t for t, stem, _ in terms if not stem]
+        self.near = [self._parts([t for t in whole if _edits(len(t)) >= e], e) for e in (1, 2)]
+        self.longest = [max((len(t) + e for t in whole if _edits(len(t)) >= e), default=0) for e in (1, 2)]
+        # A word that begins with a misspelt stem holds one half of the stem: the first at its start, or the second near by.
+        halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t, stem, _ in terms if stem and len(t) >= FUZZY_STEM]
+        alt = [f"{re.escape(a)}|.{{{max(0, len(a) - 1)},{len(a) + 1}}}{re.escape(b)}" for a, b in sorted(halves)]
+        self.near_stem = re.compile(rf"(?:{'|'.join(alt)})", re.S) if alt else None
 
     @staticmethod
     def _parts(words: list[str], edits: int) -> re.Pattern | None:
@@ -107,28 +121,31 @@ class Lexicon:
         return (best, 1) if best >= 0 else None
 
     def fuzzy(self, word: str, edits: int) -> int:
-        """The term within so many edits of the word that is nearest, -1 if none.
+        """The nearest term within so many edits of the word, or stem within one edit of its beginning; -1 if none.
 
-        Bit i of state e: i characters of the word are matched with e edits."""
+        A term allows edits by its own length. Bit i of state e: i characters of the word are matched with e edits."""
         n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         full = (1 << n + 1) - 1
+        stems = self.near_stem is not None
         start, s = [], 1
         for _ in range(edits + 1):
             start.append(s)
             s = (s << 1 | s) & full
         best, limit = -1, edits
-        stack = [(self.root, start)]
+        stack = [(self.root, start, 0)]
         while stack:
-            node, states = stack.pop()
+            node, states, depth = stack.pop()
             if node.term >= 0:
-                for e in range(limit + 1):
+                for e in range(min(limit, _edits(depth)) + 1):
                     if states[e] >> n & 1:
                         if best < 0 or e < limit or self.odds[node.term] > self.odds[best]:
                             best, limit = node.term, e
                         break
+            if stems and node.stem >= 0 and depth >= FUZZY_STEM and limit and states[1] and (best < 0 or self.odds[node.stem] > self.odds[best]):
+                best, limit = node.stem, 1
             for c, child in node.next.items():
                 mask = masks.get(c, 0)
                 new = [(states[0] & mask) << 1]
@@ -137,17 +154,16 @@ class Lexicon:
                     x = (states[e] & mask) << 1 | old | old << 1 | new[e - 1] << 1
                     new.append(x & full)
                 if any(new[: limit + 1]):
-                    stack.append((child, new))
+                    stack.append((child, new, depth + 1))
         return best
 
     def hit(self, word: str) -> tuple[int, int] | None:
         """(term, kind) for a word: kind 0 a term, 1 a stem, 2 a misspelling."""
         got = self.exact(word)
-        if got is None and FUZZY_LENGTH <= len(word) <= 40:
-            edits = 2 if len(word) >= 2 * FUZZY_LENGTH else 1
-            near = self.near[edits - 1]
-            if near is not None and near.search(word):
-                k = self.fuzzy(word, edits)
+        if got is None and len(word) >= FUZZY_LENGTH - 1:
+            one, two = (p is not None and len(word) <= n and p.search(word) for p, n in zip(self.near, self.longest, strict=True))
+            if two or one or (self.near_stem is not None and self.near_stem.match(word)):
+                k = self.fuzzy(word, 2 if two else 1)
                 got = (k, 2) if k >= 0 else None
         return got
 
@@ -155,21 +171,22 @@ class Lexicon:
         """The words that hit, each with its term and kind."""
         if self.terms not in _SEEN and len(_SEEN) >= FOLDS:
             _SEEN.clear()
-        known, clean = _SEEN.setdefault(self.terms, ({}, set()))
+        known, clean, held = _SEEN.setdefault(self.terms, ({}, set(), [0]))
         out = {}
         for w in words - clean:
             h = known.get(w)
             if h is None:
                 h = self.hit(w)
+                if held[0] >= MEMO:
+                    clean.clear()
+                    known.clear()
+                    held[0] = 0
+                held[0] += WORD_BYTES + len(w)
                 if h is None:
-                    if len(clean) >= MEMO:
-                        clean.clear()
                     clean.add(w)
                     continue
                 known[w] = h
             out[w] = h
-        if len(known) >= MEMO:
-            known.clear()
         return out
 
 
@@ -218,7 +235,7 @@ def _terms_of(text: str) -> set[str]:
     """Words, and beginnings marked by a final star."""
     out = set()
     for w in set(_WORD.findall(text.lower())):
-        if 3 <= len(w) <= 40:
+        if len(w) >= 3:
             out.add(w)
             for k in STEM_LENGTHS:
                 if len(w) > k:
@@ -403,7 +420,9 @@ def _scores(texts: list[str | None], model: Model | float) -> np.ndarray:
 
 
 def keep_clean(documents: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score lies below the threshold, with all their columns."""
+    """The rows whose score lies below the threshold, with all their columns; all rows if the labels were of one kind."""
+    if isinstance(model, float):
+        return documents
     at, schema = documents.columns.index("text"), documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
