@@ -93,3 +93,23 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
     before = n.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return rows.join(before, "_part").withColumn(name, place).drop("_part", "_id", "_before")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """For each row the sums (by new name, the column summed) over the rows before it in its group, by a total order.
+
+    As in positions(), rows are dealt out by range of group and order, so that a group of any size is spread over tasks; a
+    row's sum is that over its part plus those of the parts before, of which each group has one row."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
+    df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    parts = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    over = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = parts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(n).over(over), F.lit(0)).alias(f"_b{i}") for i, n in enumerate(sums)])
+    own = W.partitionBy("_part", *keys).orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(n) for n, c in sums.items()])
+    return rows.join(before, same).select(*df.columns, *[(F.col(n) + F.col(f"_b{i}")).alias(n) for i, n in enumerate(sums)])
