@@ -96,6 +96,15 @@ def test_weights_of_a_subtree_confine_movement(spark):
     assert {r["b"] for r in rows if r["a"] == 3} <= {0, 1, 2, 4, 5}
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_slots_of_one_id(spark, same_text):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.lit(same_text), F.lit("x")).otherwise(F.col("id").cast("string")).alias("text")).union(spark.range(100).select("id", F.lit("y")))
+    by = {}
+    for r in sharding.shard(df).collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 3100
+
+
 # mixing
 
 
@@ -133,6 +142,29 @@ def test_mixing_against_water_filling(spark, seed):
     assert {r["doc_id"]: r["count"] for r in kept} == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_a_third_without_ids_does_not_break_the_mix(spark, same_text):
+    data = [(None, "word " * (1 + i % 7) + ("" if same_text else f"t{i}"), "a" if i % 2 else "b", i) for i in range(600)]
+    data = [(d, "one two three", s, e) for d, t, s, e in data] if same_text else data
+    data += [(i, words(3, i), "c", 0) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, extra long").repartition(5)
+    got = mixing.mix(df).collect()
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+    one, two = ([tuple(r) for r in mixing.mixed(df.repartition(k)).collect()] for k in (3, 7))
+    assert sorted(one, key=repr) == sorted(two, key=repr) and len(one) == sum(r["copies"] for r in got)
+
+
+def test_many_sources_are_mixed(spark):
+    data = [(i, "w " * (1 + i % 5), f"s{i % 700}") for i in range(2800)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    sizes = {r["source"]: r["source_size"] for r in got}
+    order = sorted(sizes)
+    want = fill(sizes, {s: k % 3 + 1 for k, s in enumerate(order)})
+    assert all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
 def test_mixing_edges(spark, docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
     assert mixing.mix(docs).count() == docs.count()
@@ -278,7 +310,7 @@ def test_packing_round_trip(spark, docs, none):
 def test_windows_hold_the_mixture(spark):
     data = [(i, words(60, i), "a" if i % 4 else ("b" if i % 8 else "c")) for i in range(600)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
-    got = packing.pack(df).collect()
+    got = packing.pack(df, grain=128).collect()
     check_packing(df, got)
     total, per = {}, {}
     for r in got:
@@ -289,19 +321,39 @@ def test_windows_hold_the_mixture(spark):
     for w, own in per.items():
         if w < max(per):
             for s in total:
-                assert abs(own.get(s, 0) - packing.SEQUENCE * total[s] / n) <= 2 * packing.GRAIN
+                assert abs(own.get(s, 0) - packing.SEQUENCE * total[s] / n) <= 2 * 128
 
 
-def test_many_sources_share_queues(spark):
-    df = spark.createDataFrame([(i, words(5, i), f"s{i}") for i in range(50)], "doc_id long, text string, source string").repartition(3)
-    check_packing(df, packing.pack(df, queues=4).collect())
+def test_small_sources_are_spread_evenly(spark):
+    """One large source and 2,000 small ones that share the other half: every stretch of the output is half and half."""
+    data = [(i, words(40, i), f"s{i}") for i in range(2000)] + [(5000 + i, words(400, i), "big") for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(df).collect()
+    check_packing(df, got)
+    big = sum(r["length"] for r in got if r["source"] == "big") / sum(r["length"] for r in got)
+    served = whole = 0
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        whole += r["length"]
+        served += r["length"] * (r["source"] == "big")
+        assert abs(served - big * whole) <= 2 * packing.GRAIN
+
+
+def test_weights_hold_until_a_source_ends(spark):
+    data = [(i, words(50, i), "a" if i % 3 else None) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(df, grain=128, weights={"a": 1.0, None: 3.0}).collect()
+    check_packing(df, got)
+    end = max(r["sequence_id"] for r in got if r["source"] is None and r["length"] > 0)
+    end = min(end, sum(r["length"] for r in got if r["source"] is None) * 4 // 3 // packing.SEQUENCE)
+    for w in range(end - 1):
+        share = sum(r["length"] for r in got if r["sequence_id"] == w and r["source"] is None) / packing.SEQUENCE
+        assert abs(share - 0.75) <= 2 * 128 / packing.SEQUENCE
 
 
-def test_places_survive_huge_totals():
-    totals = [10**20, 3 * 10**19, 7]
-    q, g = np.array([0, 1, 2, 0]), np.array([0, 0, 0, 10])
-    got = packing.places(q, g, [t // 10**6 if t > 10**6 else t for t in totals], 128)
-    assert got.tolist() == packing.places(q, g, [t // 10**6 if t > 10**6 else t for t in totals], 128).tolist() and (got >= 0).all()
+def test_pieces_are_not_shreds(spark, sf):
+    got = queries.op3_packing(spark, sf).collect()
+    docs, tokens = spark.read.parquet(f"{sf}/documents.parquet").count(), sum(r["length"] for r in got)
+    assert len(got) <= 2 * docs + 2 * tokens / packing.GRAIN
 
 
 def test_special_strings_and_long_runs(spark):

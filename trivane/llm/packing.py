@@ -1,15 +1,18 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of the tokens of its documents, cut into grains. A queue earns credit in proportion to its tokens
-and is served a grain when it has earned one, what is left being carried on; so every window of the output holds the
-sources in the proportions of the whole, to within a grain each. As credits are proportional to a common clock, the
-moment at which a grain is served, and so its place in the output, follows from the totals of the queues alone: grain j
-of a queue of n grains is served at time (j + 1) / n, ties going to the earlier queue. No state has to pass from window
-to window or from task to task; deficits are carried across partitions by the offsets of their tokens in the queues.
+Each source is a queue of the tokens of its documents, cut into grains of GRAIN tokens. A queue earns credit at its rate, by
+default in proportion to its tokens, and is served a grain when it has earned one, what is left being carried on; so every
+window of the output holds the sources in the target proportions, to within a grain each. As credits follow a common
+clock, the moment at which a grain is served depends on its queue alone: grain j of a queue of rate r is served at time
+(j + 1) * GRAIN / r, and its place in the output is its rank by that time. No state has to pass from window to window or
+from task to task; deficits are carried across partitions by the offsets of tokens in their queues. What queues hold beyond
+whole grains, small sources altogether, forms one more queue, in the order of the sources, which is served evenly to the end. So
+all grains but the last one are full, and none crosses the edge of a sequence. There may be any number of sources.
 
 Tokens are computed once, in the tasks that read the texts, and written to the shared folder with their offsets within
-task and source; the sums by task and source (one narrow row each) then give the offsets in the queues. Nothing that is
-as large as the texts is shuffled.
+task and source; the sums by task and source (one narrow row each) then give the offsets in the queues. Grains are ranked
+by a sort of one narrow row for each, dealt out by range, and joined to the pieces by queue and number. Nothing that is as
+large as the texts is shuffled.
 
 Null texts count as empty and hold the end token alone; a null source is a queue of its own; repeated rows are packed as
 often as they occur; an empty table gives an empty result. Extra columns are not read."""
@@ -30,10 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from trivane.llm.common import arrow_map, stored
+from trivane.operators.windows import positions, running_sums
 
-SEQUENCE, GRAIN, END = 2048, 128, 1
-#: More sources than this share queues by hash, so that what each task is sent stays small.
-QUEUES = 1024
+SEQUENCE, GRAIN, END = 2048, 512, 1
 #: Runs that the quick encoder isn't given; the library's own encoder takes texts that hold one.
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
@@ -102,72 +104,82 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2").astype("<u4") if len(raw) == 2 * n else np.frombuffer(raw, "<u4", offset=2)
 
 
-def places(queue: np.ndarray, grain: np.ndarray, totals: list[int], size: int) -> np.ndarray:
-    """Tokens before each grain in the output."""
-    n = [-(-t // size) for t in totals]
-    wide = max(n, default=0) ** 2 >= 1 << 62
-    t = np.array([x + 1 for x in grain.tolist()], dtype=object) if wide else grain + 1
-    own = np.array([n[q] for q in queue.tolist()], dtype=object if wide else np.int64)
-    out = np.zeros(len(grain), dtype=np.int64)
-    for q, (m, total) in enumerate(zip(n, totals, strict=True)):
-        before = (t * m - (queue < q)) // own
-        before = np.where(queue == q, grain, before).astype(np.int64)
-        out += np.minimum(before * size, total)
-    return out
+def cut(at: np.ndarray, n: np.ndarray, whole: np.ndarray, rest: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(document, start, length, in the queue of rests, grain, offset in the grain) of the pieces of documents, in order.
+
+    at and n: the documents' offsets in their queues and their tokens; whole: the tokens in whole grains of these queues;
+    rest: where what lies beyond begins in the queue of rests."""
+    rows = np.arange(len(n))
+    end = at + n
+    doc = np.concatenate([rows, rows])
+    late = np.repeat([False, True], len(rows))
+    lo = np.concatenate([at, np.maximum(at, whole)])
+    hi = np.concatenate([np.minimum(end, whole), end])
+    keep = hi > lo
+    doc, late, lo, hi = doc[keep], late[keep], lo[keep], hi[keep]
+    # From offsets in the own queue to offsets in the queue of rests.
+    shift = np.where(late, rest[doc] - whole[doc], 0)
+    first, last = (lo + shift) // size, (hi + shift - 1) // size
+    count = last - first + 1
+    part = np.repeat(np.arange(len(lo)), count)
+    grain = first[part] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    a = np.maximum((lo + shift)[part], grain * size)
+    b = np.minimum((hi + shift)[part], (grain + 1) * size)
+    start = a - shift[part] - at[doc[part]]
+    order = np.lexsort((start, doc[part]))
+    return tuple(x[order] for x in (doc[part], start, b - a, late[part], grain, a - grain * size))
 
 
-def cut(offset: np.ndarray, n: np.ndarray, queue: np.ndarray, totals: list[int], size: int = GRAIN, window: int = SEQUENCE) -> tuple[np.ndarray, ...]:
-    """(document, start, length, place) of the pieces of documents at these offsets in their queues, in order."""
-    first, last = offset // size, (offset + n - 1) // size
-    count = last - first + 1
-    doc = np.repeat(np.arange(len(n)), count)
-    grain = first[doc] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    a = np.maximum(offset[doc], grain * size)
-    b = np.minimum((offset + n)[doc], (grain + 1) * size)
-    at = places(queue[doc], grain, totals, size) + a - grain * size
-    # A piece that crosses the edge of a window is cut there.
-    over = np.maximum(0, at + (b - a) - (at // window + 1) * window)
-    two = np.flatnonzero(over)
-    doc, a, at = (np.concatenate([x, y]) for x, y in ((doc, doc[two]), (a, (b - over)[two]), (at, (at + (b - a) - over)[two])))
-    b = np.concatenate([b - over, b[two]])
-    order = np.lexsort((a, doc))
-    doc, a, b, at = doc[order], a[order], b[order], at[order]
-    # Pieces of a document that follow each other in one window are one piece.
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + (b - a)[:-1]) | (at[1:] // window != at[:-1] // window)
-    start = np.flatnonzero(new)
-    length = np.add.reduceat(b - a, start) if len(start) else b
-    return doc[start], a[start] - offset[doc[start]], length, at[start]
-
-
-def pack(documents: DataFrame, tokenizer: str | None = None, window: int = SEQUENCE, grain: int = GRAIN, queues: int = QUEUES) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str | None = None, window: int = SEQUENCE, grain: int = GRAIN, weights: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    Every token lies in one piece, the sequences are full but for the last. window must be a multiple of grain."""
+    Every token lies in one piece, the sequences are full but for the last. window must be a multiple of grain. weights are the
+    proportions in which sources are served as long as they last (1 for a source that isn't named); without them each
+    source is served in proportion to its tokens and they all last to the end."""
     docs = stored(tokenized(documents, tokenizer or default_tokenizer()), "tokens")
     sums = stored(docs.groupBy("part", "source").agg(F.sum("n").alias("sum")), "sums")
-    many = sums.select("source").distinct().count() > queues
-    name = F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string") if many else F.col("source")
-    sums = sums.withColumn("queue", name)
-    # At most queues rows come to the driver.
-    totals = sums.groupBy("queue").agg(F.sum("sum").alias("t")).orderBy(F.col("queue").asc_nulls_last()).collect()
-    number = {r["queue"]: i for i, r in enumerate(totals)}
-    tokens = [r["t"] for r in totals]
-    before = F.coalesce(F.sum("sum").over(W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select(F.col("part").alias("_p"), F.col("source").alias("_s"), F.col("queue"), before.alias("before"))
+    queues = sums.groupBy("source").agg(F.sum("sum").alias("total"))
+    queues = queues.withColumn("whole", (F.col("total") - F.col("total") % grain).cast("long")).withColumn("left", F.col("total") % grain).withColumn("_last", F.col("source").isNull())
+    queues = stored(running_sums(queues, [], ["_last", "source"], {"rest": "left"}), "queues")
+    rate = F.col("total").cast("double")
+    if weights is not None:
+        named = {k: float(v) for k, v in weights.items() if k is not None}
+        known = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("source")) if named else F.lit(None).cast("double")
+        rate = F.coalesce(F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 1.0)))).otherwise(known), F.lit(1.0))
+    queues = queues.withColumn("rate", rate)
+    rests = queues.agg(F.sum("left").alias("left"), F.max(F.col("total") / F.col("rate")).alias("end")).first()
+    rest_rate = float(rests["left"] or 0) / (rests["end"] or 1.0) or 1.0
+    before = F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = sums.withColumn("before", before).join(queues.select(F.col("source").alias("_q"), "whole", "rest", "rate"), F.col("source").eqNullSafe(F.col("_q")))
+    base = stored(base.select(F.col("part").alias("_p"), F.col("source").alias("_s"), "before", "whole", "rest", "rate"), "offsets")
     rows = docs.join(base, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.select("doc_id", "source", "queue", (F.col("before") + F.col("local")).alias("at"), "n", "ids")
+    rows = rows.select("doc_id", "source", (F.col("before") + F.col("local")).alias("at"), "n", "ids", "whole", "rest", "rate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                at, n = b.column(3).to_numpy(), b.column(4).to_numpy()
-                queue = np.array([number[q] for q in b.column(2).to_pylist()], dtype=np.int64)
-                doc, start, length, place = cut(at, n, queue, tokens, grain, window)
-                ids = [memoryview(_ids(x, k)).cast("B") for x, k in zip(b.column(5).to_pylist(), n.tolist(), strict=True)]
+        for every in batches:
+            for s in range(0, every.num_rows, 256):
+                b = every.slice(s, 256)
+                at, n, whole, rest, rates = (b.column(k).to_numpy() for k in (2, 3, 5, 6, 7))
+                doc, start, length, late, number, inside = cut(at, n, whole, rest, grain)
+                ids = [memoryview(_ids(x, k)).cast("B") for x, k in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
                 crc = [zlib.crc32(ids[d][4 * i : 4 * (i + k)]) for d, i, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                time = (number + 1) * grain / np.where(late, rest_rate, rates[doc])
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(place // window), pa.array(place % window), b.column(1).take(take)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
-
-    return arrow_map(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+                new = {"start": start, "length": length, "ids_crc32": np.array(crc, dtype=np.int64), "doc_tokens": n[doc], "late": late, "grain": number, "inside": inside, "time": time}
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *map(pa.array, new.values())], names=["doc_id", "source", *new])
+
+    pieces = stored(arrow_map(rows, run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, late boolean, grain long, inside long, time double"), "pieces")
+    # The queue of rests has one name, whatever the source.
+    queue = F.when(F.col("late"), F.lit(None).cast("string")).otherwise(F.col("source"))
+    own = F.col("late").cast("int") * 2 + (~F.col("late") & F.col("source").isNull()).cast("int")
+    pieces = pieces.withColumn("_own", own).withColumn("_queue", queue)
+    # A grain, by the piece that it begins with; the one grain that may be short comes last.
+    heads = pieces.where("inside = 0").select("time", "_own", "_queue", "grain")
+    if rests["left"]:
+        short = F.col("_own").eqNullSafe(2) & (F.col("grain") == F.lit(rests["left"] // grain))
+        heads = heads.withColumn("time", F.when(short, F.lit(float("inf"))).otherwise(F.col("time")))
+    ranked = positions(heads, ["time", "_own", "_queue", "grain"], "_rank").select(F.col("_own").alias("_o"), F.col("_queue").alias("_q"), F.col("grain").alias("_g"), "_rank")
+    same = (F.col("_own") == F.col("_o")) & F.col("_queue").eqNullSafe(F.col("_q")) & (F.col("grain") == F.col("_g"))
+    place = (F.col("_rank") - 1) * grain + F.col("inside")
+    out = pieces.join(ranked, same).withColumn("_place", place)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", ((F.col("_place") - F.col("_place") % window) / window).cast("long").alias("sequence_id"), (F.col("_place") % window).alias("offset"), "source")

@@ -88,7 +88,7 @@ FROM rows
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~') || '|mix'), 1, 13))::BIGINT AS h
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~') || '|mix|' || coalesce(md5(text), '~')), 1, 13))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS w FROM s),
@@ -100,14 +100,16 @@ level AS (SELECT lam FROM l WHERE lam <= r ORDER BY r, source COLLATE "C" NULLS
 t AS (SELECT source, source_size, least(CAST(lim AS DOUBLE), (SELECT lam FROM level) * w) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM t),
 n AS (SELECT *, target - base * source_size AS need FROM b),
-g AS (SELECT source, h, sum(size) AS part FROM d GROUP BY source, h),
-c AS (SELECT source, h, part, sum(part) OVER (PARTITION BY source ORDER BY h) AS cum FROM g),
+g AS (SELECT source, h, sum(size) AS part, count(*) AS n FROM d GROUP BY source, h),
+c AS (SELECT source, h, part, n, sum(part) OVER (PARTITION BY source ORDER BY h) AS cum FROM g),
 x AS (
-  SELECT c.source, min(h) AS h, arg_min(part, h) AS part, arg_min(cum, h) AS cum, any_value(need) AS need
+  SELECT c.source, min(h) AS h, arg_min(part, h) AS part, arg_min(c.n, h) AS n, arg_min(cum, h) AS cum, any_value(need) AS need
   FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE need > 0 AND source_size > 0 AND cum > need GROUP BY c.source),
-thr AS (SELECT source, h + CASE WHEN (need - (cum - part)) * 2 >= part THEN 1 ELSE 0 END AS thr FROM x)
-SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.base + CASE WHEN d.h < coalesce(thr.thr, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
+thr AS (SELECT source, h AS cut, CAST(floor((need - (cum - part)) * n / part + 0.5) AS BIGINT) AS take FROM x),
+num AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id, size) AS i FROM d)
+SELECT d.doc_id, d.size, n.source_size, n.target,
+  CAST(d.size * (n.base + CASE WHEN d.h < thr.cut OR d.h = thr.cut AND d.i <= thr.take THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM num d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
 """
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join, op10_html)}

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from trivane.llm.common import stored, unit_interval
+from trivane.operators.windows import positions
 
 #: Shards in the complete tree; each shard beyond them is a region with one rack and one shard.
 BASE = 40
 RACKS, PER_RACK = 4, 5
-#: Rows that one slot group holds on average; slots are numbered group by group.
-SLOT_ROWS = 5000
 OVERHEAD = 16
 
 
@@ -88,12 +87,11 @@ def shard(documents: DataFrame, shards: int = BASE) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = assign(assign(rows, "doc_id", layout(shards), "shard"), "doc_id", layout(shards + 1), "grown_shard")
-    rows = stored(rows.withColumn("_u", unit_interval(F.col("doc_id"), F.lit("slot"))), "shards")
-    groups = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
-    rows = rows.withColumn("_g", F.floor(F.col("_u") * groups).cast("int"))
-    before = rows.groupBy("shard", "_g").agg(F.count(F.lit(1)).alias("_n"))
-    over = W.partitionBy("shard").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("shard", "_g", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("shard", "_g").orderBy("_u", "doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("_rn", inside).join(before, ["shard", "_g"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_rn")).cast("long").alias("slot"), "grown_shard")
+    # Rows are numbered in one order over all shards, cut by range: a shard, or an id that very many rows share, is spread over tasks.
+    rows = stored(rows.withColumn("_u", unit_interval(F.col("doc_id"), F.lit("slot"))).withColumn("_tie", F.monotonically_increasing_id()), "shards")
+    placed = positions(rows, ["shard", "_u", "doc_id", "text_crc32", "size", "_tie"], "_position")
+    over = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # over one row for each shard
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
+    before = stored(sizes.select("shard", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before")), "before")
+    out = placed.join(F.broadcast(before), "shard")  # as many rows as there are shards
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_position") - 1 - F.col("_before")).cast("long").alias("slot"), "grown_shard")
