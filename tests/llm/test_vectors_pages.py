@@ -106,8 +106,8 @@ def test_neighbours_against_brute_force(spark, n, block, monkeypatch):
 def test_probe_order_starts_at_home():
     p = np.array([[[0.1, 0.5], [0.9, 0.2]]])
     steps = ann._steps(2)
-    first = steps[ann.probe_order(p, steps)[0, :, 0]]
-    second = steps[ann.probe_order(p, steps)[0, :, 1]]
+    first = steps[ann.probe_order(p, steps, 2)[0, :, 0]]
+    second = steps[ann.probe_order(p, steps, 2)[0, :, 1]]
     assert first.tolist() == [[0, 0], [0, 0]] and second.tolist() == [[-1, 0], [1, 0]]
 
 
@@ -314,3 +314,87 @@ def test_deep_pages_have_a_wrapper(spark):
     rows = [(k, f"http://h.example/{k}", deep(k)) for k in range(6)]
     got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == ("own text %d " % r["page_id"] * 20).strip() for r in got)
+
+
+def test_vectors_of_two_widths_meet_their_own(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    y = rng.normal(size=(40, 3)).astype(np.float32)
+    y[7] = y[2]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(1000 + i, [float(v) for v in r], 0) for i, r in enumerate(y)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    z = y.astype(np.float64)
+    cos = (z @ z.T) / np.outer(np.linalg.norm(z, axis=1), np.linalg.norm(z, axis=1))
+    links = {r["vec_id"]: r for r in itq_dedup.dedup(df).collect()}
+    want = (cos >= 0.9).sum(axis=1) - 1
+    assert [links[1000 + i]["n_links"] for i in range(40)] == want.tolist() and links[1007]["component_id"] <= 1002
+    got = ann.search(df, F.col("vec_id").isin(1002, 1005)).collect()
+    np.fill_diagonal(cos, -2)
+    for q in (1002, 1005):
+        order = np.lexsort((np.arange(40), -cos[q - 1000]))[:5] + 1000
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == order.tolist()
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 6))
+    x[1] = x[0] * 1.0001
+    scale = np.where(np.arange(60) % 3 == 0, 1e300, np.where(np.arange(60) % 3 == 1, 1e-300, 1.0))
+    df = spark.createDataFrame([(i, [float(v) for v in r * s], 0) for i, (r, s) in enumerate(zip(x, scale, strict=True))], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["n_links"] for r in itq_dedup.dedup(df).where("vec_id < 2").collect()} == {0: 1, 1: 1}
+    best = ann.search(df, F.col("vec_id") == 0).where("rank = 1").first()
+    assert best["vec_id"] == 1 and abs(best["score"] - 1) < 1e-9
+
+
+def test_extra_columns_with_clashing_names(spark):
+    x = vectors(3, n=200)
+    df = frame(spark, x)
+    more = df
+    for c in ("id", "vec", "node", "tab", "key", "width", "rows", "root", "code", "_i", "_b", "_n", "a.b", "links", "component_id"):
+        more = more.withColumn(c, F.lit("x"))
+    for f in (itq_dedup.dedup, lambda d: ann.search(d, F.col("vec_id") % 10 == 0)):
+        assert sorted(map(tuple, f(df).collect())) == sorted(map(tuple, f(more).collect()))
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
+    odd = pages
+    for c in ("host", "frame", "full", "blocks", "sure", "_host", "items", "wrapped", "a.b", "text"):
+        odd = odd.withColumn(c, F.lit("x"))
+    assert sorted(map(tuple, html_extract.main_text(pages).collect())) == sorted(map(tuple, html_extract.main_text(odd).collect()))
+
+
+def test_query_row_of_a_repeated_id_is_the_same_each_time(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 50, [float(v) for v in rng.normal(size=6)], 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    one, two = (sorted(map(tuple, ann.search(df.repartition(k), F.col("vec_id") % 10 == 0).collect())) for k in (2, 7))
+    assert one == two and len(one) == 25
+
+
+def test_compared_share_falls_with_the_rows():
+    share = []
+    for n in (2000, 20000):
+        rng = np.random.default_rng(1)
+        c = rng.standard_normal((n // 20, 32))
+        x = c[rng.integers(0, len(c), n)] + 0.35 * rng.standard_normal((n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        pick = rng.permutation(n)[:60]
+        s = x[pick] @ x.T
+        s[np.arange(60), pick] = -2
+        _, got = ann.tune(x[rng.permutation(n)[:800]], x[pick], x[np.argsort(-s, axis=1)[:, :5]], n)
+        assert got["recall"] >= ann.GOAL
+        share.append(got["compared"] / n)
+    assert share[1] < 0.5 * share[0] < 0.2
+
+
+def test_default_recall_on_links_near_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    a = x[:1000]
+    # Partners at cosines from 0.9 up.
+    noise = rng.normal(size=a.shape)
+    noise -= (noise * a).sum(axis=1, keepdims=True) / (a * a).sum(axis=1, keepdims=True) * a
+    noise *= np.linalg.norm(a, axis=1, keepdims=True) / np.linalg.norm(noise, axis=1, keepdims=True)
+    cos = rng.uniform(0.902, 0.93, size=(1000, 1))
+    x[1000:2000] = cos * a + np.sqrt(1 - cos**2) * noise
+    got = itq_dedup.dedup(frame(spark, x, "double")).agg(F.sum("n_links")).first()[0]
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got >= 0.998 * ((y @ y.T >= 0.9).sum() - 3000)
