@@ -34,6 +34,8 @@ BANDS, ROWS = 20, 5
 HASHES, STEP, TOLERANCE = BANDS * ROWS, 20, 1e-5
 SKETCH_BLOCK, SET_BLOCK = 1024, 512
 SEGMENT = 1 << 20
+#: Rows to be read again that are broadcast to the texts, at about 100 bytes each; beyond that, Spark joins the two by key.
+BROADCAST_ROWS = 500_000
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -276,7 +278,9 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["digest", "set"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_print"), "text")
-    rows = docs.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_print") == F.col("print"))).select("digest", "text")
+    wanted = stored(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_print") == F.col("print"))).select("digest", "text")
     return arrow_map(rows, run, "digest binary, set binary").dropDuplicates(["digest"])
 
 
