@@ -6,11 +6,14 @@ distinct values: with a accepted and b other rows at a value, and B others below
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from trivane.functions.states import long_if
+from trivane.operators.windows import positions, running_sums
 
 
 def by_value(df: DataFrame, keys: list[str], value: str, accepted: Column, weight: str | None = None) -> DataFrame:
@@ -23,8 +26,7 @@ def by_value(df: DataFrame, keys: list[str], value: str, accepted: Column, weigh
 
 def pair_counts(grouped: DataFrame, keys: list[str], value: str) -> DataFrame:
     """concordant, discordant, t_acc (within an acceptance group, values differ), t_met (across, values equal)."""
-    run = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    x = grouped.withColumn("_below", F.coalesce(F.sum("b").over(run), F.lit(0)))
+    x = running_sums(grouped, keys, [value], {"_below": "b"})
     a, b = F.col("a"), F.col("b")
     both = lambda c: c * (c - 1) / 2
     s = x.groupBy(*keys).agg(F.sum(a * F.col("_below")).alias("concordant"), F.sum(a * b).alias("t_met"), F.sum("a").alias("n_acc"), F.sum("b").alias("n_other"), F.sum(both(a) + both(b)).alias("_same"))
@@ -43,8 +45,8 @@ def tau_b(c: str = "concordant", d: str = "discordant", ta: str = "t_acc", tm: s
 def rank_tau(df: DataFrame, keys: list[str], value: str, accepted: Column) -> DataFrame:
     """tau-b by midrank sums: (2U - n1 n0) / sqrt(n1 n0 untied); the second formulation, to check the first."""
     g = by_value(df, keys, value, accepted).withColumn("_n", F.col("a") + F.col("b"))
-    run = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumn("_rank", (2 * F.sum("_n").over(run) - F.col("_n") + 1) / 2)
+    g = running_sums(g, keys, [value], {"_below": "_n"})
+    g = g.withColumn("_rank", (2 * F.col("_below") + F.col("_n") + 1) / 2)
     s = g.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("a")).alias("_r"), F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum(F.col("_n") * (F.col("_n") - 1)).alias("_t"))
     n1, n0 = F.col("n1"), F.col("n0")
     u = F.col("_r") - n1 * (n1 + 1) / 2
@@ -63,9 +65,10 @@ def phi(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
 
 def best_grouped(grouped: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The same values with acceptance given to the highest ones: of each value, what of the accepted is left by higher ones."""
-    g = grouped.withColumn("_n", F.col("a") + F.col("b"))
-    above = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("_acc", F.sum("a").over(W.partitionBy(*keys))).withColumn("_above", above)
+    g = running_sums(grouped.withColumn("_n", F.col("a") + F.col("b")), keys, [value], {"_below": "_n"})
+    total = g.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.sum("a").alias("_acc"), F.sum("_n").alias("_all"))
+    g = g.join(total, functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)], F.lit(True)))
+    g = g.withColumn("_above", F.col("_all") - F.col("_below") - F.col("_n"))
     a = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_acc") - F.col("_above")))
     return g.select(*keys, value, a.alias("a"), (F.col("_n") - a).alias("b"))
 
@@ -79,17 +82,20 @@ def within(df: DataFrame, keys: list[str], cluster: str, value: str, accepted: C
     return c.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def each_replicate(replicates: int) -> Column:
+    """The replicates of a row, made where the row is."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")
+
+
 def portable_draws(clusters: DataFrame, cluster: str, replicates: int, salt: str) -> DataFrame:
     """(replicate, cluster, w): resampling clusters with replacement, from md5, the same in every engine.
 
     Draw i of a replicate takes the cluster whose rank is an md5 number modulo the number of clusters. The draws are made
     in the executors; the table has replicates times clusters rows at most."""
-    ranked = clusters.select(cluster).distinct().withColumn("_k", F.row_number().over(W.orderBy(cluster)) - 1)
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    spark = clusters.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
+    ranked = positions(clusters.select(cluster).distinct(), [cluster], "_k").withColumn("_k", F.col("_k") - 1)
+    total = ranked.count()
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("replicate").cast("string"), F.col("_k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    draws = ranked.select("_k").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(reps)).withColumn("_d", h % F.col("_n"))
+    draws = ranked.select("_k", each_replicate(replicates)).withColumn("_d", h % F.lit(max(1, total)))
     w = draws.groupBy("replicate", "_d").agg(F.count(F.lit(1)).alias("w"))
     return w.join(ranked, F.col("_d") == F.col("_k")).select("replicate", cluster, "w")
 
@@ -123,10 +129,10 @@ def contrast(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def bootstrap_contrast(pairs: DataFrame, keys: list[str], unit: str, replicates: int, salt: str) -> DataFrame:
     """Per replicate the mean difference of as many pairs drawn with replacement."""
-    ranked = pairs.withColumn("_d", (F.col("left") - F.col("right")).cast("double")).withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(unit)) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    reps = pairs.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
+    ranked = pairs.withColumn("_d", (F.col("left") - F.col("right")).cast("double")).withColumn("_one", F.lit(1))
+    ranked = running_sums(ranked, keys, [unit], {"_k": "_one"}).join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("replicate").cast("string"), F.col("_k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    w = ranked.select(*keys, "_k", "_n").crossJoin(F.broadcast(reps)).select(*keys, "replicate", (h % F.col("_n")).alias("_k")).groupBy(*keys, "replicate", "_k").agg(F.count(F.lit(1)).alias("w"))
+    w = ranked.select(*keys, "_k", "_n", each_replicate(replicates)).select(*keys, "replicate", (h % F.col("_n")).alias("_k")).groupBy(*keys, "replicate", "_k").agg(F.count(F.lit(1)).alias("w"))
     x = w.join(ranked.select(*keys, "_k", "_d"), [*keys, "_k"])
     return x.groupBy(*keys, "replicate").agg((F.sum(F.col("_d") * F.col("w")) / F.sum("w")).alias("delta"))
 
