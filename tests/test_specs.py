@@ -87,7 +87,7 @@ def test_masking_removes_one_contract():
 
 @pytest.mark.parametrize(
     "text,reason",
-    [("true", "literal_true"), ("((x)) == x", "equality_tautology"), ("a ==> a", "implication_self"), ("a <==> a", "equivalence_self"), ("p || !p", "excluded_middle"), ("n >= 0", "unsigned_nonneg"), ("a ==> true", "low_information_implication"), ("forall|i: int| i == i", "quantifier_trivial_body"), ("x || true", "compound_tautology"), ("x < y", None), ("", None)],
+    [("true", "literal_true"), ("((x)) == x", "self_comparison"), ("x + 0 <= x", "arithmetic_identity"), ("v.len() >= 0", "nonneg_tautology"), ("0 <= n < v.len()", None), ("true && x >= x", "compound_tautology"), ("true && x >= 1", None), ("if c then true else true", "compound_tautology"), ("if c then (a == a) else a == a", "compound_tautology"), ("if c then x > 1 else x > 1", None), ("(a && b) || !(a && b)", "excluded_middle"), ("a ==> a", "implication_self"), ("a <==> a", "equivalence_self"), ("p || !p", "excluded_middle"), ("n >= 0", "nonneg_tautology"), ("a ==> true", "low_information_implication"), ("forall|i: int| i == i", "quantifier_trivial_body"), ("x || true", "compound_tautology"), ("x < y", None), ("", None)],
 )
 def test_tautologies(text, reason):
     assert specs.tautology(text, frozenset({"n"})) == reason
@@ -114,6 +114,34 @@ def test_structure_never_fails():
         specs.structure(text), specs.clauses("requires " + text), specs.functions(text), specs.mutants("fn f() {" + text)
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("a == 2", {"ROR": 5}),
+        ("a < 2", {"ROR": 3}),
+        ("let v: Vec<u8> = w;", {}),
+        ("a * b + 1", {"AOR": 5, "BOUNDARY": 3}),
+        ("a + -1", {"AOR": 3, "BOUNDARY": 5}),
+        ("if !done { x = true; }", {"UOI_UOD": 1, "BOUNDARY": 1}),
+        ("while go.on() && b { }", {"UOI_UOD": 1, "COR_LOR": 1}),
+        ("p + q", {"AOR": 2, "SVR": 2}),
+        ("proof { a < b } assert(a < b); 5", {}),
+        ("a -> b; a => c; a >= 0", {"ROR": 3, "BOUNDARY": 2}),
+    ],
+)
+def test_mutants_by_family(body, want):
+    got = {}
+    for m in specs.mutants(f"fn f(p: u8, q: u8, r: u16) {{ {body} }}"):
+        got[m["family"]] = got.get(m["family"], 0) + 1
+    assert got == want
+
+
+def test_merged_lines_have_exceptions():
+    assert specs.merged_lines("pub fn f(a: u8) {\n    x;\n}", "pub fn f(b: u8) {\n    y;\n}") == "pub fn f(b: u8) {\n    x;\n    y;\n}"
+    assert specs.merged_lines("  inv,", "    inv,") == "    inv,"
+    assert specs.merged_lines("// old\na", "a\n// new") == "// old\na"
+
+
 def test_mutants_change_one_token():
     for m in specs.mutants(SOURCE):
         assert SOURCE[m["start"] : m["end"]] == m["old"] != m["new"]

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from trivane.functions.lexer import CLOSE, OPEN, Token, normalized, partner, split_commas, strip_comments, text_of, tokens, top_level
@@ -445,11 +446,34 @@ def _parts(toks: list[str], op: str) -> list[list[str]]:
     return out
 
 
+def _term(toks: list[str]) -> list[str]:
+    """A term without neutral arithmetic: x + 0, x - 0, x * 1 and x / 1 are x, x - x and x * 0 are 0."""
+    toks = _bare(toks)
+    while len(toks) == 3:
+        a, op, b = toks
+        if op == "*" and "0" in (a, b) or op == "-" and a == b:
+            new = ["0"]
+        elif b == {"+": "0", "-": "0", "*": "1", "/": "1"}.get(op):
+            new = [a]
+        elif a == {"+": "0", "*": "1"}.get(op):
+            new = [b]
+        else:
+            break
+        toks = _bare(new)
+    return toks
+
+
 def _low(toks: list[str]) -> bool:
     toks = _bare(toks)
     return toks == ["true"] or len(toks) == 3 and toks[0] == toks[2] and toks[1] in ("==", "<=", ">=")
 
 
+def _length(toks: list[str]) -> bool:
+    """A term that ends in a call of len, and no comparison."""
+    toks = _bare(toks)
+    return toks[-4:] == [".", "len", "(", ")"] and not set(toks) & {"<", ">", "<=", ">=", "==", "!="}
+
+
 def tautology(text: str, nonnegative: frozenset[str] = frozenset()) -> str | None:
     """Why an expression is true whatever its names mean, or None; nonnegative names are known to be at least 0."""
     return _tautology([t.text for t in tokens(text)], nonnegative)
@@ -462,35 +486,54 @@ def _tautology(toks: list[str], nonneg: frozenset[str]) -> str | None:
         return None
     if toks == ["true"]:
         return "literal_true"
+    pairs = {op: x for op in ("==", "<=", ">=", "==>", "<==>") if len(x := _parts(toks, op)) == 2 and all(x)}
     for op in ("==", "<=", ">="):
-        two = _parts(toks, op)
-        if len(two) == 2 and _bare(two[0]) == _bare(two[1]) and two[0] and not set(toks) & {"==>", "<==>", "&&", "||"}:
-            return "equality_tautology"
-    two = _parts(toks, "==>")
-    if len(two) == 2 and _bare(two[0]) == _bare(two[1]):
-        return "implication_self"
-    same = _parts(toks, "<==>")
-    if len(same) == 2 and _bare(same[0]) == _bare(same[1]):
-        return "equivalence_self"
+        if op in pairs and _term(pairs[op][0]) == _term(pairs[op][1]):
+            return "self_comparison" if all(_bare(x) == _term(x) for x in pairs[op]) else "arithmetic_identity"
+    for op, reason in (("==>", "implication_self"), ("<==>", "equivalence_self")):
+        if op in pairs and _bare(pairs[op][0]) == _bare(pairs[op][1]):
+            return reason
     either = [_bare(p) for p in _parts(toks, "||")]
-    if len(either) > 1 and any(["!", *p] == q or ["!", "(", *p, ")"] == q for p in either for q in either):
+    if any(p[:1] == ["!"] and len(p) > 1 and _bare(p[1:]) == q for i, p in enumerate(either) for j, q in enumerate(either) if i != j):
         return "excluded_middle"
-    if len(toks) == 3 and (toks[1:] == [">=", "0"] and toks[0] in nonneg or toks[:2] == ["0", "<="] and toks[2] in nonneg):
-        return "unsigned_nonneg"
-    if len(two) >= 2 and (_bare(two[0]) == ["false"] or _low(two[-1]) or again(two[-1])):
-        return "low_information_implication"
-    if toks[0] in ("forall", "exists") and len(toks) > 1 and toks[1] == "|":
+    if not set(toks) & {"==>", "<==>", "||", "&&", "|"}:
+        at_least = [(pairs[op][k], pairs[op][1 - k]) for op, k in ((">=", 0), ("<=", 1)) if op in pairs]
+        if any(_term(zero) == ["0"] and (_length(x) or len(x) == 1 and x[0] in nonneg) for x, zero in at_least):
+            return "nonneg_tautology"
+    if "==>" in pairs:
+        first, last = pairs["==>"]
+        if _bare(first) == ["false"] or _low(last) or again(last):
+            return "low_information_implication"
+    if toks[0] in ("forall", "exists") and toks[1:2] == ["|"]:
         bars = [k for k, t in enumerate(toks) if t == "|"]
         if len(bars) > 1 and again(toks[bars[1] + 1 :]):
             return "quantifier_trivial_body"
-    if len(either) > 1 and any(p == ["true"] for p in either):
-        return "compound_tautology"
     both = _parts(toks, "&&")
-    if len(both) > 1 and all(again(p) for p in both):
+    if len(either) > 1 and ["true"] in either or len(both) > 1 and all(again(p) for p in both):
         return "compound_tautology"
+    # Conjuncts that are true fold away.
+    left = [p for p in both if _bare(p) != ["true"]]
+    if len(both) > len(left) > 0 and again([t for k, p in enumerate(left) for t in (["&&"] if k else []) + p]):
+        return "compound_tautology"
+    if toks[0] == "if":
+        then, other = _branches(toks)
+        if then and then == other and again(then):
+            return "compound_tautology"
     return None
 
 
+def _branches(toks: list[str]) -> tuple[list[str], list[str]]:
+    """What stands after the first then, and after the first else behind it, outside brackets; empty where they are missing."""
+    depth, at = 0, {}
+    for k, t in enumerate(toks):
+        depth = max(0, depth + (t in OPEN) - (t in CLOSE))
+        if not depth and (t == "then" and not at or t == "else" and "then" in at and "else" not in at):
+            at[t] = k
+    if len(at) < 2:
+        return [], []
+    return _bare(toks[at["then"] + 1 : at["else"]]), _bare(toks[at["else"] + 1 :])
+
+
 def contradictions(text: str) -> list[str]:
     """Findings that make a conjunction unsatisfiable on its face: false, x != x, bounds on a name that exclude each other."""
     toks = _bare([t.text for t in tokens(text)])
@@ -568,49 +611,91 @@ def value_variants(value, constants: tuple[int, ...] = ()) -> list:
     return unique
 
 
-# Replacements of one operator by another, by family.
+# Replacements of operators and literals, by family.
 MUTATIONS = {
-    "ror": {"<": ("<=", ">="), "<=": ("<", ">"), ">": (">=", "<="), ">=": (">", "<"), "==": ("!=",), "!=": ("==",)},
-    "aor": {"+": ("-",), "-": ("+",), "*": ("+",), "/": ("*",), "%": ("*",)},
-    "lor": {"&&": ("||",), "||": ("&&",)},
-    "cvr": {"true": ("false",), "false": ("true",)},
+    "ROR": {"==": ("!=", "<", "<=", ">", ">="), "!=": ("==", "<", "<=", ">", ">="), "<=": ("<", ">", ">="), ">=": (">", "<", "<="), "<": ("<=", ">", ">="), ">": (">=", "<", "<=")},
+    "AOR": {"+": ("-", "*"), "-": ("+",), "*": ("+", "-", "/"), "/": ("*", "%"), "%": ("/", "*")},
+    "COR_LOR": {"&&": ("||",), "||": ("&&",)},
+    "BOUNDARY": {"0": ("1", "-1"), "1": ("0", "2", "-1"), "-1": ("0", "1"), "true": ("false",), "false": ("true",)},
 }
+# Characters that, right before or after an operator, make it part of another one.
+NEIGHBOURS = {"<": ("<>=!", "=<"), ">": ("<>=!-", "="), "+": ("+-*/%", "+="), "-": ("-=", ">=-"), "*": ("*/", "="), "/": ("/", "/=*"), "%": ("%", "="), "==": ("=!<>", ">")}
+
+
+def _angles(toks: list[Token]) -> set[int]:
+    """Positions of angle brackets around types: opened after :: or a capitalised name."""
+    out, open_ = set(), []
+    for k, t in enumerate(toks):
+        if t.text == "<" and (open_ or k and (toks[k - 1].text == "::" or toks[k - 1].text[0].isupper())):
+            open_.append(k)
+        elif t.text == ">" and open_:
+            out |= {open_.pop(), k}
+        elif t.text in (";", "{", "}"):
+            open_.clear()
+    return out
+
+
+def _executed(body: str) -> list[Token]:
+    """The tokens of a body that run: without assertions, loop clauses and proof blocks."""
+    toks, skip, out = tokens(body), 0, []
+    for k, t in enumerate(toks):
+        if k < skip:
+            continue
+        if t.text in CLAUSE_KINDS or t.text in ("proof", "assert", "assume"):
+            # Up to the brace, parenthesis or semicolon; a parenthesis or a proof's brace is skipped whole.
+            end = k + 1
+            while end < len(toks) and toks[end].text not in ("{", ";", "("):
+                end += 1
+            whole = end < len(toks) and (toks[end].text == "(" or t.text == "proof" and toks[end].text == "{")
+            close = partner(toks, end) if whole else None
+            skip = close + 1 if close is not None else end
+            continue
+        out.append(t)
+    return out
+
+
+def _edits(f: Function, toks: list[Token]) -> Iterator[tuple[str, str, int, int, str]]:
+    """(family, operator, start, end, replacement) within the body."""
+    angles = _angles(toks)
+    near = lambda k: toks[k].text if 0 <= k < len(toks) else ""
+    for k, t in enumerate(toks):
+        before, after = f.body[t.start - 1 : t.start], f.body[t.end : t.end + 1]
+        bad = NEIGHBOURS.get(t.text, ("", ""))
+        alone = not (before and before in bad[0]) and not (after and after in bad[1]) and k not in angles
+        for family, table in MUTATIONS.items():
+            if t.text in table and (alone or t.kind != "op"):
+                yield from ((family, family, t.start, t.end, new) for new in table[t.text])
+        if t.text == "-" and near(k + 1) == "1" and toks[k + 1].start == t.end and not (before.isalnum() or before == "_"):
+            yield from (("BOUNDARY", "BOUNDARY", t.start, t.end + 1, new) for new in MUTATIONS["BOUNDARY"]["-1"])
+        if t.text in ("if", "while") and k + 1 < len(toks):
+            if near(k + 1) == "!" and k + 2 < len(toks) and toks[k + 2].kind == "word":
+                yield "UOI_UOD", "UOD", toks[k + 1].start, toks[k + 1].end, ""
+            elif toks[k + 1].kind == "word":
+                yield "UOI_UOD", "UOI", toks[k + 1].start, toks[k + 1].start, "!"
+    # A parameter in the place of another one of its type.
+    by_type: dict[str, list[str]] = {}
+    for name, kind in f.parameters:
+        by_type.setdefault("".join(kind.split()), []).append(name)
+    for names in by_type.values():
+        for t in toks:
+            if t.kind == "word" and t.text in names:
+                yield from (("SVR", "SVR", t.start, t.end, new) for new in names if new != t.text)
 
 
 def mutants(text: str) -> list[dict]:
-    """One-token mutants of executable bodies: operators, truth values, numbers (plus one) and removed negations.
+    """Mutants of executable bodies by one edit each: relations, arithmetic, connectives, boundary literals, a negation put in
+    or taken away after if and while, and a parameter exchanged for one of its type.
 
-    An id is a hash of family, place and replacement, so equal mutants have equal ids."""
-    out, seen = [], set()
+    An id is a hash of operator, place and replacement, so equal mutants have equal ids and count once."""
+    out = {}
     for f in functions(text):
         if f.mode != "exec" or not f.body:
             continue
         shift = f.end - len(f.body)
-        skip = 0
-        toks = tokens(f.body)
-        for k, t in enumerate(toks):
-            if t.text in CLAUSE_KINDS or t.text in ("proof", "assert"):
-                # Proof text inside a body isn't executed: up to its brace, parenthesis or semicolon.
-                end = k + 1
-                while end < len(toks) and toks[end].text not in ("{", ";", "("):
-                    end += 1
-                close = partner(toks, end) if end < len(toks) and toks[end].text in ("(",) or t.text == "proof" and end < len(toks) and toks[end].text == "{" else None
-                skip = max(skip, close if close is not None else end)
-            if k < skip:
-                continue
-            options = [(fam, new) for fam, table in MUTATIONS.items() for new in table.get(t.text, ())]
-            if t.kind == "number" and t.text.isdigit():
-                options.append(("cvr", str(int(t.text) + 1)))
-            if t.text == "!" and k + 1 < len(toks) and toks[k + 1].text != "=" and (k == 0 or toks[k - 1].kind != "word"):
-                options.append(("uod", ""))
-            for fam, new in options:
-                if fam == "aor" and t.text in ("-", "*") and (k == 0 or toks[k - 1].text in OPEN or toks[k - 1].text in ("=", ",", "return", "==")):
-                    continue
-                key = hashlib.sha256(f"{f.name}|{fam}|{shift + t.start}|{t.text}|{new}".encode()).hexdigest()[:16]
-                if key not in seen:
-                    seen.add(key)
-                    out.append({"id": key, "function": f.name, "family": fam, "start": shift + t.start, "end": shift + t.end, "old": t.text, "new": new})
-    return out
+        for family, operator, start, end, new in _edits(f, _executed(f.body)):
+            key = hashlib.sha256(f"{family}|{operator}|{shift + start}|{f.body[start:end]}|{new}".encode()).hexdigest()[:16]
+            out.setdefault(key, {"id": key, "function": f.name, "family": family, "start": shift + start, "end": shift + end, "old": f.body[start:end], "new": new})
+    return list(out.values())
 
 
 def weaker_stronger(clause: str) -> list[tuple[str, str]]:
@@ -684,15 +769,21 @@ def executable_view(text: str, most: int = 8000) -> str:
 
 
 def merged_lines(a: str, b: str) -> str:
-    """The lines of two versions in one order, common ones once."""
+    """The lines of two versions in one order, common ones once.
+
+    Lines of the first that the second lacks stay, but for function headers, which the second replaces, and lines that
+    differ from the next one, of the second, in white space alone. Comment lines that the second has are left out."""
     import difflib
 
-    x, y = a.splitlines(), b.splitlines()
-    out = []
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        out += x[i1:i2] if op in ("equal", "delete", "replace") else []
-        out += y[j1:j2] if op in ("insert", "replace") else []
-    return "\n".join(out)
+    diff = list(difflib.ndiff(a.replace("\t", "    ").splitlines(), b.replace("\t", "    ").splitlines()))
+    respaced = lambda x, y: y.startswith("+") and x[2:].strip() == y[2:].strip()
+    stays = {
+        "-": lambda x, y: " fn " not in x[2:] and not respaced(x, y),
+        "+": lambda x, y: not x[2:].strip().startswith("//"),
+        " ": lambda x, y: not x[2:].strip().startswith("//"),
+        "?": lambda x, y: False,
+    }
+    return "\n".join(x[2:] for x, y in zip(diff, [*diff[1:], ""], strict=True) if stays[x[0]](x, y))
 
 
 def alpha_normalized(text: str) -> str:

@@ -38,77 +38,6 @@ def f01_strip_comments(spark, d):
     return t.select("p_partkey", F.regexp_count("t", F.lit("hidden|outer|inner")).cast("long").alias("left_over"), F.contains("t", F.lit("ensures // no")).alias("has_string"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 3 = 1 THEN 4 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 17 ELSE 0 END + 70 AS n FROM part")
-def f02_f03_tokens(spark, d):
-    t = spec_texts(spark, d).select("p_partkey", P.token_spans("text").alias("s"), "text")
-    ok = F.forall("s", lambda x: F.substr("text", x["start"] + 1, x["end"] - x["start"]) == x["text"])
-    return t.select("p_partkey", F.when(ok, F.size("s")).otherwise(-1).alias("n"))
-
-
-@query("SELECT p_partkey, kind, n FROM (SELECT p_partkey, 'requires' AS kind, CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS n FROM part UNION ALL SELECT p_partkey, 'ensures', 2 FROM part UNION ALL SELECT p_partkey, 'assert', 1 FROM part)")
-def f08_clauses(spark, d):
-    c = spec_texts(spark, d).select("p_partkey", F.explode(P.clauses("text")).alias("c"))
-    return c.groupBy("p_partkey", F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
-@query("SELECT p_partkey, concat('f', p_partkey) AS name, 'exec' AS mode, concat('f', p_partkey, '(x:u32,v:&Vec<u32>)->(r:u32)') AS signature, CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS requires, 2 AS ensures, concat('f', p_partkey) AS target FROM part")
-def f10_f11_y01_functions(spark, d):
-    t = spec_texts(spark, d).withColumn("target", P.target("text", F.lit("no_such"), F.lit(None).cast("string")))
-    f = t.select("p_partkey", "target", F.explode(P.functions("text")).alias("f"))
-    return f.select("p_partkey", "f.name", "f.mode", "f.signature", F.size("f.requires").alias("requires"), F.size("f.ensures").alias("ensures"), "target")
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'literal_true' WHEN p_partkey % 3 = 1 THEN 'equality_tautology' END AS reason FROM part WHERE p_partkey % 3 < 2")
-def m05_y22_tautologies(spark, d):
-    c = spec_texts(spark, d).select("p_partkey", F.explode(P.clauses("text")).alias("c")).select("p_partkey", P.tautology("c.text").alias("reason"))
-    return c.where("reason IS NOT NULL")
-
-
-@query("SELECT p_partkey, CASE WHEN p_size < p_partkey % 7 THEN 'inconsistent_bounds:x' WHEN p_size = p_partkey % 7 THEN 'strict_empty_interval:x' ELSE '' END AS finding FROM part")
-def m05_contradictions(spark, d):
-    P.ready(spark)
-    e = view(spark, d, "part").select("p_partkey", F.format_string("x < %d && x >= %d", "p_size", F.col("p_partkey") % 7).alias("e"))
-    return e.select("p_partkey", F.array_join(P.contradictions("e"), ",").alias("finding"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 14 ELSE 9 END AS nodes, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 1 END AS depth, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS quantifiers FROM part")
-def m06_structure(spark, d):
-    P.ready(spark)
-    even = F.col("p_partkey") % 2 == 0
-    e = view(spark, d, "part").select("p_partkey", F.when(even, "a < b && (forall|i: int| c ==> i <= d && e == f)").otherwise("a < b && c && d == e").alias("e"))
-    s = e.select("p_partkey", P.structure("e").alias("s"))
-    return s.select("p_partkey", "s.nodes", "s.depth", "s.quantifiers")
-
-
-@query("SELECT p_partkey, 'assume_false' AS kind, CAST(1 AS BIGINT) AS n FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 'unimplemented', 1 FROM part WHERE p_partkey % 4 = 1")
-def f15_blacklist(spark, d):
-    P.ready(spark)
-    k = F.col("p_partkey") % 4
-    t = view(spark, d, "part").select("p_partkey", F.when(k == 0, "fn a() { assume( false ); } // admit()").when(k == 1, "fn a() { todo!() }").otherwise("fn a() {} /* assume(false) */").alias("t"))
-    return t.select("p_partkey", F.explode(P.blacklisted("t")).alias("b")).groupBy("p_partkey", F.col("b.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT p_partkey, concat('code', p_partkey, chr(10)) AS code, '{\"k\": [' || p_size || ', \"}\"]}' AS js FROM part")
-def f17_f18_salvage(spark, d):
-    P.ready(spark)
-    t = view(spark, d, "part").select("p_partkey", F.format_string("see ```rust\nx\n``` and ```\ncode%d\n```", "p_partkey").alias("a"), F.format_string('answer: {"k": [%d, "}"]} done', "p_size").alias("b"))
-    return t.select("p_partkey", P.fenced(F.col("a")).alias("code"), P.json_slice("b").alias("js"))
-
-
-@query("SELECT p_partkey, family, n FROM (SELECT p_partkey, 'ror' AS family, CAST(2 AS BIGINT) AS n FROM part UNION ALL SELECT p_partkey, 'aor', 1 FROM part UNION ALL SELECT p_partkey, 'cvr', 3 FROM part)")
-def st23_mutants(spark, d):
-    m = spec_texts(spark, d).select("p_partkey", F.explode(P.mutants("text")).alias("m"))
-    return m.groupBy("p_partkey", F.col("m.family").alias("family")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT p_partkey, true AS same FROM part")
-def y06_alpha_equal(spark, d):
-    """Definitions that differ in bound names alone are equal."""
-    P.ready(spark)
-    p = view(spark, d, "part").select("p_partkey", F.format_string("spec fn g(a: int) -> bool { forall|z%d: int| z%d > a }", "p_size", "p_size").alias("a"), F.lit("spec fn g(b: int) -> bool { forall|y: int| y > b }").alias("b"))
-    return p.select("p_partkey", (P.alpha_normalized("a") == P.alpha_normalized("b")).alias("same"))
-
-
 def text_pairs(spark, d):
     """Every turn of a conversation with the turn before it, as token arrays of the whole texts."""
     t = view(spark, d, "conversations").select("conv_id", "turn", P.words(F.coalesce("text", F.lit(""))).alias("c"))
@@ -352,16 +281,6 @@ def y12_types(spark, d):
     return x.select("p_partkey", F.try_element_at("m", F.concat(F.lit("S"), F.col("p_partkey").cast("string"))).alias("s"), F.try_element_at("m", F.lit("T")).alias("t"))
 
 
-@query("SELECT p_partkey, p_size <= 25 AS ok FROM part")
-def m08_y11_typed_values(spark, d):
-    """Printed values read as their type; one out of range is not ok."""
-    from trivane.functions import specs
-
-    P.ready(spark)
-    ok = F.udf(lambda t: specs.typed_value(t, "Vec<u8>")[0], "boolean", useArrow=True)
-    return view(spark, d, "part").select("p_partkey", ok(F.format_string("[1, %d]", F.col("p_size") * 10 + F.when(F.col("p_size") > 25, 0).otherwise(0))).alias("ok"))
-
-
 @query("SELECT p_partkey, v FROM (SELECT p_partkey, unnest(list_distinct([p_size - 1, p_size + 1, 0, 1, -1, 7])) AS v, p_size FROM part) WHERE v <> p_size")
 def m09_boundary_values(spark, d):
     p = view(spark, d, "part")
@@ -399,14 +318,6 @@ def st28_variants(spark, d):
     return v.groupBy("p_partkey", "v.operator").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("SELECT p_partkey, scope, CASE scope WHEN 'full' THEN 5 WHEN 'spec_only' THEN 4 ELSE 1 END + CASE WHEN p_partkey % 3 < 2 AND scope <> 'proof' THEN 1 ELSE 0 END AS n FROM part, (VALUES ('full'), ('spec_only'), ('proof')) s(scope)")
-def f09_st16_text_items(spark, d):
-    """What each scope compares of a text."""
-    scopes = F.array(F.lit("full"), F.lit("spec_only"), F.lit("proof"))
-    t = spec_texts(spark, d).withColumn("scope", F.explode(scopes))
-    return t.select("p_partkey", "scope", F.size(P.text_items("text", "scope")).alias("n"))
-
-
 @query("SELECT p_partkey, 'a::b,g' AS callees, CASE WHEN p_partkey % 2 = 0 THEN 'parameter_count' ELSE 'parameter_type,return_type' END AS issues FROM part")
 def y02_y05_y21_binding(spark, d):
     P.ready(spark)
@@ -468,18 +379,3 @@ def y15_selected_runs(spark, d):
     for k, v in chosen.items():
         s = s if v is None else s.where(F.col(k) == v)
     return s.groupBy("workflow", "model", "shot").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS delta FROM part")
-def st17_structure_delta(spark, d):
-    """Difference of a count between two sides: every text against one with two preconditions."""
-    base = F.lit("fn g(x: u32) requires x > 1, x < 9 { }")
-    n = lambda c: F.size(F.filter(P.clauses(c), lambda x: x["kind"] == "requires"))
-    return spec_texts(spark, d).select("p_partkey", (n("text") - n(base)).alias("delta"))
-
-
-@query("SELECT p_partkey, 'a' || chr(10) || 'b' || p_size || chr(10) || 'c' AS merged, 'let x = 1;' AS runs FROM part")
-def f19_f20_views(spark, d):
-    P.ready(spark)
-    x = view(spark, d, "part").select("p_partkey", F.format_string("a\nb%d", "p_size").alias("a"), F.format_string("b%d\nc", "p_size").alias("b"))
-    return x.select("p_partkey", P.merged_lines("a", "b").alias("merged"), P.executable_view(F.lit("let x = 1; // c\nassert(x == 1);\nproof { lemma(); }")).alias("runs"))
