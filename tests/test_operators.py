@@ -173,7 +173,7 @@ def test_metric_failures_stay_in_their_row(spark, monkeypatch):
     df = spark.createDataFrame([("fn f() requires true {}",), (None,), ("",)], "t string")
     got = [tuple(r[0]) for r in df.select(registry.evaluated("vacuity_rate", F.col("t"))).collect()]
     assert got == [("ok", 1.0), ("not_available", None), ("not_available", None)]
-    assert registry.scope("Spec-Only") == "spec_only" and registry.catalog(spark).count() == len(registry.METRICS)
+    assert registry.scope("Spec-Only") == "spec_only" and registry.catalog(spark).count() == len(registry.METRICS) + len(registry.MEASURES)
 
 
 def test_stream_upsert_and_compaction(spark, tmp_path):
@@ -235,3 +235,32 @@ def test_flattened_records(spark):
     for bad, why in ((record(stage="odd"), "unknown stage"), (record(total=2), "inconsistent counts"), (record(passed=-1, total=-1), "inconsistent counts")):
         with pytest.raises(Exception, match=why):
             flat(bad)
+
+
+def test_folders_are_paired_and_evaluated(spark, tmp_path, capsys):
+    from trivane.__main__ import evaluate, file_pairs
+
+    spec = "fn f(x: u32) requires x < {} ensures true {{ assert(x < 9); }}"
+    for side, names in (("gen", ("a b.rs", "é.rs", "only.rs", "note.txt")), ("ref", ("a b.rs", "é.rs"))):
+        (tmp_path / side).mkdir()
+        for k, n in enumerate(names):
+            (tmp_path / side / n).write_text(spec.format(k if side == "gen" else 0))
+    gen, ref = str(tmp_path / "gen"), str(tmp_path / "ref")
+    assert file_pairs(gen, ref, ".rs")[1] == ["only.rs"] and len(file_pairs(gen, ref, ".rs")[0]) == 2
+    (tmp_path / "o.json").write_text('{"name": "a b.rs", "side": "generated", "verified": true, "mutants": ["killed", "unknown"]}\n')
+    evaluate(gen, ref, str(tmp_path / "out"), str(tmp_path / "o.json"))
+    got = {(r["name"], r["metric"]): r for r in spark.read.parquet(str(tmp_path / "out" / "scores")).collect()}
+    assert len(got) == 2 * len(registry.MEASURES)
+    assert got["a b.rs", "textual_similarity"]["score"] == 1.0 and 0 < got["é.rs", "textual_similarity"]["score"] < 1
+    assert (got["a b.rs", "mutation_kill_rate"]["status"], got["a b.rs", "mutation_kill_rate"]["score"]) == ("partial", 0.5)
+    assert got["é.rs", "mutation_kill_rate"]["status"] == "not_available"
+    with pytest.raises(SystemExit):
+        file_pairs(gen, str(tmp_path / "o.json"), ".rs")
+
+
+def test_measures_by_older_names():
+    assert registry.measure("pass").name == "verification_pass_rate" and registry.measure("tool_spec_score").name == "textual_similarity"
+    with pytest.raises(ValueError):
+        registry.measure("nothing")
+    with pytest.raises(ValueError):
+        registry.side({"nothing": F.lit(1)})

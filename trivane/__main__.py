@@ -2,15 +2,64 @@
 
     python -m trivane list
     python -m trivane run NAME TABLES [--out FOLDER]
-    python -m trivane evaluate GENERATED REFERENCE"""
+    python -m trivane evaluate GENERATED REFERENCE [--out FOLDER] [--outcomes FILE] [--suffix .rs]
+
+GENERATED and REFERENCE are two files, or two folders whose files of the same name are paired. FILE holds a JSON object a line:
+name, side (generated or ground) and fields of evidence (see functions/metrics.py), for metrics that an outside program decides."""
 
 from __future__ import annotations
 
 import argparse
-import json
 from pathlib import Path
 
 
+def file_pairs(generated: str, reference: str, suffix: str) -> tuple[list[tuple[str, str, str]], list[str]]:
+    """(name, generated, reference) of two files, or of the files of the same name in two folders; and names without a partner."""
+    g, r = Path(generated), Path(reference)
+    if g.is_file() and r.is_file():
+        return [(g.name, str(g), str(r))], []
+    if not g.is_dir() or not r.is_dir():
+        raise SystemExit("give two files or two folders")
+    own, theirs = ({f.name for f in d.iterdir() if f.suffix == suffix} for d in (g, r))
+    if not own & theirs:
+        raise SystemExit(f"no {suffix} files of the same name: {len(own)} generated, {len(theirs)} reference")
+    return [(n, str(g / n), str(r / n)) for n in sorted(own & theirs)], sorted(own ^ theirs)
+
+
+def evaluate(generated: str, reference: str, out: str | None = None, outcomes: str | None = None, suffix: str = ".rs") -> None:
+    """All metrics of the pairs, one JSON line each, or with out as Parquet (scores) and JSON (summary) in that folder."""
+    import sys
+
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    from trivane.functions import registry
+    from trivane.functions.metrics import EVIDENCE
+
+    pairs, alone = file_pairs(generated, reference, suffix)
+    if alone:
+        print(f"without a partner, skipped: {', '.join(alone)}", file=sys.stderr)
+    spark = SparkSession.builder.appName("trivane").getOrCreate()
+    read = lambda paths, as_: spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"), F.col("value").alias(as_))
+    names = {Path(x).name: n for n, *two in pairs for x in two}
+    label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    texts = [read([p[k + 1] for p in pairs], s).select(label[F.url_decode("_file")].alias("name"), s) for k, s in enumerate(("gen", "ref"))]
+    both = texts[0].join(texts[1], "name")
+    fields = ", ".join(f"{k} {t}" for k, t in EVIDENCE.items() if k != "text")
+    known = spark.read.schema(f"name string, side string, {fields}").json(outcomes) if outcomes else spark.createDataFrame([], f"name string, side string, {fields}")
+    for s, text in (("generated", "gen"), ("ground", "ref")):
+        own = known.where(F.col("side") == s).dropDuplicates(["name"]).drop("side")
+        both = both.join(own.select("name", F.struct(*[c for c in own.columns if c != "name"]).alias("_e")), "name", "left")
+        both = both.withColumn(s, registry.side({"text": F.col(text), **{k: F.col(f"_e.{k}") for k in EVIDENCE if k != "text"}})).drop("_e", text)
+    scores = registry.measured(both, "name")
+    if out:
+        scores.write.mode("errorifexists").parquet(f"{out}/scores")
+        scores = spark.read.parquet(f"{out}/scores")
+        registry.summary(scores).coalesce(1).write.mode("errorifexists").json(f"{out}/summary")
+    for row in (registry.summary(scores) if out else scores).orderBy("name" if not out else "metric").toJSON().toLocalIterator():
+        print(row)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="trivane", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
@@ -22,14 +71,12 @@ def main(argv: list[str] | None = None) -> None:
     ev = sub.add_parser("evaluate")
     ev.add_argument("generated")
     ev.add_argument("reference")
+    ev.add_argument("--out")
+    ev.add_argument("--outcomes")
+    ev.add_argument("--suffix", default=".rs")
     a = p.parse_args(argv)
     if a.command == "evaluate":
-        from trivane.functions.registry import METRICS
-
-        g, r = (Path(x).read_text(encoding="utf-8", errors="replace") for x in (a.generated, a.reference))
-        for m in METRICS.values():
-            x, y = m.analyse(g), m.analyse(r)
-            print(json.dumps({"metric": m.name, "generated": x, "reference": y, "delta": None if x is None or y is None else x - y}))
+        evaluate(a.generated, a.reference, a.out, a.outcomes, a.suffix)
         return
     from trivane import catalog
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.functions import specs
+from trivane.functions.metrics import EVIDENCE, MEASURES, Measure
+from trivane.session import ship
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,12 @@ METRICS: dict[str, Metric] = {
         Metric("mutant_count", "Mutants", "mutation", "descriptive", lambda t: float(len(specs.mutants(t)))),
     )
 }
-ALIASES = {"clause_redundancy": "duplicate_clause_rate", "vacuity_rate": "trivial_clause_rate", "blacklist": "keyword_blacklist"}
+#: Older names.
+ALIASES = {
+    "clause_redundancy": "duplicate_clause_rate", "vacuity_rate": "trivial_clause_rate", "blacklist": "keyword_blacklist",
+    "spec_score": "textual_similarity", "llm_as_judge": "llm_as_judge_intent_consistency", "pass": "verification_pass_rate",
+    "proportion_ge_gt": "proportion_at_least_gt", "proportion_le_gt": "proportion_at_most_gt", "redundancy_rate": "spec_redundancy_rate",
+}
 #: Parts of a text that its metrics look at, with their other names.
 SCOPES = {"full": "full", "whole_file": "full", "all": "full", "spec_only": "spec_only", "spec": "spec_only", "specification": "spec_only"}
 
@@ -69,9 +76,46 @@ def metric(name: str) -> Metric:
     return METRICS[ALIASES.get(name, name)]
 
 
+def measure(name: str) -> Measure:
+    """A metric of evidence by its name, an older one, or either behind the name of a tool and an underscore."""
+    for n in (name, name.partition("_")[2]):
+        n = ALIASES.get(n, n)
+        if n in MEASURES:
+            return MEASURES[n]
+    raise ValueError(f"unknown metric {name}")
+
+
 def catalog(spark: SparkSession) -> DataFrame:
-    """The catalog as a table: one small row per metric."""
-    return spark.createDataFrame([(m.name, m.title, m.category, m.direction) for m in METRICS.values()], "name string, title string, category string, direction string")
+    """The catalog as a table: one small row per metric, those of evidence first."""
+    every = [*MEASURES.values(), *METRICS.values()]
+    return spark.createDataFrame([(m.name, m.title, m.category, m.direction) for m in every], "name string, title string, category string, direction string")
+
+
+def side(columns: dict[str, Column]) -> Column:
+    """Evidence from some of its fields."""
+    unknown = set(columns) - set(EVIDENCE)
+    if unknown:
+        raise ValueError(f"no such evidence: {sorted(unknown)}")
+    return F.struct(*[columns.get(k, F.lit(None)).cast(t).alias(k) for k, t in EVIDENCE.items()])
+
+
+def measured(pairs: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
+    """(key, metric, status, score, ground, delta) for every pair (key, generated, ground) of evidence and every metric, in one
+    pass; delta only if both sides have a score. The ground side is measured against itself."""
+    ship(pairs.sparkSession)
+    rows = []
+    for n in names or list(MEASURES):
+        m = measure(n)
+        g, r = m.score(F.col("generated"), F.col("ground")), m.score(F.col("ground"), F.col("ground"))
+        rows.append(F.struct(F.lit(m.name).alias("metric"), g.alias("g"), r.alias("r")))
+    out = pairs.select(key, F.explode(F.array(*rows)).alias("m"))
+    return out.select(key, "m.metric", "m.g.status", "m.g.score", F.col("m.r.score").alias("ground"), (F.col("m.g.score") - F.col("m.r.score")).alias("delta"))
+
+
+def summary(scores: DataFrame) -> DataFrame:
+    """Per metric: pairs, those with a score, their mean, and the share that has one."""
+    n, scored = F.count(F.lit(1)), F.count("score")
+    return scores.groupBy("metric").agg(n.alias("pairs"), scored.alias("scored"), F.avg("score").alias("mean"), (scored / n).alias("coverage"))
 
 
 def evaluated(name: str, text: Column) -> Column:

@@ -161,3 +161,14 @@ def y06_alpha_equal(spark, d):
     two = ("(forall|y: int| y > b + #)", "b > #", "(exists|y: int| y == b)", "b <= #")
     full = lambda s, name: P.alpha_normalized(program(s, f"spec fn g({name}: int) -> bool {{ ", " }", " && "))
     return turns(spark, d).where("size(ws) > 0").select("item_id", (full(one, "a") == full(two, "b")).alias("same"))
+
+
+@query(f"WITH {WORDS} SELECT item_id, metric, 'ok' AS status, CASE metric WHEN 'requires_count' THEN 2.0 * {number(0, 4)} ELSE 0.0 END::DOUBLE AS score, CASE metric WHEN 'requires_count' THEN 2.0 * {number(0, 4)} - 1 ELSE -1.0 END::DOUBLE AS delta FROM tk, (VALUES ('requires_count'), ('keyword_blacklist')) m(metric)")
+def x01_x04_metrics(spark, d):
+    """Registered metrics on two sides, with the difference of their scores; one under an older name."""
+    from trivane.functions import registry
+
+    t = turns(spark, d).withColumn("text", program(FUNCTIONS))
+    other = F.lit("fn g(x: u32) requires x > 1 { admit() }")
+    one = lambda n: t.select("item_id", F.lit(registry.metric(n).name).alias("metric"), registry.two_sided(n, F.col("text"), other).alias("m"))
+    return one("requires_count").unionByName(one("blacklist")).select("item_id", "metric", "m.generated.status", "m.generated.score", "m.delta")

@@ -240,18 +240,6 @@ def st21_triviality_ratio(spark, d):
     return view(spark, d, "samples").select("sample_id", mean.alias("ratio"), F.when(n == 0, "not_available").when(n == 1, "partial").otherwise("ok").alias("status"))
 
 
-@query("SELECT p_partkey, 'requires_count' AS metric, 'ok' AS status, CAST(CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS DOUBLE) AS score, CAST(CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS DOUBLE) - 1 AS delta FROM part UNION ALL SELECT p_partkey, 'keyword_blacklist', 'ok', 0.0, -1.0 FROM part")
-def x01_x04_metrics(spark, d):
-    """Registered metrics on two sides, with the difference of their scores."""
-    from trivane.functions import registry
-
-    t = spec_texts(spark, d)
-    other = F.lit("fn g(x: u32) requires x > 1 { admit() }")
-    one = lambda n: t.select("p_partkey", F.lit(n).alias("metric"), registry.two_sided(n, F.col("text"), other).alias("m"))
-    both = one("requires_count").unionByName(one("blacklist").withColumn("metric", F.lit(registry.metric("blacklist").name)))
-    return both.select("p_partkey", "metric", "m.generated.status", "m.generated.score", "m.delta")
-
-
 @query("SELECT DISTINCT concat_ws('|', workflow, model, shot, task_id) AS sample_id, workflow, model, shot, CAST(task_id AS VARCHAR) AS task_id FROM samples")
 def s08_sample_identity(spark, d):
     """Identities joined and split again; a part that is empty or holds the separator is an error."""
