@@ -120,23 +120,24 @@ def near_duplicates(items: DataFrame, unit: str, text: str, pos: str, tokens: Co
     its first items (the limit is part of the measure).
 
     Prefix filter: two sets as similar as this share one of the first len - ceil(threshold * len) + 1 of their tokens in
-    any fixed order, so only items that meet on such a token are compared; rare tokens come first."""
+    any fixed order, so only items that meet on such a token are compared; rare tokens come first. Positions alone are paired;
+    texts and tokens are fetched for the pairs that remain."""
     own = items.withColumn("_r", F.row_number().over(W.partitionBy(unit).orderBy(pos))).where(F.col("_r") <= first)
     own = own.withColumn("_t", F.array_distinct(tokens)).select(unit, F.col(pos).alias("p"), F.col(text).alias("x"), "_t")
     # Empty sets are equal: Jaccard 1. They meet on a token of their own.
-    each = own.select(unit, "p", F.explode(F.when(F.size("_t") == 0, F.array(F.lit(""))).otherwise(F.col("_t"))).alias("tok"))
+    each = own.select(unit, "p", F.greatest(F.size("_t"), F.lit(1)).alias("_n"), F.explode(F.when(F.size("_t") == 0, F.array(F.lit(""))).otherwise(F.col("_t"))).alias("tok"))
     freq = each.groupBy(unit, "tok").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(W.partitionBy(unit, "p").orderBy("df", "tok"))
-    size = F.greatest(F.size("_t"), F.lit(1))
-    prefix = each.join(freq, [unit, "tok"]).withColumn("_k", rank).join(own.select(unit, "p", "_t", "x"), [unit, "p"]).where(F.col("_k") <= size - F.ceil(size * threshold - 1e-9) + 1)
-    a = prefix.select(unit, "tok", F.col("p").alias("left_pos"), F.col("_t").alias("_a"), F.col("x").alias("_xa"))
-    b = prefix.select(unit, "tok", F.col("p").alias("right_pos"), F.col("_t").alias("_b"), F.col("x").alias("_xb"))
-    n = lambda c: F.size(c)
-    pairs = a.join(b, [unit, "tok"]).where((F.col("left_pos") < F.col("right_pos")) & (F.col("_xa") != F.col("_xb")) & (F.least(n("_a"), n("_b")) >= threshold * F.greatest(n("_a"), n("_b")) - 1e-9))
-    common = n(F.array_intersect("_a", "_b"))
-    union = n("_a") + n("_b") - common
+    prefix = each.join(freq, [unit, "tok"]).withColumn("_k", rank).where(F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1)
+    side = lambda pos, n: prefix.select(unit, "tok", F.col("p").alias(pos), F.col("_n").alias(n))
+    near = (F.col("left_pos") < F.col("right_pos")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9)
+    pairs = side("left_pos", "_na").join(side("right_pos", "_nb"), [unit, "tok"]).where(near).select(unit, "left_pos", "right_pos").distinct()
+    pairs = pairs.join(own.select(unit, F.col("p").alias("left_pos"), F.col("_t").alias("_a"), F.col("x").alias("_xa")), [unit, "left_pos"])
+    pairs = pairs.join(own.select(unit, F.col("p").alias("right_pos"), F.col("_t").alias("_b"), F.col("x").alias("_xb")), [unit, "right_pos"]).where("_xa <> _xb")
+    common = F.size(F.array_intersect("_a", "_b"))
+    union = F.size("_a") + F.size("_b") - common
     jac = F.when(union == 0, 1.0).otherwise(common / union)
-    return pairs.withColumn("jaccard", jac).where(F.col("jaccard") >= threshold).select(unit, "left_pos", "right_pos", "jaccard").distinct()
+    return pairs.withColumn("jaccard", jac).where(F.col("jaccard") >= threshold).select(unit, "left_pos", "right_pos", "jaccard")
 
 
 def located(points: DataFrame, spans: DataFrame, unit: str, at: str, start: str, end: str, case: str) -> DataFrame:
