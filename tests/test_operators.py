@@ -264,3 +264,42 @@ def test_measures_by_older_names():
         registry.measure("nothing")
     with pytest.raises(ValueError):
         registry.side({"nothing": F.lit(1)})
+
+
+def test_archives_are_checked(spark, tmp_path):
+    from trivane.sources import archives
+
+    (tmp_path / "big.bin").write_bytes(bytes(range(256)) * 100)
+    whole, parts = str(tmp_path / "big.bin"), str(tmp_path / "parts")
+    m = spark.createDataFrame(archives.split(spark, whole, parts, 10_000).collect(), "name string, size long, sha256 string")
+    assert sorted(r["size"] for r in m.collect()) == [5_600, 10_000, 10_000]
+    archives.restore(spark, m, parts, str(tmp_path / "again.bin"))
+    assert (tmp_path / "again.bin").read_bytes() == (tmp_path / "big.bin").read_bytes()
+    with pytest.raises(ValueError, match="exists"):
+        archives.restore(spark, m, parts, str(tmp_path / "again.bin"))
+    (tmp_path / "parts" / "big.bin.part00001").write_bytes(b"x" * 10_000)
+    with pytest.raises(ValueError, match="part00001"):
+        archives.restore(spark, m, parts, str(tmp_path / "third.bin"))
+    assert not (tmp_path / "third.bin").exists()
+
+
+def test_actions_have_one_function_each():
+    from trivane.functions import actions
+
+    text = "fn f(x: u8) requires x > 1, x > 2 { }"
+    assert actions.apply("mask_contract", text, "f").split() == ["fn", "f(x:", "u8)", "{", "}"]
+    with pytest.raises(ValueError):
+        actions.action("merge_lines")(str)
+    with pytest.raises(ValueError):
+        actions.apply("nothing", text)
+
+
+def test_running_sums_and_positions(spark):
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "b", None]), rnd.randint(0, 40), k, rnd.randint(-3, 9)) for k in range(400)]
+    df = spark.createDataFrame(data, "g string, o int, k int, v long").repartition(5)
+    got = {r["k"]: r["before"] for r in windows.running_sums(df, ["g"], ["o", "k"], {"before": "v"}).collect()}
+    assert got == {k: sum(w for h, p, j, w in data if h == g and (p, j) < (o, k)) for g, o, k, v in data}
+    place = {r["k"]: r["position"] for r in windows.positions(df, ["o", "k"]).collect()}
+    assert [k for k, _ in sorted(place.items(), key=lambda x: x[1])] == [k for _, k in sorted((o, k) for _, o, k, _ in data)]
+    assert windows.running_sums(df.limit(0), ["g"], ["o"], {"before": "v"}).count() == 0

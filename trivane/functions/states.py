@@ -324,3 +324,13 @@ def imputed(score: Col, lower_is_better: Col, keep_missing: Col) -> Column:
 def conservative(passed: Col, total: Col) -> Column:
     """passed / total with unknowns as not passed; 0 if there is nothing."""
     return F.coalesce(ratio(passed, total), F.lit(0.0))
+
+
+def nested(record: Col, path: str, kind: str = "string", default=None) -> Column:
+    """A field of a variant by its path ($.a.b[0]), or a default where it is missing, null or of another kind."""
+    return F.coalesce(F.try_variant_get(_c(record), path, kind), F.lit(default).cast(kind))
+
+
+def member(values: Col, x: Col) -> Column:
+    """Whether x is among the values; false, not null, for missing ones."""
+    return F.coalesce(F.array_contains(_c(values), _c(x)), F.lit(False))
