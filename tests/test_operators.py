@@ -278,6 +278,7 @@ def test_archives_are_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="exists"):
         archives.restore(spark, m, parts, str(tmp_path / "again.bin"))
     (tmp_path / "parts" / "big.bin.part00001").write_bytes(b"x" * 10_000)
+    (tmp_path / "parts" / ".big.bin.part00001.crc").unlink()  # else the file system itself refuses the part
     with pytest.raises(ValueError, match="part00001"):
         archives.restore(spark, m, parts, str(tmp_path / "third.bin"))
     assert not (tmp_path / "third.bin").exists()
