@@ -113,26 +113,32 @@ def _coded(classes: DataFrame, width: int, t: Tables, kind: str) -> DataFrame:
     return arrow_map(classes.where(F.col("width") == width).select("node", "vec"), run, "width int, tab int, key long, node binary, code binary")
 
 
-def _marked(units: DataFrame, most: dict[int, int]) -> DataFrame:
-    """(width, tab, key, node) of the rows that have a candidate with a near code in a unit."""
+def _marked(units: DataFrame, t: Tables) -> DataFrame:
+    """(width, tab, key, node) of the rows that have a candidate with a near code in a unit, one with which they agree in no
+    earlier table that the sketch shows."""
+    weights = (1 << np.arange(t.bits)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in sorted_groups(batches, ["width", "tab", "key", "_i", "_j"], 4096):
-            codes = t.column("code").to_pylist()
-            width, i, j, own = (t.column(c).to_numpy() for c in ("width", "_i", "_j", "_b"))
-            hit = np.zeros(t.num_rows, dtype=bool)
+        for rows, at in sorted_groups(batches, ["width", "tab", "key", "_i", "_j"], 4096):
+            code, raw = matrix(rows.column("code"), "<u8"), matrix(rows.column("code"), np.uint8)
+            tab, i, j, own = (rows.column(c).to_numpy() for c in ("tab", "_i", "_j", "_b"))
+            hit = np.zeros(rows.num_rows, dtype=bool)
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                code = matrix(pa.array(codes[s:e]), "<u8")
+                earlier = min(int(tab[s]), t.sketch // t.bits)
+                keys = np.unpackbits(raw[s:e], axis=1)[:, : earlier * t.bits].reshape(e - s, earlier, t.bits) @ weights if earlier else None
                 left, right = np.flatnonzero(own[s:e] == i[s]), np.flatnonzero(own[s:e] == j[s])
                 for k in range(0, len(left), 256):
                     part = left[k : k + 256]
                     apart = np.zeros((len(part), len(right)), dtype=np.int16)
                     for w in range(code.shape[1]):
-                        apart += np.bitwise_count(code[part, w][:, None] ^ code[right, w][None, :])
-                    near = (apart <= most[width[s]]) & (part[:, None] != right[None, :])
-                    hit[s + part] |= near.any(axis=1)
-                    hit[s + right] |= near.any(axis=0)
-            yield from t.filter(pa.array(hit)).select(["width", "tab", "key", "node"]).to_batches()
+                        apart += np.bitwise_count(code[s + part, w][:, None] ^ code[s + right, w][None, :])
+                    a, b = np.nonzero((apart <= t.most) & (part[:, None] != right[None, :]))
+                    a, b = part[a], right[b]
+                    if keys is not None:
+                        new = ~(keys[a] == keys[b]).any(axis=1)
+                        a, b = a[new], b[new]
+                    hit[s + a] = hit[s + b] = True
+            yield from rows.filter(pa.array(hit)).select(["width", "tab", "key", "node"]).to_batches()
 
     return arrow_map(units.select("width", "tab", "key", "_i", "_j", "_b", "node", "code"), run, "width int, tab int, key long, node binary")
 
@@ -201,7 +207,7 @@ def dedup(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = R
     bucket, deal = ["width", "tab", "key"], F.xxhash64("node")
     found = classes.where(~F.col("width").isin(sorted(indexed))).select("width", F.lit(0).alias("tab"), F.lit(0).cast("long").alias("key"), "node")
     for w, t in tables.items():
-        found = found.unionByName(_marked(in_blocks(_coded(classes, w, t, kind), bucket, deal, BLOCK), {w: t.most}).distinct())
+        found = found.unionByName(_marked(in_blocks(_coded(classes, w, t, kind), bucket, deal, BLOCK), t).distinct())
     marked = stored(found, "marked")
     units = in_blocks(marked.join(classes.select("node", "vec", "rows"), "node"), bucket, deal, BLOCK)
     links = stored(_linked(units, threshold, kind, tables), "links")
