@@ -561,11 +561,22 @@ def content_slot(slots: list[Slot], pages: int) -> tuple[int, bool] | None:
     return None if at[cur].tag in ("#root", "html", "body") else (cur, bool(tags & {"article", "main"}))
 
 
+@dataclass(slots=True)
+class Item:
+    """A block without its tree."""
+
+    key: int  # hash of place and text
+    node: int  # the element of the ordered frame that it lies in
+    chars: int
+    head: bool
+    inside: bool
+    menu: bool
+    text: str
+
+
 @dataclass(slots=True)
 class Page:
-    blocks: list[Block]
-    keys: list[int]
-    nodes: list[int]  # the element of the ordered frame that each block lies in
+    items: list[Item]
     shape: str
     form: str
     sure: bool
@@ -580,23 +591,25 @@ def read(html: str | None) -> Page:
     form, number = ordered_frame(root)
     # Copies of one page would make its content look constant: pages of the same content, or without any of the same blocks, count once.
     own = [b.text for b in found if b.inside] or [b.text for b in found]
-    return Page(found, [_key(b.node.path, b.text) for b in found], [number[id(b.node)] for b in found], frame(root), form, sure, _key(0, "\0".join(own)) if own else None)
+    items = [Item(_key(b.node.path, b.text), number[id(b.node)], b.chars, b.node.tag == "h1", b.inside, b.menu, b.text) for b in found]
+    return Page(items, frame(root), form, sure, _key(0, "\0".join(own)) if own else None)
 
 
 def induce(pages: list[str]) -> list[int]:
     """The constant nodes of pages of one host, as hashes of place and text; wrappers() does the same for a table."""
+    keys = lambda p: [x.key for x in p.items]
     one: dict[int, Page] = {}
     shapes: Counter[str] = Counter()
     for p in map(read, pages):
-        if p.copy is not None and (p.copy not in one or (p.shape, p.keys) < (one[p.copy].shape, one[p.copy].keys)):
+        if p.copy is not None and (p.copy not in one or (p.shape, keys(p)) < (one[p.copy].shape, keys(one[p.copy]))):
             one[p.copy] = p
     for p in one.values():
         shapes[p.shape] += 1
     order = sorted(shapes, key=lambda s: (-shapes[s], _key(0, s)))
     layout = dict(zip(order, layouts(order), strict=True))
-    groups: dict[int, list[list[int]]] = {-1: [p.keys for p in one.values()]}
+    groups: dict[int, list[list[int]]] = {-1: [keys(p) for p in one.values()]}
     for p in one.values():
-        groups.setdefault(layout[p.shape], []).append(p.keys)
+        groups.setdefault(layout[p.shape], []).append(keys(p))
     out: set[int] = set()
     for group in groups.values():
         if len(group) >= LEAST:
@@ -607,7 +620,7 @@ def induce(pages: list[str]) -> list[int]:
 def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The text that a page's own tags and constant nodes give."""
     p = read(html)
-    return "\n".join(b.text for b, k in zip(p.blocks, p.keys, strict=True) if b.inside and (p.sure or not b.menu) and k not in template)
+    return "\n".join(x.text for x in p.items if x.inside and (p.sure or not x.menu) and x.key not in template)
 
 
 _BLOCKS = "array<struct<key long, node int, chars int, head boolean, inside boolean, menu boolean, text string>>"
@@ -622,10 +635,8 @@ def parsed(pages: DataFrame) -> DataFrame:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
                 got = [read(html) for html in b.column(3).to_pylist()]
-                each = [(k, n, x.chars, x.node.tag == "h1", x.inside, x.menu, x.text) for p in got for k, n, x in zip(p.keys, p.nodes, p.blocks, strict=True)]
-                cols = list(zip(*each, strict=True)) or [()] * len(kinds)
-                inner = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
-                ends = pa.array(np.cumsum([0, *(len(p.keys) for p in got)]), pa.int32())
+                inner = pa.StructArray.from_arrays([pa.array([getattr(x, k) for p in got for x in p.items], t) for k, t in kinds], names=[k for k, _ in kinds])
+                ends = pa.array(np.cumsum([0, *(len(p.items) for p in got)]), pa.int32())
                 new = {
                     "frame": pa.array([_key(0, p.shape) for p in got], pa.int64()),
                     "shape": pa.array([p.shape for p in got], pa.string()),
