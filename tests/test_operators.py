@@ -304,3 +304,14 @@ def test_running_sums_and_positions(spark):
     place = {r["k"]: r["position"] for r in windows.positions(df, ["o", "k"]).collect()}
     assert [k for k, _ in sorted(place.items(), key=lambda x: x[1])] == [k for _, k in sorted((o, k) for _, o, k, _ in data)]
     assert windows.running_sums(df.limit(0), ["g"], ["o"], {"before": "v"}).count() == 0
+
+
+def test_figures(spark):
+    from trivane.sources import figures
+
+    df = spark.createDataFrame([("a<b", 2.0, 1.0, 3.0), ("c", None, None, None)], "k string, v double, lo double, hi double")
+    for svg in (figures.bars(df, "k", "v"), figures.dots(df, "k", "v", "lo", "hi"), figures.heatmap(df, "k", "k", "v")):
+        assert svg.startswith("<svg") and svg.endswith("</svg>") and "a&lt;b" in svg and svg.count('data-value="2"') == 1
+    assert figures.bars(df.limit(0), "k", "v").count("<rect") == 0
+    with pytest.raises(ValueError):
+        figures.bars(spark.range(600).select(F.col("id").alias("k"), F.col("id").alias("v")), "k", "v")

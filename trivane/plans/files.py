@@ -185,3 +185,18 @@ def v04_recomputed(spark, d):
     m = mutants(spark, d)
     shares = m.groupBy("base_id").agg(F.avg(F.when(F.col("outcome") != "invalid_mutant", (F.col("outcome") == "killed").cast("double"))).alias("score"))
     return out.unionByName(mismatches(A.kill_rate(m, ["base_id"]), shares, ["base_id"], "score", "kill_rate"))
+
+
+@query("""WITH g AS (SELECT workflow, count(*) AS n, count(*) FILTER (stage = 'accepted') AS a FROM samples GROUP BY workflow), h AS (SELECT workflow, stage, count(*) AS n FROM samples GROUP BY ALL)
+SELECT 'bars' AS figure, count(*) AS marks, CAST(sum(n) AS DOUBLE) AS total FROM g UNION ALL SELECT 'heatmap', count(*), sum(n) FROM h UNION ALL SELECT 'dots', count(*), sum(a) FROM g""")
+def s21_figures(spark, d):
+    """Figures of small tables: as many marks as rows, each with its value."""
+    from trivane.sources import figures
+
+    s = view(spark, d, "samples")
+    g = s.groupBy("workflow").agg(F.count(F.lit(1)).alias("n"), S.long_if(F.col("stage") == "accepted").alias("a"))
+    h = s.groupBy("workflow", "stage").agg(F.count(F.lit(1)).alias("n"))
+    drawn = [("bars", figures.bars(g, "workflow", "n")), ("heatmap", figures.heatmap(h, "workflow", "stage", "n")), ("dots", figures.dots(g.withColumn("z", F.lit(0)), "workflow", "a", "z", "n"))]
+    values = F.regexp_extract_all("svg", F.lit('data-value="([^"]*)"'), F.lit(1)).alias("v")
+    f = spark.createDataFrame(drawn, "figure string, svg string").select("figure", values)
+    return f.select("figure", F.size("v").cast("long").alias("marks"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
