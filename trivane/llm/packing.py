@@ -144,7 +144,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = SEQUE
     rate = F.col("total").cast("double")
     if weights is not None:
         named = {k: float(v) for k, v in weights.items() if k is not None}
-        known = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("source")) if named else F.lit(None).cast("double")
+        known = F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("source")) if named else F.lit(None).cast("double")
         rate = F.coalesce(F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 1.0)))).otherwise(known), F.lit(1.0))
     queues = queues.withColumn("rate", rate)
     rests = queues.agg(F.sum("left").alias("left"), F.max(F.col("total") / F.col("rate")).alias("end")).first()
