@@ -7,8 +7,8 @@ sum of the squared distances to the boundaries crossed (Lv et al. 2007). Candida
 by their exact cosine in double precision.
 
 The number of tables, m, w and the number of probes are chosen anew for every input: FIT_QUERIES rows of a bounded sample ask, their
-true neighbours are found among all rows, in one pass, and the setting is taken that costs least among those that find at least
-the share GOAL of them. Cost counts the rows that a query is compared with, and the rows and probes that are dealt out. As the
+true neighbours are found among all rows, in one pass, and the setting is taken that costs least among those that find so large a
+share of them that neither their number nor that of the queries is likely to bring the recall below LEAST. Cost counts the rows that a query is compared with, and the rows and probes that are dealt out. As the
 rows grow in number, neighbours come nearer and the share of rows that a query visits falls. Every row is indexed.
 
 The rows of a bucket are cut into blocks of about BLOCK rows, and so are its queries; a task compares two blocks and
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from trivane.llm.common import arrow_map, partitions, sorted_groups, stored
 from trivane.llm.vectors import finite, share, unpacked, widths
 
 K = 5
-FIT_ROWS, FIT_QUERIES, GOAL = 1000, 120, 0.93
+FIT_ROWS, FIT_QUERIES, LEAST, SIGMAS = 1000, 120, 0.9, 2.5
 #: Settings that are tried; REACH is by m.
 HASHES, WIDTHS, TABLES, PROBES = (4, 6, 8, 10, 12), (0.75, 1.0, 1.5, 2.0, 3.0), (1, 2, 3, 4, 6), (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
 REACH = {4: 4, 6: 6, 8: 4, 10: 3, 12: 3}
@@ -112,14 +113,19 @@ def _reached(rows: np.ndarray, asks: np.ndarray, steps: np.ndarray, own: np.ndar
     return out
 
 
-def tune(x: np.ndarray, asks: np.ndarray, near: np.ndarray, rows: int, seed: int = 11) -> tuple[Index, dict]:
-    """The cheapest setting that finds GOAL of the neighbours (asks, k, components), or else the one that finds most, and what
+def goal(found: int, asked: int) -> float:
+    """The recall to aim at: LEAST, and SIGMAS standard deviations of an estimate from found neighbours and of asked ones."""
+    return min(1.0, LEAST + SIGMAS * math.sqrt(LEAST * (1 - LEAST) * (1 / max(1, found) + 1 / max(1, asked))))
+
+
+def tune(x: np.ndarray, asks: np.ndarray, near: np.ndarray, rows: int, asked: int, seed: int = 11) -> tuple[Index, dict]:
+    """The cheapest setting that finds goal() of the neighbours (asks, k, components), or else the one that finds most, and what
     is expected of it; x is a sample of the rows."""
     rng = np.random.default_rng(seed)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     x, asks, near = unit(x), unit(asks), unit(near)
     apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("qkd,qd->qk", near, asks))).mean() or 1e-3
-    found = None
+    found, least = None, goal(near.shape[0] * near.shape[1], asked * near.shape[1])
     for m in HASHES:
         lines, shift = rng.standard_normal((x.shape[1], TABLES[-1] * m)), rng.random(TABLES[-1] * m)
         at, p, n = ((v @ lines).reshape(*v.shape[:-1], TABLES[-1], m) for v in (x, asks, near))
@@ -139,7 +145,8 @@ def tune(x: np.ndarray, asks: np.ndarray, near: np.ndarray, rows: int, seed: int
                     recall = float((first < probes).mean())
                     compared = float(sum((s < probes).mean() for s in seen[:tables])) * rows
                     cost = compared + DEALT * tables * (probes + 50)
-                    rank = (recall < GOAL, cost if recall >= GOAL else -recall)
+                    # More comparisons than all rows would take are never worth it.
+                    rank = (compared >= rows, recall < least, cost if recall >= least else -recall)
                     if found is None or rank < found[0]:
                         index = Index(lines[:, : tables * m], shift[: tables * m] * w, w, m, tables, probes)
                         visited = float((np.min(seen[:tables], axis=0) < probes).mean())
@@ -198,8 +205,8 @@ def _true(rows: DataFrame, asks: list[tuple[int, bytes]], kind: str, k: int) ->
     return out
 
 
-def index_for(rows: DataFrame, kind: str, n: int, k: int) -> tuple[Index, dict]:
-    """The index for rows (id, vec) of one width, n in all, and what is expected of it."""
+def index_for(rows: DataFrame, kind: str, n: int, k: int, asked: int) -> tuple[Index, dict]:
+    """The index for rows (id, vec) of one width, n in all, and so many queries; and what is expected of it."""
     sample = sorted((r["id"], bytes(r["vec"])) for r in share(rows, F.xxhash64("id", "vec", F.lit("fit")), FIT_ROWS, n).select("id", "vec").collect())
     x = unpacked([v for _, v in sample], kind)
     pick = np.random.default_rng(5).permutation(len(sample))[:FIT_QUERIES]
@@ -208,7 +215,7 @@ def index_for(rows: DataFrame, kind: str, n: int, k: int) -> tuple[Index, dict]:
     if not full:  # too few different rows for k neighbours: any index will do, as such queries are compared with all rows
         d = x.shape[1]
         return Index(np.ones((d, 1)), np.zeros(1), 1.0, 1, 1, 1), {}
-    return tune(x, x[pick[full]], np.stack([unpacked(near[i], kind) for i in full]), n)
+    return tune(x, x[pick[full]], np.stack([unpacked(near[i], kind) for i in full]), n, asked)
 
 
 def _ranked(units: DataFrame, kind: str, k: int) -> DataFrame:
@@ -299,8 +306,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     parts = []
     for w in sorted(indexed):
         own = rows.where(F.col("width") == w)
-        index, _ = index_for(own, kind, n[w], k)
-        units = _units(_indexed(own, index, kind, False), _indexed(asks.where(F.col("width") == w), index, kind, True))
+        asking = asks.where(F.col("width") == w)
+        index, _ = index_for(own, kind, n[w], k, asking.count())
+        units = _units(_indexed(own, index, kind, False), _indexed(asking, index, kind, True))
         parts.append(stored(_best(_ranked(units, kind, k), k), "found"))
     if not parts:
         return asks.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
