@@ -172,3 +172,39 @@ def x01_x04_metrics(spark, d):
     other = F.lit("fn g(x: u32) requires x > 1 { admit() }")
     one = lambda n: t.select("item_id", F.lit(registry.metric(n).name).alias("metric"), registry.two_sided(n, F.col("text"), other).alias("m"))
     return one("requires_count").unionByName(one("blacklist")).select("item_id", "metric", "m.generated.status", "m.generated.score", "m.delta")
+
+
+@query(f"WITH {WORDS}, d AS (SELECT item_id, list_distinct(n) AS n FROM tk) SELECT item_id, {number(0, 4)} AS structs, {number(1, 4)} AS aliases, {number(2, 4)} AS enums, CASE WHEN {number(0, 4)} > 0 THEN 'struct {{ a : u32 }}' END AS shape FROM d")
+def y12_types(spark, d):
+    """Types by name, the kinds of their definitions and the shape of the structs."""
+    from trivane.functions import specs
+
+    m = F.udf(lambda t: specs.types(t), "map<string,string>", useArrow=True)
+    t = turns(spark, d).select("item_id", m(program(("struct S# { a: u32 }", "type T# = Vec<u8>;", "enum E# { A, B }", "fn f#() { }"))).alias("m"))
+    of = lambda kind: F.filter(F.map_values("m"), lambda x: x.startswith(kind))
+    count = lambda kind: F.size(of(kind)).cast("long")
+    return t.select("item_id", count("struct ").alias("structs"), count("type ").alias("aliases"), count("enum ").alias("enums"), F.array_min(of("struct ")).alias("shape"))
+
+
+# Features that the clauses of a statement of FUNCTIONS have: how often, by statement.
+_FEATURES = {"kr": (2, 0, 0), "x": (2, 1, 0), "lt": (1, 0, 1), "gt": (1, 0, 0), "ke": (0, 1, 0), "true": (0, 1, 0), "ka": (0, 1, 0), "eq": (0, 1, 0), "ki": (0, 0, 2), "i": (0, 0, 1), "j": (0, 0, 1), "kd": (0, 0, 1)}
+_HAS = lambda side: ", ".join(f"{a} * {side}0 + {b} * {side}1 + {c} * {side}3" for a, b, c in _FEATURES.values())
+
+
+@query(f"""WITH {WORDS}, v AS (SELECT split_part(item_id, '.', 1) AS conv, CAST(split_part(item_id, '.', 2) AS INT) AS turn, item_id, {number(0, 4)} AS v0, {number(1, 4)} AS v1, {number(3, 4)} AS v3 FROM tk),
+p AS (SELECT b.item_id, a.v0 AS a0, a.v1 AS a1, a.v3 AS a3, b.v0 AS b0, b.v1 AS b1, b.v3 AS b3 FROM v a JOIN v b ON a.conv = b.conv AND b.turn = a.turn + 1 WHERE a.v0 + a.v1 + a.v3 > 0 AND b.v0 + b.v1 + b.v3 > 0),
+f AS (SELECT item_id, unnest([{_HAS('a')}]) AS x, unnest([{_HAS('b')}]) AS y FROM p)
+SELECT item_id, CAST(sum(y) AS BIGINT) AS "right", round(sum(least(x, y)) / CAST(sum(y) AS DOUBLE), 9) AS recall FROM f GROUP BY item_id""")
+def st15_st16_key_features(spark, d):
+    """Feature recall of a turn's program by that of the turn before it: clause kinds, key tokens and identifiers as multisets."""
+    from trivane.operators import sets as U
+    from trivane.operators import texts as T
+
+    t = turns(spark, d).where(F.exists("ws", lambda w: F.length(w) % 4 != 2))
+    t = t.select("item_id", F.split_part("item_id", F.lit("."), F.lit(1)).alias("c"), F.split_part("item_id", F.lit("."), F.lit(2)).cast("int").alias("t"), program(FUNCTIONS).alias("text"))
+    before = t.select("c", (F.col("t") + 1).alias("t"), F.col("text").alias("before"))
+    sides = F.array(F.struct(F.lit("ref").alias("side"), F.col("text")), F.struct(F.lit("gen").alias("side"), F.col("before").alias("text")))
+    both = t.join(before, ["c", "t"]).select("item_id", F.explode(sides).alias("s"))
+    c = both.select("item_id", "s.side", F.explode(P.clauses("s.text")).alias("c")).select("item_id", "side", "c.kind", "c.normalized")
+    out = U.recall(U.multiset(T.features(c, "item_id", "side", "kind", "normalized"), "item_id", "feature", "side", "gen", "ref"), "item_id")
+    return out.select("item_id", "right", F.round("recall", 9).alias("recall"))

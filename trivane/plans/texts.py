@@ -9,7 +9,6 @@ from trivane.functions import parsing as P
 from trivane.functions import states as S
 from trivane.operators import aggregates as A
 from trivane.operators import search as R
-from trivane.operators import sets as U
 from trivane.operators import texts as T
 from trivane.plans.registry import query
 from trivane.views import view
@@ -68,17 +67,6 @@ def st14_m03_rouge(spark, d):
     return out.withColumn("rouge", F.round("rouge", 9))
 
 
-@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN 13 WHEN p_partkey % 3 = 1 THEN 15 ELSE 11 END AS BIGINT) AS \"right\" FROM part")
-def st15_st16_key_features(spark, d):
-    """Feature recall of a specification against itself without one clause kind: sizes of the reference multiset."""
-    t = spec_texts(spark, d)
-    c = t.select("p_partkey", F.explode(P.clauses("text")).alias("c")).where("NOT contains(c.normalized, 'forall')")
-    c = c.withColumn("keep", F.when((F.col("c.kind") == "ensures") & F.contains("c.normalized", F.lit("r >= x")), False).otherwise(True)).where("keep AND c.kind <> 'assert'")
-    sides = c.select("p_partkey", "c.kind", "c.normalized", F.explode(F.array(F.lit("gen"), F.lit("ref"))).alias("side"))
-    f = T.features(sides, "p_partkey", "side", "kind", "normalized")
-    return U.recall(U.multiset(f, "p_partkey", "feature", "side", "gen", "ref"), "p_partkey").where("recall = 1").select("p_partkey", "right")
-
-
 @query("""
 WITH w AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS term FROM part)
 SELECT term, count(DISTINCT p_partkey) AS n, min(p_partkey) AS first_name, max(p_partkey) AS last_name FROM w GROUP BY term""")
@@ -258,17 +246,6 @@ def s20_table_rows(spark, d):
     return li.select("l_orderkey", "l_linenumber", sinks.percent(F.col("l_discount")).alias("discount"), row.alias("row"))
 
 
-@query("SELECT p_partkey, 'struct { a : u32 }' AS s, 'type = Vec < u8 >' AS t FROM part")
-def y12_types(spark, d):
-    from trivane.functions import specs
-
-    P.ready(spark)
-    src = F.concat(F.lit("struct S"), F.col("p_partkey").cast("string"), F.lit(" { a: u32 } type T = Vec<u8>;"))
-    m = F.udf(lambda t: specs.types(t), "map<string,string>", useArrow=True)(src)
-    x = view(spark, d, "part").select("p_partkey", m.alias("m"))
-    return x.select("p_partkey", F.try_element_at("m", F.concat(F.lit("S"), F.col("p_partkey").cast("string"))).alias("s"), F.try_element_at("m", F.lit("T")).alias("t"))
-
-
 @query("SELECT p_partkey, v FROM (SELECT p_partkey, unnest(list_distinct([p_size - 1, p_size + 1, 0, 1, -1, 7])) AS v, p_size FROM part) WHERE v <> p_size")
 def m09_boundary_values(spark, d):
     p = view(spark, d, "part")
