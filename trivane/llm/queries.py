@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import ann, html_extract, itq_dedup, langid, mixing, ngram_join, packing, pii, sharding, toxicity
+from trivane.llm import ann, html_extract, itq_dedup, langid, mixing, ngram_join, packing, pii, sharding, tandem, toxicity
 from trivane.llm.common import held_out, table
 
 
@@ -54,6 +54,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_tandem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.digest(tandem.find(table(spark, sf_dir, "documents"), tandem.planted))
+
+
 OP4_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, text, coalesce(CAST(doc_id AS VARCHAR), '~') AS k FROM documents),
 crc_table AS (
@@ -112,5 +116,5 @@ SELECT d.doc_id, d.size, n.source_size, n.target,
 FROM num d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join, op10_html, op13_tandem)}
 ORACLES = {"op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL}
