@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import ann, crosstok, html_extract, itq_dedup, langid, mixing, ngram_join, packing, pii, sharding, tandem, toxicity
+from trivane.llm import ann, crosstok, html_extract, itq_dedup, langid, mixing, ngram_join, packing, pii, pitman_yor, sharding, tandem, toxicity
 from trivane.llm.common import held_out, table
 
 
@@ -54,6 +54,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pitman_yor.score(table(spark, sf_dir, "documents"), pitman_yor.not_held_out())
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.align(table(spark, sf_dir, "documents"))
 
@@ -120,5 +125,5 @@ SELECT d.doc_id, d.size, n.source_size, n.target,
 FROM num d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN thr ON d.source IS NOT DISTINCT FROM thr.source
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join, op10_html, op12_crosstok, op13_tandem)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_packing, op4_sharding, op5_langid, op6_ann, op7_itq_dedup, op8_mixing, op9_ngram_join, op10_html, op11_pitman_yor, op12_crosstok, op13_tandem)}
 ORACLES = {"op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL}
