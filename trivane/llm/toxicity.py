@@ -213,7 +213,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     low = text.lower()
     words = _WORD.findall(low)
     n = len(words)
-    distinct, total, odds, seen = [0.0] * 3, [0.0] * 3, 0.0, set()
+    distinct, total, telling = [0.0] * 3, [0.0] * 3, {}
     hits = lexicon.hits(set(words))
     if hits:
         weight, times = dict.fromkeys(hits, 0.0), dict.fromkeys(hits, 0)
@@ -224,11 +224,11 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         for w, (k, kind) in hits.items():
             distinct[kind] += weight[w] / times[w]
             total[kind] += weight[w]
-            if (k, kind == 2) not in seen:
-                seen.add((k, kind == 2))
-                odds += lexicon.odds[k] * weight[w] / times[w] * (0.5 if kind == 2 else 1.0)
+            # Of the words that share a term, the one whose contexts weigh most counts.
+            own = lexicon.odds[k] * weight[w] / times[w] * (0.5 if kind == 2 else 1.0)
+            telling[k, kind == 2] = max(own, telling.get((k, kind == 2), 0.0))
     share = sum(total) / n if n else 0.0
-    return [*np.log1p(distinct), *np.log1p(total), odds / 4, float(np.sqrt(100 * share))]
+    return [*np.log1p(distinct), *np.log1p(total), sum(telling.values()) / 4, float(np.sqrt(100 * share))]
 
 
 def _terms_of(text: str) -> set[str]:
@@ -322,8 +322,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 def fit(documents: DataFrame, labels: DataFrame, train: Column, rows: int = FIT_ROWS) -> Model | float:
-    """Fit on labelled rows for which train holds; the share of toxic labels if there is one kind of label only."""
-    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("doc_id").isNotNull())
+    """Fit on labelled rows for which train, a condition on doc_id, holds; the share of toxic labels if there is one kind only.
+
+    Labels of other rows are not even counted: shares and weights come from those of training rows alone."""
+    marks = labels.where(train & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("doc_id").isNotNull())
     own = documents.where(train & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(n) < 2:
