@@ -307,21 +307,65 @@ def test_packing_round_trip(spark, docs, none):
     assert want
 
 
+def shares(got):
+    """Tokens by source, all and by sequence."""
+    total, per = {}, {}
+    for r in got:
+        total[r["source"]] = total.get(r["source"], 0) + r["length"]
+        own = per.setdefault(r["sequence_id"], {})
+        own[r["source"]] = own.get(r["source"], 0) + r["length"]
+    return total, per
+
+
 def test_windows_hold_the_mixture(spark):
     data = [(i, words(60, i), "a" if i % 4 else ("b" if i % 8 else "c")) for i in range(600)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
-    got = packing.pack(df, grain=128).collect()
+    got = packing.pack(df).collect()
     check_packing(df, got)
-    total, per = {}, {}
-    for r in got:
-        total[r["source"]] = total.get(r["source"], 0) + r["length"]
-        per.setdefault(r["sequence_id"], {}).setdefault(r["source"], 0)
-        per[r["sequence_id"]][r["source"]] += r["length"]
+    total, per = shares(got)
     n = sum(total.values())
     for w, own in per.items():
         if w < max(per):
             for s in total:
-                assert abs(own.get(s, 0) - packing.SEQUENCE * total[s] / n) <= 2 * 128
+                assert abs(own.get(s, 0) - packing.SEQUENCE * total[s] / n) <= 2
+
+
+def test_windows_of_the_tables_hold_the_mixture(spark, sf):
+    """The query's defaults and the 20 sources of the table: every full window is the mix, with at most one stretch a source."""
+    big = sf.replace("sf0.001", "sf0.01")
+    got = queries.op3_packing(spark, big).collect()
+    total, per = shares(got)
+    n = sum(total.values())
+    assert len(total) == 20 and len(per) > 400
+    own = {s for s, t in total.items() if t * packing.SEQUENCE >= packing.QUANTUM * n}
+    full = [w for w in per if w < max(per)]
+    variation = [sum(abs(per[w].get(s, 0) / packing.SEQUENCE - t / n) for s, t in total.items()) / 2 for w in full]
+    small = sum(t for s, t in total.items() if s not in own) / n
+    assert max(variation) <= 0.01 + small
+    assert all(abs(per[w].get(s, 0) - packing.SEQUENCE * total[s] / n) <= 2 for w in full for s in own)
+    # A stretch of a source ends only where the source's turn or a document does.
+    last = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        key = (r["sequence_id"], r["source"])
+        if r["source"] in own and key in last:
+            assert last[key] == r["offset"]
+        last[key] = r["offset"] + r["length"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_clock_serves_all_queues_to_the_end(seed):
+    rng = np.random.default_rng(seed)
+    totals = rng.integers(1, 10 ** rng.integers(2, 13), size=rng.integers(1, 60))
+    totals.sort()
+    rates = totals.astype(float) if seed % 2 else np.maximum(rng.integers(1, 9, size=len(totals)), totals.max() / 1e6)
+    clock = packing.Clock(totals, rates, 2048)
+    every = np.arange(clock.windows + 1) if clock.windows < 5000 else np.unique(np.concatenate([np.arange(2000), np.arange(clock.windows - 2000, clock.windows + 1), rng.integers(0, clock.windows, 3000)]))
+    served = clock.served(every)
+    assert (served[-1] == np.minimum(every * 2048, totals.sum())).all() and (served[:, 0] == 0).all()
+    own = np.diff(served, axis=0)
+    assert (own >= 0).all() and (np.diff(own, axis=1) >= 0).all() and (own <= totals[:, None]).all() and (own[:, -1] == totals).all()
+    if seed % 2:
+        assert (np.abs(own - served[-1] * (totals / totals.sum())[:, None]) <= 2).all()
 
 
 def test_small_sources_are_spread_evenly(spark):
@@ -335,13 +379,13 @@ def test_small_sources_are_spread_evenly(spark):
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         whole += r["length"]
         served += r["length"] * (r["source"] == "big")
-        assert abs(served - big * whole) <= 2 * packing.GRAIN
+        assert abs(served - big * whole) <= 2 * packing.SEQUENCE * 0.25
 
 
 def test_weights_hold_until_a_source_ends(spark):
     data = [(i, words(50, i), "a" if i % 3 else None) for i in range(900)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
-    got = packing.pack(df, grain=128, weights={"a": 1.0, None: 3.0}).collect()
+    got = packing.pack(df, weights={"a": 1.0, None: 3.0}).collect()
     check_packing(df, got)
     end = max(r["sequence_id"] for r in got if r["source"] is None and r["length"] > 0)
     end = min(end, sum(r["length"] for r in got if r["source"] is None) * 4 // 3 // packing.SEQUENCE)
@@ -352,8 +396,9 @@ def test_weights_hold_until_a_source_ends(spark):
 
 def test_pieces_are_not_shreds(spark, sf):
     got = queries.op3_packing(spark, sf).collect()
-    docs, tokens = spark.read.parquet(f"{sf}/documents.parquet").count(), sum(r["length"] for r in got)
-    assert len(got) <= 2 * docs + 2 * tokens / packing.GRAIN
+    docs, windows = spark.read.parquet(f"{sf}/documents.parquet").count(), 1 + max(r["sequence_id"] for r in got)
+    # Cuts are ends of documents and of the sources' turns.
+    assert len(got) <= docs + windows * len({r["source"] for r in got})
 
 
 def test_special_strings_and_long_runs(spark):

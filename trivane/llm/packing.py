@@ -1,18 +1,19 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of the tokens of its documents, cut into grains of GRAIN tokens. A queue earns credit at its rate, by
-default in proportion to its tokens, and is served a grain when it has earned one, what is left being carried on; so every
-window of the output holds the sources in the target proportions, to within a grain each. As credits follow a common
-clock, the moment at which a grain is served depends on its queue alone: grain j of a queue of rate r is served at time
-(j + 1) * GRAIN / r, and its place in the output is its rank by that time. No state has to pass from window to window or
-from task to task; deficits are carried across partitions by the offsets of tokens in their queues. What queues hold beyond
-whole grains, small sources altogether, forms one more queue, in the order of the sources, which is served evenly to the end. So
-all grains but the last one are full, and none crosses the edge of a sequence. There may be any number of sources.
+Each source is a queue of the tokens of its documents. Every window (one sequence) serves every queue once, in one stretch: what
+the queue has earned at its rate up to the window's end less what it was served before. Rates are in proportion to the
+sources' tokens by default, so that all queues last to the end; fractions of a token are carried on, as deficits, from window to
+window. A window so holds the target proportions to within two tokens a source, and a document is cut only where its queue's turn ends. By a common clock (the
+time by which all queues together have earned the windows so far) what a queue was served after c windows depends on
+c alone: no state has to pass from task to task, and the offsets of tokens in their queues say in which windows and where they lie.
+
+Sources that earn fewer than QUANTUM tokens a window (shares below 0.8 %) are one queue together, so there are at most
+SEQUENCE / QUANTUM + 1 queues, however many sources; in it, what one task holds of a source stays together, and these stretches are ordered by
+the clock. Windows hold these sources' sum in proportion, and each of them over longer stretches.
 
 Tokens are computed once, in the tasks that read the texts, and written to the shared folder with their offsets within
-task and source; the sums by task and source (one narrow row each) then give the offsets in the queues. Grains are ranked
-by a sort of one narrow row for each, dealt out by range, and joined to the pieces by queue and number. Nothing that is as
-large as the texts is shuffled.
+task and source; the sums by task and source (one narrow row each) then give the offsets in the queues. No row that is as
+large as a text is shuffled.
 
 Null texts count as empty and hold the end token alone; a null source is a queue of its own; repeated rows are packed as
 often as they occur; an empty table gives an empty result. Extra columns are not read."""
@@ -32,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from trivane.llm.blocks import spread
 from trivane.llm.common import arrow_map, stored
-from trivane.operators.windows import positions, running_sums
+from trivane.operators.windows import running_sums
 
-SEQUENCE, GRAIN, END = 2048, 512, 1
+SEQUENCE, QUANTUM, END = 2048, 16, 1
+#: Parts of a token in which queues earn, and rows of documents by windows that are looked at together.
+PARTS, STEP = 1024, 1 << 15
 #: Runs that the quick encoder isn't given; the library's own encoder takes texts that hold one.
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
@@ -104,82 +108,119 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2").astype("<u4") if len(raw) == 2 * n else np.frombuffer(raw, "<u4", offset=2)
 
 
-def cut(at: np.ndarray, n: np.ndarray, whole: np.ndarray, rest: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(document, start, length, in the queue of rests, grain, offset in the grain) of the pieces of documents, in order.
-
-    at and n: the documents' offsets in their queues and their tokens; whole: the tokens in whole grains of these queues;
-    rest: where what lies beyond begins in the queue of rests."""
-    rows = np.arange(len(n))
-    end = at + n
-    doc = np.concatenate([rows, rows])
-    late = np.repeat([False, True], len(rows))
-    lo = np.concatenate([at, np.maximum(at, whole)])
-    hi = np.concatenate([np.minimum(end, whole), end])
-    keep = hi > lo
-    doc, late, lo, hi = doc[keep], late[keep], lo[keep], hi[keep]
-    # From offsets in the own queue to offsets in the queue of rests.
-    shift = np.where(late, rest[doc] - whole[doc], 0)
-    first, last = (lo + shift) // size, (hi + shift - 1) // size
+class Clock:
+    """What each queue was served after so many windows. The largest queue comes last: its stretches fill the windows."""
+
+    def __init__(self, totals: np.ndarray, rates: np.ndarray, window: int):
+        self.totals, self.rates, self.window = totals.astype(np.int64), rates.astype(np.float64), window
+        self.all = int(self.totals.sum())
+        self.windows = -(-self.all // window)
+        # Tokens that all queues together have earned when one more queue ends, and the time of that.
+        ends = np.divide(self.totals, self.rates, out=np.zeros(len(rates)), where=self.rates > 0)
+        self.time = np.append(0.0, np.unique(ends))
+        self.earned = np.minimum(self.rates[:, None] * self.time, self.totals[:, None]).sum(axis=0)
+
+    def parts(self, time: np.ndarray) -> np.ndarray:
+        """Parts of a token that the queues have earned by a time, added up from the first queue on."""
+        return np.cumsum(np.minimum((self.rates[:, None] * time * PARTS).astype(np.int64), self.totals[:, None] * PARTS), axis=0)
+
+    def served(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens served after so many windows by the queues up to each one, a row for each queue and one of zeros before."""
+        target = np.minimum(windows * self.window, self.all)
+        time = np.interp(target, self.earned, self.time)
+        # The clock may be short by rounding: it goes on until the windows are full.
+        for _ in range(40):
+            short = target * PARTS - self.parts(time)[-1]
+            if (short <= 0).all():
+                break
+            active = (self.rates[:, None] * (time < (self.totals / np.maximum(self.rates, 1e-300))[:, None])).sum(axis=0)
+            time = np.where(short > 0, time + (short + 2) / (np.maximum(active, self.rates.min()) * PARTS), time)
+        out = np.concatenate([np.zeros((1, len(windows)), dtype=np.int64), self.parts(time) // PARTS])
+        out[-1] = target
+        out[:, target >= self.all] = np.append(0, np.cumsum(self.totals))[:, None]
+        return np.minimum(out, target)
+
+    def near(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """About the window in which a token of a queue is served."""
+        return np.interp(token / self.rates[queue], self.time, self.earned).astype(np.int64) // self.window
+
+
+def cut(clock: Clock, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, start, length, window, offset there) of the pieces of documents with these queues, offsets and tokens, in order."""
+    # A turn is two tokens off at most, and at least QUANTUM - 2 long but for those at a queue's end.
+    first = np.maximum(clock.near(queue, at) - 2, 0)
+    last = np.minimum(clock.near(queue, at + n - 1) + 2, clock.windows - 1)
     count = last - first + 1
-    part = np.repeat(np.arange(len(lo)), count)
-    grain = first[part] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    a = np.maximum((lo + shift)[part], grain * size)
-    b = np.minimum((hi + shift)[part], (grain + 1) * size)
-    start = a - shift[part] - at[doc[part]]
-    order = np.lexsort((start, doc[part]))
-    return tuple(x[order] for x in (doc[part], start, b - a, late[part], grain, a - grain * size))
+    total = int(count.sum())
+    ends = np.cumsum(count)
+    for s in range(0, total, STEP):
+        k = np.arange(s, min(total, s + STEP))
+        doc = np.searchsorted(ends, k, side="right")
+        window = first[doc] + k - (ends - count)[doc]
+        known, back = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
+        served = clock.served(known)
+        before, after = back[: len(k)], back[len(k) :]
+        q = queue[doc]
+        low = served[q + 1, before] - served[q, before]
+        high = served[q + 1, after] - served[q, after]
+        a, b = np.maximum(at[doc], low), np.minimum((at + n)[doc], high)
+        keep = b > a
+        place = served[q, after] - served[q, before] + a - low
+        yield tuple(x[keep] for x in (doc, a - at[doc], b - a, window, place))
+
+
+def queues(sums: DataFrame, window: int, quantum: int, weights: dict[str | None, float] | None) -> tuple[DataFrame, list]:
+    """Of every source its tokens, rate, and whether it is a queue of its own; and these sources, the largest one last.
+
+    Those are bounded by their rates: each has quantum / window of all or more."""
+    out = sums.groupBy("source").agg(F.sum("sum").alias("total"))
+    rate = F.col("total").cast("double")
+    if weights is not None:
+        named = {k: float(v) for k, v in weights.items() if k is not None}
+        known = F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("source")) if named else F.lit(None).cast("double")
+        rate = F.coalesce(F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 1.0)))).otherwise(known), F.lit(1.0))
+    out = stored(out.withColumn("rate", rate), "queues")
+    every = out.agg(F.sum("rate")).first()[0] or 1.0
+    out = out.withColumn("own", F.col("rate") * window >= F.lit(quantum * every))
+    large = [(r["source"], r["total"], r["rate"]) for r in out.where("own").collect()]
+    large.sort(key=lambda r: (r[1], r[0] is None, r[0] or ""))
+    return out, large
 
 
-def pack(documents: DataFrame, tokenizer: str | None = None, window: int = SEQUENCE, grain: int = GRAIN, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str | None = None, window: int = SEQUENCE, quantum: int = QUANTUM, weights: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    Every token lies in one piece, the sequences are full but for the last. window must be a multiple of grain. weights are the
-    proportions in which sources are served as long as they last (1 for a source that isn't named); without them each
-    source is served in proportion to its tokens and they all last to the end."""
+    Every token lies in one piece, the sequences are full but for the last. weights are the proportions in which sources are
+    served as long as they last (1 for a source that isn't named); without them each source is served in proportion to its
+    tokens and they all last to the end."""
     docs = stored(tokenized(documents, tokenizer or default_tokenizer()), "tokens")
     sums = stored(docs.groupBy("part", "source").agg(F.sum("n").alias("sum")), "sums")
-    queues = sums.groupBy("source").agg(F.sum("sum").alias("total"))
-    queues = queues.withColumn("whole", (F.col("total") - F.col("total") % grain).cast("long")).withColumn("left", F.col("total") % grain).withColumn("_last", F.col("source").isNull())
-    queues = stored(running_sums(queues, [], ["_last", "source"], {"rest": "left"}), "queues")
-    rate = F.col("total").cast("double")
-    if weights is not None:
-        named = {k: float(v) for k, v in weights.items() if k is not None}
-        known = F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("source")) if named else F.lit(None).cast("double")
-        rate = F.coalesce(F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 1.0)))).otherwise(known), F.lit(1.0))
-    queues = queues.withColumn("rate", rate)
-    rests = queues.agg(F.sum("left").alias("left"), F.max(F.col("total") / F.col("rate")).alias("end")).first()
-    rest_rate = float(rests["left"] or 0) / (rests["end"] or 1.0) or 1.0
+    of, large = queues(sums, window, quantum, weights)
+    small = of.where("NOT own").agg(F.sum("total").alias("total"), F.sum("rate").alias("rate")).first()
+    # The queue of small sources is the first one.
+    clock = Clock(np.array([small["total"] or 0, *(r[1] for r in large)]), np.array([small["rate"] or 1.0, *(r[2] for r in large)]), window)
     before = F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = sums.withColumn("before", before).join(queues.select(F.col("source").alias("_q"), "whole", "rest", "rate"), F.col("source").eqNullSafe(F.col("_q")))
-    base = stored(base.select(F.col("part").alias("_p"), F.col("source").alias("_s"), "before", "whole", "rest", "rate"), "offsets")
+    base = sums.withColumn("before", before).join(of.select(F.col("source").alias("_q"), "rate", "own"), F.col("source").eqNullSafe(F.col("_q"))).drop("_q")
+    base = base.withColumn("_last", F.col("source").isNull()).withColumn("time", F.col("before") / F.col("rate"))
+    rest = running_sums(base.where("NOT own"), [], ["time", "_last", "source", "part"], {"at": "sum"})
+    number = F.lit(0)
+    for k, (name, _, _) in enumerate(large, 1):
+        number = F.when(F.col("source").eqNullSafe(F.lit(name).cast("string")), k).otherwise(number)
+    base = rest.select("part", "source", "at", F.lit(0).alias("queue")).union(base.where("own").select("part", "source", F.col("before").alias("at"), number.alias("queue")))
+    base = stored(base.select(F.col("part").alias("_p"), F.col("source").alias("_s"), "at", "queue"), "offsets")
     rows = docs.join(base, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.select("doc_id", "source", (F.col("before") + F.col("local")).alias("at"), "n", "ids", "whole", "rest", "rate")
+    rows = rows.select("doc_id", "source", (F.col("at") + F.col("local")).alias("at"), "n", "ids", "queue")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for every in batches:
             for s in range(0, every.num_rows, 256):
                 b = every.slice(s, 256)
-                at, n, whole, rest, rates = (b.column(k).to_numpy() for k in (2, 3, 5, 6, 7))
-                doc, start, length, late, number, inside = cut(at, n, whole, rest, grain)
+                at, n, queue = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3, 5))
                 ids = [memoryview(_ids(x, k)).cast("B") for x, k in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
-                crc = [zlib.crc32(ids[d][4 * i : 4 * (i + k)]) for d, i, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-                time = (number + 1) * grain / np.where(late, rest_rate, rates[doc])
-                take = pa.array(doc)
-                new = {"start": start, "length": length, "ids_crc32": np.array(crc, dtype=np.int64), "doc_tokens": n[doc], "late": late, "grain": number, "inside": inside, "time": time}
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *map(pa.array, new.values())], names=["doc_id", "source", *new])
-
-    pieces = stored(arrow_map(rows, run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, late boolean, grain long, inside long, time double"), "pieces")
-    # The queue of rests has one name, whatever the source.
-    queue = F.when(F.col("late"), F.lit(None).cast("string")).otherwise(F.col("source"))
-    own = F.col("late").cast("int") * 2 + (~F.col("late") & F.col("source").isNull()).cast("int")
-    pieces = pieces.withColumn("_own", own).withColumn("_queue", queue)
-    # A grain, by the piece that it begins with; the one grain that may be short comes last.
-    heads = pieces.where("inside = 0").select("time", "_own", "_queue", "grain")
-    if rests["left"]:
-        short = F.col("_own").eqNullSafe(2) & (F.col("grain") == F.lit(rests["left"] // grain))
-        heads = heads.withColumn("time", F.when(short, F.lit(float("inf"))).otherwise(F.col("time")))
-    ranked = positions(heads, ["time", "_own", "_queue", "grain"], "_rank").select(F.col("_own").alias("_o"), F.col("_queue").alias("_q"), F.col("grain").alias("_g"), "_rank")
-    same = (F.col("_own") == F.col("_o")) & F.col("_queue").eqNullSafe(F.col("_q")) & (F.col("grain") == F.col("_g"))
-    place = (F.col("_rank") - 1) * grain + F.col("inside")
-    out = pieces.join(ranked, same).withColumn("_place", place)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", ((F.col("_place") - F.col("_place") % window) / window).cast("long").alias("sequence_id"), (F.col("_place") % window).alias("offset"), "source")
+                for doc, start, length, number, place in cut(clock, queue, at, n):
+                    crc = [zlib.crc32(ids[d][4 * i : 4 * (i + k)]) for d, i, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                    take = pa.array(doc)
+                    new = {"start": start, "length": length, "ids_crc32": np.array(crc, dtype=np.int64), "doc_tokens": n[doc], "sequence_id": number, "offset": place}
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), *map(pa.array, new.values()), b.column(1).take(take)], names=["doc_id", *new, "source"])
+
+    return arrow_map(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
