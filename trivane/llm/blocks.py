@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from trivane.llm.common import arrow_map, partitions
 
-BLOCK = 32 << 20
+BLOCK = 20 << 20
 #: A text's codes, or the tokens of a part: data; then codes of these tokens and whatever more the block tells of them.
 SCHEMA = "block long, part int, doc_id long, mark boolean, data binary, codes binary, more binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
