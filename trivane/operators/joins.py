@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -108,11 +110,37 @@ def work_list(dims: list[DataFrame], done: DataFrame, keys: list[str]) -> DataFr
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def occurrence_match(left: DataFrame, right: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Pairs of equal items, the nth occurrence of one side with the nth of the other."""
-    number = lambda df: df.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(pos)))
-    x, y = number(left).withColumnRenamed(pos, "left_pos"), number(right).withColumnRenamed(pos, "right_pos")
-    return x.join(y, [*keys, "occurrence"])
+def ordered_match(left: DataFrame, right: DataFrame, unit: str, keys: list[str], pos: str) -> DataFrame:
+    """(unit, matched, complete, pairs): the items of one side found in order among those of the other, by unit of the left.
+
+    A cursor goes along the right side: each left item, in the order of pos, takes the next equal item after the one
+    taken before; the first left item that finds none ends the match. pairs are structs of left_pos and right_pos.
+    Both sides of a unit meet in one task, as a hash and a position for each item; equal items' places are searched by halves."""
+    side = lambda df: df.select(F.col(unit).alias("_u"), F.xxhash64(*keys).alias("_k"), F.col(pos).cast("long").alias("_p"))
+
+    def fold(mine: pa.Table, other: pa.Table) -> pa.Table:
+        mine, other = mine.sort_by("_p"), other.sort_by("_p")
+        places: dict[int, list[int]] = {}
+        for i, k in enumerate(other.column("_k").to_pylist()):
+            places.setdefault(k, []).append(i)
+        cursor, taken = 0, []
+        for k in mine.column("_k").to_pylist():
+            at = places.get(k, ())
+            j = bisect_left(at, cursor)
+            if j == len(at):
+                break
+            taken.append(at[j])
+            cursor = at[j] + 1
+        n = len(taken)
+        if not mine.num_rows:
+            return pa.table({"u": mine.column("_u"), "matched": pa.array([], pa.int64()), "complete": pa.array([], pa.bool_()), "pairs": pa.array([], kind)})
+        pairs = [{"left_pos": a, "right_pos": b} for a, b in zip(mine.column("_p").to_pylist(), other.column("_p").take(pa.array(taken, pa.int64())).to_pylist(), strict=False)]
+        return pa.table({"u": mine.column("_u").slice(0, 1), "matched": pa.array([n], pa.int64()), "complete": pa.array([n == mine.num_rows]), "pairs": pa.array([pairs], kind)})
+
+    kind = pa.list_(pa.struct([("left_pos", pa.int64()), ("right_pos", pa.int64())]))
+    schema = f"`{unit}` {left.schema[unit].dataType.simpleString()}, matched long, complete boolean, pairs array<struct<left_pos:long,right_pos:long>>"
+    out = side(left).groupBy("_u").cogroup(side(right).groupBy("_u")).applyInArrow(lambda a, b: fold(a, b).rename_columns([unit, "matched", "complete", "pairs"]), schema)
+    return out
 
 
 def near_duplicates(items: DataFrame, unit: str, text: str, pos: str, tokens: Column, threshold: float = 0.85, first: int = 1000) -> DataFrame:

@@ -416,17 +416,6 @@ def y08_dual_proof(spark, d):
     return view(spark, d, "samples").select("sample_id", S.dual_proof(F.coalesce(F.col("quality") > 60, F.lit(False)), F.coalesce(F.col("quality") < 30, F.lit(False))).alias("decision"))
 
 
-@query("""
-WITH c AS (SELECT sample_id, kind, amount, row_number() OVER (PARTITION BY sample_id, kind, amount ORDER BY case_no, part_id) AS o FROM cases WHERE case_no <= 4), r AS (SELECT sample_id, kind, amount, row_number() OVER (PARTITION BY sample_id, kind, amount ORDER BY case_no, part_id) AS o FROM cases WHERE case_no >= 3)
-SELECT c.sample_id, c.kind, c.amount, c.o AS occurrence FROM c JOIN r ON c.sample_id = r.sample_id AND c.kind = r.kind AND c.amount = r.amount AND c.o = r.o""")
-def y13_occurrence_match(spark, d):
-    from trivane.operators.joins import occurrence_match
-
-    c = view(spark, d, "cases").withColumn("p", F.struct("case_no", "part_id")).select("sample_id", "kind", "amount", "case_no", "p")
-    out = occurrence_match(c.where("case_no <= 4").drop("case_no"), c.where("case_no >= 3").drop("case_no"), ["sample_id", "kind", "amount"], "p")
-    return out.select("sample_id", "kind", "amount", F.col("occurrence").cast("long").alias("occurrence"))
-
-
 @query("SELECT workflow, model, task_id FROM (SELECT DISTINCT workflow FROM samples), (SELECT DISTINCT model FROM samples), (SELECT DISTINCT task_id FROM samples) EXCEPT SELECT workflow, model, task_id FROM samples WHERE stage = 'accepted'")
 def y14_work_list(spark, d):
     from trivane.operators.joins import work_list

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -44,3 +44,23 @@ def ship(spark: SparkSession) -> None:
     out.close()
     sc.addPyFile(path.toString())
     _SHIPPED.add(sc.applicationId)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables written by stored() that no later plan reads."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
