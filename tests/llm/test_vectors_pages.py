@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from html import unescape
 
@@ -398,3 +399,88 @@ def test_default_recall_on_links_near_the_threshold(spark):
     got = itq_dedup.dedup(frame(spark, x, "double")).agg(F.sum("n_links")).first()[0]
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert got >= 0.998 * ((y @ y.T >= 0.9).sum() - 3000)
+
+
+def two_articles(k, wrap="main"):
+    body = f"<article><h1>Title {k}</h1><p>First part number {k} with its own words.</p></article>"
+    more = f"<article><p>Second part {k * 7} follows, shorter.</p></article>"
+    return f"<html><body><nav><a href=x>Home</a></nav><{wrap}>{body}{more}</{wrap}><footer>Imprint</footer></body></html>"
+
+
+@pytest.mark.parametrize("wrap", ["main", "div", "section"])
+@pytest.mark.parametrize("pages", [1, 3, 6])
+def test_sibling_articles_are_kept(spark, wrap, pages):
+    """On hosts too small for a wrapper too."""
+    df = spark.createDataFrame([(k, "http://small.example/a", two_articles(k, wrap)) for k in range(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()}
+    assert got == {k: f"Title {k}\nFirst part number {k} with its own words.\nSecond part {k * 7} follows, shorter." for k in range(pages)}
+
+
+def test_articles_apart_in_main_keep_all_of_it():
+    html = "<body><main><p>A lead.</p><section><article><p>One text here.</p></article></section><section><article><p>Two.</p></article><article class=comment><p>me too</p></article></section></main><p>out</p></body>"
+    assert html_extract.extract(html) == "A lead.\nOne text here.\nTwo."
+
+
+def test_repeating_siblings_are_folded():
+    folded = html_extract.folded
+    assert folded([1, 2, 1, 2, 1, 2]) == ([1, 2], [0, 1, 0, 1, 0, 1])
+    assert folded([1, 2, 1, 2, 1]) == ([1, 2, 1], [0, 1, 0, 1, 2])
+    assert folded([1, 1, 2, 1, 2, 2]) == ([1, 2], [0, 0, 1, 0, 1, 1])
+    assert folded([]) == ([], [])
+    out, at = folded([k % 3 for k in range(3000)])
+    assert out == [0, 1, 2] and at == [k % 3 for k in range(3000)]
+    rnd = random.Random(1)
+    for _ in range(200):
+        x = [rnd.randrange(3) for _ in range(rnd.randrange(30))]
+        out, at = folded(x)
+        assert [out[k] for k in at] == x and len(at) == len(x)
+        assert not any(out[i : i + p] == out[i + p : i + 2 * p] for p in range(1, 4) for i in range(len(out) - 2 * p + 1))
+
+
+def test_alignment_of_long_frames_is_quick():
+    """Unlike neighbours in turn, and different ones that only the ends have in common."""
+    import time
+
+    def page(n, odd):
+        parts = "".join(f"<section class=s{k % 2}><div><p>{k}</p></div></section>" for k in range(n))
+        return html_extract.ordered_frame(html_extract.parse(f"<body>{parts}{odd}</body>"))[0]
+
+    assert len(page(2000, "").split("\n")) < 10
+
+    def frame(n, at):
+        lines = ["-1 #root", "0 body"]
+        for k in range(n):
+            lines += [f"1 section.s{k}", f"{len(lines)} div.x{k if k != at else 'odd'}"]
+        return "\n".join(lines)
+
+    began = time.perf_counter()
+    place, _, _ = html_extract.places(frame(3000, -1), frame(3000, 1500))
+    assert time.perf_counter() - began < 2 and sum(p >= 0 for p in place) == 2 + 2 * 3000 - 1
+
+
+def test_alignment_is_the_largest_match():
+    """Against simple tree matching without shortcuts."""
+    rnd = random.Random(3)
+
+    def tree(depth):
+        n = html_extract.Node("div", {"class": rnd.choice("ab")}, None)
+        for _ in range(rnd.randrange(4) if depth else 0):
+            c = tree(depth - 1)
+            c.parent = n
+            n.children.append(c)
+        return n
+
+    def plain(x, y):
+        if x.label != y.label:
+            return 0
+        p, q = x.children, y.children
+        m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i in range(len(p)):
+            for j in range(len(q)):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain(p[i], q[j]))
+        return 1 + m[-1][-1]
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        got = html_extract.align(a, b)
+        assert len(got) == plain(a, b) and all(x.label == y.label for x, y in got) and len({id(x) for x, _ in got}) == len(got) == len({id(y) for _, y in got})

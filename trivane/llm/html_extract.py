@@ -11,7 +11,8 @@ and the matched elements are the wrapper's places. Over the distinct pages of a
   element itself; then up again until the varying h1 is inside. That is the content slot; what lies outside is furniture.
 
 Where the wrapper has no content slot (fewer than LEAST distinct pages, no host, no dominant slot) or the slot encloses a main or
-article element together with other things, the page's own tags decide: the largest article element, else main, else
+article element together with other things, the page's own tags decide: the main element that holds several article elements,
+else the largest article element and those beside it, else main, else
 the element marked as content, else the body; there, without an article or main element, blocks of links alone are menus. Inside
 either, elements that say what they are go: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments, by tag, role, class or id; a class counts only if all its words are of that kind or neutral. Character
@@ -234,8 +235,11 @@ def _text_lengths(root: Node, skip: set[int]) -> dict[int, int]:
     return out
 
 
-def scope(root: Node, skip: set[int]) -> tuple[Node, bool]:
-    """The element that holds the article, and whether the page says so by its tags."""
+def scope(root: Node, skip: set[int]) -> tuple[list[Node], bool]:
+    """The elements that hold the article, and whether the page says so by its tags.
+
+    Of several article elements, none in another, a main element that holds more than one is taken as a whole; without such, the
+    largest one and those beside it."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "marked": [], "named": []}
     todo = [root]
     while todo:
@@ -251,12 +255,22 @@ def scope(root: Node, skip: set[int]) -> tuple[Node, bool]:
                 found["named"].append(n)
         todo += [c for c in n.children if not isinstance(c, str)]
     size = _text_lengths(root, skip) if any(found.values()) else {}
-    for kind in ("article", "main", "marked"):
+    largest = lambda nodes: max(enumerate(nodes), key=lambda x: (size[id(x[1])], -x[0]))[1]
+    if found["article"]:
+        every = {id(n) for n in found["article"]}
+        inner = {id(c) for n in found["article"] for c in _walk(n)[1:] if id(c) in every}
+        outer = [n for n in found["article"] if id(n) not in inner and size[id(n)]]
+        holders = [m for m in found["main"] if sum(id(c) in every - inner and bool(size[id(c)]) for c in _walk(m)) > 1]
+        if len(outer) > 1 and holders:
+            return [largest(holders)], True
+        top = largest(found["article"])
+        return [n for n in outer if n.parent is top.parent] or [top], True
+    for kind in ("main", "marked"):
         if found[kind]:
-            return max(enumerate(found[kind]), key=lambda x: (size[id(x[1])], -x[0]))[1], True
+            return [largest(found[kind])], True
     # The innermost of those that hold most of the text.
     large = [n for n in found["named"] if size[id(n)] >= 0.5 * size[id(root)] and size[id(n)] > 0]
-    return (large[-1] if large else root), False
+    return [large[-1] if large else root], False
 
 
 @dataclass(slots=True)
@@ -268,18 +282,19 @@ class Block:
     inside: bool  # in the element that the page's tags choose
 
 
-def blocks(root: Node, skip: set[int], top: Node | None = None) -> list[Block]:
-    """The blocks of the page, in order; top is the element chosen by tags, all of the page if there is none."""
+def blocks(root: Node, skip: set[int], tops: list[Node] | None = None) -> list[Block]:
+    """The blocks of the page, in order; tops are the elements chosen by tags, all of the page if there is none."""
     out: list[Block] = []
     parts: list[str] = []
     state = [root, 0, 0]  # the element that the open block belongs to, characters of text and of links
-    links, inside = 0, top is None or top is root
+    chosen = {id(n) for n in tops or [root]}
+    links, inside = 0, int(id(root) in chosen)
 
     def close(node: Node) -> None:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append(Block(state[0], text, state[1] - state[2], bool(state[1]) and state[2] >= 0.8 * state[1], inside))
+                out.append(Block(state[0], text, state[1] - state[2], bool(state[1]) and state[2] >= 0.8 * state[1], inside > 0))
             parts.clear()
         state[:] = [node, 0, 0]
 
@@ -293,21 +308,21 @@ def blocks(root: Node, skip: set[int], top: Node | None = None) -> list[Block]:
             state[2] += size if links else 0
             continue
         if done:
-            if n.tag in BLOCK or n is top:
+            if n.tag in BLOCK or id(n) in chosen:
                 close(n.parent if n.parent is not None else n)
             links -= n.tag == "a"
-            inside = inside and n is not top or top is root
+            inside -= id(n) in chosen
             continue
         if id(n) in skip:
             if n.tag in BLOCK:
                 close(state[0])
             continue
-        if n.tag in BLOCK or n is top:
+        if n.tag in BLOCK or id(n) in chosen:
             close(n)
         elif n.tag == "br":
             parts.append(" ")
             continue
-        inside = inside or n is top
+        inside += id(n) in chosen and n is not root
         links += n.tag == "a"
         todo.append((n, 1))
         todo += [(c, 0) for c in reversed(n.children)]
@@ -323,13 +338,34 @@ def _kids(n: Node) -> list[Node]:
     return [c for c in n.children if not isinstance(c, str)]
 
 
+def _subtrees(root: Node, known: dict[tuple, int]) -> dict[int, tuple[int, int]]:
+    """(number of its form, elements) of every subtree by id; trees numbered by the same table have equal numbers if they are equal."""
+    out: dict[int, tuple[int, int]] = {}
+    for n in reversed(_walk(root)):
+        kids = [out[id(c)] for c in _kids(n)]
+        out[id(n)] = known.setdefault((n.label, *(k[0] for k in kids)), len(known)), 1 + sum(k[1] for k in kids)
+    return out
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest order-preserving match of two trees whose matched nodes have equal labels."""
+    """Simple tree matching: the largest order-preserving match of two trees whose matched nodes have equal labels.
+
+    Equal subtrees match as a whole. Of two lists of children, equal subtrees at either end are matched first, which no
+    other match can better, so that only what lies between differing children is searched."""
+    known: dict[tuple, int] = {}
+    left, right = _subtrees(a, known), _subtrees(b, known)
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def match(x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
         """Asks for the matches of children that it needs, and puts its own into memo."""
-        q = _kids(y)
+        p, q = _kids(x), _kids(y)
+        s, e = 0, 0
+        while s < min(len(p), len(q)) and left[id(p[s])][0] == right[id(q[s])][0]:
+            s += 1
+        while e < min(len(p), len(q)) - s and left[id(p[-1 - e])][0] == right[id(q[-1 - e])][0]:
+            e += 1
+        same = [*zip(p[:s], q[:s], strict=True), *zip(p[len(p) - e :], q[len(q) - e :], strict=True)]
+        p, q = p[s : len(p) - e], q[s : len(q) - e]
         places: dict[str, list[int]] = {}
         for j, d in enumerate(q):
             places.setdefault(d.label, []).append(j)
@@ -344,12 +380,15 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 k -= k & -k
             return top
 
-        for c in _kids(x):
+        for c in p:
             new = []
             for j in places.get(c.label, ()):
-                if (id(c), id(q[j])) not in memo:
-                    yield c, q[j]
-                w = memo[id(c), id(q[j])][0]
+                if left[id(c)][0] == right[id(q[j])][0]:
+                    w = left[id(c)][1]
+                else:
+                    if (id(c), id(q[j])) not in memo:
+                        yield c, q[j]
+                    w = memo[id(c), id(q[j])][0]
                 before, chain = upto(j)
                 new.append((j + 1, before + w, (chain, (c, q[j]))))
             for at, w, chain in new:
@@ -362,7 +401,7 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         while chain is not None:
             chain, pair = chain
             pairs.append(pair)
-        memo[id(x), id(y)] = 1 + size, pairs
+        memo[id(x), id(y)] = 1 + size + sum(left[id(c)][1] for c, _ in same), pairs + same
 
     if a.label != b.label:
         return []
@@ -375,8 +414,9 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
             running.append(match(*ask))
     out, todo = [], [(a, b)]
     while todo:
-        out.append(todo[-1])
-        todo += memo[tuple(map(id, todo.pop()))][1]
+        x, y = todo.pop()
+        out.append((x, y))
+        todo += memo[id(x), id(y)][1] if (id(x), id(y)) in memo else zip(_kids(x), _kids(y), strict=True)
     return out
 
 
@@ -407,8 +447,36 @@ def frame(root: Node) -> str:
     return "\n".join(lines)
 
 
+#: Siblings that repeat in groups of up to so many are merged.
+PERIOD = 16
+
+
+def folded(shapes: list[int]) -> tuple[list[int], list[int]]:
+    """A sequence with groups that repeat at once written once, and for each entry its place in that: a b a b a is a b a."""
+    out: list[int] = []
+    members: list[list[int]] = []
+    for k, s in enumerate(shapes):
+        out.append(s)
+        members.append([k])
+        p = 1
+        while p <= min(PERIOD, len(out) // 2):
+            if out[-1] == out[-1 - p] and out[-p:] == out[-2 * p : -p]:
+                for i in range(p):
+                    small, large = sorted((members[-1 - i], members[-1 - i - p]), key=len)
+                    large += small
+                    members[-1 - i - p] = large
+                del out[-p:], members[-p:]
+                p = 0
+            p += 1
+    at = [0] * len(shapes)
+    for i, group in enumerate(members):
+        for k in group:
+            at[k] = i
+    return out, at
+
+
 def ordered_frame(root: Node) -> tuple[str, dict[int, int]]:
-    """The page's frame with runs of siblings of one shape merged: a line of its parent's number and label for each element,
+    """The page's frame with runs of siblings of one shape, and groups of them that repeat, merged: a line of its parent's number and label for each element,
     and for every element of the page the number of the frame's element that it lies in, by id.
 
     An element's shape is its label, the block elements that it holds directly, and the shapes of its parts."""
@@ -432,21 +500,18 @@ def ordered_frame(root: Node) -> tuple[str, dict[int, int]]:
         todo += [(c, at, closed) for c in reversed(n.children) if not isinstance(c, str) and c.tag not in RAW and c.tag != "head"]
     known: dict[tuple, int] = {}
     shape = [0] * len(nodes)
+    places: list[list[int]] = [[]] * len(nodes)
     for k in range(len(nodes) - 1, -1, -1):
-        parts = [shape[c] for c in kids[k]]
-        runs = tuple(s for i, s in enumerate(parts) if not i or parts[i - 1] != s)
-        shape[k] = known.setdefault((nodes[k].label, tuple(sorted(holds[k])), runs), len(known))
+        runs, places[k] = folded([shape[c] for c in kids[k]])
+        shape[k] = known.setdefault((nodes[k].label, tuple(sorted(holds[k])), tuple(runs)), len(known))
     number, lines, parts_of = [0] * len(nodes), ["-1 #root"], {0: []}
     for k in range(len(nodes)):
         mine, first = parts_of[number[k]], not parts_of[number[k]]
-        run = -1
-        for i, c in enumerate(kids[k]):
-            if not i or shape[c] != shape[kids[k][i - 1]]:
-                run += 1
-                if first:
-                    mine.append(len(lines))
-                    parts_of[len(lines)] = []
-                    lines.append(f"{number[k]} {nodes[c].label}")
+        for c, run in zip(kids[k], places[k], strict=True):
+            if first and run == len(mine):
+                mine.append(len(lines))
+                parts_of[len(lines)] = []
+                lines.append(f"{number[k]} {nodes[c].label}")
             number[c] = mine[run]
     return "\n".join(lines), {n: number[k] for n, k in within.items()}
 
@@ -586,8 +651,8 @@ class Page:
 def read(html: str | None) -> Page:
     root = parse(html or "")
     skip = boilerplate(root)
-    top, sure = scope(root, skip)
-    found = blocks(root, skip, top)
+    tops, sure = scope(root, skip)
+    found = blocks(root, skip, tops)
     form, number = ordered_frame(root)
     # Copies of one page would make its content look constant: pages of the same content, or without any of the same blocks, count once.
     own = [b.text for b in found if b.inside] or [b.text for b in found]
@@ -732,7 +797,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["host", "layout", "slot", "semantic"])
 
-    wide = one.join(known, ["host"]).join(aligned, ["host", "layout", "frame", "full"]).select("host", "layout", "items", "blocks", "place", "up", "tag")
+    wide = placed.join(known, ["host", "layout"]).join(aligned, ["host", "layout", "frame", "full"]).select("host", "layout", "items", "blocks", "place", "up", "tag")
     sums = arrow_map(wide, slots, "host string, layout long, place long, up long, tag string, chars long, text long, heads long")
     sums = sums.groupBy("host", "layout", "place").agg(F.min("up").alias("up"), F.min("tag").alias("tag"), *[F.sum(c).alias(c) for c in ("chars", "text", "heads")])
     sums = sums.join(sizes.where(F.col("n") >= LEAST), ["host", "layout"]).repartition(partitions(spark), "host", "layout").sortWithinPartitions("host", "layout", "place")
