@@ -231,3 +231,72 @@ def test_search_reads_postings(spark, tmp_path):
 def test_record_rows():
     assert records.row_of("r", {"b": 1.0, "a": 2.5}, 3, ("a", "b")) == {"record": "r", "status": "complete", "metrics": "a,b", "total": 3.5, "events": 3, "missing": ""}
     assert records.row_of("r", {"b": 1.0}, 2, ("c", "a", "b"))["missing"] == "a,c"
+
+
+# selection and sums by counting
+
+
+def test_statistics_against_sorted_values(spark):
+    from statistics import median
+
+    from trivane.operators import aggregates
+
+    rng = random.Random(8)
+    rows = [("all", rng.choice([float(rng.randrange(50)), rng.gauss(0, 1e3), 10 ** rng.uniform(-9, 9)])) for _ in range(30_000)] + [("one", 2.5), ("two", 1.0), ("two", 4.0), (None, 7.0), (None, -1.0), (None, 0.0), ("none", None)]
+    rows += [(f"g{n}", float(i * i % 17)) for n in range(3, 14) for i in range(n)]
+    got = {r["k"]: r for r in aggregates.summary_statistics(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 9).collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        values.sort()
+        n, r = len(values), got[k]
+        assert (r["scored"], r["min"], r["max"]) == (n, round(values[0], 9), round(values[-1], 9))
+        assert (r["q25"], r["q75"], r["median"]) == (pytest.approx(values[n // 4], abs=1e-9), pytest.approx(values[3 * n // 4], abs=1e-9), pytest.approx(median(values), abs=1e-9)), k
+
+
+def test_statistics_sort_no_group(spark):
+    from trivane.operators import aggregates
+
+    plan = aggregates.summary_statistics(spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")), ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_sums_over_parts(spark, keys):
+    from trivane.operators.windows import running_sums
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(9), rng.choice([None, 0.5, 2.0])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, i long, x int, y double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["i"]: (r["sx"], r["sy"]) for r in running_sums(df, keys, ["i"], {"sx": "x", "sy": "y"}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sums = {}
+    for k, i, x, y in rows:
+        g = k if keys else 0
+        a, b = sums.get(g, (0, 0.0))
+        assert got[i] == (a, pytest.approx(b))
+        sums[g] = (a + x, b + (y or 0))
+
+
+def test_weights_are_the_draws(spark, monkeypatch):
+    from collections import Counter
+    from hashlib import md5
+
+    from trivane.operators import statistics
+
+    monkeypatch.setattr(statistics, "CHUNK", 7)
+    monkeypatch.setattr(statistics, "SEGMENT", 4)
+    sizes = spark.createDataFrame([("a", 19), ("b", 1), (None, 5), ("none", 0)], "g string, _n long")
+    got = {(r["g"], r["_k"]): list(r["w"]) for r in statistics.weights(sizes, ["g"], 6, "s").collect()}
+    want = Counter()
+    for g, n in (("a", 19), ("b", 1), (None, 5)):
+        for r in range(6):
+            for i in range(n):
+                want[g, int(md5(f"s|{r}|{i}".encode()).hexdigest()[:8], 16) % n, r] += 1
+    assert got == {k: [want[*k, r] for r in range(6)] for k in {k[:2] for k in want}}

@@ -7,13 +7,20 @@ distinct values: with a accepted and b other rows at a value, and B others below
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from trivane.functions.states import long_if
 from trivane.operators.windows import positions, running_sums
+from trivane.session import ship
 
 
 def by_value(df: DataFrame, keys: list[str], value: str, accepted: Column, weight: str | None = None) -> DataFrame:
@@ -82,37 +89,152 @@ def within(df: DataFrame, keys: list[str], cluster: str, value: str, accepted: C
     return c.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
-def each_replicate(replicates: int) -> Column:
-    """The replicates of a row, made where the row is."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")
+#: Positions of a group whose draws are made together, and whose weights are put together.
+CHUNK, SEGMENT = 1 << 16, 1 << 12
+
+
+def weights(sizes: DataFrame, keys: list[str], replicates: int, salt: str) -> DataFrame:
+    """(keys, _k, w): how often each replicate draws position _k of a group of _n, as an array over the replicates.
+
+    Draw i of a replicate takes the position that an md5 number of replicate and i gives modulo _n, the same in every engine.
+    Draws are made by replicate and chunk of i and travel packed, by segment of the positions, so the rows that move don't
+    become more with the replicates' draws; positions that no replicate draws are left out."""
+    spark = sizes.sparkSession
+    ship(spark)
+    fields = [f"`{k}` {sizes.schema[k].dataType.simpleString()}" for k in keys]
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))).alias("_c")
+    rows = sizes.where("_n > 0").select(*keys, F.col("_n").cast("long").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r")).select(*keys, "_n", "_r", chunks)
+    rows = rows.repartition(spark.sparkContext.defaultParallelism)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            take, segments, packed = [], [], []
+            for row, (n, r, c) in enumerate(zip(*(b.column(len(keys) + j).to_pylist() for j in range(3)), strict=True)):
+                first = f"{salt}|{r}|"
+                hits = np.sort(np.array([int(md5(f"{first}{i}".encode()).hexdigest()[:8], 16) % n for i in range(c * CHUNK, min(n, (c + 1) * CHUNK))], dtype=np.int64))
+                of = hits // SEGMENT
+                for part in np.split(hits, np.flatnonzero(np.diff(of)) + 1):
+                    take.append(row)
+                    segments.append(int(part[0]) // SEGMENT)
+                    packed.append((part % SEGMENT).astype("<u2").tobytes())
+            at = pa.array(take, pa.int64())
+            columns = [*(b.column(j).take(at) for j in range(len(keys))), pa.array(segments, pa.int64()), b.column(len(keys) + 1).take(at), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "_s", "_r", "_d"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        w = np.zeros((SEGMENT, replicates), dtype=np.int32)
+        for r, d in zip(t.column("_r").to_pylist(), t.column("_d").to_pylist(), strict=True):
+            np.add.at(w[:, r], np.frombuffer(d, "<u2"), 1)
+        held = np.flatnonzero(w.any(axis=1))
+        one = t.select(keys).slice(0, 1)
+        columns = [one.column(k).take(pa.array(np.zeros(len(held), dtype=np.int64))) for k in keys]
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(w[held].ravel()), replicates).cast(pa.list_(pa.int32()))
+        return pa.table([*columns, pa.array(held + t.column("_s")[0].as_py() * SEGMENT), rows], names=[*keys, "_k", "w"])
+
+    packed = rows.mapInArrow(draw, ", ".join([*fields, "_s long", "_r int", "_d binary"]))
+    return packed.groupBy(*keys, "_s").applyInArrow(gather, ", ".join([*fields, "_k long", "w array<int>"]))
 
 
 def portable_draws(clusters: DataFrame, cluster: str, replicates: int, salt: str) -> DataFrame:
-    """(replicate, cluster, w): resampling clusters with replacement, from md5, the same in every engine.
-
-    Draw i of a replicate takes the cluster whose rank is an md5 number modulo the number of clusters. The draws are made
-    in the executors; the table has replicates times clusters rows at most."""
+    """(cluster, w): how often each replicate takes a cluster when clusters are resampled with replacement."""
     ranked = positions(clusters.select(cluster).distinct(), [cluster], "_k").withColumn("_k", F.col("_k") - 1)
-    total = ranked.count()
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("replicate").cast("string"), F.col("_k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    draws = ranked.select("_k", each_replicate(replicates)).withColumn("_d", h % F.lit(max(1, total)))
-    w = draws.groupBy("replicate", "_d").agg(F.count(F.lit(1)).alias("w"))
-    return w.join(ranked, F.col("_d") == F.col("_k")).select("replicate", cluster, "w")
-
-
-def bootstrap_pooled(df: DataFrame, draws: DataFrame, cluster: str, value: str, accepted: Column) -> DataFrame:
+    return weights(ranked.agg(F.count(F.lit(1)).alias("_n")), [], replicates, salt).join(ranked, "_k").select(cluster, "w")
+
+
+def weighted_sums(df: DataFrame, keys: list[str], values: list[str], weight: str = "w") -> DataFrame:
+    """(keys, values as arrays): sums of the values times each entry of the weights, by keys. Tasks add up before rows move."""
+    spark = df.sparkSession
+    ship(spark)
+    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    kinds = ["double" if df.schema[v].dataType.simpleString() in ("double", "float") else "long" for v in values]
+    schema = ", ".join([*fields, *[f"`{v}` array<{t}>" for v, t in zip(values, kinds, strict=True)]])
+    dtypes = [np.float64 if t == "double" else np.int64 for t in kinds]
+    types = [to_arrow_type(df.schema[k].dataType) for k in keys]
+
+    def table(sums: dict) -> pa.RecordBatch:
+        columns = [pa.array([k[j] for k in sums], t) for j, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array([list(v[j]) for v in sums.values()], pa.list_(pa.from_numpy_dtype(t))) for j, t in enumerate(dtypes)]], names=[*keys, *values])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+        for b in batches:
+            own = list(zip(*(b.column(j).to_pylist() for j in range(len(keys))), strict=True)) if keys else [()] * b.num_rows
+            numbers = [b.column(len(keys) + j).to_numpy(zero_copy_only=False) for j in range(len(values))]
+            for i, (key, w) in enumerate(zip(own, b.column(len(keys) + len(values)), strict=True)):
+                w = w.values.to_numpy()
+                got = sums.get(key)
+                if got is None:
+                    got = sums[key] = [np.zeros(len(w), dtype=t) for t in dtypes]
+                for x, v in zip(got, numbers, strict=True):
+                    x += (w * v[i]).astype(x.dtype)
+            if len(sums) * sum(len(x) for x in next(iter(sums.values()), [])) > 1 << 23:
+                yield table(sums)
+                sums.clear()
+        if sums:
+            yield table(sums)
+
+    def add(t: pa.Table) -> pa.Table:
+        first = t.slice(0, 1)
+        columns = [np.sum([x.values.to_numpy() for c in t.column(v).chunks for x in c], axis=0) for v in values]
+        return pa.table([*(first.column(k) for k in keys), *[pa.array([list(c)], pa.list_(pa.from_numpy_dtype(d))) for c, d in zip(columns, dtypes, strict=True)]], names=[*keys, *values])
+
+    rows = df.select(*keys, *[F.col(v).cast(t).alias(v) for v, t in zip(values, kinds, strict=True)], weight).mapInArrow(partial, schema)
+    if not keys:
+        return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(lambda t: add(t), schema)
+    return rows.groupBy(*keys).applyInArrow(add, schema)
+
+
+def by_replicate(arrays: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, replicate, values) from arrays over the replicates."""
+    zipped = F.arrays_zip(*[F.col(v) for v in values])
+    return arrays.select(*keys, F.posexplode(zipped).alias("replicate", "_v")).select(*keys, F.col("replicate").cast("long").alias("replicate"), *[F.col("_v")[v].alias(v) for v in values])
+
+
+def pair_counts_of_arrays(grouped: DataFrame, value: str, replicates: int) -> DataFrame:
+    """(replicate, pair counts) of values whose numbers a and b are arrays over the replicates.
+
+    Values are dealt out by range; a part gives its sums and the pairs inside it, and pairs across parts come from the
+    sums of the parts, a row each."""
+    ship(grouped.sparkSession)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_all, b_all, inside, tied, same = (np.zeros(replicates, dtype=np.int64) for _ in range(5))
+        for batch in batches:
+            for a, b in zip(*(batch.column(j) for j in range(2)), strict=True):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                inside += a * b_all
+                tied += a * b
+                same += (a * (a - 1) + b * (b - 1)) // 2
+                a_all += a
+                b_all += b
+        rows = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (a_all, b_all, inside, tied, same)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *rows], names=["part", "a", "b", "inside", "tied", "same"])
+
+    def total(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        a, b, inside, tied, same = (np.array(t.column(c).to_pylist(), dtype=np.int64) for c in ("a", "b", "inside", "tied", "same"))
+        concordant = inside.sum(axis=0) + (a * (np.cumsum(b, axis=0) - b)).sum(axis=0)
+        n, m = a.sum(axis=0), b.sum(axis=0)
+        both = (n * (n - 1) + m * (m - 1)) // 2
+        out = {"replicate": np.arange(replicates), "concordant": concordant, "discordant": n * m - concordant - tied.sum(axis=0), "t_acc": both - same.sum(axis=0), "t_met": tied.sum(axis=0)}
+        return pa.table(out)
+
+    parts = grouped.select(value, "a", "b").repartitionByRange(value).sortWithinPartitions(value).select("a", "b").mapInArrow(part, "part int, a array<long>, b array<long>, inside array<long>, tied array<long>, same array<long>")
+    return parts.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(lambda t: total(t), "replicate long, concordant long, discordant long, t_acc long, t_met long")
+
+
+def bootstrap_pooled(df: DataFrame, draws: DataFrame, cluster: str, value: str, accepted: Column, replicates: int) -> DataFrame:
     """Per replicate tau-b of the resampled rows, over rows grouped by cluster and value before they meet the weights."""
     small = by_value(df, [cluster], value, accepted)
-    weighed = small.join(draws, cluster).groupBy("replicate", value).agg(F.sum(F.col("a") * F.col("w")).alias("a"), F.sum(F.col("b") * F.col("w")).alias("b"))
-    return pair_counts(weighed, ["replicate"], value).select("replicate", tau_b().alias("tau"))
+    weighed = weighted_sums(small.join(draws, cluster), [value], ["a", "b"])
+    return pair_counts_of_arrays(weighed, value, replicates).select("replicate", tau_b().alias("tau"))
 
 
 def bootstrap_within(df: DataFrame, draws: DataFrame, cluster: str, value: str, accepted: Column) -> DataFrame:
     """Per replicate tau-b of pairs inside clusters: weights times the clusters' counts."""
     c = pair_counts(by_value(df, [cluster], value, accepted), [cluster], value)
-    names = ("concordant", "discordant", "t_acc", "t_met")
-    s = c.join(draws, cluster).groupBy("replicate").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in names])
-    return s.select("replicate", tau_b().alias("tau"))
+    names = ["concordant", "discordant", "t_acc", "t_met"]
+    return by_replicate(weighted_sums(c.join(draws, cluster), [], names), [], names).select("replicate", tau_b().alias("tau"))
 
 
 def interval(estimates: DataFrame, keys: list[str], value: str, replicates: int, share: float = 0.95) -> DataFrame:
@@ -129,12 +251,11 @@ def contrast(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def bootstrap_contrast(pairs: DataFrame, keys: list[str], unit: str, replicates: int, salt: str) -> DataFrame:
     """Per replicate the mean difference of as many pairs drawn with replacement."""
-    ranked = pairs.withColumn("_d", (F.col("left") - F.col("right")).cast("double")).withColumn("_one", F.lit(1))
-    ranked = running_sums(ranked, keys, [unit], {"_k": "_one"}).join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("replicate").cast("string"), F.col("_k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    w = ranked.select(*keys, "_k", "_n", each_replicate(replicates)).select(*keys, "replicate", (h % F.col("_n")).alias("_k")).groupBy(*keys, "replicate", "_k").agg(F.count(F.lit(1)).alias("w"))
-    x = w.join(ranked.select(*keys, "_k", "_d"), [*keys, "_k"])
-    return x.groupBy(*keys, "replicate").agg((F.sum(F.col("_d") * F.col("w")) / F.sum("w")).alias("delta"))
+    one = pairs.select(*keys, unit, (F.col("left") - F.col("right")).cast("double").alias("_d"), F.lit(1).alias("_one"))
+    ranked = running_sums(one, keys, [unit], {"_k": "_one"})
+    drawn = weights(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, replicates, salt)
+    sums = weighted_sums(ranked.select(*keys, "_k", "_d", "_one").join(drawn, [*keys, "_k"]), keys, ["_d", "_one"])
+    return by_replicate(sums, keys, ["_d", "_one"]).select(*keys, "replicate", (F.col("_d") / F.col("_one")).alias("delta"))
 
 
 def softmax(df: DataFrame, keys: list[str], score: str, temperature: float) -> DataFrame:

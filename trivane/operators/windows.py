@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from trivane.session import shared_dir
+from trivane.session import ship, stored
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -40,15 +44,18 @@ def budget_sample(df: DataFrame, family: str, order: list, per_family: int, tota
 
 
 def midranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Ranks in which ties share their average."""
-    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
-    return df.withColumn("midrank", F.rank().over(W.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2)
+    """Ranks in which ties share their average: from the numbers of rows with lower values, summed over distinct values."""
+    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    low = running_sums(n, keys, [value], {"_less": "_n"})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, value)]
+    low = low.select(*[F.col(c).alias(f"_{c}") for c in (*keys, value)], (F.col("_less") + 1 + (F.col("_n") - 1) / 2).alias("midrank"))
+    return df.join(low, same).drop(*[f"_{c}" for c in (*keys, value)])
 
 
-def running_ordinal(df: DataFrame, keys: list[str], order: list, counted: Column) -> DataFrame:
-    """How many counted rows there are up to each row; null for rows that are not counted."""
-    run = F.sum(F.when(counted, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("ordinal", F.when(counted, run).cast("long"))
+def running_ordinal(df: DataFrame, keys: list[str], order: list[str], counted: Column) -> DataFrame:
+    """How many counted rows there are up to each row, by a total order; null for rows that are not counted."""
+    out = running_sums(df.withColumn("_c", F.when(counted, 1).otherwise(0)), keys, order, {"_before": "_c"})
+    return out.withColumn("ordinal", F.when(F.col("_c") == 1, F.col("_before") + 1).cast("long")).drop("_c", "_before")
 
 
 def last_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -56,10 +63,11 @@ def last_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return first_n(df, keys, order, k)
 
 
-def earlier_any(df: DataFrame, keys: list[str], order: list, flag: Column) -> DataFrame:
-    """Whether the flag held for an earlier row of the group."""
-    over = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("earlier", F.coalesce(F.max(flag).over(over), F.lit(False)))
+def earlier_any(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
+    """Whether the flag held for an earlier row of the group: one that comes after the group's first row with it."""
+    first = df.where(flag).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct(*order)).alias("_first"))
+    out = df.join(first, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return out.withColumn("earlier", F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_first", *[f"_{k}" for k in keys])
 
 
 def bands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,10 +93,8 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
 
     Rows are dealt out by range and sorted in their parts; a row's number is its place in its part plus the rows of the parts
     before. The sorted parts are written once, as a second computation might cut the ranges elsewhere."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/positions-{uuid.uuid4().hex}"
-    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = stored(rows, "positions").withColumn("_part", F.shiftright("_id", 33))
     n = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = n.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
@@ -96,20 +102,58 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
-    """For each row the sums (by new name, the column summed) over the rows before it in its group, by a total order.
+    """For each row the sums (by new name, the number summed) over the rows before it in its group, by a total order.
 
-    As in positions(), rows are dealt out by range of group and order, so that a group of any size is spread over tasks; a
-    row's sum is that over its part plus those of the parts before, of which each group has one row."""
+    Rows are dealt out by range of group and order, so that a group of any size is spread over tasks, summed within their part
+    and written once. Of the groups of a part only the first can begin in a part before, so what was summed before is one row
+    for each part."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
-    df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
-    parts = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    over = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = parts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(n).over(over), F.lit(0)).alias(f"_b{i}") for i, n in enumerate(sums)])
-    own = W.partitionBy("_part", *keys).orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
-    same = F.col("_part") == F.col("_p")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    rows = rows.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(n) for n, c in sums.items()])
-    return rows.join(before, same).select(*df.columns, *[(F.col(n) + F.col(f"_b{i}")).alias(n) for i, n in enumerate(sums)])
+    ship(spark)
+    names = list(sums)
+    kinds = ["double" if df.schema[c].dataType.simpleString() in ("double", "float") else "long" for c in sums.values()]
+    cols = df.withColumn("_key", F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long"))
+    for i, (c, kind) in enumerate(zip(sums.values(), kinds, strict=True)):
+        cols = cols.withColumn(f"_v{i}", F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)))
+    cols = cols.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).sortWithinPartitions(*keys, *order)
+    at = len(df.columns)
+    schema = StructType([*df.schema.fields, *[StructField(f"_v{i}", cols.schema[f"_v{i}"].dataType) for i in range(len(names))], *[StructField(n, cols.schema[f"_v{i}"].dataType) for i, n in enumerate(names)], StructField("_key", LongType()), StructField("_part", IntegerType()), StructField("_row", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, last, carried = TaskContext.get().partitionId(), 0, None, [0] * len(names)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            key = b.column(at).to_numpy()
+            new = np.append(key[0] != last, key[1:] != key[:-1])
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            made = []
+            for i in range(len(names)):
+                v = b.column(at + 1 + i).to_numpy()
+                before = np.cumsum(v) - v
+                # Rows of the group that goes on from the batch before have what it carried.
+                before = np.where(begin >= 0, before - before[np.maximum(begin, 0)], before + carried[i])
+                carried[i] = before[-1] + v[-1]
+                made.append(pa.array(before.astype(v.dtype)))
+            last = key[-1]
+            rows = [pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(row, row + n))]
+            row += n
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *b.columns[at + 1 :], *made, b.column(at), *rows], names=schema.fieldNames())
+
+    rows = stored(cols.mapInArrow(run, schema), "running")
+    ends = rows.groupBy("_part").agg(F.min_by("_key", "_row").alias("first"), F.max_by("_key", "_row").alias("last"), *[F.max_by(F.col(n) + F.col(f"_v{i}"), "_row").alias(f"s{i}") for i, n in enumerate(names)])
+    carry, before, key = [0] * len(names), [], None
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        mine = carry if r["first"] == key else [0] * len(names)
+        if any(mine):
+            before.append((r["_part"], r["first"], *mine))
+        alone = r["first"] == r["last"]
+        carry = [r[f"s{i}"] + (mine[i] if alone else 0) for i in range(len(names))]
+        key = r["last"]
+    out = rows
+    if before:
+        parts = spark.createDataFrame(before, StructType([StructField("_part", IntegerType()), StructField("_key", LongType()), *[StructField(f"_b{i}", rows.schema[n].dataType) for i, n in enumerate(names)]]))
+        out = rows.join(F.broadcast(parts), ["_part", "_key"], "left")
+        for i, n in enumerate(names):
+            out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_b{i}"), F.lit(0).cast(kinds[i])))
+    return out.select(*df.columns, *names)

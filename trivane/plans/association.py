@@ -90,7 +90,7 @@ def draws(spark, d):
 WITH {DRAWS_SQL}, a AS (SELECT replicate AS workflow, quality AS v, sum(CASE WHEN stage = 'accepted' THEN w ELSE 0 END) AS a, sum(CASE WHEN stage = 'accepted' THEN 0 ELSE w END) AS b FROM samples JOIN dr ON samples.task_id = dr.task_id WHERE quality IS NOT NULL GROUP BY ALL), {COUNTS_SQL[COUNTS_SQL.index("s AS") :]}
 SELECT workflow AS replicate, round({TAU_SQL}, 9) AS tau FROM c""")
 def st07_bootstrap_pooled(spark, d):
-    return T.bootstrap_pooled(view(spark, d, "samples"), draws(spark, d), "task_id", "quality", acc()).withColumn("tau", F.round("tau", 9))
+    return T.bootstrap_pooled(view(spark, d, "samples"), draws(spark, d), "task_id", "quality", acc(), REPLICATES).withColumn("tau", F.round("tau", 9))
 
 
 @query(f"WITH {WITHIN_SQL}, {DRAWS_SQL}, c AS (SELECT replicate, sum(concordant * w) AS concordant, sum(discordant * w) AS discordant, sum(t_acc * w) AS t_acc, sum(t_met * w) AS t_met FROM p JOIN dr ON p.task_id = dr.task_id GROUP BY replicate) SELECT replicate, round({TAU_SQL}, 9) AS tau FROM c")

@@ -230,8 +230,7 @@ def w06_running_counts(spark, d):
     from trivane.operators.statistics import by_value
 
     g = by_value(view(spark, d, "samples").withColumnRenamed("quality", "v"), ["workflow"], "v", F.col("stage") == "accepted")
-    run = W.partitionBy("workflow").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    return g.withColumn("below", F.coalesce(F.sum("b").over(run), F.lit(0)))
+    return N.running_sums(g, ["workflow"], ["v"], {"below": "b"})
 
 
 @query("WITH u AS (SELECT base_id, points % 50 AS edit, min(candidate_id) AS candidate_id FROM candidates GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY candidate_id) AS rank FROM u) SELECT base_id, edit, candidate_id, rank FROM r WHERE rank <= 5")
