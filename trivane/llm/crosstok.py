@@ -21,7 +21,6 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

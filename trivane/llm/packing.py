@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from trivane.llm.blocks import spread
 from trivane.llm.common import arrow_map, stored
 from trivane.operators.windows import running_sums
 
