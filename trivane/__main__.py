@@ -1,8 +1,14 @@
-"""Command line: list the queries, run one over a folder of tables, or measure two texts.
+"""Command line: list the queries, run one over a folder of tables, measure texts, check files, reproduce results.
 
     python -m trivane list
     python -m trivane run NAME TABLES [--out FOLDER]
     python -m trivane evaluate GENERATED REFERENCE [--out FOLDER] [--outcomes FILE] [--suffix .rs]
+    python -m trivane dataset MANIFEST REFERENCES --out FOLDER [--workflow W] [--model M] [--shot S] [--task T] [--outcomes FILE] [--step N]
+    python -m trivane validate FOLDER MANIFEST
+    python -m trivane reproduce TABLES --out FOLDER [--only NAME ...] [--against FOLDER]
+
+dataset scores the samples of a CSV manifest that are not scored yet; a stopped run goes on where it was. validate lists the files
+that a manifest of hashes doesn't agree with. reproduce writes the results of queries, and compares them with those of an earlier run.
 
 GENERATED and REFERENCE are two files, or two folders whose files of the same name are paired. FILE holds a JSON object a line:
 name, side (generated or ground) and fields of evidence (see functions/metrics.py), for metrics that an outside program decides."""
@@ -74,12 +80,58 @@ def main(argv: list[str] | None = None) -> None:
     ev.add_argument("--out")
     ev.add_argument("--outcomes")
     ev.add_argument("--suffix", default=".rs")
+    ds = sub.add_parser("dataset")
+    ds.add_argument("manifest")
+    ds.add_argument("references")
+    ds.add_argument("--out", required=True)
+    for name in ("workflow", "model", "shot", "task"):
+        ds.add_argument(f"--{name}")
+    ds.add_argument("--outcomes")
+    ds.add_argument("--step", type=int, default=500)
+    va = sub.add_parser("validate")
+    va.add_argument("folder")
+    va.add_argument("manifest")
+    re = sub.add_parser("reproduce")
+    re.add_argument("tables")
+    re.add_argument("--out", required=True)
+    re.add_argument("--only", nargs="*")
+    re.add_argument("--against")
     a = p.parse_args(argv)
     if a.command == "evaluate":
         evaluate(a.generated, a.reference, a.out, a.outcomes, a.suffix)
         return
     from trivane import catalog
 
+    if a.command in ("dataset", "validate", "reproduce"):
+        from pyspark.sql import SparkSession
+
+        from trivane import commands
+
+        spark = SparkSession.builder.appName("trivane").getOrCreate()
+        if a.command == "validate":
+            bad = commands.file_differences(spark, a.folder, a.manifest).orderBy("path")
+            n = 0
+            for row in bad.toJSON().toLocalIterator():
+                print(row)
+                n += 1
+            if n:
+                raise SystemExit(1)
+        elif a.command == "reproduce":
+            report = commands.reproduce(spark, a.tables, a.out, a.only or list(catalog.QUERIES), a.against)
+            print(f"{report['status']}: {len(report['stages'])} queries")
+            if report["status"] != "passed":
+                raise SystemExit(1)
+        else:
+            read = lambda path: spark.read.csv(path, header=True, multiLine=True, escape='"')
+            chosen = {"workflow": a.workflow, "model": a.model, "shot": a.shot, "task_id": a.task}
+            listed = commands.jobs(read(a.manifest), read(a.references), chosen)
+            if listed.isEmpty():
+                raise SystemExit("no samples selected")
+            commands.evaluate_dataset(spark, listed, a.out, a.outcomes, a.step)
+            for row in commands.summary(spark, a.out).orderBy("metric").toJSON().toLocalIterator():
+                print(row)
+        return
+
     if a.command == "list":
         print("\n".join(sorted(catalog.QUERIES)))
         return

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trivane.plans import aggregations, association, evaluation, files, measures, programs, records, relations, streams, texts
+from trivane.plans import aggregations, association, audits, evaluation, files, measures, programs, records, relations, streams, texts
 from trivane.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregations", "association", "evaluation", "files", "measures", "programs", "records", "relations", "streams", "texts"]
+__all__ = ["ORACLES", "QUERIES", "aggregations", "association", "audits", "evaluation", "files", "measures", "programs", "records", "relations", "streams", "texts"]

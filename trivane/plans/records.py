@@ -448,14 +448,6 @@ def y24_alignment(spark, d):
     return c.groupBy("sample_id").agg(S.long_if(F.col("l") & F.col("r")).alias("matched"), S.long_if(F.col("l") & ~F.col("r")).alias("missing"), S.long_if(~F.col("l") & F.col("r")).alias("extra"))
 
 
-@query("SELECT sample_id, pre_ref_to_gen, CASE WHEN pre_ref_to_gen = 'valid' THEN 'kept' ELSE 'quarantined' END AS part, CASE WHEN pre_ref_to_gen <> 'valid' THEN pre_ref_to_gen END AS reason FROM samples")
-def y10_quarantine(spark, d):
-    """Kept and quarantined rows of one pass, the latter with their reason."""
-    ok = F.col("pre_ref_to_gen") == "valid"
-    return view(spark, d, "samples").select("sample_id", "pre_ref_to_gen", F.when(ok, "kept").otherwise("quarantined").alias("part"), F.when(~ok, F.col("pre_ref_to_gen")).alias("reason"))
-
-
-
 @query("""
 WITH b AS (SELECT s.*, coalesce(io_correct_passed, 0) AS p, coalesce(io_correct_failed, 0) AS f, coalesce(io_correct_unresolved, 0) AS u, s.quality % 4 AS v FROM samples s LEFT JOIN outcomes o ON s.sample_id = o.sample_id)
 SELECT concat_ws('|', workflow, model, shot, sample_id) AS sample_id, stage AS verification_stage, CASE WHEN 'invalid' IN (pre_ref_to_gen, post_gen_to_ref, pre_gen_to_ref, post_ref_to_gen) THEN 'unfavorable' WHEN pre_ref_to_gen = 'valid' AND post_gen_to_ref = 'valid' AND pre_gen_to_ref = 'valid' AND post_ref_to_gen = 'valid' THEN 'favorable' ELSE 'other' END AS formal_state,

@@ -136,13 +136,6 @@ def h03_deep_walk(spark, d):
     return leaf.groupBy("sample_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT candidate_id, concat_ws(',', CASE WHEN status = 'error' THEN 'harness' END, CASE WHEN points % 3 = 0 THEN 'type' END, CASE WHEN operator = 'click' THEN 'undefined' END) AS tags FROM candidates")
-def h04_tags(spark, d):
-    c = view(spark, d, "candidates")
-    tags = F.array_compact(F.array(F.when(F.col("status") == "error", "harness"), F.when(F.col("points") % 3 == 0, "type"), F.when(F.col("operator") == "click", "undefined")))
-    return c.select("candidate_id", F.array_join(tags, ",").alias("tags"))
-
-
 @query("""
 WITH a AS (SELECT sample_id, list(amount) AS v FROM cases WHERE kind = 'io_correct' GROUP BY sample_id), s AS (SELECT sample_id, v FROM a UNION ALL SELECT sample_id, [] FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM a))
 SELECT sample_id, CASE WHEN len(v) = 0 THEN 'empty' WHEN len(v) = 1 THEN 'single' ELSE 'multi' END AS size_tag, len(list_distinct(v)) < len(v) AS duplicate FROM s""")
@@ -153,19 +146,6 @@ def h05_value_tags(spark, d):
     return s.select("sample_id", F.when(n == 0, "empty").when(n == 1, "single").otherwise("multi").alias("size_tag"), (F.size(F.array_distinct("v")) < n).alias("duplicate"))
 
 
-@query("WITH c AS (SELECT sample_id, CASE WHEN kind = 'io_wrong' AND state = 'failed' THEN NULL ELSE kind END AS clause FROM cases), g AS (SELECT sample_id, count(clause) AS n FROM c GROUP BY sample_id) SELECT sample_id, CASE WHEN n = 0 THEN 1 ELSE n END AS clauses, n = 0 AS implicit FROM g")
-def h07_implicit_true(spark, d):
-    c = view(spark, d, "cases").groupBy("sample_id").agg(F.collect_list(F.when(~((F.col("kind") == "io_wrong") & (F.col("state") == "failed")), F.col("kind"))).alias("a"))
-    full = F.when(F.size("a") == 0, F.array(F.lit("true"))).otherwise(F.col("a"))
-    return c.select("sample_id", F.size(full).cast("long").alias("clauses"), (F.size("a") == 0).alias("implicit"))
-
-
-@query("SELECT item_id, extract('year' FROM DATE '2024-02-28' + CAST(item_id AS INT)) AS year, strftime(DATE '2024-02-28' + CAST(item_id AS INT), '%Y-%m-%dT00:00:00') AS stamp FROM benchmark")
-def h08_timestamps(spark, d):
-    day = F.date_add(F.lit("2024-02-28").cast("date"), F.col("item_id").cast("int"))
-    return view(spark, d, "benchmark").select("item_id", F.year(day).cast("long").alias("year"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
-
-
 @query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 < 2 THEN 3 ELSE 2 END AS BIGINT) AS requires, CAST(2 AS BIGINT) AS ensures, CAST(1 AS BIGINT) AS \"assert\", CAST(CASE WHEN p_partkey % 3 < 2 THEN 6 ELSE 5 END AS BIGINT) AS total FROM part")
 def a32_clause_counts(spark, d):
     c = spec_texts(spark, d).select("p_partkey", F.explode(P.clauses("text")).alias("c")).select("p_partkey", "c.kind")
@@ -178,38 +158,6 @@ def f04_f05_compaction(spark, d):
     return b.select("item_id", F.length(F.regexp_replace("text", "[^A-Za-z]+", "")).cast("long").alias("letters"), F.size(P.words(F.col("text"))).cast("long").alias("words"))
 
 
-@query("SELECT sample_id, CASE WHEN quality IS NULL THEN 'not_applicable' WHEN redundancy >= 40 THEN 'complete' WHEN redundancy > 0 THEN 'partial' ELSE 'blocked' END AS state FROM samples")
-def y09_category_state(spark, d):
-    """State of a category by its target and what there is of it."""
-    n = F.coalesce("redundancy", F.lit(0))
-    return view(spark, d, "samples").select("sample_id", F.when(F.col("quality").isNull(), "not_applicable").when(n >= 40, "complete").when(n > 0, "partial").otherwise("blocked").alias("state"))
-
-
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'network' WHEN 1 THEN 'process' ELSE '' END AS reason FROM part")
-def p39_unsafe(spark, d):
-    """The first needle that a text holds once white space is taken out and letters are lowered."""
-    k = F.col("p_partkey") % 5
-    code = F.when(k == 0, "use STD :: net; // x").when(k == 1, "std::pro cess::Command").otherwise("fn f() {}")
-    bare = F.lower(F.regexp_replace(code, r"\s+", ""))
-    needles = {"network": "std::net", "process": "std::process"}
-    reason = F.lit("")
-    for name, needle in reversed(needles.items()):
-        reason = F.when(F.contains(bare, F.lit(needle)), name).otherwise(reason)
-    return view(spark, d, "part").select("p_partkey", reason.alias("reason"))
-
-
-@query("""
-WITH c AS (SELECT sample_id, list(DISTINCT kind ORDER BY kind) FILTER (case_no <= 3) AS a, list(DISTINCT kind ORDER BY kind) FILTER (case_no > 3) AS b FROM cases GROUP BY sample_id)
-SELECT sample_id, CASE WHEN a IS NULL OR b IS NULL THEN 'unavailable' WHEN a = b THEN 'same' WHEN len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 THEN 'added' WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 THEN 'dropped' ELSE 'changed' END AS status, CAST(coalesce(len(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))), 0) AS BIGINT) AS missing FROM c""")
-def p29_clause_localisation(spark, d):
-    """How the clauses of two sides differ: an ordered cascade over sorted arrays, and the number missing on the right."""
-    pick = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("kind"))))
-    c = view(spark, d, "cases").groupBy("sample_id").agg(pick(F.col("case_no") <= 3).alias("a"), pick(F.col("case_no") > 3).alias("b"))
-    ab, ba = F.array_except("a", "b"), F.array_except("b", "a")
-    status = F.when((F.size("a") == 0) | (F.size("b") == 0), "unavailable").when(F.col("a") == F.col("b"), "same").when(F.size(ab) == 0, "added").when(F.size(ba) == 0, "dropped").otherwise("changed")
-    return c.select("sample_id", status.alias("status"), F.size(ab).cast("long").alias("missing"))
-
-
 @query("SELECT sample_id, count(*) AS clauses, count(*) FILTER (state = 'passed') AS passed, CASE kind WHEN 'io_correct' THEN 'pre_reliability' WHEN 'io_wrong' THEN 'pre_completeness' ELSE 'post_reliability' END AS metric FROM cases GROUP BY sample_id, kind")
 def st18_st19_presets(spark, d):
     """Clause metrics as presets of side, kind and direction: one roll-up, the preset a column."""
@@ -334,13 +282,3 @@ def y07_batch_results(spark, d):
     cases = li.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("id"), (n * 10).alias("start"), (n * 10 + 6).alias("end")).distinct()
     diag = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("batch"), (n * 10 + F.col("l_partkey") % 8).alias("line"))
     return batch_results(cases, diag, "batch", "id").select("batch", "id", "success")
-
-
-@query("SELECT workflow, model, shot, count(*) AS n FROM samples WHERE workflow = '2' AND shot = 'few' GROUP BY ALL")
-def y15_selected_runs(spark, d):
-    """Runs of the matrix that match the given fields; a field that isn't given matches all."""
-    chosen = {"workflow": "2", "model": None, "shot": "few"}
-    s = view(spark, d, "samples")
-    for k, v in chosen.items():
-        s = s if v is None else s.where(F.col(k) == v)
-    return s.groupBy("workflow", "model", "shot").agg(F.count(F.lit(1)).alias("n"))
