@@ -162,3 +162,24 @@ def s23_j04_bucketed_store(spark, d):
     for part in (0, 2):  # in two goes, as results come in
         cache.save(stored.where(F.col("candidate_id") % 4 == part), name, f"{shared_dir(spark)}/{name}", "candidate_id")
     return cache.lookup(c.select("candidate_id", ask.alias("ask")), name, "candidate_id", "ask")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size, p_partkey % 6 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'parameter_count' WHEN 1 THEN 'parameter_type:0' WHEN 2 THEN 'generic_context' END AS issue, CASE WHEN k > 2 THEN 'x' || p_size || '=a>__arg0,v=w>__arg1,result=r>__ret0' END AS shared,
+  CASE WHEN k > 2 THEN CASE WHEN k = 3 THEN 'f_gen(__arg0, __old_arg1, __ret0)' WHEN k = 4 THEN 'f_gen(__arg0, __arg1, __ret0, __old_arg1)' ELSE 'f_gen(__arg0, __arg1, __ret0)' END END AS call,
+  CASE WHEN k > 2 THEN CASE WHEN k = 3 THEN 'a < ' || p_size || ' && w.len() > 0' WHEN k = 4 THEN '__old_w.len() + ' || p_size || ' == (*__old_w).len()' ELSE 'a == r' END END AS body FROM p""")
+def y05_binding(spark, d):
+    """Functions bound by position, and clauses of the generated one as predicates over the shared values."""
+    from trivane.functions import binding, parsing
+
+    parsing.ready(spark)
+    k = F.col("p_partkey") % 6
+    ref = F.format_string("fn f<T>(x%d: u32, v: &mut Vec<T>) -> u32 { 0 }", "p_size")
+    gen = F.when(k == 0, "fn f<T>(a: u32) -> (r: u32) { 0 }").when(k == 1, "fn f<T>(a: u64, w: &mut Vec<T>) -> (r: u32) { 0 }").when(k == 2, "fn f(a: u32, w: &mut Vec<T>) -> (r: u32) { 0 }")
+    gen = gen.otherwise("fn f< T >(a: u32, w: &'a mut Vec< T >) -> (r: u32) { 0 }")
+    clause = F.when(k == 3, F.format_string("a < %d && w.len() > 0", "p_size")).when(k == 4, F.format_string("old(w).len() + %d == old(*w).len()", "p_size")).otherwise("a == r")
+    x = view(spark, d, "part").select("p_partkey", ref.alias("ref"), gen.alias("gen"), clause.alias("clause"), F.when(k == 3, "requires").otherwise("ensures").alias("kind"))
+    x = x.withColumn("b", binding.binding("ref", "gen", F.lit("f"))).withColumn("c", binding.clause_predicate("ref", "gen", F.lit("f"), "clause", "kind", F.lit("generated")))
+    shared = F.array_join(F.transform("b.values", lambda v: F.concat(v["reference"], F.lit("="), v["generated"], F.lit(">"), v["shared"])), ",")
+    return x.select("p_partkey", "b.issue", shared.alias("shared"), "c.call", "c.body")

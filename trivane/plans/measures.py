@@ -184,10 +184,35 @@ def x03_x08_summary(spark, d):
     return out.withColumn("mean", F.round("mean", 9))
 
 
-@query("SELECT name, category, direction FROM (VALUES " + ", ".join(f"('{m.name}', '{m.category}', '{m.direction}')" for m in MEASURES.values()) + ") v(name, category, direction)")
+# Categories and directions of the metrics that evidence of samples decides.
+_CATALOG = """
+trivial_spec_ratio spec_triviality lower
+llm_as_judge_intent_consistency intent_consistency higher
+llm_as_judge_spec_code_intent_consistency intent_consistency higher
+parse_rate formal_validity higher
+type_check_rate formal_validity higher
+verification_pass_rate formal_validity higher
+verification_time time_efficiency lower
+proportion_at_least_gt spec_reliability higher
+proportion_at_most_gt spec_completeness higher
+precondition_clause_reliability_rate spec_reliability higher
+precondition_clause_completeness_rate spec_completeness higher
+postcondition_clause_reliability_rate spec_reliability higher
+postcondition_clause_completeness_rate spec_completeness higher
+correct_io_pass_rate io_testing higher
+wrong_io_reject_rate io_testing higher
+invalid_test_filtering_rate io_testing higher
+mutation_kill_rate robustness higher
+spec_redundancy_rate simplicity lower
+"""
+_KNOWN = [line.split() for line in _CATALOG.strip().splitlines()]
+
+
+@query(f"WITH {_SIDES} " + " UNION ALL ".join(f"SELECT '{n}' AS name, '{c}' AS category, '{r}' AS direction, count(*) AS pairs, count({SQL[n][1]}) AS scored FROM e" for n, c, r in _KNOWN))
 def x02_catalog(spark, d):
-    names = list(MEASURES)
-    return registry.catalog(spark).where(F.col("name").isin(names)).select("name", "category", "direction")
+    """The catalog of metrics, with how many samples there are and how many of them each metric scores."""
+    found = registry.summary(registry.measured(evidence(spark, d), "sample_id", list(SQL))).select(F.col("metric").alias("name"), "pairs", "scored")
+    return registry.catalog(spark).join(found, "name").select("name", "category", "direction", "pairs", "scored")
 
 
 @query(f"WITH {WORDS} SELECT item_id, {number(1, 4)} + 3 * {number(3, 4)} AS candidates, greatest(60, 3 * ({number(1, 4)} + 3 * {number(3, 4)}) + 4) AS attempts, CASE WHEN {number(1, 4)} + {number(3, 4)} > 0 THEN CASE list_filter(n, lambda x: x % 4 IN (1, 3))[1] % 4 WHEN 1 THEN 'assert' ELSE 'invariant' END END AS first_kind FROM tk")
