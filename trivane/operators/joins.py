@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
+from trivane.session import ship
+
 
 def checked_join(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """1:1 join in which every left row must find its partner; a missing one is an error when the row is read."""
@@ -115,32 +118,58 @@ def ordered_match(left: DataFrame, right: DataFrame, unit: str, keys: list[str],
 
     A cursor goes along the right side: each left item, in the order of pos, takes the next equal item after the one
     taken before; the first left item that finds none ends the match. pairs are structs of left_pos and right_pos.
-    Both sides of a unit meet in one task, as a hash and a position for each item; equal items' places are searched by halves."""
-    side = lambda df: df.select(F.col(unit).alias("_u"), F.xxhash64(*keys).alias("_k"), F.col(pos).cast("long").alias("_p"))
+    Both sides of a unit meet in one task, as a hash and a position for each item, in one sorted stream: the right ones'
+    places are kept by item and searched by halves, the left ones only pass by."""
+    spark = left.sparkSession
+    ship(spark)
+    side = lambda df, n: df.select(F.col(unit).alias("_u"), F.lit(n).alias("_s"), F.xxhash64(*keys).alias("_k"), F.col(pos).cast("long").alias("_p"))
+    # Units that only the right side has give no row, and need not be moved.
+    theirs = side(right, 0).join(left.select(F.col(unit).alias("_u")).distinct(), "_u", "left_semi")
+    both = side(left, 1).unionByName(theirs)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(n, "_u").sortWithinPartitions("_u", "_s", "_p").select("_u", "_s", "_k", "_p")
+    kind = pa.list_(pa.struct([("left_pos", pa.int64()), ("right_pos", pa.int64())]))
+    of_unit = to_arrow_type(left.schema[unit].dataType)
 
-    def fold(mine: pa.Table, other: pa.Table) -> pa.Table:
-        mine, other = mine.sort_by("_p"), other.sort_by("_p")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        unit_now, seen = None, False
         places: dict[int, list[int]] = {}
-        for i, k in enumerate(other.column("_k").to_pylist()):
-            places.setdefault(k, []).append(i)
-        cursor, taken = 0, []
-        for k in mine.column("_k").to_pylist():
-            at = places.get(k, ())
-            j = bisect_left(at, cursor)
-            if j == len(at):
-                break
-            taken.append(at[j])
-            cursor = at[j] + 1
-        n = len(taken)
-        if not mine.num_rows:
-            return pa.table({"u": mine.column("_u"), "matched": pa.array([], pa.int64()), "complete": pa.array([], pa.bool_()), "pairs": pa.array([], kind)})
-        pairs = [{"left_pos": a, "right_pos": b} for a, b in zip(mine.column("_p").to_pylist(), other.column("_p").take(pa.array(taken, pa.int64())).to_pylist(), strict=False)]
-        return pa.table({"u": mine.column("_u").slice(0, 1), "matched": pa.array([n], pa.int64()), "complete": pa.array([n == mine.num_rows]), "pairs": pa.array([pairs], kind)})
+        at: list[int] = []
+        cursor, lefts, pairs = 0, 0, []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[0] for r in out], of_unit), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out]), pa.array([r[3] for r in out], kind)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[unit, "matched", "complete", "pairs"])
+
+        for b in batches:
+            for u, s, k, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not seen or u != unit_now:
+                    if lefts:
+                        out.append((unit_now, len(pairs), len(pairs) == lefts, pairs))
+                    unit_now, seen = u, True
+                    places, at, cursor, lefts, pairs = {}, [], 0, 0, []
+                if not s:
+                    places.setdefault(k, []).append(len(at))
+                    at.append(p)
+                    continue
+                lefts += 1
+                if len(pairs) == lefts - 1:
+                    own = places.get(k, ())
+                    j = bisect_left(own, cursor)
+                    if j < len(own):
+                        pairs.append({"left_pos": p, "right_pos": at[own[j]]})
+                        cursor = own[j] + 1
+            if len(out) >= 4096:
+                yield flush()
+        if lefts:
+            out.append((unit_now, len(pairs), len(pairs) == lefts, pairs))
+        if out:
+            yield flush()
 
-    kind = pa.list_(pa.struct([("left_pos", pa.int64()), ("right_pos", pa.int64())]))
     schema = f"`{unit}` {left.schema[unit].dataType.simpleString()}, matched long, complete boolean, pairs array<struct<left_pos:long,right_pos:long>>"
-    out = side(left).groupBy("_u").cogroup(side(right).groupBy("_u")).applyInArrow(lambda a, b: fold(a, b).rename_columns([unit, "matched", "complete", "pairs"]), schema)
-    return out
+    return both.mapInArrow(fold, schema)
 
 
 def near_duplicates(items: DataFrame, unit: str, text: str, pos: str, tokens: Column, threshold: float = 0.85, first: int = 1000) -> DataFrame:
