@@ -56,7 +56,7 @@ e AS (SELECT *, len(list_filter(ids, lambda x: NOT list_contains(gone, x) AND NO
 z AS (SELECT sample_id, count(DISTINCT case_no) AS clauses FROM cases WHERE kind <> 'io_invalid' GROUP BY sample_id)
 SELECT sample_id, CASE WHEN unknown > 0 OR used >= lim THEN 'partial' ELSE 'ok' END AS status, CAST(len(gone) AS DOUBLE) / n AS score, CAST(n - unknown AS DOUBLE) / n AS coverage,
   CASE WHEN opt AND greedy THEN 'optimistic+greedy' WHEN opt THEN 'optimistic' WHEN greedy THEN 'greedy' ELSE 'none' END AS strategy, n AS clauses, len(gone) AS removed, n - unknown - len(gone) AS necessary, unknown, n - len(gone) AS minimal_size,
-  used AS attempts, checks AS frontend_checks, array_to_string(gone, ',') AS removed_ids FROM e
+  CAST(used AS BIGINT) AS attempts, checks AS frontend_checks, array_to_string(gone, ',') AS removed_ids FROM e
 UNION ALL SELECT sample_id, 'skipped', NULL, NULL, NULL, clauses, 0, 0, 0, clauses, 0, 0, '' FROM z WHERE sample_id % 13 = 0""")
 def st24_minimised(spark, d):
     """Clauses deleted one by one, together, and greedily to a fix-point, from a table of verdicts and within a budget."""
