@@ -110,13 +110,18 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     spark = df.sparkSession
     ship(spark)
     names = list(sums)
+    # Names of own columns that no column of the table begins with.
+    own = "_"
+    while any(c.startswith(own) for c in (*df.columns, *names)):
+        own += "_"
+    key_, part_, row_ = f"{own}key", f"{own}part", f"{own}row"
     kinds = ["double" if df.schema[c].dataType.simpleString() in ("double", "float") else "long" for c in sums.values()]
-    cols = df.withColumn("_key", F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long"))
+    cols = df.withColumn(key_, F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long"))
     for i, (c, kind) in enumerate(zip(sums.values(), kinds, strict=True)):
-        cols = cols.withColumn(f"_v{i}", F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)))
+        cols = cols.withColumn(f"{own}v{i}", F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)))
     cols = cols.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).sortWithinPartitions(*keys, *order)
     at = len(df.columns)
-    schema = StructType([*df.schema.fields, *[StructField(f"_v{i}", cols.schema[f"_v{i}"].dataType) for i in range(len(names))], *[StructField(n, cols.schema[f"_v{i}"].dataType) for i, n in enumerate(names)], StructField("_key", LongType()), StructField("_part", IntegerType()), StructField("_row", LongType())])
+    schema = StructType([*df.schema.fields, *[StructField(f"{own}v{i}", cols.schema[f"{own}v{i}"].dataType) for i in range(len(names))], *[StructField(n, cols.schema[f"{own}v{i}"].dataType) for i, n in enumerate(names)], StructField(key_, LongType()), StructField(part_, IntegerType()), StructField(row_, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, last, carried = TaskContext.get().partitionId(), 0, None, [0] * len(names)
@@ -141,19 +146,19 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
             yield pa.RecordBatch.from_arrays([*b.columns[:at], *b.columns[at + 1 :], *made, b.column(at), *rows], names=schema.fieldNames())
 
     rows = stored(cols.mapInArrow(run, schema), "running")
-    ends = rows.groupBy("_part").agg(F.min_by("_key", "_row").alias("first"), F.max_by("_key", "_row").alias("last"), *[F.max_by(F.col(n) + F.col(f"_v{i}"), "_row").alias(f"s{i}") for i, n in enumerate(names)])
+    ends = rows.groupBy(F.col(part_).alias("part")).agg(F.min_by(key_, row_).alias("first"), F.max_by(key_, row_).alias("last"), *[F.max_by(F.col(n) + F.col(f"{own}v{i}"), row_).alias(f"s{i}") for i, n in enumerate(names)])
     carry, before, key = [0] * len(names), [], None
-    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+    for r in sorted(ends.collect(), key=lambda r: r["part"]):
         mine = carry if r["first"] == key else [0] * len(names)
         if any(mine):
-            before.append((r["_part"], r["first"], *mine))
+            before.append((r["part"], r["first"], *mine))
         alone = r["first"] == r["last"]
         carry = [r[f"s{i}"] + (mine[i] if alone else 0) for i in range(len(names))]
         key = r["last"]
     out = rows
     if before:
-        parts = spark.createDataFrame(before, StructType([StructField("_part", IntegerType()), StructField("_key", LongType()), *[StructField(f"_b{i}", rows.schema[n].dataType) for i, n in enumerate(names)]]))
-        out = rows.join(F.broadcast(parts), ["_part", "_key"], "left")
+        parts = spark.createDataFrame(before, StructType([StructField(part_, IntegerType()), StructField(key_, LongType()), *[StructField(f"{own}b{i}", rows.schema[n].dataType) for i, n in enumerate(names)]]))
+        out = rows.join(F.broadcast(parts), [part_, key_], "left")
         for i, n in enumerate(names):
-            out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_b{i}"), F.lit(0).cast(kinds[i])))
+            out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"{own}b{i}"), F.lit(0).cast(kinds[i])))
     return out.select(*df.columns, *names)
