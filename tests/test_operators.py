@@ -6,6 +6,7 @@ import random
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from trivane.functions import registry
 from trivane.operators import aggregates, joins, quality, statistics, texts, windows
@@ -315,3 +316,22 @@ def test_figures(spark):
     assert figures.bars(df.limit(0), "k", "v").count("<rect") == 0
     with pytest.raises(ValueError):
         figures.bars(spark.range(600).select(F.col("id").alias("k"), F.col("id").alias("v")), "k", "v")
+
+
+def test_dear_texts_are_dealt_over_cores(spark, sf):
+    """However few files a table has, and however small Spark thinks a join's parts are."""
+    from trivane.plans import measures, programs, texts
+
+    n = 4 * spark.sparkContext.defaultParallelism
+    assert texts.spec_texts(spark, sf).rdd.getNumPartitions() == n
+    assert programs.turns(spark, sf).rdd.getNumPartitions() == n
+    assert measures.text_pairs(spark, sf).rdd.getNumPartitions() == n
+
+
+def test_ordered_match_of_dealt_sides(spark):
+    """Sides that are dealt by unit already meet all the same, whatever adaptive execution makes of their parts."""
+    rows = spark.range(0, 3000, 1, 6).select((F.col("id") % 500).alias("u"), F.floor(F.col("id") / 500).alias("k"))
+    place = lambda order: rows.withColumn("p", F.row_number().over(W.partitionBy("u").orderBy(order)))
+    out = joins.ordered_match(place(F.col("k")), place(F.col("k")), "u", ["k"], "p")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("matched = 6 AND complete").count() == out.count() == 500

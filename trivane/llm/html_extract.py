@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.llm.common import arrow_map, partitions, sorted_groups, stored
+from trivane.session import gathered
 
 LEAST, CONSTANT, ALIKE = 4, 0.6, 0.6
 DOMINANT, LINE = 0.8, 160
@@ -800,7 +801,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
     wide = placed.join(known, ["host", "layout"]).join(aligned, ["host", "layout", "frame", "full"]).select("host", "layout", "items", "blocks", "place", "up", "tag")
     sums = arrow_map(wide, slots, "host string, layout long, place long, up long, tag string, chars long, text long, heads long")
     sums = sums.groupBy("host", "layout", "place").agg(F.min("up").alias("up"), F.min("tag").alias("tag"), *[F.sum(c).alias(c) for c in ("chars", "text", "heads")])
-    sums = sums.join(sizes.where(F.col("n") >= LEAST), ["host", "layout"]).repartition(partitions(spark), "host", "layout").sortWithinPartitions("host", "layout", "place")
+    sums = gathered(sums.join(sizes.where(F.col("n") >= LEAST), ["host", "layout"]), partitions(spark), "host", "layout").sortWithinPartitions("host", "layout", "place")
     slot = stored(arrow_map(sums.select("host", "layout", "place", "up", "tag", "chars", "text", "heads", "n"), choose, "host string, layout long, slot long, semantic boolean"), "slots")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
