@@ -169,3 +169,60 @@ def test_small_tools():
     assert ("weakening", "a <= b") in specs.weaker_stronger("a < b")
     assert specs.types("struct S { a: u32 } type T = Vec<u8>;") == {"S": "struct { a : u32 }", "T": "type = Vec < u8 >"}
     assert [k for k, _ in specs.blacklisted("assume(false); // admit()")] == ["assume_false"]
+
+
+def test_long_clause_lists_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = "fn f(x: u32) requires " + ", ".join(f"x < {k}" for k in range(n)) + " { }"
+        began = time.perf_counter()
+        assert len(specs.clauses(text)) == n and specs.functions(text)[0].name == "f"
+        return time.perf_counter() - began
+
+    seconds(200)
+    assert min(seconds(3200) for _ in range(2)) < 40 * min(seconds(200 + k) for k in range(3))
+
+
+def test_scopes_of_a_text_share_its_items(monkeypatch):
+    from trivane.functions import contracts
+
+    found, real = [], contracts.clauses
+    monkeypatch.setattr(contracts, "clauses", lambda t: found.append(t) or real(t))
+    text = "spec fn once() -> int { 1 } fn g() requires true { assert(1 == 1); }"
+    assert [len(contracts.scoped_items(text, s)) for s in ("full", "spec_only", "proof")] == [3, 2, 1]
+    assert len(found) == 1
+
+
+def test_results_are_objects_for_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from trivane.functions import parsing
+
+    done = []
+    out = parsing.sliced(lambda x, y: done.append(x) or x + y, pa.int64(), [(pa.array(range(1000)), pa.array([1] * 1000))])
+    assert next(out).to_pylist() == list(range(1, parsing.ROWS + 1)) and len(done) == parsing.ROWS
+    assert sum(len(a) for a in out) == 1000 - parsing.ROWS
+
+
+def test_paths_of_deep_walks():
+    import json
+    import time
+
+    from trivane.functions import walks
+
+    def deep(n):
+        check = {"holds": True, "status": "s", "lemma_harness_version": 1, "clause": "x > 1"}
+        for _ in range(n):
+            check = {"k": [check]}
+        return json.loads(json.dumps(check))
+
+    assert [r["path"] for r in walks.obligations(deep(2))] == ["k.0.k.0"]
+
+    def seconds(n):
+        value, began = deep(n), time.perf_counter()
+        assert len(list(walks.obligations(value))) == 1
+        return time.perf_counter() - began
+
+    seconds(30)
+    assert min(seconds(400) for _ in range(5)) < 40 * min(seconds(25) for _ in range(5))

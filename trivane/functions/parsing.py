@@ -5,9 +5,13 @@ Call ready(spark) once before use, so that Python workers can import this packag
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from trivane.functions import lexer, specs
 from trivane.session import ship
@@ -15,13 +19,41 @@ from trivane.session import ship
 ready = ship
 
 
+#: Rows whose values and results a worker holds as objects at once.
+ROWS = 64
+
+
+def sliced(f: Callable, of: pa.DataType, batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        for k in range(0, len(columns[0]), ROWS):
+            values = (c.slice(k, ROWS).to_pylist() for c in columns)
+            yield pa.array([f(*x) for x in zip(*values, strict=True)], of)
+
+
+def applied(f: Callable, kind: str, *cols: str | Column) -> Column:
+    """f of every row's values, of the type kind (structs as dicts, maps as lists of pairs).
+
+    Arrow's batches hold thousands of rows whatever the length of their texts; they are gone through and sent back a few rows
+    at a time, as objects take many times the room of the texts that they come from."""
+    of = to_arrow_type(DataType.fromDDL(kind))
+
+    def rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return sliced(f, of, batches)
+
+    def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(f, of, ((c,) for c in batches))
+
+    run = F.arrow_udf(single if len(cols) == 1 else rows, kind)
+    return run(*[F.col(c) if isinstance(c, str) else c for c in cols])
+
+
 def _udf(kind: str):
-    """An Arrow UDF made when first used, as a session must exist then."""
+    """A function of a row's values as one of columns, made when used, as a session must exist then."""
 
     def wrap(f):
         @functools.wraps(f)
         def call(*cols):
-            return F.udf(f, kind, useArrow=True)(*[F.col(c) if isinstance(c, str) else c for c in cols])
+            return applied(f, kind, *cols)
 
         return call
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trivane.functions import specs
 from trivane.functions.metrics import EVIDENCE, MEASURES, Measure
+from trivane.functions.parsing import applied
 from trivane.session import ship
 
 
@@ -131,7 +132,7 @@ def evaluated(name: str, text: Column) -> Column:
             return {"status": f"exception: {type(e).__name__}", "score": None}
         return {"status": "ok" if score is not None else "not_available", "score": score}
 
-    return F.udf(safe, "struct<status:string,score:double>", useArrow=True)(text)
+    return applied(safe, "struct<status:string,score:double>", text)
 
 
 def two_sided(name: str, generated: Column, reference: Column) -> Column:

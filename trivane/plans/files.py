@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.functions import actions, contracts, lexer, registry, specs
+from trivane.functions import parsing as P
 from trivane.functions import states as S
 from trivane.operators import aggregates as A
 from trivane.operators import statistics as ST
@@ -101,7 +102,7 @@ ARGUMENTS = ("#", "(#, a)", "[#, {b}]", "'\"', #")
 @query(f"WITH {WORDS} SELECT item_id, len(n) + {number(3, 4)} AS parts, true AS closed FROM tk WHERE len(n) > 0")
 def f06_f07_brackets(spark, d):
     """The bracket that closes a call, and what stands between its commas."""
-    run = F.udf(lambda t: (lexer.matching(t, 1) == len(t) - 1, len(lexer.split_commas(t[2:-1]))), "struct<closed:boolean,parts:long>", useArrow=True)
+    run = lambda c: P.applied(lambda t: {"closed": lexer.matching(t, 1) == len(t) - 1, "parts": len(lexer.split_commas(t[2:-1]))}, "struct<closed:boolean,parts:long>", c)
     t = turns(spark, d).where("size(ws) > 0").select("item_id", run(program(ARGUMENTS, "f(", ")", ", ")).alias("x"))
     return t.select("item_id", "x.parts", "x.closed")
 
@@ -109,7 +110,7 @@ def f06_f07_brackets(spark, d):
 @query(f"WITH {WORDS} SELECT item_id, array_to_string(list_transform(n, lambda x: CASE WHEN x % 2 = 0 THEN 'even' ELSE CAST(x AS VARCHAR) END), ' + ') AS text FROM tk")
 def f12_splice(spark, d):
     """Edits of one text at once."""
-    run = F.udf(lambda t: specs.splice(t, [(x.start, x.end, "even") for x in lexer.tokens(t) if x.kind == "number" and int(x.text) % 2 == 0]), "string", useArrow=True)
+    run = lambda c: P.applied(lambda t: specs.splice(t, [(x.start, x.end, "even") for x in lexer.tokens(t) if x.kind == "number" and int(x.text) % 2 == 0]), "string", c)
     return turns(spark, d).select("item_id", run(program(("#",), sep=" + ")).alias("text"))
 
 
@@ -123,7 +124,7 @@ def f13_f14_x09_edits(spark, d):
         return {"clauses": [c.normalized for c in specs.clauses(own)], "masked": contract["requires"] if not specs.clauses(rest) else None}
 
     kinds = "struct<clauses:array<string>,masked:array<string>>"
-    t = turns(spark, d).where("size(ws) > 0").select("item_id", F.udf(run, kinds, useArrow=True)(program(("x < #",), "fn f(x: u32) requires ", " { }", ", ")).alias("x"))
+    t = turns(spark, d).where("size(ws) > 0").select("item_id", P.applied(run, kinds, program(("x < #",), "fn f(x: u32) requires ", " { }", ", ")).alias("x"))
     return t.select("item_id", "x.clauses", "x.masked")
 
 
@@ -137,7 +138,7 @@ def y03_y04_signatures(spark, d):
         gen = specs.functions(t)[0]
         return {"issues": specs.signature_issues(ref, gen), "same": not contracts.binding_issues(ref, gen)}
 
-    t = turns(spark, d).select("item_id", F.udf(run, "struct<issues:array<string>,same:boolean>", useArrow=True)(program(("p#: u32", "p#: u8"), "fn f(", ") -> u8 { 0 }", ", ")).alias("x"))
+    t = turns(spark, d).select("item_id", P.applied(run, "struct<issues:array<string>,same:boolean>", program(("p#: u32", "p#: u8"), "fn f(", ") -> u8 { 0 }", ", ")).alias("x"))
     return t.select("item_id", "x.issues", "x.same")
 
 
