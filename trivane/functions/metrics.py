@@ -11,10 +11,11 @@ A metric gives a struct (status, score); a null score always has a status that s
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from trivane.functions import contracts, specs
 from trivane.functions.lexer import tokens
+from trivane.functions.parsing import applied
 from trivane.functions.states import ratio
 
 Score = Callable[[Column, Column], Column]
@@ -108,7 +110,7 @@ def probes(pre_false: Column, post_true: Column) -> Column:
 # similarity and size of texts
 
 
-def bleu(candidate: list[str], reference: list[str], orders: int = 4) -> float:
+def bleu(candidate: Sequence[str], reference: Sequence[str], orders: int = 4) -> float:
     """BLEU with the smoothing of operators.texts.bleu, for one pair of token lists."""
     if not candidate or not reference:
         return float(not candidate and not reference)
@@ -124,12 +126,16 @@ def bleu(candidate: list[str], reference: list[str], orders: int = 4) -> float:
     return min(1.0, math.exp(min(0.0, 1 - len(reference) / len(candidate)) + logs / used))
 
 
-def scope_tokens(text: str, scope: str) -> list[str]:
-    """The tokens of what a scope compares, each item behind its kind."""
-    return [t for x in contracts.scoped_items(text, scope) for t in (x["kind"], *(t.text for t in tokens(x["normalized"])))]
+@functools.lru_cache(maxsize=4)
+def scope_tokens(text: str, scope: str) -> tuple[str, ...]:
+    """The tokens of what a scope compares, each item behind its kind; the last few texts are kept, as pairs share theirs."""
+    return tuple(t for x in contracts.scoped_items(text, scope) for t in (x["kind"], *(t.text for t in tokens(x["normalized"]))))
 
 
 def similarity(generated: str, ground: str, scope: str) -> float:
+    """BLEU of the scope's tokens; a text against itself has 1, whatever it holds."""
+    if generated == ground:
+        return 1.0
     return bleu(scope_tokens(generated, scope), scope_tokens(ground, scope))
 
 
@@ -151,8 +157,8 @@ def size(text: str, scope: str) -> dict:
 
 def _similar(scope: str) -> Score:
     def score(generated: Column, ground: Column) -> Column:
-        f = F.udf(lambda g, r: None if g is None or r is None else similarity(g, r, scope), "double", useArrow=True)
-        return known(f(generated["text"], ground["text"]))
+        f = lambda g, r: None if g is None or r is None else similarity(g, r, scope)
+        return known(applied(f, "double", generated["text"], ground["text"]))
 
     return score
 
@@ -169,7 +175,7 @@ def _sized(scope: str) -> Score:
 
 def sizes(text: Column, scope: str) -> Column:
     kinds = "struct<nodes:int,depth:int,quantifiers:int,vocabulary:int,failed:int>"
-    return F.udf(lambda t: None if t is None else size(t, scope), kinds, useArrow=True)(text)
+    return applied(lambda t: None if t is None else size(t, scope), kinds, text)
 
 
 @dataclass(frozen=True)

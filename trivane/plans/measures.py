@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trivane.functions import parsing as P
 from trivane.functions import registry
 from trivane.functions.metrics import MEASURES, removal_plan, satisfiability_items
-from trivane.plans.programs import FUNCTIONS, WORDS, number, program, turns
+from trivane.plans.programs import FUNCTIONS, WORDS, number, program, turn_pairs, turns, words_of_turns
 from trivane.plans.registry import QUERIES, query
 from trivane.views import view
 
@@ -126,9 +127,8 @@ for _name in SQL:
 
 def text_pairs(spark, d) -> DataFrame:
     """The program of every turn against that of the turn before it."""
-    t = turns(spark, d).select("item_id", F.split_part("item_id", F.lit("."), F.lit(1)).alias("c"), F.split_part("item_id", F.lit("."), F.lit(2)).cast("int").alias("t"), program(FUNCTIONS).alias("text"))
-    before = t.select("c", (F.col("t") + 1).alias("t"), F.col("text").alias("before"))
-    return t.join(before, ["c", "t"]).select("item_id", registry.side({"text": F.col("text")}).alias("generated"), registry.side({"text": F.col("before")}).alias("ground"))
+    pairs = turn_pairs(words_of_turns(spark, d))
+    return pairs.select("item_id", registry.side({"text": program(FUNCTIONS)}).alias("generated"), registry.side({"text": program(FUNCTIONS, ws="before")}).alias("ground"))
 
 
 # What a statement of FUNCTIONS adds to each scope, as tokens behind its kind.
@@ -220,7 +220,7 @@ def st24_removal_plan(spark, d):
     """The deletions that a prover is asked about: clauses of proofs in order of place, and how many are tried at most."""
     from trivane.functions.metrics import attempts
 
-    plan = F.udf(lambda t: (lambda p: {"n": len(p), "attempts": attempts(len(p)), "first": p[0]["kind"] if p else None})(removal_plan(t)), "struct<n:long,attempts:long,first:string>", useArrow=True)
+    plan = lambda c: P.applied(lambda t: (lambda p: {"n": len(p), "attempts": attempts(len(p)), "first": p[0]["kind"] if p else None})(removal_plan(t)), "struct<n:long,attempts:long,first:string>", c)
     t = turns(spark, d).select("item_id", plan(program(FUNCTIONS)).alias("p"))
     return t.select("item_id", F.col("p.n").alias("candidates"), "p.attempts", F.col("p.first").alias("first_kind"))
 
@@ -228,9 +228,8 @@ def st24_removal_plan(spark, d):
 @query(f"WITH {WORDS} SELECT item_id, {number(0, 4)} AS functions, len(list_filter(n, lambda x: x % 4 = 0)) AS open, len(list_filter(n, lambda x: x % 4 = 1)) AS refuted, len(list_filter(n, lambda x: x % 4 = 2)) AS settled FROM tk")
 def st27_satisfiability_items(spark, d):
     """Preconditions by what is known of them before a solver is asked: open, false on their face, true whatever the values."""
-    ask = F.udf(lambda t: [x["satisfiable"] for x in satisfiability_items(t)], "array<boolean>", useArrow=True)
     text = program(("fn f#(x: u32) requires x < #, x > 1 { }", "fn g#(x: u32) requires x < 1, x > # { }", "fn h#(x: u32) requires x >= x, true { }", "fn k#(x: u32) ensures x > # { }"))
-    t = turns(spark, d).withColumn("s", ask(text))
+    t = turns(spark, d).withColumn("s", P.applied(lambda t: [x["satisfiable"] for x in satisfiability_items(t)], "array<boolean>", text))
     count = lambda f: F.size(F.filter("s", f)).cast("long")
     opened = count(lambda x: x.isNull())
     return t.select("item_id", opened.alias("functions"), opened.alias("open"), count(lambda x: ~x).alias("refuted"), count(lambda x: x).alias("settled"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trivane.functions import parsing as P
 from trivane.plans.registry import query
+from trivane.session import dealt
 from trivane.views import view
 
 #: item_id and n, the lengths of the words of a turn.
@@ -21,18 +22,28 @@ def number(k: int, of: int) -> str:
     return f"len(list_filter(n, lambda x: x % {of} = {k}))"
 
 
-def turns(spark, d) -> DataFrame:
+def words_of_turns(spark, d) -> DataFrame:
     P.ready(spark)
-    t = view(spark, d, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("item_id"), P.words(F.coalesce("text", F.lit(""))).alias("ws"))
-    # Parsing is dear: a table of fewer parts than there are cores is dealt out first.
-    cores = spark.sparkContext.defaultParallelism
-    return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
+    return view(spark, d, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("item_id"), P.words(F.coalesce("text", F.lit(""))).alias("ws"))
+
+
+def turns(spark, d) -> DataFrame:
+    """Every turn's words; parsing the program that they make is dear, so the turns are dealt out first."""
+    return dealt(words_of_turns(spark, d))
+
+
+def turn_pairs(t: DataFrame) -> DataFrame:
+    """(item_id, ws, before): every turn with the words of the turn before it, after each other in stretches of 16 turns, so
+    that a task that has read a text as the one side finds it again as the other."""
+    t = t.select("item_id", F.split_part("item_id", F.lit("."), F.lit(1)).alias("c"), F.split_part("item_id", F.lit("."), F.lit(2)).cast("int").alias("t"), "ws")
+    both = t.join(t.select("c", (F.col("t") + 1).alias("t"), F.col("ws").alias("before")), ["c", "t"])
+    return dealt(both, F.col("c"), F.floor(F.col("t") / 16)).sortWithinPartitions("c", "t").select("item_id", "ws", "before")
 
 
-def program(statements: tuple[str, ...], head: str = "", tail: str = "", sep: str = "\n") -> Column:
+def program(statements: tuple[str, ...], head: str = "", tail: str = "", sep: str = "\n", ws: str = "ws") -> Column:
     known = F.array(*[F.lit(s) for s in statements])
     one = lambda w: F.replace(F.element_at(known, F.length(w) % len(statements) + 1), F.lit("#"), F.length(w).cast("string"))
-    return F.concat(F.lit(head), F.array_join(F.transform("ws", one), sep), F.lit(tail))
+    return F.concat(F.lit(head), F.array_join(F.transform(ws, one), sep), F.lit(tail))
 
 
 FUNCTIONS = (
@@ -135,7 +146,7 @@ def m08_y11_typed_values(spark, d):
     """Printed values read as their type; one out of range is not ok."""
     from trivane.functions import specs
 
-    ok = F.udf(lambda t: specs.typed_value(t, "Vec<u8>")[0], "boolean", useArrow=True)
+    ok = lambda c: P.applied(lambda t: specs.typed_value(t, "Vec<u8>")[0], "boolean", c)
     return turns(spark, d).select("item_id", ok(program(("#", "#00", " #", "# ", "#"), "[", "]", ", ")).alias("ok"))
 
 
@@ -179,7 +190,7 @@ def y12_types(spark, d):
     """Types by name, the kinds of their definitions and the shape of the structs."""
     from trivane.functions import specs
 
-    m = F.udf(lambda t: specs.types(t), "map<string,string>", useArrow=True)
+    m = lambda c: P.applied(lambda t: list(specs.types(t).items()), "map<string,string>", c)
     t = turns(spark, d).select("item_id", m(program(("struct S# { a: u32 }", "type T# = Vec<u8>;", "enum E# { A, B }", "fn f#() { }"))).alias("m"))
     of = lambda kind: F.filter(F.map_values("m"), lambda x: x.startswith(kind))
     count = lambda kind: F.size(of(kind)).cast("long")
@@ -200,11 +211,9 @@ def st15_st16_key_features(spark, d):
     from trivane.operators import sets as U
     from trivane.operators import texts as T
 
-    t = turns(spark, d).where(F.exists("ws", lambda w: F.length(w) % 4 != 2))
-    t = t.select("item_id", F.split_part("item_id", F.lit("."), F.lit(1)).alias("c"), F.split_part("item_id", F.lit("."), F.lit(2)).cast("int").alias("t"), program(FUNCTIONS).alias("text"))
-    before = t.select("c", (F.col("t") + 1).alias("t"), F.col("text").alias("before"))
-    sides = F.array(F.struct(F.lit("ref").alias("side"), F.col("text")), F.struct(F.lit("gen").alias("side"), F.col("before").alias("text")))
-    both = t.join(before, ["c", "t"]).select("item_id", F.explode(sides).alias("s"))
+    t = words_of_turns(spark, d).where(F.exists("ws", lambda w: F.length(w) % 4 != 2))
+    sides = F.array(F.struct(F.lit("gen").alias("side"), program(FUNCTIONS, ws="before").alias("text")), F.struct(F.lit("ref").alias("side"), program(FUNCTIONS).alias("text")))
+    both = turn_pairs(t).select("item_id", F.explode(sides).alias("s"))
     c = both.select("item_id", "s.side", F.explode(P.clauses("s.text")).alias("c")).select("item_id", "side", "c.kind", "c.normalized")
     out = U.recall(U.multiset(T.features(c, "item_id", "side", "kind", "normalized"), "item_id", "feature", "side", "gen", "ref"), "item_id")
     return out.select("item_id", "right", F.round("recall", 9).alias("recall"))
