@@ -11,6 +11,7 @@ from trivane.operators import aggregates as A
 from trivane.operators import search as R
 from trivane.operators import texts as T
 from trivane.plans.registry import query
+from trivane.session import dealt
 from trivane.views import view
 
 SPEC = """// part %1$d fn hidden()
@@ -24,7 +25,7 @@ fn f%1$d(x: u32, v: &Vec<u32>) -> (r: u32)
 
 def spec_texts(spark, d):
     P.ready(spark)
-    p = view(spark, d, "part")
+    p = dealt(view(spark, d, "part").select("p_partkey", "p_size"))
     extra = F.when(F.col("p_partkey") % 3 == 0, ", true").when(F.col("p_partkey") % 3 == 1, ", x >= x").otherwise("")
     more = F.when(F.col("p_partkey") % 2 == 0, "&& forall|i: int| 0 <= i ==> v[i] >= 0").otherwise("")
     return p.select("p_partkey", F.format_string(SPEC, "p_partkey", "p_size", F.col("p_partkey") % 7, extra, more).alias("text"), "p_size")
