@@ -10,7 +10,7 @@ from trivane.functions import decisions, walks
 from trivane.operators import audits, harness
 from trivane.plans.programs import WORDS, number, program, turns
 from trivane.plans.registry import query
-from trivane.session import shared_dir
+from trivane.session import dealt, shared_dir
 from trivane.sources import cache
 from trivane.views import view
 
@@ -179,7 +179,7 @@ def y05_binding(spark, d):
     gen = F.when(k == 0, "fn f<T>(a: u32) -> (r: u32) { 0 }").when(k == 1, "fn f<T>(a: u64, w: &mut Vec<T>) -> (r: u32) { 0 }").when(k == 2, "fn f(a: u32, w: &mut Vec<T>) -> (r: u32) { 0 }")
     gen = gen.otherwise("fn f< T >(a: u32, w: &'a mut Vec< T >) -> (r: u32) { 0 }")
     clause = F.when(k == 3, F.format_string("a < %d && w.len() > 0", "p_size")).when(k == 4, F.format_string("old(w).len() + %d == old(*w).len()", "p_size")).otherwise("a == r")
-    x = view(spark, d, "part").select("p_partkey", ref.alias("ref"), gen.alias("gen"), clause.alias("clause"), F.when(k == 3, "requires").otherwise("ensures").alias("kind"))
+    x = dealt(view(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", ref.alias("ref"), gen.alias("gen"), clause.alias("clause"), F.when(k == 3, "requires").otherwise("ensures").alias("kind"))
     x = x.withColumn("b", binding.binding("ref", "gen", F.lit("f"))).withColumn("c", binding.clause_predicate("ref", "gen", F.lit("f"), "clause", "kind", F.lit("generated")))
     shared = F.array_join(F.transform("b.values", lambda v: F.concat(v["reference"], F.lit("="), v["generated"], F.lit(">"), v["shared"])), ",")
     return x.select("p_partkey", "b.issue", shared.alias("shared"), "c.call", "c.body")
