@@ -335,3 +335,12 @@ def test_ordered_match_of_dealt_sides(spark):
     out = joins.ordered_match(place(F.col("k")), place(F.col("k")), "u", ["k"], "p")
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("matched = 6 AND complete").count() == out.count() == 500
+
+
+def test_postings_of_few_files_are_made_by_all_cores(spark):
+    from trivane.operators import search
+
+    lib = spark.range(0, 100, 1, 1).select("id", F.concat(F.lit("name"), F.col("id").cast("string")).alias("x"))
+    out = search.gram_postings(lib, "id", F.col("x"))
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("gram = 'nam'").count() == 100

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from trivane.session import stored
+from trivane.session import dealt, stored
 
 # Words that a query is searched without, and the words that make keywords.
 STOP_WORDS = ("a", "an", "the", "is", "are", "be", "of", "in", "to", "for", "and", "or")
@@ -64,8 +64,11 @@ def grams(text: Column) -> Column:
 
 
 def gram_postings(library: DataFrame, name: str, searchable: Column) -> DataFrame:
-    """(gram, name), each once: which records hold a gram. Written in the order of grams, a search reads few of its row groups."""
-    return library.select(name, F.explode(grams(searchable)).alias("gram")).select("gram", name).distinct().repartitionByRange("gram", name).sortWithinPartitions("gram", name)
+    """(gram, name), each once: which records hold a gram. Written in the order of grams, a search reads few of its row groups.
+
+    A record is many times its bytes in grams, so the library is dealt out before: a task makes and tells apart those of its share."""
+    each = dealt(library.select(name, searchable.alias("_s"))).select(name, F.explode(grams(F.col("_s"))).alias("gram"))
+    return each.select("gram", name).distinct().repartitionByRange("gram", name).sortWithinPartitions("gram", name)
 
 
 def candidates(postings: DataFrame, query: str, name: str) -> DataFrame:
