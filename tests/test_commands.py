@@ -133,3 +133,15 @@ def test_decisions(spark):
         decisions.selected_runs(runs.unionByName(runs), {"w": "b", "m": None}).collect()
     none = spark.range(1).select(decisions.materialized(F.lit(None).cast("array<struct<kind:string,text:string,normalized:string>>"), "ensures").alias("x"), decisions.materialized(F.lit(None).cast("array<struct<kind:string,text:string,normalized:string>>"), "assert").alias("y")).first()
     assert [tuple(c) for c in none["x"]] == [("ensures", "true", "true", True)] and none["y"] == []
+
+
+def test_audit_reads_its_cases_once(spark, tmp_path):
+    """One pass over the cases gives both tables, and cases without a key are in them too."""
+    out = str(tmp_path / "once")
+    tasks = spark.createDataFrame([("a", "h", "f")], "task string, source_hash string, target string")
+    cases = spark.createDataFrame([("a", "k", None, 1, True, None), ("a", "k", None, 0, True, None), ("a", "k", "x", 2, False, "wrong")], "task string, kind string, case_key string, pos int, valid boolean, reason string")
+    audits.run(tasks, cases, out, 1, 1, 1)
+    assert {(r["pos"], r["reason"]) for r in audits.current(spark, out, "quarantined").collect()} == {(1, "duplicate_case"), (2, "wrong")}
+    assert [r["pos"] for r in audits.current(spark, out, "kept").collect()] == [0]
+    audits.run(tasks, cases.where("false"), str(tmp_path / "none"), 1, 1, 1)
+    assert not audits.current(spark, str(tmp_path / "none"), "kept").collect()

@@ -1,13 +1,13 @@
 """An audit of stored cases in runs that can be repeated: what holds is kept, the rest goes to quarantine with its reason.
 
 A run looks only at tasks that no earlier run finished under the same schema version and source hash. It goes over their cases once
-and writes three tables under its number: kept cases, quarantined ones, and a row for each task, which is written last and says that the
-task is done. What is current of a task is what its latest finished run wrote."""
+and writes them under its number, kept ones apart from quarantined ones, and then a row for each task, which says that the task is done. What is current of a task is what its latest finished run wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from trivane.operators.windows import first_qualifying
 from trivane.session import stored
@@ -37,7 +37,7 @@ def finished(spark: SparkSession, out: str) -> DataFrame:
 
 def current(spark: SparkSession, out: str, name: str) -> DataFrame:
     """Rows of kept or quarantined cases that the latest finished run of their task wrote."""
-    rows = _tables(spark, out, name)
+    rows = _tables(spark, out, "cases").where(F.col("table") == name).drop("table")
     return rows.join(finished(spark, out).select("task", "run"), ["task", "run"], "left_semi")
 
 
@@ -51,9 +51,9 @@ def run(tasks: DataFrame, cases: DataFrame, out: str, number: int, version: int,
     done = finished(spark, out).where(F.col("schema_version") == version).select("task", "source_hash", F.lit(True).alias("resumed"))
     listed = tasks.join(done, ["task", "source_hash"], "left").withColumn("resumed", F.coalesce("resumed", F.lit(False)))
     todo = listed.where("NOT resumed").select("task", "source_hash", "target")
-    first = F.min("pos").alias("_first")
-    firsts = cases.groupBy("task", "kind", "case_key").agg(first)
-    own = cases.join(todo.select("task", "target"), "task").join(firsts, ["task", "kind", "case_key"])
+    # The join has dealt the cases by task; a key's first is the one that a sorted stream of them meets first.
+    stream = W.partitionBy("task", "kind", "case_key").orderBy(F.asc_nulls_last("pos")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = cases.join(todo.select("task", "target"), "task").withColumn("_first", F.first("pos", ignorenulls=True).over(stream))
     reason = (
         F.when(F.col("target").isNull(), "target_not_found")
         .when(F.col("pos") > F.col("_first"), "duplicate_case")
@@ -61,10 +61,11 @@ def run(tasks: DataFrame, cases: DataFrame, out: str, number: int, version: int,
         .otherwise(F.coalesce("reason", F.lit("not_decided")))
     )
     own = own.select("task", "kind", "case_key", "pos", reason.alias("reason"))
-    for name, cond in (("kept", F.col("reason").isNull()), ("quarantined", F.col("reason").isNotNull())):
-        own.where(cond).write.mode("overwrite").parquet(f"{out}/{name}/run={number}")
-    count = lambda name: spark.read.parquet(f"{out}/{name}/run={number}").groupBy("task", "kind").agg(F.count(F.lit(1)).alias(name))
-    each = count("kept").join(count("quarantined"), ["task", "kind"], "full").fillna(0)
+    path, tables = f"{out}/cases/run={number}", ("kept", "quarantined")
+    own.withColumn("table", F.when(F.col("reason").isNull(), tables[0]).otherwise(tables[1])).write.mode("overwrite").partitionBy("table").parquet(path)
+    for t in tables:  # a table without rows has its columns all the same
+        spark.createDataFrame([], own.schema).coalesce(1).write.mode("append").parquet(f"{path}/table={t}")
+    each = spark.read.parquet(path).groupBy("task", "kind").agg(*[F.count_if(F.col("table") == t).alias(t) for t in tables])
     kinds = each.groupBy("task").agg(F.sum("kept").alias("kept"), F.sum("quarantined").alias("quarantined"), F.map_from_entries(F.collect_list(F.struct("kind", category_state(F.col("kept"), F.lit(target), strict=True)))).alias("states"))
     meta = todo.join(kinds, "task", "left").select(
         "task", F.lit(version).alias("schema_version"), "source_hash", F.when(F.col("target").isNull(), "no_function").otherwise("ok").alias("status"),
