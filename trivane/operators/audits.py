@@ -49,7 +49,8 @@ def run(tasks: DataFrame, cases: DataFrame, out: str, number: int, version: int,
     others are duplicates. A task without its function keeps nothing."""
     spark = tasks.sparkSession
     done = finished(spark, out).where(F.col("schema_version") == version).select("task", "source_hash", F.lit(True).alias("resumed"))
-    listed = tasks.join(done, ["task", "source_hash"], "left").withColumn("resumed", F.coalesce("resumed", F.lit(False)))
+    # Written before the run counts as finished, as it reads what is finished; all that follows reads it.
+    listed = stored(tasks.join(done, ["task", "source_hash"], "left").withColumn("resumed", F.coalesce("resumed", F.lit(False))), "audit")
     todo = listed.where("NOT resumed").select("task", "source_hash", "target")
     # The join has dealt the cases by task; a key's first is the one that a sorted stream of them meets first.
     stream = W.partitionBy("task", "kind", "case_key").orderBy(F.asc_nulls_last("pos")).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -71,7 +72,5 @@ def run(tasks: DataFrame, cases: DataFrame, out: str, number: int, version: int,
         "task", F.lit(version).alias("schema_version"), "source_hash", F.when(F.col("target").isNull(), "no_function").otherwise("ok").alias("status"),
         F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("quarantined", F.lit(0)).alias("quarantined"), "states",
     )
-    # Written before the run counts as finished, as it reads what is finished.
-    resumed = stored(listed.select("task", "resumed"), "audit")
     meta.write.mode("overwrite").parquet(f"{out}/meta/run={number}")
-    return resumed
+    return listed.select("task", "resumed")
