@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -107,3 +108,16 @@ def test_query_equals_whole_texts(spark, pair):
     got = queries.op12_crosstok(spark, TABLES)
     assert got.columns == COLUMNS
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(expected(pair, rows), key=key)
+
+
+def test_memory_of_an_alignment(pair):
+    """What is kept of a segment is its groups as text and numbers of eight bytes; no objects of the tokenizers pile up."""
+    rng = random.Random(5)
+    segments = [(" " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))).encode() for _ in range(20_000)]
+    crosstok.aligned(segments[:100], pair)
+    tracemalloc.start()
+    texts, counts, pairs = crosstok.aligned(segments, pair)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts) == 20_000 and counts[:, 5].sum() == len(pairs) > 200_000
+    assert peak < 60 * len(pairs) + sum(map(len, texts)) + 100 * len(texts)

@@ -36,6 +36,16 @@ def unpack(raw: bytes, dtype=None) -> np.ndarray | bytes:
     return data if dtype is None else np.frombuffer(data, dtype)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers, their lowest bytes first, then the next ones: small numbers of any kind cost little."""
+    return pack(np.ascontiguousarray(np.asarray(x).astype("<i8").reshape(-1, 1).view(np.uint8).T))
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    planes = unpack(raw, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
 def pack_tokens(tokens: list[bytes]) -> bytes:
     """The byte 255 is in no UTF-8 text."""
     return pack(b"\xff".join(tokens))

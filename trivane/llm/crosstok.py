@@ -21,6 +21,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -119,24 +120,23 @@ def groups(a: list[int], b: list[int], a_bytes: dict[int, bytes], b_bytes: dict[
     return out
 
 
-def aligned(segments: list[bytes], pair: Pair, step: int = 20_000) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def aligned(segments: list[bytes], pair: Pair, step: int = 2_000) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Groups as text, (n_a, n_b, n_groups, n_links, spelt, distinct id pairs) and (a, b, times) of the pairs of each segment."""
     texts: list[bytes] = []
-    counts: list[tuple[int, ...]] = []
-    flat: list[int] = []
+    counts, flat = array("q"), array("q")
     for s in range(0, len(segments), step):
         part = segments[s : s + step]
         ids_a, ids_b = pair.encode([x.decode() for x in part])
         for raw, a, b in zip(part, ids_a, ids_b, strict=True):
             if pair.spelt(a, True) != raw or pair.spelt(b, False) != raw:
                 texts.append(b"")
-                counts.append((0, 0, 0, 0, 0, 0))
+                counts.extend((0, 0, 0, 0, 0, 0))
                 continue
             cut = groups(a, b, pair.a_bytes, pair.b_bytes)
             texts.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cut]).encode())
             if len(a) == 1 and len(b) == 1:
-                flat += (a[0], b[0], 1)
-                counts.append((1, 1, 1, 1, 1, 1))
+                flat.extend((a[0], b[0], 1))
+                counts.extend((1, 1, 1, 1, 1, 1))
                 continue
             times: dict[tuple[int, int], int] = {}
             links = 0
@@ -151,15 +151,18 @@ def aligned(segments: list[bytes], pair: Pair, step: int = 20_000) -> tuple[list
                         for q, m in zip(*(v.tolist() for v in np.unique(y, return_counts=True)), strict=True):
                             times[p, q] = times.get((p, q), 0) + n * m
             for (p, q), n in times.items():
-                flat += (p, q, n)
-            counts.append((len(a), len(b), len(cut), links, 1, len(times)))
-    return texts, np.array(counts, dtype="<i8").reshape(-1, 6), np.array(flat, dtype="<i8").reshape(-1, 3)
+                flat.extend((p, q, n))
+            counts.extend((len(a), len(b), len(cut), links, 1, len(times)))
+    return texts, np.frombuffer(counts, "<i8").reshape(-1, 6), np.frombuffer(flat, "<i8").reshape(-1, 3)
 
 
+#: Two tasks of an executor with 3 GB compose a block each: of 20 MB they took more than that.
+BLOCK = 12 << 20
+NONE = np.zeros(0, dtype=np.int64)
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts: bool = False, block: int = blocks.BLOCK) -> DataFrame:
+def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts: bool = False, block: int = BLOCK) -> DataFrame:
     """One row per row of documents, by COLUMNS; with texts also the groups themselves, as text."""
     first, second = tokenizers or default_tokenizers()
     parts = partitions(documents.sparkSession)
@@ -174,7 +177,7 @@ def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts
         rows = []
         for own in where:
             chosen = pairs[blocks.spread(begin[own], counts[own, 5])]
-            rows.append((blocks.pack_tokens([words[i] for i in own.tolist()]), blocks.pack(counts[own].T), blocks.pack(chosen.T)))
+            rows.append((blocks.pack_tokens([words[i] for i in own.tolist()]), blocks.pack_numbers(counts[own].T), blocks.pack_numbers(chosen.T)))
         return pa.table([asked.column("block"), asked.column("codes"), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], names=["block", "codes", "words", "counts", "pairs"])
 
     answers = coded.where("part is not null").groupBy("part").applyInArrow(answer, "block long, codes binary, words binary, counts binary, pairs binary")
@@ -185,43 +188,52 @@ def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts
 
     def compose(own: pa.Table, got: pa.Table) -> pa.Table:
         """Texts of a block with what doesn't depend on other texts, and by part the id pairs that its texts hold linked."""
-        codes = [blocks.unpack(c, "<u4") for c in got.column("codes").to_pylist()]
-        m = sum(map(len, codes))
+        m = sum(len(blocks.unpack(c.as_py())) // 4 for c in got.column("codes"))
         words: list[bytes] = [b""] * m
         counts = np.zeros((m, 6), dtype=np.int64)
-        lists, at = [], np.zeros(m, dtype=np.int64)
+        keys, many, at = [], [], np.zeros(m, dtype=np.int64)
         size = 0
-        for c, w, n, p in zip(codes, *(got.column(k).to_pylist() for k in ("words", "counts", "pairs")), strict=True):
-            for i, x in zip(c.tolist(), blocks.unpack_tokens(w), strict=True):
+        # One part at a time; what a part says is dropped when it is taken over.
+        for c, w, n, p in zip(*(got.column(k) for k in ("codes", "words", "counts", "pairs")), strict=True):
+            c = blocks.unpack(c.as_py(), "<u4")
+            for i, x in zip(c.tolist(), blocks.unpack_tokens(w.as_py()), strict=True):
                 words[i] = x
-            n = blocks.unpack(n, "<i8").reshape(6, -1).T
+            n = blocks.unpack_numbers(n.as_py()).reshape(6, -1).T
             counts[c] = n
             at[c] = size + np.cumsum(n[:, 5]) - n[:, 5]
-            lists.append(blocks.unpack(p, "<i8").reshape(3, -1).T)
-            size += len(lists[-1])
-        pairs = np.concatenate(lists) if lists else np.zeros((0, 3), dtype=np.int64)
-        ids, name = np.unique(pairs[:, 0] << 32 | pairs[:, 1], return_inverse=True)
+            first_ids, second_ids, times = blocks.unpack_numbers(p.as_py()).reshape(3, -1)
+            keys.append(first_ids << 32 | second_ids)
+            many.append(times.copy())
+            size += len(times)
+        ids = np.unique(np.concatenate([np.unique(k) for k in keys])) if keys else np.zeros(0, dtype=np.int64)
+        name = np.zeros(size, dtype="<i4")
+        size = 0
+        for k in range(len(keys)):
+            name[size : size + len(keys[k])] = np.searchsorted(ids, keys[k])
+            size += len(keys[k])
+            keys[k] = None
+        many = np.concatenate(many) if many else np.zeros(0, dtype=np.int64)
         holds = np.zeros(len(ids), dtype=np.int64)
         rows = []
         number = own.column("block")[0].as_py() if own.num_rows else None
-        for i, raw in zip(own.column("doc_id").to_pylist(), own.column("data").to_pylist(), strict=True):
-            c = blocks.unpack(raw, "<u4")
+        for i, raw in zip(own.column("doc_id").to_pylist(), own.column("data"), strict=True):
+            c = blocks.unpack(raw.as_py(), "<u4")
             if not len(c) or not counts[c, 4].all():
-                rows.append((number, None, i, 0, 0, 0, 0, "", "" if texts else None, blocks.pack(b""), None))
+                rows.append((number, None, i, 0, 0, 0, 0, "", "" if texts else None, blocks.pack_numbers(NONE), None))
                 continue
             joined = b";".join([words[k] for k in c.tolist()])
             flat = blocks.spread(at[c], counts[c, 5])
             used, back = np.unique(name[flat], return_inverse=True)
             holds[used] += 1
-            times = np.bincount(back, weights=pairs[flat, 2]).astype("<i8")
-            rows.append((number, None, i, *counts[c, :4].sum(axis=0).tolist(), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None, blocks.pack(np.concatenate([used.astype("<i8"), times])), None))
+            times = np.bincount(back, weights=many[flat]).astype("<i8")
+            rows.append((number, None, i, *counts[c, :4].sum(axis=0).tolist(), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None, blocks.pack_numbers(np.concatenate([used, times])), None))
         held = np.flatnonzero(holds)
         of = (ids[held] >> 32) % parts
         order = np.argsort(of, kind="stable")
         for g in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
             if len(g):
                 k = held[g]
-                rows.append((number, int(of[g[0]]), *[None] * 7, blocks.pack(np.concatenate([ids[k], holds[k]]).astype("<i8")), blocks.pack(k.astype("<u4"))))
+                rows.append((number, int(of[g[0]]), *[None] * 7, blocks.pack_numbers(np.concatenate([ids[k], holds[k]])), blocks.pack(k.astype("<u4"))))
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     composed = stored(coded.where("part is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(compose, schema), "alignments")
@@ -229,7 +241,7 @@ def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts
 
     def count(asked: pa.Table) -> pa.Table:
         """Over all blocks: how many texts hold each pair, and whether no pair of its first id is held by more."""
-        lists = [blocks.unpack(p, "<i8").reshape(2, -1) for p in asked.column("pairs").to_pylist()]
+        lists = [blocks.unpack_numbers(p.as_py()).reshape(2, -1) for p in asked.column("pairs")]
         ids, back = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
         total = np.zeros(len(ids), dtype=np.int64)
         np.add.at(total, back, np.concatenate([x[1] for x in lists]))
@@ -241,7 +253,7 @@ def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts
         for x in lists:
             k = back[s : s + x.shape[1]]
             s += len(k)
-            out.append(blocks.pack(np.concatenate([total[k], best[k]]).astype("<i8")))
+            out.append(blocks.pack_numbers(np.concatenate([total[k], best[k]])))
         return pa.table([asked.column("block"), asked.column("codes"), pa.array(out, pa.binary())], names=["block", "codes", "totals"])
 
     totals = composed.where("part is not null").select("block", "part", "pairs", "codes").groupBy("part").applyInArrow(count, "block long, codes binary, totals binary")
@@ -251,10 +263,10 @@ def align(documents: DataFrame, tokenizers: tuple[str, str] | None = None, texts
         n = max((int(c.max()) + 1 for c in codes), default=0)
         total, best = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for c, x in zip(codes, got.column("totals").to_pylist(), strict=True):
-            total[c], best[c] = blocks.unpack(x, "<i8").reshape(2, -1)
+            total[c], best[c] = blocks.unpack_numbers(x).reshape(2, -1)
         sums: list[tuple[int, int]] = []
-        for raw in own.column("pairs").to_pylist():
-            used, times = blocks.unpack(raw, "<i8").reshape(2, -1)
+        for raw in own.column("pairs"):
+            used, times = blocks.unpack_numbers(raw.as_py()).reshape(2, -1)
             sums.append((int((times * best[used]).sum()), int((times * total[used]).sum())))
         more = [pa.array([x[k] for x in sums], pa.int64()) for k in range(2)]
         kept = [own.column(k) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
