@@ -146,3 +146,40 @@ def test_closed_form_of_words_that_occur_once(spark):
         q = lambda known: math.log10((known * (1 - d) + (s1 + d * v) * p(known)) / (s1 + v))
         fits.append(abs(got[1] - 6 * q(1)) + abs(got[2] - 2 * q(1) - q(0)))
     assert min(fits) < 1e-5
+
+
+def test_contexts_are_words(spark):
+    """Words of one class of 1,024 keep restaurants of their own: what follows the one says nothing of the other."""
+    seen = {}
+    for k in itertools.count():
+        u, v = f"u{k}", seen.setdefault(zlib.crc32(b"u%d" % k) % 1024, f"u{k}")
+        if u != v:
+            break
+    rows = [(k, " ".join([f"{u} x"] * 30)) for k in range(20)] + [(k, " ".join([f"{v} y"] * 30)) for k in range(20, 40)]
+    rows += [(100, f"{u} x"), (101, f"{u} y")]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    assert got[100] - got[101] > 1
+
+
+def test_closed_form_of_contexts_that_are_words(spark):
+    """Every pair occurs once, so there is nothing to sample."""
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a q")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df, F.col("doc_id") == 1).collect()}
+    v, d = 6, 0.95
+    fits = []
+    for s0, s1 in itertools.product(pitman_yor.STRENGTHS, repeat=2):
+        p = [(known * (1 - d) + (s0 + d * v) / (v + 1)) / (s0 + v) for known in (0, 1)]
+        pair = lambda times, known: (times * (1 - d) + (s1 + d) * p[known]) / (s1 + 1)
+        want = 6 * math.log10(pair(1, 1)), math.log10(pair(1, 1) * pair(0, 0) * p[1])
+        fits.append(abs(got[1] - want[0]) + abs(got[2] - want[1]))
+    assert min(fits) < 1e-5
+
+
+def test_scores_of_one_class_add_up_to_one(spark):
+    """With one context, a text of one word has the probabilities of that word and of the end."""
+    words = [f"w{k}" for k in range(9)]
+    rows = [(k, " ".join(words[(k * j + j * j) % 9] for j in range(k % 11))) for k in range(60)]
+    rows += [(100 + k, w) for k, w in enumerate([*words, "other", ""])]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100, contexts=1, block=200).collect()}
+    end = got[100 + len(words) + 1]
+    assert sum(10 ** (got[100 + k] - end) for k in range(len(words) + 1)) + 10**end == pytest.approx(1.0, rel=1e-6)
