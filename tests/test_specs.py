@@ -225,3 +225,36 @@ def test_paths_of_deep_walks():
 
     seconds(30)
     assert min(seconds(4000) for _ in range(3)) < 50 * min(seconds(250) for _ in range(5))
+
+
+def test_items_of_a_text_come_from_one_scan(monkeypatch):
+    from trivane.functions import contracts, lexer
+
+    scanned, plain = [], lexer._scanned.__wrapped__
+    monkeypatch.setattr(lexer, "_scanned", lambda text: scanned.append(text) or plain(text))
+    text = "fn f(x: u8) requires x < 1, x > 0 { assert(x == 1) by { g() } } // c\nspec fn h() -> int { 1 } /* d\n */ proof fn k() ensures true { }"
+    found = contracts._text_items.__wrapped__(text)
+    assert set(scanned) == {text}
+    assert [(x["kind"], x["normalized"]) for x in found] == [
+        ("requires", "x < 1"), ("requires", "x > 0"), ("assert", "x == 1"), ("assert_by", "{ g() }"), ("spec_fn", "spec fn h() -> int { 1 }"), ("proof_fn", "proof fn k() ensures true { }"),
+    ]
+
+
+def test_tokens_of_a_stripped_text_are_those_of_a_scan():
+    import random
+
+    from trivane.functions import contracts, lexer
+
+    rng = random.Random(5)
+    parts = ["fn f(x: u8)", "spec fn h() {", "}", "requires", "x < 1,", "assert(p) by { q }", "//c\n", "/*b*/", "/*\n*/", "/*", "'", "'a", "' '", '"s //"', 'r#"x"#', "r", "/", "*", " ", ";", "spec fn"]
+    spans = lambda toks: [(t.kind, t.text, t.start, t.end) for t in toks]
+    for _ in range(4000):
+        text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        clean, toks = lexer.stripped(text)
+        assert clean == lexer.strip_comments(text) and spans(toks) == spans(lexer.tokens(clean))
+        cuts = sorted((f.start, f.end) for f in specs.functions(clean) if f.mode == "spec")
+        rest = list(clean)
+        for a, b in cuts:
+            rest[a:b] = " " * (b - a)
+        rest = "".join(rest)
+        assert spans(contracts._outside(rest, toks, cuts)) == spans(lexer.tokens(rest))

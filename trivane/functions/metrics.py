@@ -110,33 +110,55 @@ def probes(pre_false: Column, post_true: Column) -> Column:
 # similarity and size of texts
 
 
+def gram_counts(words: Sequence[str], orders: int) -> list[dict]:
+    """How often each run of n tokens occurs, for n from 1."""
+    return [Counter(zip(*(words[k:] for k in range(n)))) for n in range(1, orders + 1)]  # noqa: B905
+
+
 def bleu(candidate: Sequence[str], reference: Sequence[str], orders: int = 4) -> float:
     """BLEU with the smoothing of operators.texts.bleu, for one pair of token lists."""
+    return bleu_of_counts(len(candidate), gram_counts(candidate, orders), len(reference), gram_counts(reference, orders))
+
+
+def bleu_of_counts(candidate: int, own: Sequence[dict], reference: int, theirs: Sequence[dict]) -> float:
+    """BLEU from the lengths of both sides and their counts of runs of 1, 2 and more tokens."""
     if not candidate or not reference:
         return float(not candidate and not reference)
     logs, missed = 0.0, 0
-    used = min(orders, len(candidate))
-    for n in range(1, used + 1):
-        grams = [Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1)) for t in (candidate, reference)]
-        match, total = sum((grams[0] & grams[1]).values()), len(candidate) - n + 1
-        if n == 1 and not match:
+    used = min(len(own), candidate)
+    for n in range(used):
+        of = theirs[n]
+        match, total = sum(min(c, of[g]) for g, c in own[n].items() if g in of), candidate - n
+        if not n and not match:
             return 0.0
         missed += not match
         logs += math.log(match / total if match else 1 / (2**missed * total))
-    return min(1.0, math.exp(min(0.0, 1 - len(reference) / len(candidate)) + logs / used))
+    return min(1.0, math.exp(min(0.0, 1 - reference / candidate) + logs / used))
+
+
+@functools.lru_cache(maxsize=1024)
+def _item_tokens(text: str) -> tuple[str, ...]:
+    """The tokens of an item; texts of a pair share many."""
+    return tuple(t.text for t in tokens(text))
 
 
 @functools.lru_cache(maxsize=4)
 def scope_tokens(text: str, scope: str) -> tuple[str, ...]:
     """The tokens of what a scope compares, each item behind its kind; the last few texts are kept, as pairs share theirs."""
-    return tuple(t for x in contracts.scoped_items(text, scope) for t in (x["kind"], *(t.text for t in tokens(x["normalized"]))))
+    return tuple(t for x in contracts.scoped_items(text, scope) for t in (x["kind"], *_item_tokens(x["normalized"])))
+
+
+@functools.lru_cache(maxsize=4)
+def _scope_counts(text: str, scope: str) -> tuple[int, list[dict]]:
+    words = scope_tokens(text, scope)
+    return len(words), gram_counts(words, 4)
 
 
 def similarity(generated: str, ground: str, scope: str) -> float:
     """BLEU of the scope's tokens; a text against itself has 1, whatever it holds."""
     if generated == ground:
         return 1.0
-    return bleu(scope_tokens(generated, scope), scope_tokens(ground, scope))
+    return bleu_of_counts(*_scope_counts(generated, scope), *_scope_counts(ground, scope))
 
 
 # The clause kinds of the scopes whose size is measured; full has all of them.
