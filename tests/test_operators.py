@@ -107,6 +107,37 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == want
 
 
+def test_near_duplicates_of_repeated_units_and_texts(spark):
+    # Two rows of unit 1 at each place, as when an id repeats; equal texts, empty sets, nulls, and items beyond the first ones.
+    data = [(1, 1, "a b c"), (1, 1, "a b c d"), (1, 2, "a b c"), (1, 2, "c b a"), (1, 3, "-"), (1, 4, "*"), (1, 5, None), (None, 1, "a b"), (None, 2, "b a"), (2, 1, "a b"), (2, 2, "q"), (2, 3, "b a")]
+    df = spark.createDataFrame(data, "d int, p long, x string")
+    toks = F.filter(F.split("x", "[^a-z]+"), lambda t: t != "")
+    got = joins.near_duplicates(df, "d", "x", "p", toks, 0.75)
+    assert rows(got) == [(1, 1, 2, 0.75), (1, 1, 2, 0.75), (1, 1, 2, 1.0), (1, 3, 4, 1.0), (2, 1, 3, 1.0)]
+    assert rows(joins.near_duplicates(df.where("d = 2"), "d", "x", "p", toks, 0.75, 2)) == []
+    assert got.dtypes == [("d", "int"), ("left_pos", "bigint"), ("right_pos", "bigint"), ("jaccard", "double")]
+
+
+def test_near_duplicates_move_items_once(spark):
+    df = spark.createDataFrame([(1, 1, "a b")], "d int, p long, x string")
+    plan = joins.near_duplicates(df, "d", "x", "p", F.split("x", " "))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_similar_sets_by_brute_force():
+    rnd = random.Random(4)
+    for threshold in (0.3, 0.6, 2 / 3, 0.85, 1.0):
+        items = [(p, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 6))) + " " * rnd.randint(0, 1), None) for p in range(60)]
+        items = [(p, x, x.split()) for p, x, _ in items]
+
+        def jac(a, b):
+            a, b = set(a), set(b)
+            return len(a & b) / len(a | b) if a | b else 1.0
+
+        want = sorted((p, q, jac(a, b)) for p, x, a in items for q, y, b in items if p < q and x != y and jac(a, b) >= threshold)
+        assert sorted(joins.similar_sets(items, threshold)) == want != []
+
+
 def test_dense_grid_and_empty_dimension(spark):
     agg = spark.createDataFrame([("a", "x", 3)], "k string, s string, n long")
     dims = [spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("x",), ("y",)], "s string")]
